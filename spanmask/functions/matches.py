@@ -54,17 +54,33 @@ def match_offsets(text: Column, whole: Column, grp: Column, pattern: str) -> Col
     return F.when(F.size(whole) > 0, folded).otherwise(empty)
 
 
-def regex_matches_df(df, text_col: str, pattern: str, group: int, out: str, guard: str | None = None):
-    """Add column ``out`` with all matches of ``pattern`` in ``text_col`` (two projections)."""
-    whole, grp = match_arrays(F.col(text_col), pattern, group)
-    if guard is not None:
-        ok = F.coalesce(F.col(text_col), F.lit("")).rlike(guard)
-        whole = F.when(ok, whole).otherwise(F.array().cast("array<string>"))
-        grp = F.when(ok, grp).otherwise(F.array().cast("array<string>"))
-    staged = df.withColumn(f"_{out}_w", whole)
-    staged = staged.withColumn(f"_{out}_g", F.col(f"_{out}_w") if group == 0 else grp)
-    return staged.withColumn(out, match_offsets(F.col(text_col), F.col(f"_{out}_w"), F.col(f"_{out}_g"),
-                                                pattern)).drop(f"_{out}_w", f"_{out}_g")
+def regex_matches_df(df, text_col: str, specs: list[tuple[str, int, str | None, str]]):
+    """Add one match-offsets column per spec ``(pattern, group, guard, out)``.
+
+    Two projections in total: all match arrays first, then all offsets, so
+    every regex runs once per row and the plan stays small.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    none = F.array().cast("array<string>")
+    arrays = []
+    for pattern, group, guard, out in specs:
+        whole, _ = match_arrays(F.col(text_col), pattern, group)
+        if guard is not None:
+            whole = F.when(text.rlike(guard), whole).otherwise(none)
+        arrays.append(whole.alias(f"_{out}_w"))
+    staged = df.select("*", *arrays)
+    groups = []
+    for pattern, group, guard, out in specs:
+        if group:
+            g = F.when(F.size(F.col(f"_{out}_w")) > 0,
+                       F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
+            groups.append(g.alias(f"_{out}_g"))
+    if groups:
+        staged = staged.select("*", *groups)
+    offs = [match_offsets(F.col(text_col), F.col(f"_{out}_w"), F.col(f"_{out}_g" if group else f"_{out}_w"),
+                          pattern).alias(out) for pattern, group, guard, out in specs]
+    drop = [f"_{out}_w" for _, _, _, out in specs] + [f"_{out}_g" for _, g, _, out in specs if g]
+    return staged.select("*", *offs).drop(*drop)
 
 
 def regex_matches(text: Column, pattern: str, group: int = 0) -> Column:

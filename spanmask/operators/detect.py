@@ -31,10 +31,10 @@ class RegexRule:
 
 DEFAULT_RULES: list[RegexRule] = [
     RegexRule("private_email", X.EMAIL_RE, guard="@"),
-    RegexRule("private_id", X.VAT_RE, group=1, validator=valid_vat, guard="[0-9]"),
-    RegexRule("private_id", X.TAX_CODE_RE, validator=valid_tax_code, guard="[0-9]"),
-    RegexRule("private_id", X.IBAN_RE, validator=valid_iban, guard="(?i)it"),
-    RegexRule("private_phone", X.PHONE_RE, validator=valid_phone, guard="[03]"),
+    RegexRule("private_id", X.VAT_RE, group=1, validator=valid_vat, guard=r"(?U)\d{11}"),
+    RegexRule("private_id", X.TAX_CODE_RE, validator=valid_tax_code, guard=r"(?U)\d\d\w\d\d\w\d{3}"),
+    RegexRule("private_id", X.IBAN_RE, validator=valid_iban, guard=r"(?U)[0-9]"),
+    RegexRule("private_phone", X.PHONE_RE, validator=valid_phone, guard=r"(?U)[03]\d"),
 ]
 
 RULE_KEYS = {"email": 0, "vat": 1, "tax_code": 2, "iban": 3, "phone": 4}
@@ -107,33 +107,39 @@ def trim_bounds(text: Column, start: Column, end: Column) -> Column:
     e = F.least(F.greatest(end, s), n)
     seg = F.substring(text, s + 1, e - s)
     lead = F.length(seg) - F.length(F.ltrim(seg, F.lit(X.MODEL_TRIM_CHARS)))
-    trail = F.length(seg) - F.length(F.rtrim(seg, F.lit(X.MODEL_TRIM_CHARS)))
-    all_trim = lead == F.length(seg)
+    core = F.length(F.btrim(seg, F.lit(X.MODEL_TRIM_CHARS)))
     s2 = s + lead
-    e2 = F.when(all_trim, s2).otherwise(e - trail)
-    return F.struct(s2.cast("int").alias("start"), e2.cast("int").alias("end"),
-                    py_strip(F.substring(text, s2 + 1, e2 - s2)).alias("text"))
+    return F.struct(s2.cast("int").alias("start"), (s2 + core).cast("int").alias("end"),
+                    py_strip(F.btrim(seg, F.lit(X.MODEL_TRIM_CHARS))).alias("text"))
 
 
 def refine_address(span) -> Column:
     """Shrink a model address to its street part when a street prefix is found."""
-    m = first_match(span["text"], X.STREET_RE)
-    refined = make_span(span["start"] + m["start"], span["start"] + m["end"], span["label"],
-                        py_strip(m["match"]), span["score"], span["source"])
-    return F.when((span["label"] == "private_address") & m.isNotNull(), refined).otherwise(span)
+    def apply(m):
+        refined = make_span(span["start"] + m["start"], span["start"] + m["end"], span["label"],
+                            py_strip(m["match"]), span["score"], span["source"])
+        return F.when(m.isNotNull(), refined).otherwise(span)
+
+    is_addr = span["label"] == "private_address"
+    # one-element transform: evaluates the street search once per span
+    found = F.transform(F.array(span), lambda x: first_match(x["text"], X.STREET_RE))
+    return F.when(is_addr, F.element_at(F.transform(found, apply), 1)).otherwise(span)
 
 
 def model_spans(text: Column, findings: Column, min_score: Optional[float] = None) -> Column:
-    """Findings (array of FINDING_STRUCT, model order) -> model spans (source ``opf``)."""
+    """Findings (array of FINDING_STRUCT, model order) -> model spans (source ``opf``).
+
+    Chained ``transform`` stages: each intermediate array is built once.
+    """
     if min_score is not None:
         findings = F.filter(findings, lambda f: f["score"].isNull() | (f["score"] >= F.lit(min_score)))
-
-    def to_span(f):
-        b = trim_bounds(text, f["start"], f["end"])
-        return make_span(b["start"], b["end"], canonical_label(f["label"]), b["text"], f["score"], F.lit("opf"))
-
-    spans = F.filter(F.transform(findings, to_span), lambda s: F.length(s["text"]) > 0)
-    return F.transform(spans, refine_address)
+    bounded = F.transform(findings, lambda f: F.struct(
+        trim_bounds(text, f["start"], f["end"]).alias("b"), canonical_label(f["label"]).alias("label"),
+        f["score"].alias("score")))
+    spans = F.transform(bounded, lambda x: make_span(x["b"]["start"], x["b"]["end"], x["label"], x["b"]["text"],
+                                                     x["score"], F.lit("opf")))
+    kept = F.filter(spans, lambda s: F.length(s["text"]) > 0)
+    return F.transform(kept, refine_address)
 
 
 def no_findings() -> Column:

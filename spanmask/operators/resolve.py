@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import REGEX_LABEL_PRIORITY
+from ..functions.memo import memo_columns
 from ..functions.text import normalize_entity
 from .spans import SPAN_ARRAY, overlaps, sort_spans, source_priority, span_rank
 
@@ -87,10 +88,13 @@ def resolve_df(df: DataFrame, keep: list[str], model: str = "m", context: str =
                out: str = "spans") -> DataFrame:
     """Staged resolution: each array is a column before a lambda reads it twice."""
     k = [F.col(c) for c in keep]
-    d = df.select(*k, F.col(model), F.col(context), greedy_regex(F.col(regex)).alias("_g"))
-    d = d.select(*k, priority_insert(F.col(model), F.concat(F.col(context), F.col("_g"))).alias("_merged"))
-    d = d.select(*k, dedupe_keys(F.col("_merged")).alias("_keyed"))
-    return d.select(*k, dedupe_keyed(F.col("_keyed")).alias(out))
+    g, merged, keyed, final = memo_columns(("resolve", model, context, regex), lambda: (
+        greedy_regex(F.col(regex)), priority_insert(F.col(model), F.concat(F.col(context), F.col("_g"))),
+        dedupe_keys(F.col("_merged")), dedupe_keyed(F.col("_keyed"))))
+    d = df.select(*k, F.col(model), F.col(context), g.alias("_g"))
+    d = d.select(*k, merged.alias("_merged"))
+    d = d.select(*k, keyed.alias("_keyed"))
+    return d.select(*k, final.alias(out))
 
 
 # ---------------------------------------------------------------------------
@@ -139,12 +143,14 @@ def island_representatives(spans: DataFrame, text_df: DataFrame | None = None,
     island (needs ``text_df(doc_id, text)``; without it the text is left null).
     """
     isl = islands(spans, doc_key)
-    order = F.struct(span_rank(F.struct("start", "end", "score", "source")).alias("r"),
-                     (-F.col("start")).alias("a"), (-F.col("end")).alias("b"), (-F.col("_tb")).alias("c"))
-    member = F.struct(*[F.col(c) for c in spans.columns])
+    r = span_rank(F.struct("start", "end", "score", "source"))
+    # best rank first; ties keep the first member in (start, end, label) order
+    order = F.struct((-r["p"]).alias("p"), (-r["s"]).alias("s"), (-r["n"]).alias("n"), F.col("start").alias("a"),
+                     F.col("end").alias("b"), F.col("label").alias("l"), F.col("_tb").alias("c"))
+    member = F.struct(*[F.col(c) for c in spans.columns if c != doc_key])
     g = isl.groupBy(doc_key, "island").agg(
         F.min("start").alias("i_start"), F.max("end").alias("i_end"), F.count("*").alias("n"),
-        F.max_by(member, order).alias("best"))
+        F.min_by(member, order).alias("best"))
     rep = g.select(doc_key, "island", "i_start", "i_end", "n", "best.*")
     single = (F.col("n") == 1) & (F.col("start") == F.col("i_start")) & (F.col("end") == F.col("i_end"))
     if text_df is not None:

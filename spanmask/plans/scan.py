@@ -16,6 +16,8 @@ from ..functions.fixed import DEFAULT_LABELS
 from ..functions.text import normalize_entity, normalize_free_text
 from ..functions.fixed import CONTEXT_ORG_RE
 from ..functions.matches import regex_matches_df
+from ..functions.memo import memo_columns
+from ..session import spread
 from ..operators.detect import (CONTEXT_GUARD, DEFAULT_RULES, RegexRule, context_candidates_from, model_spans,
                                 no_findings, rule_candidates_from)
 from ..operators.resolve import resolve_df
@@ -61,22 +63,24 @@ def findings_per_doc(findings: DataFrame) -> DataFrame:
 def resolved_arrays(docs: DataFrame, findings: Optional[DataFrame] = None, min_score: Optional[float] = None,
                     rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True) -> DataFrame:
     """(doc_id, file, spans array) — resolution done on the document row."""
-    d = docs.select("doc_id", "file", "text")
+    d = spread(docs.select("doc_id", "file", "text"), "doc_id")
     if findings is not None:
         d = d.join(findings_per_doc(findings), "doc_id", "left")
-        fcol = F.coalesce(F.col("findings"), no_findings())
-    else:
-        fcol = no_findings()
-    for i, rule in enumerate(rules):
-        d = regex_matches_df(d, "text", rule.pattern, rule.group, f"_rx{i}", rule.guard)
+    specs = [(rule.pattern, rule.group, rule.guard, f"_rx{i}") for i, rule in enumerate(rules)]
     if use_context:
-        d = regex_matches_df(d, "text", CONTEXT_ORG_RE, 2, "_ctx", CONTEXT_GUARD)
-    rx = [rule_candidates_from(F.col(f"_rx{i}"), rule) for i, rule in enumerate(rules)]
-    cand = d.select(
-        "doc_id", "file",
-        model_spans(F.col("text"), fcol, min_score).alias("m"),
-        (context_candidates_from(F.col("_ctx")) if use_context else empty_spans()).alias("c"),
-        (F.concat(*rx) if len(rx) > 1 else rx[0]).alias("r"))
+        specs.append((CONTEXT_ORG_RE, 2, CONTEXT_GUARD, "_ctx"))
+    d = regex_matches_df(d, "text", specs)
+
+    def build():
+        mcol = (model_spans(F.col("text"), F.coalesce(F.col("findings"), no_findings()), min_score)
+                if findings is not None else empty_spans())
+        rx = [rule_candidates_from(F.col(f"_rx{i}"), rule) for i, rule in enumerate(rules)]
+        return (mcol.alias("m"),
+                (context_candidates_from(F.col("_ctx")) if use_context else empty_spans()).alias("c"),
+                (F.concat(*rx) if len(rx) > 1 else rx[0]).alias("r"))
+
+    cols = memo_columns(("candidates", tuple(rules), use_context, findings is not None, min_score), build)
+    cand = d.select("doc_id", "file", *cols)
     return resolve_df(cand, ["doc_id", "file"])
 
 

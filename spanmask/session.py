@@ -64,3 +64,17 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tup
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a small input over all cores.
+
+    A file with one row group is read by one task; when a DataFrame has fewer
+    partitions than the cluster has cores it is hash-repartitioned (by
+    ``key`` when given).  A large input already has far more partitions than
+    cores and is left alone — no extra shuffle at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key) if key else df.repartition(cores)
