@@ -60,6 +60,16 @@ def regex_matches_df(df, text_col: str, specs: list[tuple[str, int, str | None,
     Two projections in total: all match arrays first, then all offsets, so
     every regex runs once per row and the plan stays small.
     """
+    from .memo import memo_columns
+    arrays, groups, offs = memo_columns(("matches", text_col, tuple(specs)), lambda: _match_columns(text_col, specs))
+    staged = df.select("*", *arrays)
+    if groups:
+        staged = staged.select("*", *groups)
+    drop = [f"_{out}_w" for _, _, _, out in specs] + [f"_{out}_g" for _, g, _, out in specs if g]
+    return staged.select("*", *offs).drop(*drop)
+
+
+def _match_columns(text_col: str, specs):
     text = F.coalesce(F.col(text_col), F.lit(""))
     none = F.array().cast("array<string>")
     arrays = []
@@ -68,19 +78,15 @@ def regex_matches_df(df, text_col: str, specs: list[tuple[str, int, str | None,
         if guard is not None:
             whole = F.when(text.rlike(guard), whole).otherwise(none)
         arrays.append(whole.alias(f"_{out}_w"))
-    staged = df.select("*", *arrays)
     groups = []
     for pattern, group, guard, out in specs:
         if group:
             g = F.when(F.size(F.col(f"_{out}_w")) > 0,
                        F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none)
             groups.append(g.alias(f"_{out}_g"))
-    if groups:
-        staged = staged.select("*", *groups)
     offs = [match_offsets(F.col(text_col), F.col(f"_{out}_w"), F.col(f"_{out}_g" if group else f"_{out}_w"),
                           pattern).alias(out) for pattern, group, guard, out in specs]
-    drop = [f"_{out}_w" for _, _, _, out in specs] + [f"_{out}_g" for _, g, _, out in specs if g]
-    return staged.select("*", *offs).drop(*drop)
+    return arrays, groups, offs
 
 
 def regex_matches(text: Column, pattern: str, group: int = 0) -> Column:

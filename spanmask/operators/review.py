@@ -16,6 +16,7 @@ from ..functions.fixed import (ALL_KNOWN_LABELS, DEFAULT_LABELS, FILTER_ALL, LAB
 from ..functions.text import fold, map_lookup
 from .registry import assign_codes, entity_registry
 from .resolve import dedupe_rows
+from .spans import explode_array
 
 LABEL_FROM_DISPLAY = {v: k for k, v in LABEL_DISPLAY.items()}
 MANUAL_TERMS_MAX = 100_000
@@ -129,9 +130,9 @@ def manual_term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     tl = F.length(F.col("term"))
     pos = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(
         F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * tl)
-    return pairs.select("doc_id", "file", "term", "label", F.explode(pos).alias("start")) \
-        .select("doc_id", "file", "label", F.col("term").alias("text"), F.col("start").cast("int").alias("start"),
-                (F.col("start") + tl).cast("int").alias("end"))
+    hits = explode_array(pairs, pos, ["doc_id", "file", "term", "label"], "start")
+    return hits.select("doc_id", "file", "label", F.col("term").alias("text"), F.col("start").cast("int").alias("start"),
+                       (F.col("start") + tl).cast("int").alias("end"))
 
 
 def manual_add(spans: DataFrame, docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -59,3 +59,14 @@ def sort_spans(arr: Column) -> Column:
     keyed = F.transform(arr, lambda s: F.struct(s["start"].alias("k1"), s["end"].alias("k2"),
                                                 s["label"].alias("k3"), s.alias("s")))
     return F.transform(F.array_sort(keyed), lambda k: k["s"])
+
+
+def explode_array(df, array_col, keep, alias: str = "s"):
+    """Rows of ``array_col`` (one per element) with the ``keep`` columns.
+
+    ``explode_outer`` + a null filter above the generator: a plain ``explode``
+    makes the optimizer infer ``size(array) > 0`` and push it below the
+    projections, which would evaluate the whole detection expression twice.
+    """
+    from pyspark.sql import functions as F
+    return df.select(*keep, F.explode_outer(array_col).alias(alias)).where(F.col(alias).isNotNull())

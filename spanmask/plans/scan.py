@@ -21,7 +21,7 @@ from ..session import spread
 from ..operators.detect import (CONTEXT_GUARD, DEFAULT_RULES, RegexRule, context_candidates_from, model_spans,
                                 no_findings, rule_candidates_from)
 from ..operators.resolve import resolve_df
-from ..operators.spans import empty_spans
+from ..operators.spans import empty_spans, explode_array
 
 
 def normalize_terms(terms: Iterable[str]) -> list[str]:
@@ -89,7 +89,7 @@ def scan(docs: DataFrame, labels: Iterable[str] = DEFAULT_LABELS, exclusions: It
          rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True) -> DataFrame:
     """Span rows: doc_id, file, label, text, start, end, score, will_redact, code, source."""
     arr = resolved_arrays(docs, findings, min_score, rules, use_context)
-    s = arr.select("doc_id", "file", F.explode("spans").alias("s")).select("doc_id", "file", "s.*")
+    s = explode_array(arr, F.col("spans"), ["doc_id", "file"]).select("doc_id", "file", "s.*")
     return s.select(
         "doc_id", "file", "label", "text", "start", "end", "score",
         redact_flag(F.col("label"), F.col("text"), labels, exclusions).alias("will_redact"),

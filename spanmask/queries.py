@@ -22,7 +22,7 @@ from .operators.detect import (DEFAULT_RULES, context_candidates_from, model_spa
 from .operators.redact import highlight_ranges, redact_documents
 from .operators.registry import assign_codes, entity_registry
 from .operators.resolve import dedupe_rows, greedy_regex, island_representatives, islands
-from .operators.spans import span_rank
+from .operators.spans import explode_array, span_rank
 from .plans.scan import findings_per_doc, scan
 from .sinks.writers import index_rows, leak_check, output_name
 from .sources import corpus
@@ -72,14 +72,13 @@ def docs(spark, sf):
 def raw_matches(df: DataFrame, rule_idx: int) -> DataFrame:
     r = DEFAULT_RULES[rule_idx]
     m = regex_matches_df(df.select("doc_id", "file", "text"), "text", [(r.pattern, r.group, r.guard, "m")])
-    return m.select("doc_id", "file", F.explode("m").alias("x")).select("doc_id", "file", "x.*")
+    return explode_array(m, F.col("m"), ["doc_id", "file"], "x").select("doc_id", "file", "x.*")
 
 
 def rule_spans(df: DataFrame, rule_idx: int) -> DataFrame:
     r = DEFAULT_RULES[rule_idx]
     m = regex_matches_df(df.select("doc_id", "file", "text"), "text", [(r.pattern, r.group, r.guard, "m")])
-    return m.select("doc_id", "file", F.explode(rule_candidates_from(F.col("m"), r)).alias("s")) \
-        .select("doc_id", "file", "s.*")
+    return explode_array(m, rule_candidates_from(F.col("m"), r), ["doc_id", "file"]).select("doc_id", "file", "s.*")
 
 
 def all_rule_spans(df: DataFrame) -> DataFrame:
@@ -158,7 +157,7 @@ for _name, (_i, _sv, _dv) in _VALIDATORS.items():
 def q_detect_context(spark, sf):
     f = regex_matches_df(forms(spark, sf).select("doc_id", "file", "text"), "text",
                          [(X.CONTEXT_ORG_RE, 2, "[:=-]", "m")])
-    return longs(f.select("doc_id", F.explode(context_candidates_from(F.col("m"))).alias("s"))
+    return longs(explode_array(f, context_candidates_from(F.col("m")), ["doc_id"])
                  .select("doc_id", "s.start", "s.end", "s.text"))
 
 
@@ -168,7 +167,7 @@ def q_clean_context(spark, sf):
     from .operators.detect import clean_context_value
     f = regex_matches_df(forms(spark, sf).select("doc_id", "file", "text"), "text",
                          [(X.CONTEXT_ORG_RE, 2, "[:=-]", "m")])
-    x = f.select("doc_id", F.explode("m").alias("x")).select("doc_id", "x.*")
+    x = explode_array(f, F.col("m"), ["doc_id"], "x").select("doc_id", "x.*")
     return longs(x.select("doc_id", "start", F.col("grp").alias("raw"), clean_context_value(F.col("grp")).alias("cleaned")))
 
 
@@ -184,7 +183,7 @@ def q_regex_greedy(spark, sf):
     m = regex_matches_df(f.select("doc_id", "file", "text"), "text", specs)
     r = m.select("doc_id", F.concat(*[rule_candidates_from(F.col(f"_rx{i}"), rr)
                                       for i, rr in enumerate(DEFAULT_RULES)]).alias("r"))
-    g = r.select("doc_id", F.explode(greedy_regex(F.col("r"))).alias("s"))
+    g = explode_array(r, greedy_regex(F.col("r")), ["doc_id"])
     return longs(g.select("doc_id", "s.label", "s.start", "s.end", "s.text"))
 
 
@@ -295,7 +294,7 @@ def q_trim_bounds(spark, sf):
                                  f"select doc_id, {_se('')}, text, label from md where label = 'private_address'"))
 def q_refine_address(spark, sf):
     f = findings_per_doc(_findings(spark, sf)).join(forms(spark, sf).select("doc_id", "text"), "doc_id")
-    m = f.select("doc_id", F.explode(model_spans(F.col("text"), F.col("findings"))).alias("s"))
+    m = explode_array(f, model_spans(F.col("text"), F.col("findings")), ["doc_id"])
     return longs(m.where(F.col("s.label") == "private_address").select("doc_id", "s.start", "s.end", "s.text",
                                                                        "s.label"))
 
