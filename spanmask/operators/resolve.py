@@ -119,18 +119,37 @@ def dedupe_rows(spans: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     return best.select("_b.*").where((F.col("start") >= 0) & (F.col("end") > F.col("start")))
 
 
-def islands(spans: DataFrame, doc_key: str = "doc_id") -> DataFrame:
-    """E5: island id per span; a new island starts where ``start >= max(previous ends)``.
+ISLAND_CHUNK = 1 << 16   # characters per window partition when finding islands
 
-    Touching intervals (``end == next start``) stay apart.  The window is
-    partitioned by document: only span rows (no text) are shuffled.
+
+def islands(spans: DataFrame, doc_key: str = "doc_id", chunk: int = ISLAND_CHUNK) -> DataFrame:
+    """E5: ``island`` = start offset of the island's first span.
+
+    A new island starts where ``start >= max(end of every earlier span)``
+    (touching intervals stay apart).  The running max is split by position:
+    windows run per (document, chunk of ``chunk`` characters) and each chunk
+    receives the max end of all earlier chunks as a carry-in (a window over
+    the few chunk summaries of a document).  So even a document holding a
+    large share of all spans is spread over many tasks; only span rows, never
+    text, are shuffled.
     """
-    w = Window.partitionBy(doc_key).orderBy("start", "end", "_tb")
-    prev_end = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("_tb", F.monotonically_increasing_id()) \
-        .withColumn("_new", F.when(prev_end.isNull() | (F.col("start") >= prev_end), 1).otherwise(0))
-    return flagged.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .drop("_new")
+    s = spans.withColumn("_chunk", F.floor(F.col("start") / F.lit(chunk)).cast("long")) \
+        .withColumn("_tb", F.monotonically_increasing_id())
+    wc = Window.partitionBy(doc_key).orderBy("_chunk")
+    before = Window.unboundedPreceding
+    carry = s.groupBy(doc_key, "_chunk").agg(F.max("end").alias("_cmax")) \
+        .withColumn("_carry", F.max("_cmax").over(wc.rowsBetween(before, -1))).drop("_cmax")
+    s = s.join(carry, [doc_key, "_chunk"])
+    w = Window.partitionBy(doc_key, "_chunk").orderBy("start", "end", "_tb")
+    prev = F.greatest(F.coalesce(F.max("end").over(w.rowsBetween(before, -1)), F.lit(-1)),
+                      F.coalesce(F.col("_carry"), F.lit(-1)))
+    s = s.withColumn("_new", F.col("start") >= prev)
+    s = s.withColumn("_ls", F.max(F.when(F.col("_new"), F.col("start"))).over(w.rowsBetween(before, 0)))
+    last = s.groupBy(doc_key, "_chunk").agg(F.max(F.when(F.col("_new"), F.col("start"))).alias("_cl")) \
+        .withColumn("_carry_ls", F.max("_cl").over(wc.rowsBetween(before, -1))).drop("_cl")
+    s = s.join(last, [doc_key, "_chunk"])
+    return s.withColumn("island", F.coalesce(F.col("_ls"), F.col("_carry_ls")).cast("int")) \
+        .drop("_chunk", "_carry", "_new", "_ls", "_carry_ls")
 
 
 def island_representatives(spans: DataFrame, text_df: DataFrame | None = None,

@@ -271,7 +271,7 @@ def island_ctes(spans: str) -> list[str]:
         """isl_b as (select *, sum(case when prev_end is null or st >= prev_end then 1 else 0 end)
      over (partition by doc_id order by st, en, label rows between unbounded preceding and current row) as island
    from isl_a)""",
-        f"""isl_c as (select *, {SRC_PRIO.format(s='source')} as p, coalesce(score, 0.0) as sc,
+        f"""isl_c as (select * exclude (island), min(st) over (partition by doc_id, island) as island, {SRC_PRIO.format(s='source')} as p, coalesce(score, 0.0) as sc,
    min(st) over (partition by doc_id, island) as i_st, max(en) over (partition by doc_id, island) as i_en,
    count(*) over (partition by doc_id, island) as n_members from isl_b)""",
         """isl_d as (select *, row_number() over (partition by doc_id, island

@@ -20,7 +20,7 @@ from ..functions.memo import memo_columns
 from ..session import spread
 from ..operators.detect import (CONTEXT_GUARD, DEFAULT_RULES, RegexRule, context_candidates_from, model_spans,
                                 no_findings, rule_candidates_from)
-from ..operators.resolve import resolve_df
+from ..operators.resolve import islands, resolve_df
 from ..operators.spans import empty_spans, explode_array
 
 
@@ -60,12 +60,54 @@ def findings_per_doc(findings: DataFrame) -> DataFrame:
     return f.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["f"]).alias("findings"))
 
 
-def resolved_arrays(docs: DataFrame, findings: Optional[DataFrame] = None, min_score: Optional[float] = None,
-                    rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True) -> DataFrame:
-    """(doc_id, file, spans array) — resolution done on the document row."""
+# documents longer than this (characters) are resolved per island (plan b), not on their row
+DENSE_CHARS = 1 << 18
+
+
+def _has_long_doc(docs: DataFrame, dense_chars: int) -> bool:
+    return docs.where(F.length("text") > dense_chars).limit(1).count() > 0
+
+
+def _tag(col: str, kind: int) -> Column:
+    return F.transform(col, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), x.alias("s")))
+
+
+def resolved_rows(docs: DataFrame, findings: Optional[DataFrame] = None, min_score: Optional[float] = None,
+                  rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True,
+                  dense_chars: Optional[int] = DENSE_CHARS) -> DataFrame:
+    """(doc_id, file, s): one row per resolved span.
+
+    In-row resolution costs grow with the square of a document's candidate
+    count and only a long document can hold very many candidates.  Documents
+    of at most ``dense_chars`` characters are resolved on their own row (no
+    shuffle); longer ones emit their raw candidates, which are resolved per
+    island (``resolve_dense``), so one huge document is spread over many
+    tasks.  The branches see disjoint documents: every regex runs once per
+    document.  A length-only probe runs first; without any long document the
+    plan has the in-row branch only.
+    """
     d = spread(docs.select("doc_id", "file", "text"), "doc_id")
     if findings is not None:
         d = d.join(findings_per_doc(findings), "doc_id", "left")
+    wf = findings is not None
+    # one cheap pass (length only, stops at the first hit) decides whether the plan needs branch (b)
+    if dense_chars is None or not _has_long_doc(docs, dense_chars):
+        light_docs, long_docs = d, None
+    else:
+        long_doc = F.coalesce(F.length("text"), F.lit(0)) > dense_chars
+        light_docs, long_docs = d.where(~long_doc), d.where(long_doc)
+    res = resolve_df(_candidates(light_docs, wf, min_score, rules, use_context), ["doc_id", "file"])
+    light = explode_array(res, F.col("spans"), ["doc_id", "file"])
+    if long_docs is None:
+        return light
+    cand = _candidates(long_docs, wf, min_score, rules, use_context)
+    rows = explode_array(cand, F.concat(_tag("m", 0), _tag("c", 1), _tag("r", 2)), ["doc_id", "file"], "e") \
+        .select("doc_id", "file", F.col("e.kind").alias("kind"), F.col("e.ord").alias("ord"), F.col("e.s").alias("s"))
+    return light.unionByName(resolve_dense(rows))
+
+
+def _candidates(d: DataFrame, with_findings: bool, min_score, rules, use_context) -> DataFrame:
+    """(doc_id, file, m, c, r): model, context and rule candidate arrays of each document."""
     specs = [(rule.pattern, rule.group, rule.guard, f"_rx{i}") for i, rule in enumerate(rules)]
     if use_context:
         specs.append((CONTEXT_ORG_RE, 2, CONTEXT_GUARD, "_ctx"))
@@ -73,23 +115,42 @@ def resolved_arrays(docs: DataFrame, findings: Optional[DataFrame] = None, min_s
 
     def build():
         mcol = (model_spans(F.col("text"), F.coalesce(F.col("findings"), no_findings()), min_score)
-                if findings is not None else empty_spans())
+                if with_findings else empty_spans())
         rx = [rule_candidates_from(F.col(f"_rx{i}"), rule) for i, rule in enumerate(rules)]
         return (mcol.alias("m"),
                 (context_candidates_from(F.col("_ctx")) if use_context else empty_spans()).alias("c"),
                 (F.concat(*rx) if len(rx) > 1 else rx[0]).alias("r"))
 
-    cols = memo_columns(("candidates", tuple(rules), use_context, findings is not None, min_score), build)
-    cand = d.select("doc_id", "file", *cols)
-    return resolve_df(cand, ["doc_id", "file"])
+    cols = memo_columns(("candidates", tuple(rules), use_context, with_findings, min_score), build)
+    return d.select("doc_id", "file", *cols)
+
+
+def resolve_dense(rows: DataFrame) -> DataFrame:
+    """Plan (b): raw candidate rows (doc_id, file, kind, ord, s) resolved per island.
+
+    E1, E2 and E3 only ever compare overlapping spans and spans of different
+    islands never overlap, so folding each island separately equals folding
+    the whole document.  Islands come from the chunked windows of
+    ``islands``; each island is one small group.
+    """
+    r = rows.select("doc_id", "file", "kind", "ord", "s", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
+    g = islands(r).groupBy("doc_id", "file", "island").agg(
+        F.array_sort(F.collect_list(F.struct("kind", "ord", "s"))).alias("items"))
+
+    def part(k):
+        return F.transform(F.filter("items", lambda x: x["kind"] == k), lambda x: x["s"])
+
+    per_island = g.select("doc_id", "file", "island", part(0).alias("m"), part(1).alias("c"), part(2).alias("r"))
+    res = resolve_df(per_island, ["doc_id", "file"])
+    return explode_array(res, F.col("spans"), ["doc_id", "file"])
 
 
 def scan(docs: DataFrame, labels: Iterable[str] = DEFAULT_LABELS, exclusions: Iterable[str] = (),
          findings: Optional[DataFrame] = None, min_score: Optional[float] = None,
-         rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True) -> DataFrame:
+         rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True,
+         dense_chars: Optional[int] = DENSE_CHARS) -> DataFrame:
     """Span rows: doc_id, file, label, text, start, end, score, will_redact, code, source."""
-    arr = resolved_arrays(docs, findings, min_score, rules, use_context)
-    s = explode_array(arr, F.col("spans"), ["doc_id", "file"]).select("doc_id", "file", "s.*")
+    s = resolved_rows(docs, findings, min_score, rules, use_context, dense_chars).select("doc_id", "file", "s.*")
     return s.select(
         "doc_id", "file", "label", "text", "start", "end", "score",
         redact_flag(F.col("label"), F.col("text"), labels, exclusions).alias("will_redact"),

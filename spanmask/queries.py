@@ -380,7 +380,8 @@ def _raw_cands(spark, sf):
 
 
 @query("merge_intervals", O.with_(RAW_CANDS + O.island_ctes("rc")[:2],
-                                  f"select doc_id, {_se('')}, label, cast(island as bigint) as island from isl_b"))
+                                  f"select doc_id, {_se('')}, label, cast(min(st) over (partition by doc_id, island) as bigint) as island "
+                                  "from isl_b"))
 def q_merge_intervals(spark, sf):
     i = islands(_raw_cands(spark, sf))
     return longs(i.select("doc_id", "start", "end", "label", "island"))

@@ -45,7 +45,7 @@ def test_touching_intervals_are_not_merged(spark, spans_df):
                    (1, "a", "private_person", "cd", 2, 4, None, True, "", "opf"),
                    (1, "a", "private_person", "c", 3, 5, None, True, "", "opf")])
     got = sorted((r.start, r.island) for r in islands(sp).collect())
-    assert got == [(0, 1), (2, 2), (3, 2)]
+    assert got == [(0, 0), (2, 2), (3, 2)]
 
 
 def test_phone_normalisation_drops_country_code(spark, spans_df):
@@ -107,3 +107,34 @@ def test_flagship_entry_runs(spark):
     assert df.count() >= 0
     assert set(E.oracle_sql()) <= set(E.queries())
     assert "redact_documents" in QUERIES
+
+
+def test_dense_documents_resolve_per_island_like_whole_document(spark, docs_df):
+    """Plan (b) (per island) equals plan (a) (whole document) on span-dense texts."""
+    from spanmask.sources import corpus
+    from spanmask.queries import MIN_SCORE
+    forms = corpus.forms(spark, "/root/testdata/sf0.01")
+    findings = corpus.form_findings(spark, "/root/testdata/sf0.01")
+    # concatenate all forms of a nation-sized group into one long document per group
+    big = forms.groupBy((F.col("doc_id") % 3).alias("doc_id")).agg(
+        F.concat_ws("\n", F.array_sort(F.collect_list("text"))).alias("text")).withColumn("file", F.lit("big.txt"))
+    cols = ["doc_id", "label", "text", "start", "end", "score", "source", "will_redact"]
+    a = sorted(map(tuple, scan(big, dense_chars=None).select(*cols).collect()))
+    b = sorted(map(tuple, scan(big, dense_chars=0).select(*cols).collect()))
+    assert len(a) > 500 and a == b
+    a = sorted(map(tuple, scan(forms, findings=findings, min_score=MIN_SCORE, dense_chars=None).select(*cols).collect()))
+    b = sorted(map(tuple, scan(forms, findings=findings, min_score=MIN_SCORE, dense_chars=0).select(*cols).collect()))
+    assert a == b
+
+
+def test_islands_split_by_chunk_equal_unsplit(spark, spans_df):
+    import random
+    rnd = random.Random(7)
+    rows = []
+    for i in range(400):
+        st = rnd.randrange(0, 5000)
+        rows.append((1, "a", "private_person", "x", st, st + rnd.randrange(1, 300), None, True, "", "opf"))
+    sp = spans_df(rows)
+    a = sorted((r.start, r.end, r.island) for r in islands(sp, chunk=1 << 20).collect())
+    b = sorted((r.start, r.end, r.island) for r in islands(sp, chunk=97).collect())
+    assert a == b
