@@ -23,6 +23,7 @@ from .operators.redact import highlight_ranges, redact_documents
 from .operators.registry import assign_codes, entity_registry
 from .operators.resolve import dedupe_rows, greedy_regex, island_representatives, islands
 from .operators.spans import explode_array, span_rank
+from .plans.publish import publish
 from .plans.scan import findings_per_doc, scan
 from .sinks.writers import index_rows, leak_check, output_name
 from .sources import corpus
@@ -96,11 +97,10 @@ def forms_spans(spark, sf, model=True, labels=X.DEFAULT_LABELS, exceptions=()):
 
 
 def published(spark, sf, spans=None, d=None):
+    """The publish job: spans checkpointed once, registry, codes, rewritten texts."""
     d = d if d is not None else forms(spark, sf)
     sp = spans if spans is not None else forms_spans(spark, sf)
-    reg = entity_registry(sp, redacted_only=True)
-    coded = assign_codes(sp.drop("code"), reg, redacted_only=True)
-    return redact_documents(d, coded), reg, coded
+    return publish(d, sp)
 
 
 # DuckDB shared blocks
