@@ -107,7 +107,8 @@ HOT_SPANS = 1_000_000     # an entity with more spans than this is salted in a s
 SALT_BUCKETS = 32
 
 
-def assign_codes(spans: DataFrame, registry: DataFrame, redacted_only: bool = False) -> DataFrame:
+def assign_codes(spans: DataFrame, registry: DataFrame, redacted_only: bool = False,
+                 broadcast_max_rows: int | None = None, hot_spans: int | None = None) -> DataFrame:
     """Attach each span's placeholder; spans outside the registry get ``''``.
 
     The registry is broadcast when a count proves it small.  Otherwise it is a
@@ -119,15 +120,16 @@ def assign_codes(spans: DataFrame, registry: DataFrame, redacted_only: bool = Fa
     keyed = spans.withColumn("_norm", normalize_entity(F.col("label"), F.col("text")))
     reg = registry.select("label", F.col("normalized").alias("_norm"), F.col("placeholder").alias("_ph"),
                           "n_spans")
-    small, is_small = broadcast_if_small(reg)
+    hot_spans = HOT_SPANS if hot_spans is None else hot_spans
+    small, is_small = broadcast_if_small(reg) if broadcast_max_rows is None else broadcast_if_small(reg, broadcast_max_rows)
     if is_small:
         joined = keyed.join(small.drop("n_spans"), ["label", "_norm"], "left")
     else:
-        hot = reg.where(F.col("n_spans") > HOT_SPANS).select("label", "_norm", F.lit(True).alias("_hot"))
+        hot = reg.where(F.col("n_spans") > hot_spans).select("label", "_norm", F.lit(True).alias("_hot"))
         keyed = keyed.join(F.broadcast(hot), ["label", "_norm"], "left").withColumn(
             "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id", "start", "end"), F.lit(SALT_BUCKETS)))
             .otherwise(F.lit(0)))
-        salted = reg.withColumn("_salt", F.explode(F.when(F.col("n_spans") > HOT_SPANS,
+        salted = reg.withColumn("_salt", F.explode(F.when(F.col("n_spans") > hot_spans,
                                                           F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
                                                    .otherwise(F.array(F.lit(0)))))
         joined = keyed.join(salted.drop("n_spans"), ["label", "_norm", "_salt"], "left").drop("_salt", "_hot")

@@ -138,3 +138,16 @@ def test_islands_split_by_chunk_equal_unsplit(spark, spans_df):
     a = sorted((r.start, r.end, r.island) for r in islands(sp, chunk=1 << 20).collect())
     b = sorted((r.start, r.end, r.island) for r in islands(sp, chunk=97).collect())
     assert a == b
+
+
+def test_salted_code_join_equals_broadcast(spark):
+    """The shuffle path (no broadcast, hot entities salted) gives the same codes."""
+    from spanmask.operators.registry import assign_codes
+    from spanmask.sources import corpus
+    sp = scan(corpus.forms(spark, "/root/testdata/sf0.01"))
+    reg = entity_registry(sp, redacted_only=True)
+    cols = ["doc_id", "label", "start", "end", "code"]
+    a = sorted(map(tuple, assign_codes(sp.drop("code"), reg, True).select(*cols).collect()))
+    b = sorted(map(tuple, assign_codes(sp.drop("code"), reg, True, broadcast_max_rows=0, hot_spans=1)
+                   .select(*cols).collect()))
+    assert a == b and any(r[4] for r in a)
