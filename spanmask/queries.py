@@ -895,3 +895,43 @@ def q_assemble_pages(spark, sf):
     a = p.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
                                                        lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("text"))
     return a
+
+
+# ---------------------------------------------------------------------------
+# Run log rows and profile payload
+# ---------------------------------------------------------------------------
+
+@query("run_log", O.with_(FORMS_RES + [spans_cte(LABELS_SQL)],
+                          "select 'summary' as section, k as key, v as value from (select 'processed_files' as k, "
+                          "cast((select count(*) from forms) as varchar) as v union all select 'total_spans', "
+                          "cast(count(*) as varchar) from sp union all select 'redacted_spans', cast(count(*) as varchar) "
+                          "from sp where will_redact union all select 'kept_spans', cast(count(*) as varchar) from sp "
+                          "where not will_redact) "
+                          "union all select 'input_file', file, '' from forms "
+                          "union all select 'redactions_by_label', label, cast(count(*) as varchar) from sp "
+                          "where will_redact group by label"))
+def q_run_log(spark, sf):
+    from .sinks.writers import run_log_rows
+    f = forms(spark, sf)
+    errors = spark.createDataFrame([], "file string, message string")
+    return run_log_rows(f.select("file"), forms_spans(spark, sf, labels=LABELS_SUBSET), errors)
+
+
+PAYLOAD_SQL = ("select s_suppkey, case s_suppkey % 3 when 0 then 'complete' when 1 then 'selective' "
+               "else 'recommended' end as mode, concat(s_name, ', ', n_name) as exceptions, "
+               "s_suppkey % 2 = 0 as include_kept from supplier join nation on s_nationkey = n_nationkey")
+
+
+@query("profile_payload", O.with_([f"pp as ({PAYLOAD_SQL})"],
+                                  "select s_suppkey, to_json({'labels': case when s_suppkey % 2 = 0 then "
+                                  "['private_email', 'private_id'] else ['private_email', 'private_id', "
+                                  "'private_person'] end, 'detection_mode': mode, 'exceptions': exceptions, "
+                                  "'include_kept_in_index': include_kept}) as payload from pp"))
+def q_profile_payload(spark, sf):
+    from .sources.profile import profile_payload
+    corpus.register(spark, sf, ["supplier", "nation"])
+    p = spark.sql(PAYLOAD_SQL)
+    labels = F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("private_id"), F.lit("private_email"))).otherwise(
+        F.array(F.lit("private_person"), F.lit("private_id"), F.lit("private_email")))
+    return p.select("s_suppkey", profile_payload(labels, F.col("mode"), F.col("exceptions"),
+                                                 F.col("include_kept")).alias("payload"))

@@ -78,3 +78,24 @@ def leak_check(texts: DataFrame, spans: DataFrame) -> DataFrame:
     red = spans.where(F.col("will_redact") & (F.length("text") > 0)).select("doc_id", F.col("text").alias("value"))
     return texts.select("doc_id", "redacted_text").join(red, "doc_id") \
         .where(F.instr(F.col("redacted_text"), F.col("value")) > 0).select("doc_id", "value")
+
+
+def run_log_rows(files: DataFrame, spans: DataFrame, errors: DataFrame) -> DataFrame:
+    """N4 as rows ``(section, key, value)``: totals, one row per input file, per label, per error.
+
+    The timestamp line is left to the writer; rows (not one string) keep a log of
+    millions of input files distributed.
+    """
+    tot = spans.agg(F.count("*").alias("total_spans"), F.count_if(F.col("will_redact")).alias("redacted_spans"),
+                    F.count_if(~F.col("will_redact")).alias("kept_spans"))
+    n_files = files.agg(F.count("*").alias("processed_files"))
+    summary = n_files.crossJoin(tot).select(F.explode(F.array(
+        *[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))
+          for c in ("processed_files", "total_spans", "redacted_spans", "kept_spans")])).alias("kv")) \
+        .select(F.lit("summary").alias("section"), "kv.key", "kv.value")
+    listed = files.select(F.lit("input_file").alias("section"), F.col("file").alias("key"), F.lit("").alias("value"))
+    by_label = spans.where(F.col("will_redact")).groupBy("label").count().select(
+        F.lit("redactions_by_label").alias("section"), F.col("label").alias("key"),
+        F.col("count").cast("string").alias("value"))
+    errs = errors.select(F.lit("error").alias("section"), F.col("file").alias("key"), F.col("message").alias("value"))
+    return summary.unionByName(listed).unionByName(by_label).unionByName(errs)
