@@ -16,6 +16,7 @@ from ..functions.fixed import (ALL_KNOWN_LABELS, DEFAULT_LABELS, FILTER_ALL, LAB
 from ..functions.text import fold, map_lookup
 from .registry import assign_codes, entity_registry
 from .resolve import dedupe_rows
+from .numbering import row_numbers
 from .spans import explode_array
 
 LABEL_FROM_DISPLAY = {v: k for k, v in LABEL_DISPLAY.items()}
@@ -75,12 +76,11 @@ SORT_KEYS = {
 def review_sort(spans: DataFrame, column: str, descending: bool = False, index_col: str = "idx") -> DataFrame:
     """Stable sort on one review column; ties keep the original order in both directions.
 
-    Adds the display position ``pos`` (1-based).  The review set is the
-    visible table of one job, so a global window over it is acceptable here.
+    Adds the display position ``pos`` (1-based) with the two-pass global row
+    number (no single-task window).
     """
     key = SORT_KEYS[column]()
-    w = Window.orderBy(key.desc() if descending else key.asc(), F.col(index_col).asc())
-    return spans.withColumn("pos", F.row_number().over(w))
+    return row_numbers(spans, [(key, not descending), (F.col(index_col), True)], "pos")
 
 
 def labels_found(spans: DataFrame) -> DataFrame:

@@ -339,7 +339,7 @@ def q_entity_registry(spark, sf):
 @query("placeholders", O.with_(FORMS_RES + [spans_cte()] + O.registry_ctes("sp", redacted_only=True),
                                "select label, normalized, placeholder from reg"))
 def q_placeholders(spark, sf):
-    reg = entity_registry(forms_spans(spark, sf), redacted_only=True, method="window")
+    reg = entity_registry(forms_spans(spark, sf), redacted_only=True)
     return reg.select("label", "normalized", "placeholder")
 
 
@@ -538,7 +538,8 @@ def q_display_names(spark, sf):
     "select doc_id, cast(st as bigint) as \"start\", label, cast(row_number() over "
     "(order by lower(text) desc, idx) as bigint) as pos from ix"))
 def q_review_sort(spark, sf):
-    s = forms_spans(spark, sf).withColumn("idx", F.row_number().over(Window.orderBy("file", "start", "end", "label")))
+    from .operators.numbering import row_numbers
+    s = row_numbers(forms_spans(spark, sf), [(F.col(c), True) for c in ("file", "start", "end", "label")], "idx")
     return longs(RV.review_sort(s, "text", descending=True).select("doc_id", "start", "label", "pos"))
 
 
@@ -680,7 +681,9 @@ def q_output_names(spark, sf):
     "select name, cast(k as bigint) as k, (select count(*) from us) - 12 as more from us where k <= 12"))
 def q_unsupported_sample(spark, sf):
     u = classify_names(_names(spark, sf)).where(F.col("status") == "unsupported")
-    top = u.withColumn("k", F.row_number().over(Window.orderBy("sort_key", "name"))).where(F.col("k") <= X.SAMPLE_LIST)
+    # distributed top-k first; only the 12 kept rows are numbered
+    top = u.orderBy("sort_key", "name").limit(X.SAMPLE_LIST) \
+        .withColumn("k", F.row_number().over(Window.orderBy("sort_key", "name")))
     more = u.agg((F.count("*") - X.SAMPLE_LIST).alias("more"))
     return longs(top.select("name", "k").crossJoin(more))
 
