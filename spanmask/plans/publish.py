@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..operators.redact import redact_documents
 from ..operators.registry import assign_codes, entity_registry
 from ..session import checkpoint
-from ..sinks.writers import run_metrics, write_outputs
+from ..sinks.writers import run_log_rows, write_outputs
 
 
 def publish(docs: DataFrame, spans: DataFrame, method: str = "two_pass") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -30,6 +30,5 @@ def publish(docs: DataFrame, spans: DataFrame, method: str = "two_pass") -> tupl
 def save_outputs(out_dir: str, docs: DataFrame, spans: DataFrame, errors: Optional[DataFrame] = None,
                  include_kept: bool = False) -> None:
     texts, registry, coded = publish(docs, spans)
-    n_files = docs.agg(F.count("*").alias("processed_files"))
     errs = errors if errors is not None else docs.sparkSession.createDataFrame([], "file string, message string")
-    write_outputs(out_dir, texts, registry, coded, run_metrics(n_files, coded, errs), include_kept)
+    write_outputs(out_dir, texts, registry, coded, run_log_rows(docs.select("file"), coded, errs), include_kept)

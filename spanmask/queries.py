@@ -25,7 +25,7 @@ from .operators.resolve import dedupe_rows, greedy_regex, island_representatives
 from .operators.spans import explode_array, span_rank
 from .plans.publish import publish
 from .plans.scan import findings_per_doc, scan
-from .sinks.writers import index_rows, leak_check, output_name
+from .sinks.writers import index_rows, leak_check, one_row_join, output_name
 from .sources import corpus
 from .sources.files import classify_names
 from .sources.profile import mode_threshold, parse_profile, parse_terms
@@ -489,7 +489,7 @@ def q_by_label(spark, sf):
                               "count(*) filter (where not will_redact) as kept_spans from sp"))
 def q_run_summary(spark, sf):
     n = forms(spark, sf).agg(F.count("*").alias("processed_files"))
-    return n.crossJoin(RV.summary(forms_spans(spark, sf, labels=LABELS_SUBSET)))
+    return one_row_join(n, RV.summary(forms_spans(spark, sf, labels=LABELS_SUBSET)))
 
 
 @query("labels_found", O.with_(FORMS_RES, f"select distinct {O.DISPLAY.format(l='label')} as type from res"))
@@ -685,7 +685,8 @@ def q_unsupported_sample(spark, sf):
     top = u.orderBy("sort_key", "name").limit(X.SAMPLE_LIST) \
         .withColumn("k", F.row_number().over(Window.orderBy("sort_key", "name")))
     more = u.agg((F.count("*") - X.SAMPLE_LIST).alias("more"))
-    return longs(top.select("name", "k").crossJoin(more))
+    return longs(top.select("name", "k").withColumn("_one", F.lit(1))
+                 .join(more.withColumn("_one", F.lit(1)), "_one").drop("_one"))
 
 
 # ---------------------------------------------------------------------------

@@ -47,18 +47,12 @@ def mapping_rows(registry: DataFrame) -> DataFrame:
     return registry.select("entity_id", "placeholder", "label", "text")
 
 
-def run_metrics(n_files: DataFrame, spans: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row of totals plus counts per label and the error list."""
-    tot = spans.agg(F.count("*").alias("total_spans"), F.count_if(F.col("will_redact")).alias("redacted_spans"),
-                    F.count_if(~F.col("will_redact")).alias("kept_spans"))
-    by_label = spans.where(F.col("will_redact")).groupBy("label").count().agg(
-        F.array_sort(F.collect_list(F.struct("label", "count"))).alias("by_label"))
-    errs = errors.agg(F.array_sort(F.collect_list("message")).alias("errors"))
-    return n_files.crossJoin(tot).crossJoin(by_label).crossJoin(errs).withColumn(
-        "processed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+def one_row_join(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Side by side columns of two single-row aggregates (an equi-join on a constant key)."""
+    return a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one").drop("_one")
 
 
-def write_outputs(out_dir: str, texts: DataFrame, registry: DataFrame, spans: DataFrame, metrics: DataFrame,
+def write_outputs(out_dir: str, texts: DataFrame, registry: DataFrame, spans: DataFrame, log: DataFrame,
                   include_kept: bool = False) -> None:
     """N1-N4.  Text goes only under the safe folder; originals only under reserved."""
     texts.select("doc_id", "file", output_name(F.col("file")).alias("out_name"),
@@ -70,7 +64,8 @@ def write_outputs(out_dir: str, texts: DataFrame, registry: DataFrame, spans: Da
     mapping.write.mode("overwrite").json(os.path.join(reserved_dir(out_dir), "mapping_json"))
     index_rows(spans, include_kept).write.mode("overwrite").option("header", True).option("escape", '"').csv(
         os.path.join(reserved_dir(out_dir), "index_csv"))
-    metrics.coalesce(1).write.mode("overwrite").json(os.path.join(reserved_dir(out_dir), "log"))
+    log.withColumn("processed_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")) \
+        .write.mode("overwrite").json(os.path.join(reserved_dir(out_dir), "log"))
 
 
 def leak_check(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -89,7 +84,7 @@ def run_log_rows(files: DataFrame, spans: DataFrame, errors: DataFrame) -> DataF
     tot = spans.agg(F.count("*").alias("total_spans"), F.count_if(F.col("will_redact")).alias("redacted_spans"),
                     F.count_if(~F.col("will_redact")).alias("kept_spans"))
     n_files = files.agg(F.count("*").alias("processed_files"))
-    summary = n_files.crossJoin(tot).select(F.explode(F.array(
+    summary = one_row_join(n_files, tot).select(F.explode(F.array(
         *[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value"))
           for c in ("processed_files", "total_spans", "redacted_spans", "kept_spans")])).alias("kv")) \
         .select(F.lit("summary").alias("section"), "kv.key", "kv.value")
