@@ -86,10 +86,11 @@ def resolved_rows(docs: DataFrame, findings: Optional[DataFrame] = None, min_sco
     document.  A length-only probe runs first; without any long document the
     plan has the in-row branch only.
     """
-    d = spread(docs.select("doc_id", "file", "text"), "doc_id")
+    inline = findings is None and "findings" in docs.columns      # attached by a model next to the text
+    d = spread(docs.select("doc_id", "file", "text", *(["findings"] if inline else [])), "doc_id")
     if findings is not None:
         d = d.join(findings_per_doc(findings), "doc_id", "left")
-    wf = findings is not None
+    wf = findings is not None or inline
     # one cheap pass (length only, stops at the first hit) decides whether the plan needs branch (b)
     if dense_chars is None or not _has_long_doc(docs, dense_chars):
         light_docs, long_docs = d, None
