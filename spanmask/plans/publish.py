@@ -10,7 +10,6 @@ from __future__ import annotations
 from typing import Optional
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..operators.redact import redact_documents
 from ..operators.registry import assign_codes, entity_registry
