@@ -91,7 +91,8 @@ def number_two_pass(entities: DataFrame, partitions: int | None = None) -> DataF
                 phs.append(f"{prefix}_{prefix_before[k] + p}")
             yield pdf.assign(entity_id=eids, placeholder=phs)
 
-    return ranged.mapInPandas(number, out_schema).select(*REGISTRY_COLUMNS)
+    # materialised once: the registry feeds the code join, the mapping and the index
+    return checkpoint(ranged.mapInPandas(number, out_schema).select(*REGISTRY_COLUMNS))
 
 
 def entity_registry(spans: DataFrame, redacted_only: bool = False, method: str = "two_pass") -> DataFrame:

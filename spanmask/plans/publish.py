@@ -21,7 +21,8 @@ def publish(docs: DataFrame, spans: DataFrame, method: str = "two_pass") -> tupl
     """Returns (texts(doc_id, file, redacted_text, n_redactions), registry, coded spans)."""
     spans = checkpoint(spans)          # reused by registry, codes and index: computed once
     registry = entity_registry(spans, redacted_only=True, method=method)
-    coded = assign_codes(spans.drop("code"), registry, redacted_only=True)
+    # coded spans feed the island windows (self-joins), the index and the log: computed once
+    coded = checkpoint(assign_codes(spans.drop("code"), registry, redacted_only=True))
     texts = redact_documents(docs, coded)
     return texts, registry, coded
 
