@@ -151,3 +151,29 @@ def test_salted_code_join_equals_broadcast(spark):
     b = sorted(map(tuple, assign_codes(sp.drop("code"), reg, True, broadcast_max_rows=0, hot_spans=1)
                    .select(*cols).collect()))
     assert a == b and any(r[4] for r in a)
+
+
+def test_street_refinement_takes_next_letter(spark, docs_df):
+    d = docs_df([(1, "a.txt", "Sede: Via Roma 12 Torino")])
+    f = spark.createDataFrame([(1, "private_address", 6, 24, 0.9, 0)],
+                              "doc_id long, label string, start int, end int, score double, seq int")
+    s = [(r.label, r.text, r.start, r.end) for r in scan(d, findings=f).where(F.col("source") == "opf").collect()]
+    assert s == [("private_address", "Via Roma 12 T", 6, 19)]
+
+
+def test_context_value_limits(spark, docs_df):
+    long_name = "A" * 130
+    s = _spans(docs_df, f"Cliente: {long_name}")
+    assert s[0][1] == "A" * 120
+    s = _spans(docs_df, "Azienda = Rossi Spa; altro")
+    assert s[0][1] == "Rossi Spa"
+
+
+def test_kept_spans_get_no_code(spark, spans_df, docs_df):
+    d = docs_df([(1, "a.txt", "Mario Rossi incontra Luca Bianchi")])
+    sp = spans_df([(1, "a.txt", "private_person", "Mario Rossi", 0, 11, 0.95, True, "", "opf"),
+                   (1, "a.txt", "private_person", "Luca Bianchi", 21, 33, 0.95, False, "STALE_1", "opf")])
+    texts, reg, coded = publish(d, sp)
+    codes = {r.text: r.code for r in coded.collect()}
+    assert codes == {"Mario Rossi": "PERSON_1", "Luca Bianchi": ""}
+    assert texts.collect()[0].redacted_text == "[PERSON_1] incontra Luca Bianchi"

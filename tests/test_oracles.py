@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 FAST = ["detect_email", "detect_vat", "detect_tax_code", "detect_iban", "detect_phone", "valid_tax_code",
         "detect_context_org", "regex_greedy", "detect_all", "entity_registry", "merge_intervals",
         "island_representative", "redact_text", "redact_documents", "manual_add", "rebuild_codes",
-        "render_sheets", "render_csv_rows", "occurrence_index", "leak_check"]
+        "render_sheets", "render_csv_rows", "occurrence_index", "leak_check", "run_log", "profile_payload",
+        "review_sort", "placeholders", "unsupported_sample", "trim_bounds", "refine_address"]
 
 
 def _norm(v):
