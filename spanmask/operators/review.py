@@ -112,27 +112,47 @@ def rebuild_codes(spans: DataFrame, method: str = "two_pass") -> DataFrame:
 def manual_term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Every non-overlapping, case-sensitive occurrence of each term in every document.
 
-    ``terms(term, label)`` is the user's typed list: it is broadcast after a
-    count proves it within ``MANUAL_TERMS_MAX`` rows (a larger list is refused
-    rather than turned into a cartesian product).  Each (document, term) pair
-    that passes the ``instr`` test is split on the quoted term; the piece
-    lengths give the offsets.
+    ``terms(term, label)`` is the user's typed list, fetched after a count
+    proves it within ``MANUAL_TERMS_MAX`` rows and shipped to the tasks.  Each
+    document is scanned once by an Aho-Corasick automaton over all terms
+    (linear in the text, whatever the number of terms) inside
+    ``mapInPandas``; per term, occurrences are kept left to right without
+    overlap — the same as repeated ``find`` from the end of the last hit.
     """
-    from ..session import broadcast_if_small
-    t = terms.where(F.length(F.col("term")) > 0)
-    t_side, small = broadcast_if_small(t, MANUAL_TERMS_MAX)
-    if not small:
+    t = terms.where(F.length(F.col("term")) > 0).select("term", "label").distinct()
+    if t.limit(MANUAL_TERMS_MAX + 1).count() > MANUAL_TERMS_MAX:
         raise ValueError(f"manual term list exceeds {MANUAL_TERMS_MAX} rows")
-    pairs = docs.select("doc_id", "file", "text").join(t_side, F.instr(F.col("text"), F.col("term")) > 0, "inner")
-    quoted = F.concat(F.lit("\\Q"), F.regexp_replace(F.col("term"), r"\\E", r"\\E\\\\E\\Q"), F.lit("\\E"))
-    pieces = F.split(F.col("text"), quoted, -1)
-    n = F.size(pieces) - 1
-    tl = F.length(F.col("term"))
-    pos = F.transform(F.sequence(F.lit(1), n), lambda i: F.aggregate(
-        F.slice(pieces, 1, i), F.lit(0), lambda a, p: a + F.length(p)) + (i - 1) * tl)
-    hits = explode_array(pairs, pos, ["doc_id", "file", "term", "label"], "start")
-    return hits.select("doc_id", "file", "label", F.col("term").alias("text"), F.col("start").cast("int").alias("start"),
-                       (F.col("start") + tl).cast("int").alias("end"))
+    term_list = [(r["term"], r["label"]) for r in t.collect()]
+    schema = "doc_id bigint, file string, label string, text string, start int, end int"
+
+    labels_of: dict = {}
+    for term, label in term_list:
+        labels_of.setdefault(term, []).append(label)
+    unique_terms = sorted(labels_of)
+
+    def find(batches):
+        import ahocorasick
+        import pandas as pd
+        auto = ahocorasick.Automaton()
+        for term in unique_terms:
+            auto.add_word(term, term)
+        if unique_terms:
+            auto.make_automaton()
+        for pdf in batches:
+            out = []
+            for doc_id, file, text in zip(pdf["doc_id"], pdf["file"], pdf["text"]):
+                if not text or not unique_terms:
+                    continue
+                last_end = {}
+                for end_idx, term in auto.iter(text):
+                    start = end_idx - len(term) + 1
+                    if start >= last_end.get(term, 0):
+                        last_end[term] = start + len(term)
+                        for label in labels_of[term]:
+                            out.append((doc_id, file, label, term, start, start + len(term)))
+            yield pd.DataFrame(out, columns=["doc_id", "file", "label", "text", "start", "end"])
+
+    return docs.select("doc_id", "file", "text").mapInPandas(find, schema)
 
 
 def manual_add(spans: DataFrame, docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -177,3 +177,12 @@ def test_kept_spans_get_no_code(spark, spans_df, docs_df):
     codes = {r.text: r.code for r in coded.collect()}
     assert codes == {"Mario Rossi": "PERSON_1", "Luca Bianchi": ""}
     assert texts.collect()[0].redacted_text == "[PERSON_1] incontra Luca Bianchi"
+
+
+def test_manual_terms_non_overlapping_and_literal(spark, docs_df):
+    from spanmask.operators.review import manual_term_spans
+    d = docs_df([(1, "a.txt", "aaaa a.b a+b a.b"), (2, "b.txt", "nothing here")])
+    t = spark.createDataFrame([("aa", "private_person"), ("a.b", "private_id"), ("a+b", "private_id")],
+                              "term string, label string")
+    got = sorted((r.doc_id, r.text, r.start, r.end) for r in manual_term_spans(d, t).collect())
+    assert got == [(1, "a+b", 9, 12), (1, "a.b", 5, 8), (1, "a.b", 13, 16), (1, "aa", 0, 2), (1, "aa", 2, 4)]
