@@ -111,3 +111,11 @@ def assemble_lines(lines: DataFrame, order: str = "row_number", key: str = "file
     return lines.groupBy(key).agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("line").alias("l")))),
         lambda x: x["l"]), "\n").alias("text"))
+
+
+def assemble_pages(pages: DataFrame, key: str = "file", order: str = "page_no", text: str = "text") -> DataFrame:
+    """A10: non-empty page texts in page order, each followed by a newline."""
+    p = pages.where(F.col(text).isNotNull() & (F.col(text) != ""))
+    return p.groupBy(key).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))),
+        lambda x: F.concat(x["t"], F.lit("\n"))), "").alias("text"))

@@ -895,10 +895,7 @@ def q_assemble_docx(spark, sf):
                                  "select file, string_agg(text || chr(10), '' order by turn) as text from pa "
                                  "where text <> '' group by file"))
 def q_assemble_pages(spark, sf):
-    p = _parts(spark, sf).where(F.col("text") != "")
-    a = p.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
-                                                       lambda x: F.concat(x["text"], F.lit("\n"))), "").alias("text"))
-    return a
+    return TB.assemble_pages(_parts(spark, sf), order="turn")
 
 
 # ---------------------------------------------------------------------------

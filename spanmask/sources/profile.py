@@ -37,3 +37,15 @@ def parse_terms(raw: Column) -> Column:
     """Comma-separated exceptions -> trimmed, non-empty terms."""
     return F.filter(F.transform(F.split(F.coalesce(raw, F.lit("")), ","), lambda x: F.btrim(x, F.lit(" \t\n\r\x0b\x0c"))),
                     lambda x: x != "")
+
+
+def read_profiles(spark, path: str):
+    """Profile JSON files (one object per file) -> one row per file with defaults applied."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(parse_profile(F.col("value")).alias("p")).select("p.*")
+
+
+def write_profiles(df, path: str) -> None:
+    """Rows (labels, detection_mode, exceptions, include_kept_in_index) -> JSON lines."""
+    df.select(profile_payload(F.col("labels"), F.col("detection_mode"), F.col("exceptions"),
+                              F.col("include_kept_in_index")).alias("value")).write.mode("overwrite").text(path)
