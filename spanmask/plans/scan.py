@@ -64,8 +64,26 @@ def findings_per_doc(findings: DataFrame) -> DataFrame:
 DENSE_CHARS = 1 << 18
 
 
+def _long_doc(docs: DataFrame, dense_chars: int) -> Column:
+    """``True`` for a document longer than ``dense_chars`` (never null).
+
+    When the input carries its length (``n_chars``) the test is a plain
+    comparison on it: the text is not read and the filter reaches the parquet
+    scan, whose row-group statistics skip whole groups.
+    """
+    if "n_chars" in docs.columns:
+        return F.col("n_chars").isNotNull() & (F.col("n_chars") > dense_chars)
+    return F.coalesce(F.length("text"), F.lit(0)) > dense_chars
+
+
+def _short_doc(docs: DataFrame, dense_chars: int) -> Column:
+    if "n_chars" in docs.columns:
+        return F.col("n_chars").isNull() | (F.col("n_chars") <= dense_chars)
+    return F.coalesce(F.length("text"), F.lit(0)) <= dense_chars
+
+
 def _has_long_doc(docs: DataFrame, dense_chars: int) -> bool:
-    return docs.where(F.length("text") > dense_chars).limit(1).count() > 0
+    return docs.where(_long_doc(docs, dense_chars)).limit(1).count() > 0
 
 
 def _tag(col: str, kind: int) -> Column:
@@ -87,16 +105,20 @@ def resolved_rows(docs: DataFrame, findings: Optional[DataFrame] = None, min_sco
     plan has the in-row branch only.
     """
     inline = findings is None and "findings" in docs.columns      # attached by a model next to the text
-    d = spread(docs.select("doc_id", "file", "text", *(["findings"] if inline else [])), "doc_id")
-    if findings is not None:
-        d = d.join(findings_per_doc(findings), "doc_id", "left")
     wf = findings is not None or inline
-    # one cheap pass (length only, stops at the first hit) decides whether the plan needs branch (b)
+    cols = ["doc_id", "file", "text"] + (["findings"] if inline else [])
+
+    def prepared(src: DataFrame) -> DataFrame:
+        d = spread(src.select(*cols), "doc_id")
+        return d.join(findings_per_doc(findings), "doc_id", "left") if findings is not None else d
+
+    # one cheap pass (lengths only, stops at the first hit) decides whether the plan needs branch (b);
+    # the branch filters are applied at the source so a stored length reaches the parquet scan
     if dense_chars is None or not _has_long_doc(docs, dense_chars):
-        light_docs, long_docs = d, None
+        light_docs, long_docs = prepared(docs), None
     else:
-        long_doc = F.coalesce(F.length("text"), F.lit(0)) > dense_chars
-        light_docs, long_docs = d.where(~long_doc), d.where(long_doc)
+        light_docs = prepared(docs.where(_short_doc(docs, dense_chars)))
+        long_docs = prepared(docs.where(_long_doc(docs, dense_chars)))
     res = resolve_df(_candidates(light_docs, wf, min_score, rules, use_context), ["doc_id", "file"])
     light = explode_array(res, F.col("spans"), ["doc_id", "file"])
     if long_docs is None:

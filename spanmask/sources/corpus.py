@@ -27,7 +27,8 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
 
 DOC_FILE_SQL = "concat('doc_', lpad(cast(doc_id as string), 9, '0'), '.txt')"
 
-DOCS_SQL = f"select doc_id, {DOC_FILE_SQL} as file, text from documents"
+# n_chars (= length(text)) is carried so length-based routing can read it without the text
+DOCS_SQL = f"select doc_id, {DOC_FILE_SQL} as file, text, n_chars from documents"
 
 # FIXED VALUES: the rendered form corpus (same text in Spark SQL and DuckDB)
 FORMS_SQL = """
