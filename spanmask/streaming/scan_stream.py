@@ -38,7 +38,7 @@ def start_stream_scan(spark: SparkSession, folder: str, spans_path: str, checkpo
     labels, exclusions = list(labels), list(exclusions)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spans = scan(batch, labels=labels, exclusions=exclusions, dense_chars=None)
+        spans = scan(batch, labels=labels, exclusions=exclusions)
         spans.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(spans_path)
 
     writer = (document_stream(spark, folder, max_files_per_trigger).writeStream
