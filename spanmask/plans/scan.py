@@ -3,7 +3,8 @@
 One narrow projection per document row: rules, context fields and model
 findings become candidate arrays, are resolved in place (E1, E2, E3) and
 exploded into span rows.  The text never leaves its partition; only the
-optional findings table is joined (on ``doc_id``).
+optional findings table is joined (on ``doc_id``).  Documents longer than
+``DENSE_CHARS`` take plan (b): their raw candidates are resolved per island.
 """
 from __future__ import annotations
 
@@ -12,11 +13,10 @@ from typing import Iterable, Optional
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import DEFAULT_LABELS
-from ..functions.text import normalize_entity, normalize_free_text
-from ..functions.fixed import CONTEXT_ORG_RE
+from ..functions.fixed import CONTEXT_ORG_RE, DEFAULT_LABELS
 from ..functions.matches import regex_matches_df
 from ..functions.memo import memo_columns
+from ..functions.text import normalize_entity, normalize_free_text
 from ..session import spread
 from ..operators.detect import (CONTEXT_GUARD, DEFAULT_RULES, RegexRule, context_candidates_from, model_spans,
                                 no_findings, rule_candidates_from)
