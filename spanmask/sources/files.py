@@ -79,7 +79,14 @@ def decode_bytes(raw: bytes) -> str:
 
 
 def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """A3: supported files -> (documents(doc_id, file, text), errors(file, message)).
+    """A3: supported files of ``folder`` -> (documents(doc_id, file, text), errors(file, message))."""
+    files = list_folder(spark, folder).where(F.col("status") == "supported")
+    raw = spark.read.format("binaryFile").load(folder).select("path", "content")
+    return documents_from_files(files.join(raw, "path").select("path", "name", "ext", "content"))
+
+
+def documents_from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, name, ext, content) rows of supported files -> (documents, errors).
 
     ``mapInPandas`` turns each file's bytes into rows (whole text, sheet/CSV
     rows, or DOCX parts); an exception becomes an error row
@@ -89,9 +96,6 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     from ..operators.tabular import assemble_lines, assemble_sheets, render_delimited_rows, render_sheet_rows
     from .formats import file_rows
 
-    files = list_folder(spark, folder).where(F.col("status") == "supported")
-    raw = spark.read.format("binaryFile").load(folder).select("path", "content")
-    j = files.join(raw, "path").select("path", "name", "ext", "content")
     schema = ("file string, ext string, kind string, sheet_idx int, sheet string, seq int, "
               "cells array<string>, text string, error string")
 
@@ -107,7 +111,7 @@ def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
                     out.append((name, ext, "error", 0, "", 0, [], None, f"{name}: {exc}"))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    rows = j.mapInPandas(run, schema)
+    rows = files.select("name", "ext", "content").mapInPandas(run, schema)
     texts = rows.where(F.col("kind") == "text").select("file", "text")
     cells = rows.where(F.col("kind") == "cells").select("file", "ext", "sheet_idx", "sheet",
                                                           F.col("seq").alias("row_number"), "cells")

@@ -1,7 +1,7 @@
 """Incremental scan: documents arriving as files are scanned batch by batch.
 
-``readStream`` of a folder (whole files as rows) feeds the same scan plan as
-the batch job inside ``foreachBatch``; spans are appended to a parquet table
+``readStream`` of a folder (``binaryFile``: whole files as rows) feeds the same
+ingest and scan as the batch job inside ``foreachBatch``; spans are appended to a parquet table
 and the stream's progress lives in ``checkpointLocation`` (a shared folder on
 a cluster), so a restarted query resumes without rescanning or losing files.
 Placeholder numbering stays a batch job over the accumulated spans (numbers
@@ -15,33 +15,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import DEFAULT_LABELS
-from ..functions.text import basename
+from ..functions.text import basename, extension_with_dot
 from ..plans.scan import scan
-from ..sources.files import is_supported
+from ..sources.files import documents_from_files, is_supported
 
 
-def document_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
-    """Streaming (doc_id, file, text) from text files dropped into ``folder``."""
-    raw = (spark.readStream.format("text").option("wholetext", True)
-           .option("maxFilesPerTrigger", max_files_per_trigger).load(folder)
-           .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path")))
-    named = raw.withColumn("file", basename(F.col("path")))
-    return named.where(is_supported(F.col("file")) & F.col("file").endswith(".txt")) \
-        .select(F.xxhash64("path").alias("doc_id"), "file",
-                F.regexp_replace("text", "\r\n?", "\n").alias("text"))
+def file_stream(spark: SparkSession, folder: str, max_files_per_trigger: int = 1000) -> DataFrame:
+    """Streaming (path, name, ext, content) of supported files dropped into ``folder``."""
+    raw = (spark.readStream.format("binaryFile")
+           .schema("path string, modificationTime timestamp, length bigint, content binary")
+           .option("maxFilesPerTrigger", max_files_per_trigger).load(folder).select("path", "content"))
+    named = raw.withColumn("name", basename(F.col("path")))
+    return named.where(is_supported(F.col("name"))) \
+        .withColumn("ext", F.lower(extension_with_dot(F.col("name")))).select("path", "name", "ext", "content")
 
 
 def start_stream_scan(spark: SparkSession, folder: str, spans_path: str, checkpoint_path: str,
                       labels: Iterable[str] = DEFAULT_LABELS, exclusions: Iterable[str] = (),
                       available_now: bool = False, max_files_per_trigger: int = 1000):
-    """Start the streaming scan; returns the ``StreamingQuery``."""
+    """Start the streaming scan; returns the ``StreamingQuery``.
+
+    Every micro-batch goes through the batch ingest (all supported formats,
+    per-file error rows appended under ``<spans_path>_errors``) and the scan.
+    """
     labels, exclusions = list(labels), list(exclusions)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spans = scan(batch, labels=labels, exclusions=exclusions)
+        docs, errors = documents_from_files(batch)
+        spans = scan(docs, labels=labels, exclusions=exclusions)
         spans.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(spans_path)
+        errors.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(spans_path + "_errors")
 
-    writer = (document_stream(spark, folder, max_files_per_trigger).writeStream
+    writer = (file_stream(spark, folder, max_files_per_trigger).writeStream
               .foreachBatch(write_batch).option("checkpointLocation", checkpoint_path))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()

@@ -24,3 +24,19 @@ def test_stream_scan_picks_up_new_files(spark):
     rows = read_stream_spans(spark, out).collect()
     assert len(rows) == 4
     assert sorted(r.file for r in rows).count("a.txt") == 3      # not rescanned after restart
+
+
+def test_stream_scan_reads_csv_and_reports_errors(spark):
+    root = tempfile.mkdtemp(prefix="spanmask-stream2-")
+    inbox, out, ckpt = (os.path.join(root, x) for x in ("in", "spans", "ckpt"))
+    os.makedirs(inbox)
+    with open(os.path.join(inbox, "s.csv"), "w") as f:
+        f.write("Supplier,Email\nACME Srl,info@acme.it\n")
+    with open(os.path.join(inbox, "bad.xlsx"), "w") as f:
+        f.write("not a workbook")
+    q = start_stream_scan(spark, inbox, out, ckpt, available_now=True)
+    q.awaitTermination(120)
+    got = sorted((r.file, r.label, r.text) for r in read_stream_spans(spark, out).collect())
+    assert got == [("s.csv", "private_email", "info@acme.it"), ("s.csv", "private_organization", "ACME Srl")]
+    errs = [r.message for r in spark.read.parquet(out + "_errors").collect()]
+    assert len(errs) == 1 and errs[0].startswith("bad.xlsx: ")
