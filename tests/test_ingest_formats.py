@@ -50,3 +50,20 @@ def test_xlsx_and_docx_ingest(spark):
     assert got["clienti.xlsx"] == ("[Sheet: Clienti]\nNome | Email\n"
                                    "Row 2: Nome: Mario Rossi | Email: mario.rossi@example.com | YES")
     assert got["contratto.docx"] == "Fornitore: ACME Srl\nP.IVA | 01114601006\nTel 011 1234567"
+
+
+def test_listing_order_and_tsv(spark):
+    from spanmask.sources.files import collect_files
+    d = tempfile.mkdtemp(prefix="spanmask-tsv-")
+    with open(os.path.join(d, "b.TSV"), "w", encoding="utf-8") as f:
+        f.write("Nome\tTelefono\tNote\nMario Rossi\t+39 333 1234567\t\n\n12\t34\n")
+    with open(os.path.join(d, "A.txt"), "w") as f:
+        f.write("x")
+    with open(os.path.join(d, "c.txt"), "w") as f:
+        f.write("y")
+    assert [r.name for r in collect_files(spark, d).collect()] == ["A.txt", "b.TSV", "c.txt"]
+    docs, _ = read_documents(spark, d)
+    got = {r.file: r.text for r in docs.collect()}
+    # the blank line 3 is dropped but still takes a row number
+    assert got["b.TSV"] == ("Nome | Telefono | Note\nRow 2: Nome: Mario Rossi | Telefono: +39 333 1234567\n"
+                            "Row 4: Nome: 12 | Telefono: 34")
