@@ -67,3 +67,15 @@ def test_listing_order_and_tsv(spark):
     # the blank line 3 is dropped but still takes a row number
     assert got["b.TSV"] == ("Nome | Telefono | Note\nRow 2: Nome: Mario Rossi | Telefono: +39 333 1234567\n"
                             "Row 4: Nome: 12 | Telefono: 34")
+
+
+def test_bom_aware_decoding(spark):
+    d = tempfile.mkdtemp(prefix="spanmask-bom-")
+    with open(os.path.join(d, "u8.txt"), "wb") as f:
+        f.write("﻿Città: Torino".encode("utf-8"))
+    with open(os.path.join(d, "u16.txt"), "wb") as f:
+        f.write("Società: ACME\r\n".encode("utf-16"))
+    docs, errors = read_documents(spark, d)
+    got = {r.file: r.text for r in docs.collect()}
+    assert got == {"u8.txt": "Città: Torino", "u16.txt": "Società: ACME\n"}
+    assert errors.count() == 0
