@@ -186,3 +186,8 @@ def test_manual_terms_non_overlapping_and_literal(spark, docs_df):
                               "term string, label string")
     got = sorted((r.doc_id, r.text, r.start, r.end) for r in manual_term_spans(d, t).collect())
     assert got == [(1, "a+b", 9, 12), (1, "a.b", 5, 8), (1, "a.b", 13, 16), (1, "aa", 0, 2), (1, "aa", 2, 4)]
+
+
+def test_exclusion_by_normalised_entity(spark, docs_df):
+    s = _spans(docs_df, "chiama +39 333 1234567 oppure 011 7654321", exclusions=["3331234567"])
+    assert [(x[1], x[5]) for x in s] == [("+39 333 1234567", False), ("011 7654321", True)]
