@@ -191,3 +191,13 @@ def test_manual_terms_non_overlapping_and_literal(spark, docs_df):
 def test_exclusion_by_normalised_entity(spark, docs_df):
     s = _spans(docs_df, "chiama +39 333 1234567 oppure 011 7654321", exclusions=["3331234567"])
     assert [(x[1], x[5]) for x in s] == [("+39 333 1234567", False), ("011 7654321", True)]
+
+
+def test_registry_stable_under_shuffled_input(spark):
+    from spanmask.sources import corpus
+    sp = scan(corpus.forms(spark, "/root/testdata/sf0.01"))
+    cols = ["entity_id", "placeholder", "label", "normalized"]
+    a = sorted(map(tuple, entity_registry(sp).select(*cols).collect()))
+    shuffled = sp.repartition(7).orderBy(F.rand(3))
+    b = sorted(map(tuple, entity_registry(shuffled).select(*cols).collect()))
+    assert a == b
