@@ -1,8 +1,11 @@
 """Session helpers: local test session, checkpoint folder, size-checked broadcast."""
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +30,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), so they need no PYTHONPATH."""
+    sc = spark.sparkContext
+    if getattr(sc, "_spanmask_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    target = Path(tempfile.mkdtemp(prefix="spanmask-zip-")) / "spanmask.zip"     # the driver's own copy
+    target.write_bytes(data.getvalue())
+    sc.addPyFile(str(target))
+    sc._spanmask_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Checkpoint folder: the cluster's ``spark.checkpoint.dir`` when set.
 
-    Only when nothing is configured (local tests) a scratch folder is made.
+    With nothing configured a scratch folder is made on ``local`` masters only;
+    on a cluster it would not be shared, so that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -38,7 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # unset: local tests only; a cluster names a shared folder
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="spanmask-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
