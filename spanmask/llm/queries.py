@@ -91,3 +91,52 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
+
+
+CONTAINED_SQL = r"""
+with dw as (select doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+iw as (select item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark),
+ds as (select distinct doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i+4], ' '))) as s from dw),
+its as (select distinct item_id, unnest(list_transform(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1), lambda i: array_to_string(w[i:i+4], ' '))) as s from iw),
+n as (select item_id, count(*) as n_shingles from its group by item_id),
+c as (select doc_id, item_id, count(*) as n_shared from ds join its using (s) group by all)
+select doc_id, item_id, cast(n_shingles as int) as n_shingles, cast(n_shared as int) as n_shared, n_shared / n_shingles as containment
+from c join n using (item_id) where 100 * n_shared >= 75 * n_shingles
+"""
+
+
+@query("op2_decontamination", CONTAINED_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+@query("op7_sentencepiece")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepieces import digests, encode, vocabulary_path
+    path = vocabulary_path()
+    return digests(encode(table(spark, sf_dir, "documents"), path), path)
