@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +10,6 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -42,10 +42,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def words(text: Column) -> Column:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased (null: none)."""
-    low = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
-    return F.filter(F.split(low, SPACE + "+"), lambda w: w != "")
+def bind(col: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(col)`` with ``col`` evaluated once per row, however often ``then`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(col), lambda x: then(x)), F.lit(0))
 
 
 def crc32_of(col: Column) -> Column:

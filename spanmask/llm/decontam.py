@@ -17,10 +17,12 @@ ignored whatever their names.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, bind, materialize
 
 K = 5
 
@@ -29,19 +31,21 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACE + "+"), lambda w: w != "")
 
 
-def _windows(ws: Column) -> Column:
-    """The K-word windows of a word list; one window of all words if they are fewer, none without words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - (K - 1), F.lit(1)))
-    return F.transform(F.filter(starts, lambda i: i <= F.size(ws)), lambda i: F.slice(ws, i, F.lit(K)))
+def _windows(ws: Column, of: Callable[[Column], Column]) -> Column:
+    """``of`` each K-word window of a word list; one window of all words if they are fewer, none without words."""
+    def windows(w: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (K - 1), F.lit(1)))
+        return F.transform(F.filter(starts, lambda i: i <= F.size(w)), lambda i: of(F.slice(w, i, F.lit(K))))
+    return bind(ws, windows)
 
 
 def shingle_hashes(ws: Column) -> Column:
     """Hashes of the shingles of a word list (repeats included)."""
-    return F.transform(_windows(F.transform(ws, lambda w: F.xxhash64(w))), lambda p: F.xxhash64(p))
+    return _windows(F.transform(ws, lambda w: F.xxhash64(w)), lambda p: F.xxhash64(p))
 
 
 def shingle_texts(ws: Column) -> Column:
-    return F.array_distinct(F.transform(_windows(ws), lambda p: F.array_join(p, " ")))
+    return F.array_distinct(_windows(ws, lambda p: F.array_join(p, " ")))
 
 
 def size_class(n: Column) -> Column:

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bind, materialize
 
 CRLF2 = "\r\n\r\n"
 DATE = "2020-01-01T00:00:00Z"
@@ -34,10 +34,12 @@ READ_SCHEMA = "page_id long, url string, record_type string, refers_to long, pay
 
 def sha1_base32(payload: Column) -> Column:
     """Bare upper-case base32 SHA-1 (five hex digits give four base32 characters)."""
-    five = F.transform(F.sequence(F.lit(0), F.lit(7)),
-                       lambda i: F.conv(F.substring(F.sha1(payload), i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
     char = lambda n, s: F.substring(F.lit(BASE32), (F.shiftright(n, s).bitwiseAND(F.lit(31))) + 1, F.lit(1))
-    return F.array_join(F.transform(five, lambda n: F.concat(*[char(n, s) for s in (15, 10, 5, 0)])), "")
+
+    def digits(hexa: Column) -> Column:
+        five = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.conv(F.substring(hexa, i * 5 + 1, F.lit(5)), 16, 10).cast("int"))
+        return F.array_join(F.transform(five, lambda n: F.concat(*[char(n, s) for s in (15, 10, 5, 0)])), "")
+    return bind(F.sha1(payload), digits)
 
 
 def resolve_revisits(records: DataFrame, min_bytes: int = 0) -> DataFrame:
