@@ -14,22 +14,21 @@ empty file set; other columns are ignored.
 from __future__ import annotations
 
 import importlib
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .hashing import prefix_sums, span_hash, text_parts
+
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
 CACHE = 300_000
-_UNEVEN = re.compile(r"\s ")
-_CUT = re.compile(r"(?<=\S)(?= )")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -46,56 +45,113 @@ def _tokenizer(path: str):
     return t
 
 
+class Cache:
+    """Ids of pieces seen lately: two generations of at most ``CACHE`` pieces, as packed 32-bit ids."""
+
+    def __init__(self, path: str):
+        self.tokenizer, self.new, self.old = _tokenizer(path), {}, {}
+
+    def fill(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+        if len(self.new) > CACHE:
+            self.old, self.new = self.new, {}
+        new, old = self.new, self.old
+        missing = []
+        for p in pieces - new.keys():
+            if p in old:
+                new[p] = old[p]
+            else:
+                missing.append(p)
+        for i in range(0, len(missing), 20_000):
+            part = missing[i:i + 20_000]
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
+            for p, e in zip(part, found):
+                new[p] = array("i", e.ids).tobytes()
+        return new
+
+
 @lru_cache(maxsize=2)
-def _cache(path: str) -> dict:
-    return {}
+def _cache(path: str) -> Cache:
+    return Cache(path)
 
 
-def pieces(text: str) -> list[str]:
-    """Cut where a space follows something else than white space.
+def _kinds() -> np.ndarray:
+    k = np.full(256, PUNCT, np.uint8)
+    k[48:58] = DIGIT
+    k[65:91] = k[97:123] = LETTER
+    k[9:14] = k[28:32] = BREAK
+    k[32], k[39], k[128:] = SPACE, QUOTE, WIDE
+    return k
 
-    The byte-level pre-tokenizer always cuts there too, so the pieces' ids in a
-    row are the ids of the whole text.
+
+PUNCT, DIGIT, LETTER, BREAK, SPACE, QUOTE, WIDE = range(7)
+KIND = _kinds()
+
+
+def cuts(buf: np.ndarray) -> np.ndarray:
+    """Places where the byte-level pre-tokenizer cuts whatever else the text holds.
+
+    White space begins a piece after anything but white space; letters and
+    marks other than the apostrophe part; a lone line break stands by itself.
+    Places beside characters of three or four bytes are left alone.
     """
-    if _UNEVEN.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + w for w in rest]
-
-
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of whole texts; each distinct piece is encoded once, in a bounded cache."""
-    t, cache = _tokenizer(path), _cache(path)
-    cut = [pieces(x) if x else [] for x in texts]
-    new = [p for p in set(chain.from_iterable(cut)) if p not in cache]
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = list(set(chain.from_iterable(cut)))
-    for i in range(0, len(new), 20_000):
-        part = new[i:i + 20_000]
-        for p, e in zip(part, t.encode_batch_fast(part, add_special_tokens=False)):
-            cache[p] = e.ids
-    return [np.fromiter(chain.from_iterable(map(cache.__getitem__, c)), np.int32) for c in cut]
+    k = KIND[buf]
+    a, b = k[:-1], k[1:]
+    # the last byte of a two-byte character from U+00C0 on, none of which is white space
+    two = np.zeros(len(a), bool)
+    two[1:] = (buf[:-2] >= 0xC3) & (buf[:-2] <= 0xDF)
+    solid = (a <= LETTER) | (a == QUOTE) | ((a == WIDE) & two)
+    blank = (b == SPACE) | (b == BREAK)
+    cut = solid & blank
+    cut |= (a == LETTER) & (b == PUNCT)
+    cut |= (a == PUNCT) & (b == LETTER)
+    lone = np.zeros(len(a), bool)
+    lone[1:] = cut[:-1] & (a[1:] == BREAK)      # a break that begins a piece ...
+    cut |= lone & (b <= LETTER)                 # ... and is followed by something else at once
+    return cut
+
+
+def encode_parts(buf: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
+    """Packed ids of each whole text."""
+    here = np.zeros(len(buf) + 1, bool)
+    here[off] = True
+    if len(buf) > 1:
+        here[1:-1] |= cuts(buf)
+    at = np.flatnonzero(here)
+    first = np.searchsorted(at, off)
+    if len(at) < 2:
+        return [b""] * (len(off) - 1)
+    start, end = at[:-1], at[1:]
+    _, rep, which = np.unique(span_hash(prefix_sums(buf), start, end), return_index=True, return_inverse=True)
+    if len(rep) < len(start):
+        # equal hashes must be equal bytes; else every piece stands for itself
+        size = end - start
+        same = (size == size[rep[which]]).all() and (buf[np.arange(len(buf)) - np.repeat(start - start[rep[which]], size)] == buf).all()
+        if not same:
+            rep = which = np.arange(len(start))
+    raw = buf.tobytes()
+    pieces = [raw[x:y] for x, y in zip(start[rep].tolist(), end[rep].tolist())]
+    ids = list(map(_cache(path).fill(set(pieces)).__getitem__, pieces))
+    n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), np.int32)
+    base, n = (np.cumsum(n) - n)[which], n[which]
+    total = np.concatenate([[0], np.cumsum(n)])
+    out = flat[np.repeat(base - total[:-1], n) + np.arange(total[-1])]
+    cut = total[first]
+    return [out[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
 def _encoder(path: str, end_id: int):
+    end = np.int32(end_id).tobytes()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column("text").to_pylist()
-            i = 0
-            while i < len(texts):               # about two million characters at a time
-                j, held = i, 0
-                while j < len(texts) and (j == i or held < 2_000_000):
-                    held += len(texts[j] or "")
-                    j += 1
-                ids = [np.append(x, np.int32(end_id)) for x in encode_texts(texts[i:j], path)]
-                n = np.array([len(x) for x in ids], np.int64)
+            for i, buf, off in text_parts(b.column("text"), 4 << 20):
+                packed = [x + end for x in encode_parts(buf, off, path)]
+                n = np.array([len(x) // 4 for x in packed], np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)),
-                                                pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("part").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(n), flat],
-                    ["part", "doc_id", "n_tokens", "ids"])
-                i = j
+                                                pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column("part").slice(i, len(n)), b.column("doc_id").slice(i, len(n)), pa.array(n), flat],
+                                                 ["part", "doc_id", "n_tokens", "ids"])
     return run
 
 
