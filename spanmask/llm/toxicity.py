@@ -30,7 +30,11 @@ from .common import crc32_of
 from .hashing import _LOWER, U, prefix_sums, span_hash, text_parts, word_spans
 from .quality import labelled_sample
 
-MAX_LABELLED, MAX_VOTERS, STEM, MIN_SUPPORT = 12_000, 400, 4, 6
+MAX_LABELLED, MAX_VOTERS, STEM = 12_000, 400, 5
+#: A term is proposed if it stands in so many toxic documents, with such a share of toxic ones, so many deviations above chance.
+MIN_SUPPORT, PRECISION, MIN_SURPLUS = 4, 0.6, 5.0
+#: Voters whose correlation within a class is at least this count as one family.
+DEPENDENT = 0.4
 
 #: ASCII characters other than letters and digits separate words here.
 MARKS = np.ones(256, bool)
@@ -104,25 +108,26 @@ def _sample_votes(model):
     return run
 
 
-def label_model(v: np.ndarray, start: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """EM for a latent class with correlated voters: posteriors, vote rates (clean, toxic) and voter weights."""
-    p = start
-    weight = np.ones(v.shape[1])
-    for step in range(rounds):
+def label_model(v: np.ndarray, labels: np.ndarray, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM for a latent class with correlated voters: posteriors, vote rates (clean, toxic) and voter weights.
+
+    ``labels`` give the first posteriors, softened, and the classes within
+    which correlations are taken; voters of one family share one vote.
+    """
+    c = np.zeros((v.shape[1], v.shape[1]))
+    for part in (v[labels < 0.5], v[labels >= 0.5]):
+        d = part - part.mean(axis=0)
+        cov = d.T @ d / len(part)
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        c = np.maximum(c, np.abs(cov / np.outer(sd, sd)))
+    c[c < DEPENDENT] = 0
+    np.fill_diagonal(c, 1)
+    weight = 1 / c.sum(axis=1)
+    p = 0.02 + 0.96 * labels
+    for _ in range(rounds):
         share = np.clip(p.mean(), 1e-4, 1 - 1e-4)
         rate = np.stack([(v * (1 - p)[:, None]).sum(0) + 0.05, (v * p[:, None]).sum(0) + 0.05])
         rate = np.clip(rate / np.array([[(1 - p).sum() + 1], [p.sum() + 1]]), 1e-5, 1 - 1e-5)
-        if step == 0:
-            # correlations within the classes, as expected by the first posteriors
-            c = np.zeros((v.shape[1], v.shape[1]))
-            for q, r in ((1 - p, rate[0]), (p, rate[1])):
-                d = (v - r) * np.sqrt(q / max(q.sum(), 1e-9))[:, None]
-                cov = d.T @ d
-                sd = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                c = np.maximum(c, np.abs(cov / np.outer(sd, sd)))
-            c[c < 0.05] = 0
-            np.fill_diagonal(c, 1)
-            weight = 1 / c.sum(axis=1)
         on, off = np.log(rate[1] / rate[0]) * weight, np.log((1 - rate[1]) / (1 - rate[0])) * weight
         p = 1 / (1 + np.exp(-np.clip(np.log(share / (1 - share)) + v @ on + (1 - v) @ off, -30, 30)))
     return p, rate, weight
@@ -151,10 +156,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
     empty = {"keys": np.zeros(0, U), "spot": np.zeros(0, int), "w": None, "base": base, "terms": []}
     if not pos or not neg:
         return empty
-    lift = F.log(((F.col("yes") + 0.5) / (pos + 1)) / ((F.col("no") + 0.5) / (neg + 1)))
+    expected = (F.col("yes") + F.col("no")) * base
+    surplus = (F.col("yes") - expected) / F.sqrt(expected)
     counts = sample.mapInArrow(_count, "term binary, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     # the strongest MAX_VOTERS terms of a bounded sample
-    best = (counts.where((F.col("yes") >= MIN_SUPPORT) & (lift > 1.5)).select("term", "yes", "no", (lift * F.sqrt("yes")).alias("z"))
+    best = (counts.where((F.col("yes") >= MIN_SUPPORT) & (F.col("yes") >= PRECISION * (F.col("yes") + F.col("no"))) & (surplus > MIN_SURPLUS))
+            .select("term", "yes", "no", surplus.alias("z"))
             .orderBy(F.desc("z"), "term").limit(MAX_VOTERS).collect())
     hashes = np.array([term_hash(bytes(r.term)) for r in best], U)
     order = np.argsort(hashes)
@@ -164,9 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MA
     k = len(order) + len(PATTERNS)
     v = np.unpackbits(np.array([np.frombuffer(r.v, np.uint8) for r in rows]), axis=1)[:, :k].astype(float)
     y = np.array([r.label > 0 for r in rows], float)
-    # votes start from the voters' accuracy on the labels
-    start = np.clip(0.02 + 0.96 * (v[:, :len(order)].any(axis=1) * 0.5 + y * 0.5), 0.02, 0.98)
-    posterior, rate, weight = label_model(v, start)
+    # the given label is one more voter of unknown accuracy
+    posterior, rate, weight = label_model(np.hstack([v, y[:, None]]), y)
     return model | {"w": linear(v, posterior), "rate": rate, "weight": weight, "posterior": posterior, "labels": y, "votes": v}
 
 
