@@ -99,7 +99,7 @@ SAMPLE_LIST = 12
 SAMPLE_INFO = 8
 SAMPLE_WARNING = 10
 
-SUPPORTED_EXTENSIONS = ["pdf", "docx", "xlsx", "txt", "csv", "tsv"]
+SUPPORTED_EXTENSIONS = [".pdf", ".docx", ".xlsx", ".txt", ".csv", ".tsv"]
 SAFE_SUBDIR = "01_LLM_SAFE_FILES"
 RESERVED_SUBDIR = "99_RESERVED_DO_NOT_UPLOAD"
 OUTPUT_SUFFIX = "_anonymized.txt"

@@ -8,14 +8,16 @@ everything before it.  Valid for patterns that cannot match the empty string
 (all rules here).  A capture group that ends the pattern is a suffix of its
 match, so its start is ``match_end - length(group)``.
 
-The prefix sum is a single ``aggregate`` pass; documents without any match
-skip the ``split`` entirely.
+The running lengths are summed in blocks of about sqrt(n) pieces; documents
+without any match skip the ``split`` entirely.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 MATCH_TYPE = "array<struct<start:int,end:int,match:string,grp:string>>"
 
 
@@ -36,24 +38,33 @@ def match_offsets(text: Column, whole: Column, grp: Column, pattern: str) -> Col
     """
     t = F.coalesce(text, F.lit(""))
     empty = F.array().cast(MATCH_TYPE)
-    gaps = F.split(t, pattern, -1)
-    pieces = F.arrays_zip(F.slice(gaps, 1, F.size(whole)).alias("gap"), whole.alias("m"), grp.alias("g"))
-
-    def step(acc, p):
-        m_start = acc["pos"] + F.length(p["gap"])
-        m_end = m_start + F.length(p["m"])
-        item = F.struct(
-            (m_end - F.length(p["g"])).cast("int").alias("start"),
-            m_end.cast("int").alias("end"),
-            p["m"].alias("match"),
-            p["g"].alias("grp"),
-        )
-        return F.struct(m_end.alias("pos"), F.concat(acc["out"], F.array(item)).alias("out"))
-
-    folded = F.aggregate(pieces, F.struct(F.lit(0).alias("pos"), empty.alias("out")), step, lambda a: a["out"])
+    gaps = F.slice(F.split(t, pattern, -1), 1, F.size(whole))
+    ends = running_sums(F.zip_with(gaps, whole, lambda g, m: F.length(g) + F.length(m)))
+
+    def item(p):
+        return F.struct((p["e"] - F.length(p["g"])).cast("int").alias("start"), p["e"].cast("int").alias("end"),
+                        p["m"].alias("match"), p["g"].alias("grp"))
+
+    folded = F.transform(F.arrays_zip(ends.alias("e"), whole.alias("m"), grp.alias("g")), item)
     return F.when(F.size(whole) > 0, folded).otherwise(empty)
 
 
+def running_sums(values: Column) -> Column:
+    """Inclusive running sums of an int array: sums inside blocks of about sqrt(n) values plus the blocks before."""
+    def total(arr):
+        return F.aggregate(arr, F.lit(0), lambda acc, x: acc + x)
+
+    def blocked(v):
+        n = F.size(v)
+        step = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+        block = lambda i: F.floor(i / step).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), block(F.greatest(n - 1, F.lit(0)))), lambda b: total(F.slice(v, b * step + 1, step)))
+        before = bind(sums, lambda s: F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))))
+        return bind(before, lambda q: F.transform(v, lambda _, i: F.get(q, block(i)) + total(F.slice(v, block(i) * step + 1, i % step + 1))))
+
+    return bind(values, blocked)
+
+
 def regex_matches_df(df, text_col: str, specs: list[tuple[str, int, str | None, str]]):
     """Add one match-offsets column per spec ``(pattern, group, guard, out)``.
 

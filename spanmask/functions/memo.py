@@ -15,7 +15,7 @@ _CACHE: dict = {}
 
 def memo_columns(key: Hashable, build: Callable[[], object]):
     sc = SparkContext._active_spark_context
-    k = (id(sc), key)
+    k = (sc.applicationId, key)
     if k not in _CACHE:
         _CACHE[k] = build()
     return _CACHE[k]

@@ -9,10 +9,9 @@ Two numbering plans:
 
 * ``number_window`` — plain window functions; the test oracle.  An
   un-partitioned window runs in one task, so it is for small inputs only.
-* ``number_two_pass`` (default) — range-partition the entities on the order
-  key, checkpoint (so the partitioning is fixed), count per partition and
-  prefix, turn the counts into offsets on the driver (partitions x prefixes
-  rows, bounded), then number each partition locally with ``mapInPandas``.
+* ``number_two_pass`` (default) — global row numbers over range partitions
+  (``numbering.row_numbers``), once in first-occurrence order and once by
+  prefix; a placeholder's number counts from its prefix's first row.
 """
 from __future__ import annotations
 
@@ -20,7 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import label_prefix, normalize_entity
-from ..session import broadcast_if_small, checkpoint
+from ..session import checkpoint
+from .numbering import row_numbers
 
 ORDER = ["f_file", "f_doc", "f_start", "f_end", "label"]
 REGISTRY_COLUMNS = ["entity_id", "placeholder", "label", "normalized", "text", "prefix",
@@ -54,45 +54,14 @@ def number_window(entities: DataFrame) -> DataFrame:
 
 
 def number_two_pass(entities: DataFrame, partitions: int | None = None) -> DataFrame:
-    spark = entities.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = checkpoint(
-        entities.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER)
-        .withColumn("_pid", F.spark_partition_id()))
-    counts = ranged.groupBy("_pid", "prefix").count().collect()      # <= partitions x prefixes rows
-    pids = sorted({r["_pid"] for r in counts})
-    total_before, prefix_before, running, prefix_running = {}, {}, 0, {}
-    for pid in pids:
-        total_before[pid] = running
-        for r in counts:
-            if r["_pid"] == pid:
-                prefix_before[(pid, r["prefix"])] = prefix_running.get(r["prefix"], 0)
-        for r in counts:
-            if r["_pid"] == pid:
-                running += r["count"]
-                prefix_running[r["prefix"]] = prefix_running.get(r["prefix"], 0) + r["count"]
-
-    out_schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranged.schema.fields) + \
-        ", entity_id bigint, placeholder string"
-
-    def number(batches):
-        seen_total, seen_prefix = {}, {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            eids, phs = [], []
-            for pid, prefix in zip(pdf["_pid"].tolist(), pdf["prefix"].tolist()):
-                t = seen_total.get(pid, 0) + 1
-                seen_total[pid] = t
-                k = (pid, prefix)
-                p = seen_prefix.get(k, 0) + 1
-                seen_prefix[k] = p
-                eids.append(total_before[pid] + t)
-                phs.append(f"{prefix}_{prefix_before[k] + p}")
-            yield pdf.assign(entity_id=eids, placeholder=phs)
-
+    order = [(F.col(c), True) for c in ORDER]
+    by_place = row_numbers(entities, order, "entity_id", partitions)
+    by_prefix = row_numbers(by_place, [(F.col("prefix"), True), *order], "_pos", partitions)
+    first = by_prefix.groupBy("prefix").agg(F.min("_pos").alias("_first"))
+    number = (F.col("_pos") - F.col("_first") + 1).cast("string")
     # materialised once: the registry feeds the code join, the mapping and the index
-    return checkpoint(ranged.mapInPandas(number, out_schema).select(*REGISTRY_COLUMNS))
+    return checkpoint(by_prefix.join(first, "prefix").withColumn("placeholder", F.concat(F.col("prefix"), F.lit("_"), number))
+                      .select(*REGISTRY_COLUMNS))
 
 
 def entity_registry(spans: DataFrame, redacted_only: bool = False, method: str = "two_pass") -> DataFrame:
@@ -104,36 +73,15 @@ def entity_registry(spans: DataFrame, redacted_only: bool = False, method: str =
 # codes back onto spans (F2)
 # ---------------------------------------------------------------------------
 
-HOT_SPANS = 1_000_000     # an entity with more spans than this is salted in a shuffle join
-SALT_BUCKETS = 32
-
-
-def assign_codes(spans: DataFrame, registry: DataFrame, redacted_only: bool = False,
-                 broadcast_max_rows: int | None = None, hot_spans: int | None = None) -> DataFrame:
+def assign_codes(spans: DataFrame, registry: DataFrame, redacted_only: bool = False) -> DataFrame:
     """Attach each span's placeholder; spans outside the registry get ``''``.
 
-    The registry is broadcast when a count proves it small.  Otherwise it is a
-    shuffle join on the entity key in which entities with more than
-    ``HOT_SPANS`` spans (known from the registry's own counts, so their list
-    is bounded by total/HOT_SPANS rows) are split over ``SALT_BUCKETS``
-    salted sub-keys.
+    A plain equi-join on the entity: Spark broadcasts the registry if its size
+    is below the threshold, and splits a hot entity's partitions otherwise.
     """
     keyed = spans.withColumn("_norm", normalize_entity(F.col("label"), F.col("text")))
-    reg = registry.select("label", F.col("normalized").alias("_norm"), F.col("placeholder").alias("_ph"),
-                          "n_spans")
-    hot_spans = HOT_SPANS if hot_spans is None else hot_spans
-    small, is_small = broadcast_if_small(reg) if broadcast_max_rows is None else broadcast_if_small(reg, broadcast_max_rows)
-    if is_small:
-        joined = keyed.join(small.drop("n_spans"), ["label", "_norm"], "left")
-    else:
-        hot = reg.where(F.col("n_spans") > hot_spans).select("label", "_norm", F.lit(True).alias("_hot"))
-        keyed = keyed.join(F.broadcast(hot), ["label", "_norm"], "left").withColumn(
-            "_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("doc_id", "start", "end"), F.lit(SALT_BUCKETS)))
-            .otherwise(F.lit(0)))
-        salted = reg.withColumn("_salt", F.explode(F.when(F.col("n_spans") > hot_spans,
-                                                          F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1)))
-                                                   .otherwise(F.array(F.lit(0)))))
-        joined = keyed.join(salted.drop("n_spans"), ["label", "_norm", "_salt"], "left").drop("_salt", "_hot")
+    reg = registry.select("label", F.col("normalized").alias("_norm"), F.col("placeholder").alias("_ph"))
+    joined = keyed.join(reg, ["label", "_norm"], "left")
     code = F.coalesce(F.col("_ph"), F.lit(""))
     if redacted_only:
         code = F.when(F.col("will_redact"), code).otherwise(F.lit(""))

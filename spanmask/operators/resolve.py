@@ -119,37 +119,39 @@ def dedupe_rows(spans: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     return best.select("_b.*").where((F.col("start") >= 0) & (F.col("end") > F.col("start")))
 
 
-ISLAND_CHUNK = 1 << 16   # characters per window partition when finding islands
+PAIR_CHUNK = 256   # characters of a position bucket
 
 
-def islands(spans: DataFrame, doc_key: str = "doc_id", chunk: int = ISLAND_CHUNK) -> DataFrame:
+def overlapping_pairs(spans: DataFrame) -> DataFrame:
+    """overlapping spans (doc_id, start, end, label, rule_idx) of a document, each pair once.
+
+    A span is listed in every position bucket it touches, the join is on
+    (document, bucket), and a pair counts in the bucket where its overlap starts.
+    """
+    lists = spans.withColumn("_b", F.explode(F.sequence(F.floor(F.col("start") / PAIR_CHUNK).cast("int"),
+                                                        F.floor((F.greatest("end", F.col("start") + 1) - 1) / PAIR_CHUNK).cast("int"))))
+    a, b = lists.alias("a"), lists.alias("b")
+    lo = F.greatest("a.start", "b.start")
+    cond = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a._b") == F.col("b._b")) & (lo < F.least("a.end", "b.end")) & \
+        (F.floor(lo / PAIR_CHUNK) == F.col("a._b")) & \
+        (F.struct("a.start", "a.end", "a.rule_idx") < F.struct("b.start", "b.end", "b.rule_idx"))
+    return a.join(b, cond).select("a.doc_id", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in ("a", "b") for c in ("start", "end", "label")])
+
+
+def islands(spans: DataFrame, doc_key: str = "doc_id") -> DataFrame:
     """E5: ``island`` = start offset of the island's first span.
 
     A new island starts where ``start >= max(end of every earlier span)``
-    (touching intervals stay apart).  The running max is split by position:
-    windows run per (document, chunk of ``chunk`` characters) and each chunk
-    receives the max end of all earlier chunks as a carry-in (a window over
-    the few chunk summaries of a document).  So even a document holding a
-    large share of all spans is spread over many tasks; only span rows, never
-    text, are shuffled.
+    (touching intervals stay apart).  One shuffle of span rows (never text) by
+    document and one sort serve both running maxima; a document's spans are
+    bounded by its text, which is one row already.
     """
-    s = spans.withColumn("_chunk", F.floor(F.col("start") / F.lit(chunk)).cast("long")) \
-        .withColumn("_tb", F.monotonically_increasing_id())
-    wc = Window.partitionBy(doc_key).orderBy("_chunk")
+    w = Window.partitionBy(doc_key).orderBy("start", "end")
     before = Window.unboundedPreceding
-    carry = s.groupBy(doc_key, "_chunk").agg(F.max("end").alias("_cmax")) \
-        .withColumn("_carry", F.max("_cmax").over(wc.rowsBetween(before, -1))).drop("_cmax")
-    s = s.join(carry, [doc_key, "_chunk"])
-    w = Window.partitionBy(doc_key, "_chunk").orderBy("start", "end", "_tb")
-    prev = F.greatest(F.coalesce(F.max("end").over(w.rowsBetween(before, -1)), F.lit(-1)),
-                      F.coalesce(F.col("_carry"), F.lit(-1)))
-    s = s.withColumn("_new", F.col("start") >= prev)
-    s = s.withColumn("_ls", F.max(F.when(F.col("_new"), F.col("start"))).over(w.rowsBetween(before, 0)))
-    last = s.groupBy(doc_key, "_chunk").agg(F.max(F.when(F.col("_new"), F.col("start"))).alias("_cl")) \
-        .withColumn("_carry_ls", F.max("_cl").over(wc.rowsBetween(before, -1))).drop("_cl")
-    s = s.join(last, [doc_key, "_chunk"])
-    return s.withColumn("island", F.coalesce(F.col("_ls"), F.col("_carry_ls")).cast("int")) \
-        .drop("_chunk", "_carry", "_new", "_ls", "_carry_ls")
+    prev = F.coalesce(F.max("end").over(w.rowsBetween(before, -1)), F.lit(-1))
+    s = spans.withColumn("_new", F.col("start") >= prev)
+    first = F.max(F.when(F.col("_new"), F.col("start"))).over(w.rowsBetween(before, 0))
+    return s.withColumn("island", first.cast("int")).drop("_new")
 
 
 def island_representatives(spans: DataFrame, text_df: DataFrame | None = None,
@@ -165,7 +167,7 @@ def island_representatives(spans: DataFrame, text_df: DataFrame | None = None,
     r = span_rank(F.struct("start", "end", "score", "source"))
     # best rank first; ties keep the first member in (start, end, label) order
     order = F.struct((-r["p"]).alias("p"), (-r["s"]).alias("s"), (-r["n"]).alias("n"), F.col("start").alias("a"),
-                     F.col("end").alias("b"), F.col("label").alias("l"), F.col("_tb").alias("c"))
+                     F.col("end").alias("b"), F.col("label").alias("l"), F.col("text").alias("c"))
     member = F.struct(*[F.col(c) for c in spans.columns if c != doc_key])
     g = isl.groupBy(doc_key, "island").agg(
         F.min("start").alias("i_start"), F.max("end").alias("i_end"), F.count("*").alias("n"),

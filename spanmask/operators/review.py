@@ -8,19 +8,21 @@ from __future__ import annotations
 
 from typing import Iterable, Optional
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import (ALL_KNOWN_LABELS, DEFAULT_LABELS, FILTER_ALL, LABEL_DISPLAY, REVIEW_TEXT_CUT,
                                REVIEW_TEXT_MAX, SCORE_HIGH, SCORE_MEDIUM, SOURCE_DISPLAY)
-from ..functions.text import fold, map_lookup
+from ..functions.text import bind, fold, map_lookup, py_strip
+from ..session import checkpoint
 from .registry import assign_codes, entity_registry
 from .resolve import dedupe_rows
 from .numbering import row_numbers
-from .spans import explode_array
 
 LABEL_FROM_DISPLAY = {v: k for k, v in LABEL_DISPLAY.items()}
-MANUAL_TERMS_MAX = 100_000
+
+#: Characters of a text piece and of the key by which terms are looked up in it.
+PIECE, KEY = 64, 4
 
 
 def display_label(label: Column) -> Column:
@@ -105,67 +107,74 @@ def bulk_decision(spans: DataFrame, display_value: str, value: bool) -> DataFram
 
 def rebuild_codes(spans: DataFrame, method: str = "two_pass") -> DataFrame:
     """O3: clear codes, number the redacted spans again, attach the new codes."""
+    spans = checkpoint(spans)                    # read by the registry and by the codes
     reg = entity_registry(spans, redacted_only=True, method=method)
     return assign_codes(spans.drop("code"), reg, redacted_only=True)
 
 
+def typed_terms(terms: DataFrame) -> DataFrame:
+    """(term, label) without outer white space, blanks and repeats."""
+    return terms.select(py_strip(F.col("term")).alias("term"), "label").where(F.length("term") > 0).distinct()
+
+
+def text_pieces(docs: DataFrame) -> DataFrame:
+    """(doc_id, file, at, piece): PIECE characters from offset ``at`` on, followed by the next piece's."""
+    cut = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    wide = bind(cut, lambda c: F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.get(c, i + 1), F.lit("")))))
+    return docs.select("doc_id", "file", F.posexplode(wide).alias("n", "piece")) \
+        .select("doc_id", "file", (F.col("n") * PIECE).alias("at"), "piece")
+
+
 def manual_term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Every non-overlapping, case-sensitive occurrence of each term in every document.
 
-    ``terms(term, label)`` is the user's typed list, fetched after a count
-    proves it within ``MANUAL_TERMS_MAX`` rows and shipped to the tasks.  Each
-    document is scanned once by an Aho-Corasick automaton over all terms
-    (linear in the text, whatever the number of terms) inside
-    ``mapInPandas``; per term, occurrences are kept left to right without
-    overlap — the same as repeated ``find`` from the end of the last hit.
+    Every place of a text looks up its next characters (as many as a term's
+    key has, at most KEY) in the term table by an equi-join; hits are compared
+    with the term inside their piece, and terms longer than a piece again with
+    the text.  Of one term's occurrences those are kept that repeated search
+    from the end of the last one finds: runs of overlapping occurrences are
+    cut out by a window and folded one by one.
     """
-    t = terms.where(F.length(F.col("term")) > 0).select("term", "label").distinct()
-    if t.limit(MANUAL_TERMS_MAX + 1).count() > MANUAL_TERMS_MAX:
-        raise ValueError(f"manual term list exceeds {MANUAL_TERMS_MAX} rows")
-    term_list = [(r["term"], r["label"]) for r in t.collect()]
-    schema = "doc_id bigint, file string, label string, text string, start int, end int"
-
-    labels_of: dict = {}
-    for term, label in term_list:
-        labels_of.setdefault(term, []).append(label)
-    unique_terms = sorted(labels_of)
-
-    def find(batches):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        for term in unique_terms:
-            auto.add_word(term, term)
-        if unique_terms:
-            auto.make_automaton()
-        for pdf in batches:
-            out = []
-            for doc_id, file, text in zip(pdf["doc_id"], pdf["file"], pdf["text"]):
-                if not text or not unique_terms:
-                    continue
-                last_end = {}
-                for end_idx, term in auto.iter(text):
-                    start = end_idx - len(term) + 1
-                    if start >= last_end.get(term, 0):
-                        last_end[term] = start + len(term)
-                        for label in labels_of[term]:
-                            out.append((doc_id, file, label, term, start, start + len(term)))
-            yield pd.DataFrame(out, columns=["doc_id", "file", "label", "text", "start", "end"])
-
-    return docs.select("doc_id", "file", "text").mapInPandas(find, schema)
+    t = typed_terms(terms).withColumn("key", F.substring("term", 1, KEY))
+    widths = [r.n for r in t.select(F.length("key").alias("n")).distinct().collect()]      # at most KEY rows
+    places = text_pieces(docs).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece")))).alias("p"))
+    keys = F.array(*[F.expr(f"substring(piece, p, {n})") for n in sorted(widths)]).cast("array<string>")
+    looked = places.select("doc_id", "file", "at", "piece", "p", F.explode(F.array_distinct(keys)).alias("key"))
+    inside = F.expr(f"substring(piece, p, least(length(term), {PIECE})) = substring(term, 1, {PIECE})")
+    hits = looked.join(t, "key").where(inside).select("doc_id", "file", "term", "label", (F.col("at") + F.col("p") - 1).cast("int").alias("start"))
+    long_hits = hits.where(F.length("term") > PIECE).join(docs.select("doc_id", "text"), "doc_id") \
+        .where(F.expr("substring(text, start + 1, length(term)) = term")).select(*hits.columns)
+    w = Window.partitionBy("doc_id", "term", "label").orderBy("start")
+    fresh = F.coalesce(F.col("start") >= F.lag("start").over(w) + F.length("term"), F.lit(True))
+    runs = hits.where(F.length("term") <= PIECE).unionByName(long_hits).distinct() \
+        .withColumn("_run", F.max(F.when(fresh, F.col("start"))).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+        .groupBy("doc_id", "file", "term", "label", "_run").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+    def step(acc, s):
+        take = s >= acc["upto"]
+        return F.struct(F.when(take, s + F.length("term")).otherwise(acc["upto"]).alias("upto"),
+                        F.when(take, F.concat(acc["kept"], F.array(s))).otherwise(acc["kept"]).alias("kept"))
+
+    none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("kept"))
+    kept = F.when(F.size("starts") == 1, F.col("starts")).otherwise(F.aggregate("starts", none, step, lambda a: a["kept"]))
+    return runs.select("doc_id", "file", "label", F.col("term").alias("text"), F.explode(kept).alias("start")) \
+        .withColumn("end", F.col("start") + F.length("text"))
 
 
 def manual_add(spans: DataFrame, docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Add manual spans not already present (F6), de-duplicate (E3), renumber (O3).
 
-    Returns (new spans, per-term count of added occurrences).
+    Returns (new spans, per-term count of added occurrences, 0 for terms not found).
     """
+    spans = checkpoint(spans)                    # read by the anti-join, the registry and the codes
     found = manual_term_spans(docs, terms)
-    fresh = found.join(spans.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end", "label"],
-                       "left_anti")
+    fresh = checkpoint(found.join(spans.select("doc_id", "start", "end", "label"), ["doc_id", "start", "end", "label"],
+                                  "left_anti"))
     added = fresh.select("doc_id", "file", "label", "text", "start", "end", F.lit(None).cast("double").alias("score"),
                          F.lit(True).alias("will_redact"), F.lit("").alias("code"), F.lit("manual").alias("source"))
-    counts = fresh.groupBy(F.col("text").alias("term")).agg(F.count("*").alias("added"))
+    counts = typed_terms(terms).select("term").distinct() \
+        .join(fresh.groupBy(F.col("text").alias("term")).agg(F.count("*").alias("n")), "term", "left") \
+        .select("term", F.coalesce("n", F.lit(0)).alias("added"))
     merged = dedupe_rows(spans.select(*added.columns).unionByName(added))
     return rebuild_codes(merged), counts
 

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from ..functions.fixed import CONTEXT_HEADER_RE
 from ..functions.text import py_strip
-from ..session import broadcast_if_small
 
 
 def format_cell_value(c: Column, dtype: T.DataType | None = None) -> Column:
@@ -71,7 +70,7 @@ def render_sheet_rows(cells: DataFrame) -> DataFrame:
     """XLSX rows: (file, sheet_idx, sheet, row_number, line); dropped rows are absent."""
     rows = cells.select("file", "sheet_idx", "sheet", "row_number", trim_cells(F.col("cells")).alias("cells")) \
         .where(has_content(F.col("cells"))).withColumn("is_header", looks_like_header(F.col("cells")))
-    heads, _ = broadcast_if_small(sheet_headers(rows))
+    heads = sheet_headers(rows)
     j = rows.join(heads, ["file", "sheet_idx"], "left")
     before = F.col("header_row").isNull() | (F.col("row_number") < F.col("header_row"))
     line = (F.when(F.col("row_number") == F.col("header_row"), F.array_join(F.col("cells"), " | "))
@@ -84,8 +83,7 @@ def render_delimited_rows(cells: DataFrame) -> DataFrame:
     """CSV/TSV rows: header only from physical row 1 (untrimmed); numbering from the file."""
     first = cells.where(F.col("row_number") == 1).select(
         "file", F.col("cells").alias("headers"), looks_like_header(F.col("cells")).alias("has_header"))
-    heads, _ = broadcast_if_small(first)
-    j = cells.join(heads, "file", "left").withColumn("has_header", F.coalesce("has_header", F.lit(False)))
+    j = cells.join(first, "file", "left").withColumn("has_header", F.coalesce("has_header", F.lit(False)))
     header_line = j.where(F.col("has_header") & (F.col("row_number") == 1)).select(
         "file", "row_number", F.array_join(F.col("headers"), " | ").alias("line"))
     data = j.where(~(F.col("has_header") & (F.col("row_number") == 1))) \
@@ -113,6 +111,35 @@ def assemble_lines(lines: DataFrame, order: str = "row_number", key: str = "file
         lambda x: x["l"]), "\n").alias("text"))
 
 
+def assemble_parts(rows: DataFrame) -> DataFrame:
+    """Paragraphs with their places -> one text per file.
+
+    A cell's paragraphs and then its tables are joined by blanks, cells by
+    ' | ', rows and parts by line breaks; in a section paragraphs come before
+    tables.  Tables are put together from the innermost depth outwards (one
+    round for each depth of nesting).
+    """
+    items = rows.withColumn("kind", F.lit(0))
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(*key, F.col(value).alias("v")))), lambda x: x["v"])
+    for depth in range(deepest, 0, -1):
+        here = items.where(F.col("depth") == depth).withColumn("t", py_strip(F.col("text")))
+        cells = here.groupBy("file", "section", "tbl", "row", "cell").agg(
+            F.filter(in_order(["kind", "seq"], "t"), lambda x: x != "").alias("ts"),
+            *[F.max(c).alias(c) for c in ("up_tbl", "up_row", "up_cell")]).withColumn("c", F.array_join("ts", " "))
+        lines = cells.groupBy("file", "section", "tbl", "row").agg(
+            in_order(["cell"], "c").alias("cs"), *[F.max(c).alias(c) for c in ("up_tbl", "up_row", "up_cell")]) \
+            .where(has_content(F.col("cs"))).withColumn("l", F.array_join("cs", " | "))
+        tables = lines.groupBy("file", "section", "tbl").agg(
+            py_strip(F.array_join(in_order(["row"], "l"), "\n")).alias("text"), *[F.max(c).alias(c) for c in ("up_tbl", "up_row", "up_cell")])
+        inner = tables.select("file", "section", F.lit(depth - 1).alias("depth"), F.col("up_tbl").alias("tbl"), F.col("up_row").alias("row"),
+                              F.col("up_cell").alias("cell"), *[F.lit(None).cast("int").alias(c) for c in ("up_tbl", "up_row", "up_cell")],
+                              F.col("tbl").alias("seq"), "text", F.lit(1).alias("kind"))
+        items = items.where(F.col("depth") < depth).unionByName(inner)
+    lines = items.where(py_strip(F.col("text")) != "").select("file", F.struct("section", "kind", "seq").alias("place"), F.col("text").alias("line"))
+    return assemble_lines(lines, order="place")
+
+
 def assemble_pages(pages: DataFrame, key: str = "file", order: str = "page_no", text: str = "text") -> DataFrame:
     """A10: non-empty page texts in page order, each followed by a newline."""
     p = pages.where(F.col(text).isNotNull() & (F.col(text) != ""))

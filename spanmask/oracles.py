@@ -123,7 +123,7 @@ RULES = [  # (cte, pattern, group, validator, label, guard_group, rule_idx)
 ]
 
 FORMS = f"forms as ({FORMS_SQL})"
-DOCS = "docs as (select doc_id, concat('doc_', lpad(cast(doc_id as varchar), 9, '0'), '.txt') as file, text from documents)"
+DOCS = "docs as (select doc_id, concat('doc_', lpad(cast(doc_id as varchar), cast(greatest(9, length(cast(doc_id as varchar))) as int), '0'), '.txt') as file, text from documents)"
 FINDINGS = f"findings as (select doc_id, label, f_start as s0, f_end as e0, score, seq from ({FINDINGS_SQL}))"
 
 

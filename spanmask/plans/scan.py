@@ -1,10 +1,9 @@
 """Scan job (D13): documents -> resolved spans.
 
-One narrow projection per document row: rules, context fields and model
-findings become candidate arrays, are resolved in place (E1, E2, E3) and
-exploded into span rows.  The text never leaves its partition; only the
-optional findings table is joined (on ``doc_id``).  Documents longer than
-``DENSE_CHARS`` take plan (b): their raw candidates are resolved per island.
+One narrow projection per document row turns rules, context fields and model
+findings into candidate rows; these alone are shuffled by document and
+resolved island by island (E1, E2, E3).  The text never leaves its partition;
+only the optional findings table is joined (on ``doc_id``).
 """
 from __future__ import annotations
 
@@ -17,20 +16,15 @@ from ..functions.fixed import CONTEXT_ORG_RE, DEFAULT_LABELS
 from ..functions.matches import regex_matches_df
 from ..functions.memo import memo_columns
 from ..functions.text import normalize_entity, normalize_free_text
-from ..session import spread
 from ..operators.detect import (CONTEXT_GUARD, DEFAULT_RULES, RegexRule, context_candidates_from, model_spans,
                                 no_findings, rule_candidates_from)
 from ..operators.resolve import islands, resolve_df
 from ..operators.spans import empty_spans, explode_array
 
 
-def normalize_terms(terms: Iterable[str]) -> list[str]:
-    """Exclusion terms are compared after whitespace collapse + case folding."""
-    out = []
-    for t in terms or []:
-        if t and t.strip():
-            out.append(" ".join(t.split()).casefold())
-    return sorted(set(out))
+def normalize_terms(terms: Iterable[str]) -> list[Column]:
+    """Exclusion terms, normalised by the same Columns as the texts they are compared with."""
+    return [normalize_free_text(F.lit(t)) for t in sorted({t for t in terms or [] if t and t.strip()})]
 
 
 def redact_flag(label: Column, text: Column, labels: Iterable[str], exclusions: Iterable[str] = ()) -> Column:
@@ -41,7 +35,7 @@ def redact_flag(label: Column, text: Column, labels: Iterable[str], exclusions:
     flag = label.isin(list(labels))
     terms = normalize_terms(exclusions)
     if terms:
-        arr = F.array(*[F.lit(t) for t in terms])
+        arr = F.array(*terms)
         excluded = F.array_contains(arr, normalize_free_text(text)) | F.array_contains(arr, normalize_entity(label, text))
         flag = flag & ~excluded
     return flag
@@ -60,76 +54,24 @@ def findings_per_doc(findings: DataFrame) -> DataFrame:
     return f.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["f"]).alias("findings"))
 
 
-# documents longer than this (characters) are resolved per island (plan b), not on their row
-DENSE_CHARS = 1 << 18
-
-
-def _long_doc(docs: DataFrame, dense_chars: int) -> Column:
-    """``True`` for a document longer than ``dense_chars`` (never null).
-
-    When the input carries its length (``n_chars``) the test is a plain
-    comparison on it: the text is not read and the filter reaches the parquet
-    scan, whose row-group statistics skip whole groups.
-    """
-    if "n_chars" in docs.columns:
-        return F.col("n_chars").isNotNull() & (F.col("n_chars") > dense_chars)
-    return F.coalesce(F.length("text"), F.lit(0)) > dense_chars
-
-
-def _short_doc(docs: DataFrame, dense_chars: int) -> Column:
-    if "n_chars" in docs.columns:
-        return F.col("n_chars").isNull() | (F.col("n_chars") <= dense_chars)
-    return F.coalesce(F.length("text"), F.lit(0)) <= dense_chars
-
-
-def _has_long_doc(docs: DataFrame, dense_chars: int) -> bool:
-    return docs.where(_long_doc(docs, dense_chars)).limit(1).count() > 0
-
-
 def _tag(col: str, kind: int) -> Column:
     return F.transform(col, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("ord"), x.alias("s")))
 
 
 def resolved_rows(docs: DataFrame, findings: Optional[DataFrame] = None, min_score: Optional[float] = None,
-                  rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True,
-                  dense_chars: Optional[int] = DENSE_CHARS) -> DataFrame:
-    """(doc_id, file, s): one row per resolved span.
-
-    In-row resolution costs grow with the square of a document's candidate
-    count and only a long document can hold very many candidates.  Documents
-    of at most ``dense_chars`` characters are resolved on their own row (no
-    shuffle); longer ones emit their raw candidates, which are resolved per
-    island (``resolve_dense``), so one huge document is spread over many
-    tasks.  The branches see disjoint documents: every regex runs once per
-    document.  A length-only probe runs first; without any long document the
-    plan has the in-row branch only.
-    """
+                  rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True) -> DataFrame:
+    """(doc_id, file, s): one row per resolved span."""
     inline = findings is None and "findings" in docs.columns      # attached by a model next to the text
-    wf = findings is not None or inline
-    cols = ["doc_id", "file", "text"] + (["findings"] if inline else [])
-
-    def prepared(src: DataFrame) -> DataFrame:
-        d = spread(src.select(*cols), "doc_id")
-        return d.join(findings_per_doc(findings), "doc_id", "left") if findings is not None else d
-
-    # one cheap pass (lengths only, stops at the first hit) decides whether the plan needs branch (b);
-    # the branch filters are applied at the source so a stored length reaches the parquet scan
-    if dense_chars is None or not _has_long_doc(docs, dense_chars):
-        light_docs, long_docs = prepared(docs), None
-    else:
-        light_docs = prepared(docs.where(_short_doc(docs, dense_chars)))
-        long_docs = prepared(docs.where(_long_doc(docs, dense_chars)))
-    res = resolve_df(_candidates(light_docs, wf, min_score, rules, use_context), ["doc_id", "file"])
-    light = explode_array(res, F.col("spans"), ["doc_id", "file"])
-    if long_docs is None:
-        return light
-    cand = _candidates(long_docs, wf, min_score, rules, use_context)
+    d = docs.select(*["doc_id", "file", "text"] + (["findings"] if inline else []))
+    if findings is not None:
+        d = d.join(findings_per_doc(findings), "doc_id", "left")
+    cand = candidate_arrays(d, findings is not None or inline, min_score, rules, use_context)
     rows = explode_array(cand, F.concat(_tag("m", 0), _tag("c", 1), _tag("r", 2)), ["doc_id", "file"], "e") \
         .select("doc_id", "file", F.col("e.kind").alias("kind"), F.col("e.ord").alias("ord"), F.col("e.s").alias("s"))
-    return light.unionByName(resolve_dense(rows))
+    return resolve_rows(rows)
 
 
-def _candidates(d: DataFrame, with_findings: bool, min_score, rules, use_context) -> DataFrame:
+def candidate_arrays(d: DataFrame, with_findings: bool, min_score, rules, use_context) -> DataFrame:
     """(doc_id, file, m, c, r): model, context and rule candidate arrays of each document."""
     specs = [(rule.pattern, rule.group, rule.guard, f"_rx{i}") for i, rule in enumerate(rules)]
     if use_context:
@@ -148,13 +90,13 @@ def _candidates(d: DataFrame, with_findings: bool, min_score, rules, use_context
     return d.select("doc_id", "file", *cols)
 
 
-def resolve_dense(rows: DataFrame) -> DataFrame:
-    """Plan (b): raw candidate rows (doc_id, file, kind, ord, s) resolved per island.
+def resolve_rows(rows: DataFrame) -> DataFrame:
+    """Candidate rows (doc_id, file, kind, ord, s) resolved per island.
 
     E1, E2 and E3 only ever compare overlapping spans and spans of different
     islands never overlap, so folding each island separately equals folding
-    the whole document.  Islands come from the chunked windows of
-    ``islands``; each island is one small group.
+    the whole document.  The cost grows with the number of
+    candidates, and within an island with its few members.
     """
     r = rows.select("doc_id", "file", "kind", "ord", "s", F.col("s.start").alias("start"), F.col("s.end").alias("end"))
     g = islands(r).groupBy("doc_id", "file", "island").agg(
@@ -170,10 +112,9 @@ def resolve_dense(rows: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, labels: Iterable[str] = DEFAULT_LABELS, exclusions: Iterable[str] = (),
          findings: Optional[DataFrame] = None, min_score: Optional[float] = None,
-         rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True,
-         dense_chars: Optional[int] = DENSE_CHARS) -> DataFrame:
+         rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True) -> DataFrame:
     """Span rows: doc_id, file, label, text, start, end, score, will_redact, code, source."""
-    s = resolved_rows(docs, findings, min_score, rules, use_context, dense_chars).select("doc_id", "file", "s.*")
+    s = resolved_rows(docs, findings, min_score, rules, use_context).select("doc_id", "file", "s.*")
     return s.select(
         "doc_id", "file", "label", "text", "start", "end", "score",
         redact_flag(F.col("label"), F.col("text"), labels, exclusions).alias("will_redact"),

@@ -21,13 +21,14 @@ from .operators.detect import (DEFAULT_RULES, context_candidates_from, model_spa
                                trim_bounds)
 from .operators.redact import highlight_ranges, redact_documents
 from .operators.registry import assign_codes, entity_registry
-from .operators.resolve import dedupe_rows, greedy_regex, island_representatives, islands
+from .operators.resolve import dedupe_rows, greedy_regex, island_representatives, islands, overlapping_pairs
 from .operators.spans import explode_array, span_rank
 from .plans.publish import publish
+from .session import checkpoint
 from .plans.scan import findings_per_doc, scan
 from .sinks.writers import index_rows, leak_check, one_row_join, output_name
 from .sources import corpus
-from .sources.files import classify_names
+from .sources.files import classify_names, documents_from_files
 from .sources.profile import mode_threshold, parse_profile, parse_terms
 
 QUERIES: dict = {}
@@ -83,11 +84,15 @@ def rule_spans(df: DataFrame, rule_idx: int) -> DataFrame:
 
 
 def all_rule_spans(df: DataFrame) -> DataFrame:
-    out = None
-    for i in range(len(DEFAULT_RULES)):
-        s = rule_spans(df, i).withColumn("rule_idx", F.lit(i))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Candidates of all rules with the rule's number, every regex in one projection."""
+    specs = [(r.pattern, r.group, r.guard, f"_rx{i}") for i, r in enumerate(DEFAULT_RULES)]
+    m = regex_matches_df(df.select("doc_id", "file", "text"), "text", specs)
+
+    def tagged(i, rule):
+        return F.transform(rule_candidates_from(F.col(f"_rx{i}"), rule), lambda s: F.struct(F.lit(i).alias("i"), s.alias("s")))
+
+    rows = explode_array(m, F.concat(*[tagged(i, r) for i, r in enumerate(DEFAULT_RULES)]), ["doc_id", "file"], "x")
+    return rows.select("doc_id", "file", "x.s.*", F.col("x.i").alias("rule_idx"))
 
 
 def forms_spans(spark, sf, model=True, labels=X.DEFAULT_LABELS, exceptions=()):
@@ -242,13 +247,7 @@ def q_union_sources(spark, sf):
                                 "(a.st, a.en, a.rule_idx) < (b.st, b.en, b.rule_idx)"))
 def q_overlap_pairs(spark, sf):
     c = all_rule_spans(forms(spark, sf)).select("doc_id", "start", "end", "label", "rule_idx")
-    a, b = c.alias("a"), c.alias("b")
-    cond = (F.col("a.doc_id") == F.col("b.doc_id")) & \
-        (F.greatest("a.start", "b.start") < F.least("a.end", "b.end")) & \
-        (F.struct("a.start", "a.end", "a.rule_idx") < F.struct("b.start", "b.end", "b.rule_idx"))
-    return longs(a.join(b, cond).select("a.doc_id", F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"),
-                                        F.col("a.label").alias("a_label"), F.col("b.start").alias("b_start"),
-                                        F.col("b.end").alias("b_end"), F.col("b.label").alias("b_label")))
+    return longs(overlapping_pairs(c))
 
 
 # ---------------------------------------------------------------------------
@@ -422,7 +421,7 @@ def q_redact_documents(spark, sf):
     return longs(t.select("doc_id", "redacted_text", "n_redactions"))
 
 
-@query("leak_check", O.with_(REDACT_FORMS, "select count(*) as leaks from redacted r join coded c on r.doc_id = c.doc_id "
+@query("leak_check", O.with_(REDACT_FORMS, "select count(distinct (c.doc_id, c.text)) as leaks from redacted r join coded c on r.doc_id = c.doc_id "
                                            "where c.will_redact and length(c.text) > 0 "
                                            "and strpos(r.redacted_text, c.text) > 0"))
 def q_leak_check(spark, sf):
@@ -533,14 +532,25 @@ def q_display_names(spark, sf):
                     RV.source_display(F.col("source")).alias("source_name"))
 
 
-@query("review_sort", O.with_(FORMS_RES + [
-    "ix as (select *, row_number() over (order by file, st, en, label) as idx from res)"],
-    "select doc_id, cast(st as bigint) as \"start\", label, cast(row_number() over "
-    "(order by lower(text) desc, idx) as bigint) as pos from ix"))
+SORTED_BY = {"redact": "will_redact", "code": "code", "file": "lower(file)", "type": f"lower({O.DISPLAY.format(l='label')})",
+             "text": "lower(text)", "confidence": "coalesce(score, -1.0)", "source": f"lower({O.SRC_DISPLAY.format(s='source')})"}
+
+
+@query("review_sort", O.with_(FORMS_RES + [spans_cte()] + O.coded_ctes("sp") + [
+    "ix as (select *, row_number() over (order by file, st, en, label) as idx from coded)"],
+    " union all ".join(f"select '{c}' as sorted_by, doc_id, cast(st as bigint) as \"start\", label, "
+                       f"cast(row_number() over (order by {k} {'desc' if i % 2 else 'asc'}, idx) as bigint) as pos from ix"
+                       for i, (c, k) in enumerate(SORTED_BY.items()))))
 def q_review_sort(spark, sf):
     from .operators.numbering import row_numbers
-    s = row_numbers(forms_spans(spark, sf), [(F.col(c), True) for c in ("file", "start", "end", "label")], "idx")
-    return longs(RV.review_sort(s, "text", descending=True).select("doc_id", "start", "label", "pos"))
+    _, _, coded = published(spark, sf)
+    s = row_numbers(coded, [(F.col(c), True) for c in ("file", "start", "end", "label")], "idx")
+    s = checkpoint(s)                            # sorted seven times
+    out = None
+    for i, c in enumerate(SORTED_BY):
+        t = RV.review_sort(s, c, descending=bool(i % 2)).select(F.lit(c).alias("sorted_by"), "doc_id", "start", "label", "pos")
+        out = t if out is None else out.unionByName(t)
+    return longs(out)
 
 
 # ---------------------------------------------------------------------------
@@ -634,7 +644,7 @@ def q_manual_add(spark, sf):
 # File names (derived from documents)
 # ---------------------------------------------------------------------------
 
-NAMES_SQL = ("select doc_id, concat('doc_', lpad(cast(doc_id as string), 9, '0'), case doc_id % 11 "
+NAMES_SQL = ("select doc_id, concat('doc_', lpad(cast(doc_id as string), cast(greatest(9, length(cast(doc_id as string))) as int), '0'), case doc_id % 11 "
              "when 0 then '.txt' when 1 then '.CSV' when 2 then '.tsv' when 3 then '.pdf' when 4 then '.docx' "
              "when 5 then '.xlsx' when 6 then '.jpg' when 7 then '.rtf' when 8 then '' when 9 then '.' "
              "else '.Txt' end) as name from documents")
@@ -668,6 +678,33 @@ def q_scan_dispatch(spark, sf):
                     .otherwise(F.lit("unsupported")).alias("route"))
 
 
+FILES_SQL = ("select doc_id, concat('doc_', cast(doc_id as string), case doc_id % 6 when 0 then '.txt' when 1 then '.TXT' when 2 then '.xlsx' "
+             "when 3 then '.docx' when 4 then '.pdf' else '.txt' end) as name, text from documents")
+
+
+def _byte_files(spark, sf):
+    """Documents as bytes: UTF-8, UTF-16 with a mark, and Latin-1 where it holds the text; containers get plain text."""
+    corpus.register(spark, sf, ["documents"])
+    narrow = F.col("text").rlike(r"^[\x00-\x7F\u00A0-\u00FF]*$")
+    content = F.when(F.col("doc_id") % 3 == 1, F.encode("text", "UTF-16")).when((F.col("doc_id") % 3 == 2) & narrow, F.encode("text", "ISO-8859-1")) \
+        .otherwise(F.encode("text", "UTF-8"))
+    f = classify_names(spark.sql(FILES_SQL))
+    return f.select("doc_id", F.col("name").alias("path"), "name", "ext", content.alias("content"))
+
+
+@query("read_text_ladder", O.with_([f"fl as ({FILES_SQL})"], "select name as file, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) "
+                                                             "as text from fl where lower(right(name, 4)) = '.txt'"))
+def q_read_text_ladder(spark, sf):
+    docs_, _ = documents_from_files(_byte_files(spark, sf).where(F.col("ext") == ".txt"))
+    return docs_.select("file", "text")
+
+
+@query("ingest_errors", O.with_([f"fl as ({FILES_SQL})"], "select name as file, true as reported from fl where lower(right(name, 4)) <> '.txt'"))
+def q_ingest_errors(spark, sf):
+    _, errors = documents_from_files(_byte_files(spark, sf))
+    return errors.select("file", F.col("message").startswith(F.concat("file", F.lit(": "))).alias("reported"))
+
+
 @query("output_names", O.with_(NAMES, r"select name, regexp_replace(name, '(\.[^.]*)$', '') || '_' || "
                                       r"case when length(ext) > 1 then substr(ext, 2) else 'file' end || "
                                       r"'_anonymized.txt' as out_name from nx"))
@@ -740,36 +777,34 @@ def q_profile_apply(spark, sf):
 # Tabular rendering and assembly (cells from customer)
 # ---------------------------------------------------------------------------
 
-CELLS_BASE = ("select c_custkey, c_nationkey, c_mktsegment, c_name, c_acctbal, "
-              "cast(cast(round(c_acctbal * 100) as bigint) as string) as bal, "
-              "row_number() over (partition by c_nationkey, c_mktsegment order by c_custkey) as rn, "
-              "dense_rank() over (partition by c_nationkey order by c_mktsegment) as sheet_idx from customer")
+# workbook, sheet and row come from the key: 500 customers a workbook, 100 a sheet
+CELLS_BASE = ("select c_custkey, cast(floor(c_custkey / 500) as bigint) as book, "
+              "cast(floor(c_custkey % 500 / 100) as bigint) + 1 as sheet_idx, c_custkey % 100 + 1 as rn, "
+              "cast(floor(c_custkey / 500) as bigint) % 3 <> 0 as has_head, c_mktsegment, c_name, c_acctbal, "
+              "cast(cast(round(c_acctbal * 100) as bigint) as string) as bal from customer")
 
 
 def _cells(spark, sf) -> DataFrame:
     corpus.register(spark, sf, ["customer"])
     b = spark.sql(CELLS_BASE)
-    file = F.concat(F.lit("cust_"), F.col("c_nationkey").cast("string"), F.lit(".xlsx"))
-    hdr = (F.col("c_nationkey") % 3) != 0
-    data = b.select(file.alias("file"), "sheet_idx", F.col("c_mktsegment").alias("sheet"),
-                    (F.col("rn") + F.when(hdr, 1).otherwise(0)).alias("row_number"),
-                    F.array(F.col("c_name"), F.col("bal"),
-                            F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.col("c_mktsegment")),
-                            F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(
-                                F.concat(F.lower(F.col("c_name")), F.lit("@example.com"))),
-                            F.lit("")).alias("cells"))
-    heads = b.where(hdr).select(file.alias("file"), "sheet_idx", F.col("c_mktsegment").alias("sheet")).distinct() \
-        .select("file", "sheet_idx", "sheet", F.lit(1).alias("row_number"),
-                F.array(F.lit("Name"), F.lit("Balance"), F.lit("Segment"), F.lit("Email")).alias("cells"))
-    return heads.unionByName(data)
+    data = F.struct((F.col("rn") + F.col("has_head").cast("int")).alias("row_number"), F.array(
+        F.col("c_name"), F.col("bal"), F.when(F.col("c_custkey") % 5 == 0, F.lit("")).otherwise(F.col("c_mktsegment")),
+        F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise(F.concat(F.lower(F.col("c_name")), F.lit("@example.com"))),
+        F.lit("")).alias("cells"))
+    head = F.struct(F.lit(1).cast("long").alias("row_number"),
+                    F.array(F.lit("Name"), F.lit("Balance"), F.lit("Segment"), F.lit("Email")).alias("cells"))
+    rows = F.when(F.col("has_head") & (F.col("rn") == 1), F.array(head, data)).otherwise(F.array(data))
+    return b.select(F.concat(F.lit("cust_"), F.col("book").cast("string"), F.lit(".xlsx")).alias("file"), "sheet_idx",
+                    F.concat(F.lit("Part "), F.col("sheet_idx").cast("string")).alias("sheet"), F.explode(rows).alias("r")) \
+        .select("file", "sheet_idx", "sheet", "r.row_number", "r.cells")
 
 
 CELLS = [f"cb as ({CELLS_BASE})",
-         "cells as (select 'cust_' || cast(c_nationkey as varchar) || '.xlsx' as file, sheet_idx, c_mktsegment as sheet, "
-         "rn + case when c_nationkey % 3 <> 0 then 1 else 0 end as row_number, [c_name, bal, case when c_custkey % 5 = 0 "
+         "cells as (select 'cust_' || cast(book as varchar) || '.xlsx' as file, sheet_idx, 'Part ' || cast(sheet_idx as "
+         "varchar) as sheet, rn + case when has_head then 1 else 0 end as row_number, [c_name, bal, case when c_custkey % 5 = 0 "
          "then '' else c_mktsegment end, case when c_custkey % 4 = 0 then '' else lower(c_name) || '@example.com' end, ''] "
-         "as cells from cb union all select distinct 'cust_' || cast(c_nationkey as varchar) || '.xlsx', sheet_idx, "
-         "c_mktsegment, 1, ['Name', 'Balance', 'Segment', 'Email'] from cb where c_nationkey % 3 <> 0)",
+         "as cells from cb union all select 'cust_' || cast(book as varchar) || '.xlsx', sheet_idx, 'Part ' || cast(sheet_idx as "
+         "varchar), 1, ['Name', 'Balance', 'Segment', 'Email'] from cb where has_head and rn = 1)",
          "tc as (select *, list_filter(cells, lambda x: x <> '') as filled, "
          "coalesce(list_max(list_transform(range(1, len(cells) + 1), lambda i: case when cells[i] <> '' then i "
          "else 0 end)), 0) as last from cells)",
@@ -781,11 +816,7 @@ CELLS = [f"cb as ({CELLS_BASE})",
          "hx as (select h.file, h.sheet_idx, h.header_row, d.cells as headers from hh h join hd d on h.file = d.file "
          "and h.sheet_idx = d.sheet_idx and h.header_row = d.row_number)"]
 
-CTX_HEADER = (r"(?i)\b(supplier|vendor|customer|client|company|organization|entity|business\s+name|"
-              r"fornitore|cliente|ragione\s+sociale|azienda|ditta|societ[aà]|"
-              r"contact|name|first\s+name|last\s+name|nome|cognome|"
-              r"email|mail|phone|mobile|telefono|cellulare|address|indirizzo|"
-              r"vat|tax\s+id|fiscal\s+id|p\.?\s*iva|partita\s+iva|codice\s+fiscale|iban)\b")
+CTX_HEADER = X.CONTEXT_HEADER_RE.replace("(?iU)", "(?i)").replace("(?iu)", "(?i)").replace("(?iuU)", "(?i)")
 
 ROW_SQL = ("array_to_string(list_filter(list_transform(range(1, len(cells) + 1), lambda i: case when cells[i] = '' "
            "then null when i <= len(headers) and headers[i] <> '' and regexp_matches(headers[i], " + O.q(CTX_HEADER) +
@@ -804,12 +835,9 @@ LINES = CELLS + [
                                                           "from cb"))
 def q_format_cells(spark, sf):
     corpus.register(spark, sf, ["customer"])
-    b = spark.sql(CELLS_BASE).select("c_custkey", "c_name", "bal")
-    c = corpus.table(spark, sf, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("positive"))
-    j = b.join(c, "c_custkey")
-    return j.select("c_custkey", TB.format_cell_value(F.col("c_name")).alias("name"),
-                    TB.format_cell_value(F.col("bal")).alias("balance"),
-                    TB.format_cell_value(F.col("positive"), T.BooleanType()).alias("positive"))
+    return spark.sql(CELLS_BASE).select(
+        "c_custkey", TB.format_cell_value(F.col("c_name")).alias("name"), TB.format_cell_value(F.col("bal")).alias("balance"),
+        TB.format_cell_value(F.col("c_acctbal") > 0, T.BooleanType()).alias("positive"))
 
 
 @query("trim_cells", O.with_(CELLS + [], "select file, cast(sheet_idx as bigint) as sheet_idx, cast(row_number as bigint) "
@@ -852,12 +880,13 @@ def q_render_sheets(spark, sf):
 
 
 CSV_LINES = CELLS + [
+    "cf as (select regexp_replace(file, '[.]xlsx$', '') || '_' || cast(sheet_idx as varchar) || '.csv' as file, row_number, cells "
+    "from cells)",
     "f1 as (select file, cells as headers, len(list_filter(cells, lambda x: x <> '')) >= 2 and "
     "len(list_filter(list_filter(cells, lambda x: x <> ''), lambda x: regexp_matches(x, '[A-Za-z]'))) >= "
-    "greatest(2, len(list_filter(cells, lambda x: x <> '')) // 2) as has_header from cells where row_number = 1 "
-    "and sheet_idx = 1)",
-    "c1 as (select c.file, c.row_number, c.cells, coalesce(f.has_header, false) as has_header, f.headers from cells c "
-    "left join f1 f on c.file = f.file where c.sheet_idx = 1)",
+    "greatest(2, len(list_filter(cells, lambda x: x <> '')) // 2) as has_header from cf where row_number = 1)",
+    "c1 as (select c.file, c.row_number, c.cells, coalesce(f.has_header, false) as has_header, f.headers from cf c "
+    "left join f1 f on c.file = f.file)",
     "c2 as (select file, row_number, has_header, headers, list_filter(cells, lambda x: true)[1:coalesce(list_max("
     "list_transform(range(1, len(cells) + 1), lambda i: case when cells[i] <> '' then i else 0 end)), 0)] as cells "
     "from c1 where not (has_header and row_number = 1))",
@@ -870,11 +899,13 @@ CSV_LINES = CELLS + [
 
 @query("render_csv_rows", O.with_(CSV_LINES, "select file, cast(row_number as bigint) as row_number, line from csvl"))
 def q_render_csv(spark, sf):
-    c = _cells(spark, sf).where(F.col("sheet_idx") == 1).drop("sheet_idx", "sheet")
+    """Every sheet as a delimited file of its own."""
+    name = F.concat(F.regexp_replace("file", "[.]xlsx$", ""), F.lit("_"), F.col("sheet_idx").cast("string"), F.lit(".csv"))
+    c = _cells(spark, sf).select(name.alias("file"), "row_number", "cells")
     return longs(TB.render_delimited_rows(c).select("file", "row_number", "line"))
 
 
-PARTS_SQL = ("select concat('conv_', lpad(cast(conv_id as string), 6, '0'), '.docx') as file, turn, text "
+PARTS_SQL = ("select concat('conv_', lpad(cast(conv_id as string), cast(greatest(6, length(cast(conv_id as string))) as int), '0'), '.docx') as file, turn, text "
              "from conversations")
 
 

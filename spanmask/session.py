@@ -1,4 +1,4 @@
-"""Session helpers: local test session, checkpoint folder, size-checked broadcast."""
+"""Session helpers: local test session, package shipping, checkpoint folder."""
 from __future__ import annotations
 
 import io
@@ -8,7 +8,6 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "spanmask") -> SparkSession:
@@ -69,33 +68,3 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss; never a local checkpoint)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-# A side is broadcast only after its row count was measured below this bound.
-BROADCAST_MAX_ROWS = int(os.environ.get("SPANMASK_BROADCAST_MAX_ROWS", "2000000"))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast ``df`` only when a count proves it small; else leave it to a shuffle join.
-
-    ``df`` should be cheap to count (checkpointed or tiny); the bound is on rows of
-    narrow key/value tables, so bytes stay bounded too.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
-
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a small input over all cores.
-
-    A file with one row group is read by one task; when a DataFrame has fewer
-    partitions than the cluster has cores it is hash-repartitioned (by
-    ``key`` when given).  A large input already has far more partitions than
-    cores and is left alone — no extra shuffle at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key) if key else df.repartition(cores)

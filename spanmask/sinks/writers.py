@@ -69,10 +69,14 @@ def write_outputs(out_dir: str, texts: DataFrame, registry: DataFrame, spans: Da
 
 
 def leak_check(texts: DataFrame, spans: DataFrame) -> DataFrame:
-    """Redacted original values still present in their document's safe text (must be empty)."""
-    red = spans.where(F.col("will_redact") & (F.length("text") > 0)).select("doc_id", F.col("text").alias("value"))
-    return texts.select("doc_id", "redacted_text").join(red, "doc_id") \
-        .where(F.instr(F.col("redacted_text"), F.col("value")) > 0).select("doc_id", "value")
+    """Redacted original values still present in their document's safe text (must be empty).
+
+    The distinct values of a document meet its text once.
+    """
+    values = spans.where(F.col("will_redact") & (F.length("text") > 0)) \
+        .groupBy("doc_id").agg(F.collect_set("text").alias("_values"))
+    left = F.filter("_values", lambda v: F.contains(F.col("redacted_text"), v))
+    return texts.select("doc_id", "redacted_text").join(values, "doc_id").select("doc_id", F.explode(left).alias("value"))
 
 
 def run_log_rows(files: DataFrame, spans: DataFrame, errors: DataFrame) -> DataFrame:

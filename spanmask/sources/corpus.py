@@ -25,7 +25,7 @@ def register(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         table(spark, sf_dir, n).createOrReplaceTempView(n)
 
 
-DOC_FILE_SQL = "concat('doc_', lpad(cast(doc_id as string), 9, '0'), '.txt')"
+DOC_FILE_SQL = "concat('doc_', lpad(cast(doc_id as string), cast(greatest(9, length(cast(doc_id as string))) as int), '0'), '.txt')"
 
 # n_chars (= length(text)) is carried so length-based routing can read it without the text
 DOCS_SQL = f"select doc_id, {DOC_FILE_SQL} as file, text, n_chars from documents"
@@ -36,7 +36,7 @@ with k as (select s_suppkey, s_name, n_name, lpad(cast((s_suppkey*104729+1234567
            from supplier join nation on s_nationkey=n_nationkey),
 v as (select *, concat(b, cast((10-(cast(substr(b,1,1) as int)+cast(substr(b,3,1) as int)+cast(substr(b,5,1) as int)+cast(substr(b,7,1) as int)+cast(substr(b,9,1) as int)+(case when cast(substr(b,2,1) as int)*2>9 then cast(substr(b,2,1) as int)*2-9 else cast(substr(b,2,1) as int)*2 end)+(case when cast(substr(b,4,1) as int)*2>9 then cast(substr(b,4,1) as int)*2-9 else cast(substr(b,4,1) as int)*2 end)+(case when cast(substr(b,6,1) as int)*2>9 then cast(substr(b,6,1) as int)*2-9 else cast(substr(b,6,1) as int)*2 end)+(case when cast(substr(b,8,1) as int)*2>9 then cast(substr(b,8,1) as int)*2-9 else cast(substr(b,8,1) as int)*2 end)+(case when cast(substr(b,10,1) as int)*2>9 then cast(substr(b,10,1) as int)*2-9 else cast(substr(b,10,1) as int)*2 end))%10 + case when s_suppkey%5=4 then 1 else 0 end)%10 as string)) vat,
   lpad(cast(98 - cast(concat('330542811101',acct,'182900') as decimal(38,0)) % 97 as string),2,'0') ck from k)
-select s_suppkey as doc_id, concat('form_',lpad(cast(s_suppkey as string),6,'0'),'.txt') as file,
+select s_suppkey as doc_id, concat('form_',lpad(cast(s_suppkey as string),cast(greatest(6,length(cast(s_suppkey as string))) as int),'0'),'.txt') as file,
  concat('Supplier: ', s_name, ' | VAT number: ', vat, chr(10), 'IBAN: IT', ck, 'X0542811101', acct, chr(10),
   'Tax ID: ', case when s_suppkey%3=0 then 'RSSMRA85T10A562S' else 'RSSMRA85T10A562T' end, chr(10),
   'Email: ', case when s_suppkey%2=0 then 'INFO' else 'info' end, cast(s_suppkey%7 as string), '@example.com', chr(10),

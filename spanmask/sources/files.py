@@ -1,28 +1,32 @@
 """Folder listing and text ingest.
 
-``binaryFile`` lists a folder as a DataFrame (non-recursive by default);
-extension routing is a Column; decoding and format parsing run in
-``mapInPandas`` one file at a time, so a folder of any size is spread over
-the cluster and every failure becomes an ``error`` row instead of a crash.
+A task lists the folder, so names that Spark's own file sources skip (hidden
+and empty files) are kept; extension routing is a Column; the files are then
+read and parsed once, spread over the cluster, into rows that are written to
+the checkpoint folder and assembled per file by DataFrame code.  Every failure
+becomes an ``error`` row instead of a crash.
 """
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SUPPORTED_EXTENSIONS
-from ..functions.text import basename, extension_with_dot, fold
+from ..functions.text import extension_with_dot, fold
+from ..session import checkpoint, ship_package
 
-SUPPORTED_DOTTED = ["." + e for e in SUPPORTED_EXTENSIONS]
+MAX_FILE_BYTES = 1 << 30       # larger files become error rows: a row cannot hold their text
 
 
 def is_supported(name: Column) -> Column:
-    return F.lower(extension_with_dot(name)).isin(SUPPORTED_DOTTED)
+    return F.lower(extension_with_dot(name)).isin(SUPPORTED_EXTENSIONS)
 
 
 def is_unsupported(name: Column) -> Column:
     ext = F.lower(extension_with_dot(name))
-    return (ext != "") & ~ext.isin(SUPPORTED_DOTTED)
+    return (ext != "") & ~ext.isin(SUPPORTED_EXTENSIONS)
 
 
 def classify_names(names: DataFrame, name_col: str = "name") -> DataFrame:
@@ -33,10 +37,28 @@ def classify_names(names: DataFrame, name_col: str = "name") -> DataFrame:
         .otherwise(F.lit("ignored"))).withColumn("sort_key", fold(n))
 
 
+def _file_system(uri: str):
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(uri if "://" in uri else uri.removeprefix("file:"))
+
+
+def _listed(batches):
+    import pandas as pd
+    from pyarrow import fs
+    for pdf in batches:
+        for folder in pdf["folder"]:
+            system, path = _file_system(folder)
+            found = [f for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File]
+            scheme = folder.split("://")[0] + "://" if "://" in folder else ""
+            yield pd.DataFrame([(scheme + f.path, f.base_name, f.size) for f in found], columns=["path", "name", "length"])
+
+
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, length, status, sort_key) for the files directly in ``folder``."""
-    files = spark.read.format("binaryFile").load(folder).select("path", "length")
-    return classify_names(files.withColumn("name", basename(F.col("path"))))
+    """(path, name, length, ext, status, sort_key) of the files directly in ``folder``."""
+    ship_package(spark)
+    uri = folder if ":" in folder else os.path.abspath(folder)
+    files = spark.createDataFrame([(uri,)], "folder string").mapInPandas(_listed, "path string, name string, length long")
+    return classify_names(files)
 
 
 def collect_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,73 +75,90 @@ def collect_unsupported_files(spark: SparkSession, folder: str) -> DataFrame:
 # decoding (A4) and format dispatch
 # ---------------------------------------------------------------------------
 
-ENCODINGS = ["utf-8", "cp1252", "utf-16", "latin-1"]
+BYTE_ORDER_MARKS = {b"\xef\xbb\xbf": "utf-8-sig", b"\xff\xfe": "utf-16", b"\xfe\xff": "utf-16"}
+CP1252_UNDEFINED = frozenset(b"\x81\x8d\x8f\x90\x9d")
+
+
+def _decodes(raw: bytes, encoding: str) -> bool:
+    try:
+        raw.decode(encoding)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def encoding_of(raw: bytes) -> str:
+    """A byte order mark decides, then validity as UTF-8; the rest is cp1252 unless it has bytes undefined there."""
+    for mark, encoding in BYTE_ORDER_MARKS.items():
+        if raw.startswith(mark):
+            return encoding
+    if _decodes(raw, "utf-8"):
+        return "utf-8"
+    if CP1252_UNDEFINED.isdisjoint(raw):
+        return "cp1252"
+    return "utf-16" if _decodes(raw, "utf-16") else "latin-1"
 
 
 def decode_bytes(raw: bytes) -> str:
-    """Decoding ladder with a BOM check first (planned deviation: a BOM is honoured).
+    """Text of a file; line ends become \\n as in text-mode reading."""
+    return raw.decode(encoding_of(raw)).replace("\r\n", "\n").replace("\r", "\n")
 
-    Newlines are normalised as text-mode reading does (\\r\\n and \\r -> \\n).
-    """
-    if raw.startswith(b"\xef\xbb\xbf"):
-        text = raw[3:].decode("utf-8")
-    elif raw.startswith((b"\xff\xfe", b"\xfe\xff")):
-        text = raw.decode("utf-16")
-    else:
-        text = None
-        for enc in ENCODINGS:
+
+ROWS = ("file string, ext string, kind string, sheet_idx int, sheet string, seq int, cells array<string>, text string, "
+        "part struct<section:int,depth:int,tbl:int,row:int,cell:int,up_tbl:int,up_row:int,up_cell:int>, error string")
+
+
+def _parsed(batches):
+    import pandas as pd
+    from spanmask.sources.formats import read_rows
+    names = [c.split(" ")[0] for c in ROWS.replace("part struct<section:int,depth:int,tbl:int,row:int,cell:int,up_tbl:int,up_row:int,up_cell:int>",
+                                                   "part x").split(", ")]
+    for pdf in batches:
+        for path, name, ext, length, content in zip(pdf["path"], pdf["name"], pdf["ext"], pdf["length"], pdf["content"]):
             try:
-                text = raw.decode(enc)
-                break
-            except UnicodeError:
-                continue
-        if text is None:
-            raise ValueError("could not decode with any known encoding")
-    return text.replace("\r\n", "\n").replace("\r", "\n")
+                if length > MAX_FILE_BYTES:
+                    raise ValueError(f"{length} bytes; at most {MAX_FILE_BYTES} can be read")
+                if content is None:
+                    system, place = _file_system(path)
+                    with system.open_input_stream(place) as f:
+                        content = f.read()
+                out = [(name, ext, "file", 0, "", 0, [], None, None, None)]
+                out += [(name, ext, *row, None) for row in read_rows(bytes(content), ext)]
+            except Exception as exc:  # noqa: BLE001 - per-file error capture
+                out = [(name, ext, "error", 0, "", 0, [], None, None, f"{name}: {exc}")]
+            for i in range(0, len(out), 10_000):
+                yield pd.DataFrame(out[i:i + 10_000], columns=names)
 
 
 def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """A3: supported files of ``folder`` -> (documents(doc_id, file, text), errors(file, message))."""
     files = list_folder(spark, folder).where(F.col("status") == "supported")
-    raw = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return documents_from_files(files.join(raw, "path").select("path", "name", "ext", "content"))
+    tasks = spark.sparkContext.defaultParallelism
+    return documents_from_files(files.select("path", "name", "ext", "length", F.lit(None).cast("binary").alias("content"))
+                                .repartition(tasks, "path"))
 
 
 def documents_from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(path, name, ext, content) rows of supported files -> (documents, errors).
+    """(path, name, ext, length, content) rows of supported files -> (documents, errors).
 
-    ``mapInPandas`` turns each file's bytes into rows (whole text, sheet/CSV
-    rows, or DOCX parts); an exception becomes an error row
-    ``"{name}: {message}"`` (A11).  Sheet and CSV rows are rendered by the
-    DataFrame operators of ``operators.tabular`` and assembled per file.
+    A null ``content`` is read from ``path``.  Each file is parsed once; an
+    exception becomes an error row ``"{name}: {message}"`` (A11), and a file
+    without any text still is a document.
     """
-    from ..operators.tabular import assemble_lines, assemble_sheets, render_delimited_rows, render_sheet_rows
-    from .formats import file_rows
-
-    schema = ("file string, ext string, kind string, sheet_idx int, sheet string, seq int, "
-              "cells array<string>, text string, error string")
-
-    def run(batches):
-        import pandas as pd
-        for pdf in batches:
-            out = []
-            for name, ext, content in zip(pdf["name"], pdf["ext"], pdf["content"]):
-                try:
-                    for kind, si, sh, seq, cells, text in file_rows(bytes(content), ext):
-                        out.append((name, ext, kind, si, sh, seq, cells, text, None))
-                except Exception as exc:  # noqa: BLE001 - per-file error capture
-                    out.append((name, ext, "error", 0, "", 0, [], None, f"{name}: {exc}"))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    rows = files.select("name", "ext", "content").mapInPandas(run, schema)
+    from ..operators.tabular import assemble_lines, assemble_parts, assemble_sheets, render_delimited_rows, render_sheet_rows
+
+    ship_package(files.sparkSession)
+    if "length" not in files.columns:
+        files = files.withColumn("length", F.octet_length("content").cast("long"))
+    rows = checkpoint(files.select("path", "name", "ext", "length", "content").mapInPandas(_parsed, ROWS))
     texts = rows.where(F.col("kind") == "text").select("file", "text")
     cells = rows.where(F.col("kind") == "cells").select("file", "ext", "sheet_idx", "sheet",
                                                           F.col("seq").alias("row_number"), "cells")
     sheets = assemble_sheets(render_sheet_rows(cells.where(F.col("ext") == ".xlsx")))
     delim = assemble_lines(render_delimited_rows(cells.where(F.col("ext") != ".xlsx")))
-    parts = assemble_lines(rows.where(F.col("kind") == "part").select("file", F.col("seq").alias("row_number"),
-                                                                      F.col("text").alias("line")))
-    docs = texts.unionByName(sheets).unionByName(delim).unionByName(parts) \
-        .withColumn("doc_id", F.xxhash64("file")).select("doc_id", "file", "text")
+    parts = assemble_parts(rows.where(F.col("kind") == "part").select("file", "part.*", "seq", "text"))
+    found = texts.unionByName(sheets).unionByName(delim).unionByName(parts)
+    docs = rows.where(F.col("kind") == "file").select("file").join(found, "file", "left") \
+        .select(F.xxhash64("file").alias("doc_id"), "file", F.coalesce("text", F.lit("")).alias("text"))
     errors = rows.where(F.col("kind") == "error").select("file", F.col("error").alias("message"))
     return docs, errors

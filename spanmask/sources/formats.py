@@ -1,8 +1,8 @@
-"""Per-file format parsers used inside ``mapInPandas`` (A5-A10).
+"""Per-file container parsers used inside ``mapInPandas`` (A5-A10).
 
-Only the byte-level parsing lives here (stdlib ``csv``, ``zipfile`` and
-``xml``); the row rendering is the DataFrame code in ``operators.tabular``,
-which a cells table from any ingest can reuse.  PDF glyph layout is not
+Only containers are opened here (stdlib ``csv``, ``zipfile`` and ``xml``);
+rendering and assembly are the DataFrame code in ``operators.tabular``, which
+rows from any ingest can use.  PDF glyph layout is not
 parsed (no parser is available); page assembly is ``assemble_pages``.
 """
 from __future__ import annotations
@@ -21,12 +21,15 @@ R_NS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 
 
 def delimited_cells(text: str, delimiter: str) -> list[list[str]]:
-    """Rows as the reference reads them: lines first, then the csv module (quirk kept)."""
+    """Rows of the text's lines: a quoted cell does not span lines (part of the behaviour to be met)."""
     return [list(r) for r in csv.reader(text.splitlines(), delimiter=delimiter)]
 
 
 def xlsx_cells(raw: bytes) -> list[tuple[int, str, int, list[str]]]:
-    """(sheet_idx, title, row_number, cells) of every sheet row, cached values only."""
+    """(sheet_idx, title, row_number, cells) of every sheet row, cached values only.
+
+    Numbers stand as in the file, so a date is its serial number.
+    """
     z = zipfile.ZipFile(io.BytesIO(raw))
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
@@ -40,11 +43,13 @@ def xlsx_cells(raw: bytes) -> list[tuple[int, str, int, list[str]]]:
         target = targets[sh.get(f"{R_NS}id")].lstrip("/")
         path = target if target.startswith("xl/") else "xl/" + target
         root = ET.fromstring(z.read(path))
+        rn = 0
         for row in root.iter(f"{S_NS}row"):
-            rn = int(row.get("r"))
+            rn = int(row.get("r") or rn + 1)
             cells: dict[int, str] = {}
+            col = -1
             for c in row.iter(f"{S_NS}c"):
-                col = _col_index(re.sub(r"\d", "", c.get("r", "")))
+                col = _col_index(re.sub(r"\d", "", c.get("r"))) if c.get("r") else col + 1
                 t = c.get("t")
                 v = c.find(f"{S_NS}v")
                 if t == "inlineStr":
@@ -70,54 +75,74 @@ def _col_index(letters: str) -> int:
     return n - 1
 
 
-def docx_parts(raw: bytes) -> list[str]:
-    """Body paragraphs (non-blank), then tables as ``' | '`` rows, then headers/footers."""
-    z = zipfile.ZipFile(io.BytesIO(raw))
 
-    def para_text(p):
-        return "".join(t.text or "" for t in p.iter(f"{W_NS}t"))
-
-    def table_text(tbl):
-        rows = []
-        for tr in tbl.findall(f"{W_NS}tr"):
-            cells = []
-            for tc in tr.findall(f"{W_NS}tc"):
-                parts = [para_text(p).strip() for p in tc.findall(f"{W_NS}p") if para_text(p).strip()]
-                parts += [s for s in (table_text(t).strip() for t in tc.findall(f"{W_NS}tbl")) if s]
-                cells.append(" ".join(parts))
-            if any(cells):
-                rows.append(" | ".join(cells))
-        return "\n".join(rows)
-
-    def container(root):
-        paras = [para_text(p) for p in root.findall(f"{W_NS}p") if para_text(p).strip()]
-        tables = [s for s in (table_text(t).strip() for t in root.findall(f"{W_NS}tbl")) if s]
-        return paras, tables
+BREAKS = {f"{W_NS}t": None, f"{W_NS}tab": "\t", f"{W_NS}br": "\n", f"{W_NS}cr": "\n", f"{W_NS}noBreakHyphen": "-"}
 
-    body = ET.fromstring(z.read("word/document.xml")).find(f"{W_NS}body")
-    paras, tables = container(body)
-    parts = paras + tables
-    for name in sorted(n for n in z.namelist() if re.match(r"word/(header|footer)\d*\.xml$", n)):
-        p2, t2 = container(ET.fromstring(z.read(name)))
-        parts += p2 + t2
-    return parts
 
+def paragraph_text(p) -> str:
+    return "".join((e.text or "") if BREAKS[e.tag] is None else BREAKS[e.tag] for e in p.iter() if e.tag in BREAKS)
 
-def file_rows(raw: bytes, ext: str):
-    """One file's content as rows ``(kind, sheet_idx, sheet, seq, cells, text)``.
 
-    kind ``text``: the whole decoded text; ``cells``: one sheet/CSV row;
-    ``part``: one DOCX part.  Rendering and assembly are DataFrame code.
+def docx_roots(z: zipfile.ZipFile) -> list:
+    """The body, then each section's header and footer (a section without its own takes the one before)."""
+    body = ET.fromstring(z.read("word/document.xml")).find(f"{W_NS}body")
+    sections = list(body.iter(f"{W_NS}sectPr"))
+    if not sections:
+        loose = sorted((n for n in z.namelist() if re.fullmatch(r"word/(header|footer)\d*\.xml", n)),
+                       key=lambda n: ("footer" in n, n))
+        return [body, *(ET.fromstring(z.read(n)) for n in loose)]
+    rels = "word/_rels/document.xml.rels"
+    target = {r.get("Id"): r.get("Target") for r in ET.fromstring(z.read(rels))} if rels in z.namelist() else {}
+    roots, current = [body], {}
+    for s in sections:
+        for kind in ("header", "footer"):
+            for ref in s.findall(f"{W_NS}{kind}Reference"):
+                if ref.get(f"{W_NS}type", "default") == "default":
+                    current[kind] = ET.fromstring(z.read("word/" + target[ref.get(f"{R_NS}id")].removeprefix("/word/")))
+            if kind in current:
+                roots.append(current[kind])
+    return roots
+
+
+def docx_rows(raw: bytes):
+    """Every paragraph with its place: section, table depth, table, row, cell, and the cell that holds the table.
+
+    A cell has at least one row, so empty cells are known.  Tables are numbered
+    through the document; place 0 is outside tables.
     """
-    if ext == ".txt":
-        return [("text", 0, "", 0, [], decode_bytes(raw))]
-    if ext in (".csv", ".tsv"):
-        rows = delimited_cells(decode_bytes(raw), "," if ext == ".csv" else "\t")
-        return [("cells", 0, "", n, [v.strip() for v in r], None) for n, r in enumerate(rows, start=1)]
-    if ext == ".xlsx":
-        return [("cells", i, t, n, c, None) for i, t, n, c in xlsx_cells(raw)]
-    if ext == ".docx":
-        return [("part", 0, "", n, [], p) for n, p in enumerate(docx_parts(raw))]
-    if ext == ".pdf":
-        raise ValueError("PDF text extraction needs a PDF parser, none is installed")
-    raise ValueError(f"Unsupported format: {ext}")
+    tables = 0
+    for section, root in enumerate(docx_roots(zipfile.ZipFile(io.BytesIO(raw)))):
+        todo = [(root, 0, (0, 0, 0), (0, 0, 0))]
+        while todo:
+            holder, depth, place, above = todo.pop(0)
+            where = dict(zip(("section", "depth", "tbl", "row", "cell", "up_tbl", "up_row", "up_cell"), (section, depth, *place, *above)))
+            if depth:
+                yield "part", 0, "", -1, [], "", where
+            for seq, e in enumerate(holder):
+                if e.tag == f"{W_NS}p":
+                    yield "part", 0, "", seq, [], paragraph_text(e), where
+                elif e.tag == f"{W_NS}tbl":
+                    tables += 1
+                    todo += [(tc, depth + 1, (tables, r, c), place) for r, tr in enumerate(e.findall(f"{W_NS}tr"))
+                             for c, tc in enumerate(tr.findall(f"{W_NS}tc"))]
+
+
+def _delimited(mark: str):
+    return lambda raw: (("cells", 0, "", n, [v.strip() for v in r], None, None)
+                        for n, r in enumerate(delimited_cells(decode_bytes(raw), mark), start=1))
+
+
+READERS = {
+    ".txt": lambda raw: [("text", 0, "", 0, [], decode_bytes(raw), None)],
+    ".csv": _delimited(","),
+    ".tsv": _delimited("\t"),
+    ".xlsx": lambda raw: (("cells", i, t, n, c, None, None) for i, t, n, c in xlsx_cells(raw)),
+    ".docx": docx_rows,
+}
+
+
+def read_rows(raw: bytes, ext: str):
+    """One file's content as rows (kind, sheet_idx, sheet, seq, cells, text, part)."""
+    if ext not in READERS:
+        raise ValueError(f"no reader for {ext} files is installed")
+    return READERS[ext](raw)

@@ -1,7 +1,7 @@
 """Incremental scan: documents arriving as files are scanned batch by batch.
 
 ``readStream`` of a folder (``binaryFile``: whole files as rows) feeds the same
-ingest and scan as the batch job inside ``foreachBatch``; spans are appended to a parquet table
+ingest and scan as the batch job inside ``foreachBatch``; each batch writes its own partition of a parquet table
 and the stream's progress lives in ``checkpointLocation`` (a shared folder on
 a cluster), so a restarted query resumes without rescanning or losing files.
 Placeholder numbering stays a batch job over the accumulated spans (numbers
@@ -36,15 +36,16 @@ def start_stream_scan(spark: SparkSession, folder: str, spans_path: str, checkpo
     """Start the streaming scan; returns the ``StreamingQuery``.
 
     Every micro-batch goes through the batch ingest (all supported formats,
-    per-file error rows appended under ``<spans_path>_errors``) and the scan.
+    per-file error rows under ``<spans_path>_errors``) and the scan.
     """
     labels, exclusions = list(labels), list(exclusions)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         docs, errors = documents_from_files(batch)
         spans = scan(docs, labels=labels, exclusions=exclusions)
-        spans.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(spans_path)
-        errors.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(spans_path + "_errors")
+        # each batch owns its partition folder, so a repeated batch replaces what it wrote before
+        spans.write.mode("overwrite").parquet(f"{spans_path}/batch_id={batch_id}")
+        errors.write.mode("overwrite").parquet(f"{spans_path}_errors/batch_id={batch_id}")
 
     writer = (file_stream(spark, folder, max_files_per_trigger).writeStream
               .foreachBatch(write_batch).option("checkpointLocation", checkpoint_path))

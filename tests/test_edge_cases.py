@@ -1,6 +1,8 @@
 """Semantic edge cases of detection, resolution, numbering and rewriting."""
 from pyspark.sql import functions as F
 
+from spanmask.operators.detect import DEFAULT_RULES
+
 from spanmask.operators.redact import redact_documents
 from spanmask.operators.registry import entity_registry
 from spanmask.operators.resolve import islands
@@ -109,48 +111,122 @@ def test_flagship_entry_runs(spark):
     assert "redact_documents" in QUERIES
 
 
-def test_dense_documents_resolve_per_island_like_whole_document(spark, docs_df):
-    """Plan (b) (per island) equals plan (a) (whole document) on span-dense texts."""
-    from spanmask.sources import corpus
+def test_islands_resolve_like_whole_documents(spark):
+    """Resolution by island equals one fold over all candidates of a document."""
+    from spanmask.operators.resolve import resolve_df
+    from spanmask.operators.spans import explode_array
+    from spanmask.plans.scan import candidate_arrays, findings_per_doc
     from spanmask.queries import MIN_SCORE
+    from spanmask.sources import corpus
     forms = corpus.forms(spark, "/root/testdata/sf0.01")
     findings = corpus.form_findings(spark, "/root/testdata/sf0.01")
-    # concatenate all forms of a nation-sized group into one long document per group
     big = forms.groupBy((F.col("doc_id") % 3).alias("doc_id")).agg(
         F.concat_ws("\n", F.array_sort(F.collect_list("text"))).alias("text")).withColumn("file", F.lit("big.txt"))
-    cols = ["doc_id", "label", "text", "start", "end", "score", "source", "will_redact"]
-    a = sorted(map(tuple, scan(big, dense_chars=None).select(*cols).collect()))
-    b = sorted(map(tuple, scan(big, dense_chars=0).select(*cols).collect()))
-    assert len(a) > 500 and a == b
-    a = sorted(map(tuple, scan(forms, findings=findings, min_score=MIN_SCORE, dense_chars=None).select(*cols).collect()))
-    b = sorted(map(tuple, scan(forms, findings=findings, min_score=MIN_SCORE, dense_chars=0).select(*cols).collect()))
-    assert a == b
+    cols = ["doc_id", "label", "text", "start", "end", "score", "source"]
+    for docs, f in ((big, None), (forms, findings)):
+        d = docs if f is None else docs.join(findings_per_doc(f), "doc_id", "left")
+        cand = candidate_arrays(d, f is not None, MIN_SCORE, DEFAULT_RULES, True)
+        whole = explode_array(resolve_df(cand, ["doc_id"]), F.col("spans"), ["doc_id"]).select("doc_id", "s.*")
+        a = sorted(map(str, whole.select(*cols).collect()))
+        b = sorted(map(str, scan(docs, findings=f, min_score=MIN_SCORE).select(*cols).collect()))
+        assert len(a) > 300 and a == b
 
 
-def test_islands_split_by_chunk_equal_unsplit(spark, spans_df):
+def test_islands_against_brute_force(spark, spans_df):
     import random
     rnd = random.Random(7)
-    rows = []
-    for i in range(400):
-        st = rnd.randrange(0, 5000)
-        rows.append((1, "a", "private_person", "x", st, st + rnd.randrange(1, 300), None, True, "", "opf"))
-    sp = spans_df(rows)
-    a = sorted((r.start, r.end, r.island) for r in islands(sp, chunk=1 << 20).collect())
-    b = sorted((r.start, r.end, r.island) for r in islands(sp, chunk=97).collect())
-    assert a == b
+    rows = sorted((st := rnd.randrange(0, 5000), st + rnd.randrange(1, 60)) for _ in range(400))
+    want, reach, first = [], -1, None
+    for a, b in rows:
+        first = a if a >= reach else first
+        reach = max(reach, b)
+        want.append((a, b, first))
+    sp = spans_df([(1, "a", "private_person", "x", a, b, None, True, "", "opf") for a, b in rows])
+    assert sorted((r.start, r.end, r.island) for r in islands(sp).collect()) == sorted(want)
 
 
-def test_salted_code_join_equals_broadcast(spark):
-    """The shuffle path (no broadcast, hot entities salted) gives the same codes."""
-    from spanmask.operators.registry import assign_codes
-    from spanmask.sources import corpus
-    sp = scan(corpus.forms(spark, "/root/testdata/sf0.01"))
-    reg = entity_registry(sp, redacted_only=True)
-    cols = ["doc_id", "label", "start", "end", "code"]
-    a = sorted(map(tuple, assign_codes(sp.drop("code"), reg, True).select(*cols).collect()))
-    b = sorted(map(tuple, assign_codes(sp.drop("code"), reg, True, broadcast_max_rows=0, hot_spans=1)
-                   .select(*cols).collect()))
-    assert a == b and any(r[4] for r in a)
+def test_overlapping_pairs_against_brute_force(spark):
+    import random
+    from spanmask.operators.resolve import overlapping_pairs
+    rnd = random.Random(3)
+    rows = [(d, st := rnd.randrange(0, 3000), st + rnd.randrange(1, 700), "l", i) for d in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, start int, end int, label string, rule_idx int")
+    got = sorted((r.doc_id, r.a_start, r.a_end, r.b_start, r.b_end) for r in overlapping_pairs(df).collect())
+    want = sorted((p[0], p[1], p[2], q[1], q[2]) for p in rows for q in rows
+                  if p[0] == q[0] and max(p[1], q[1]) < min(p[2], q[2]) and (p[1], p[2], p[4]) < (q[1], q[2], q[4]))
+    assert got == want
+
+
+def test_running_sums(spark):
+    from spanmask.functions.matches import running_sums
+    df = spark.createDataFrame([([],), ([5],), (list(range(1000)),)], "v array<int>")
+    for r in df.select("v", running_sums(F.col("v")).alias("s")).collect():
+        total, want = 0, []
+        for x in r.v:
+            total += x
+            want.append(total)
+        assert r.s == want
+
+
+def test_ids_above_the_pad_width_stay_apart(spark):
+    from spanmask.sources.corpus import DOC_FILE_SQL
+    df = spark.range(10**10, 10**10 + 20).withColumnRenamed("id", "doc_id")
+    assert df.select(F.expr(DOC_FILE_SQL)).distinct().count() == 20
+
+
+def test_exclusions_fold_like_texts(spark, docs_df):
+    d = docs_df([(1, "a.txt", "Cliente: ΑΛΦΑΣ SA\nCliente: Işık Ltd\nCliente: ACME Ltd\nCliente: Straße GmbH\nCliente: Rossi Srl")])
+    ex = ["ΑΛΦΑς SA", "Işık Ltd", "acme  LTD", "STRASSE gmbh"]
+    assert [r.text for r in scan(d, exclusions=ex).where("will_redact").collect()] == ["Rossi Srl"]
+
+
+def test_rewrite_of_long_texts(spark):
+    import random
+    from spanmask.operators.redact import rewrite
+    rnd = random.Random(5)
+    text = "".join(rnd.choice("abé😀") for _ in range(3000))
+    cuts = sorted(rnd.sample(range(3001), 80))
+    ivs = [(a, b, f"[{i}]") for i, (a, b) in enumerate(zip(cuts[::2], cuts[1::2]))]
+    df = spark.createDataFrame([(text, ivs), (text, []), (text, None), (text, [(0, 3000, "[X]")])], "t string, ivs array<struct<start:int,end:int,ph:string>>")
+    want, at = "", 0
+    for a, b, p in ivs:
+        want, at = want + text[at:a] + p, b
+    assert [r[0] for r in df.select(rewrite(F.col("t"), F.col("ivs"))).collect()] == [want + text[at:], text, text, "[X]"]
+
+
+def test_preview_reads_one_document(spark, spans_df, docs_df):
+    from spanmask.operators.redact import preview
+    docs = docs_df([(1, "a.txt", "abcdef"), (2, "b.txt", "abcdef")])
+    spans = spans_df([(i, "x", "private_person", "cd", 2, 4, None, True, f"PERSON_{i}", "opf") for i in (1, 2)])
+    assert [r.redacted_text for r in preview(docs, spans, 2).collect()] == ["ab[PERSON_2]ef"]
+
+
+def test_manual_terms_report_and_strip(spark, docs_df, spans_df):
+    from spanmask.operators.review import manual_add
+    docs = docs_df([(1, "a.txt", "uno due uno")])
+    terms = spark.createDataFrame([(" uno ", "private_person"), ("tre", "private_person"), ("  ", "private_id")], "term string, label string")
+    spans, counts = manual_add(spans_df([(1, "a.txt", "private_person", "uno", 0, 3, None, True, "", "opf")]), docs, terms)
+    assert {(r.term, r.added) for r in counts.collect()} == {("uno", 1), ("tre", 0)}
+    assert sorted((r.start, r.code) for r in spans.collect()) == [(0, "PERSON_1"), (8, "PERSON_1")]
+
+
+def test_manual_terms_against_find(spark, docs_df):
+    """Long, overlapping and many terms; 200,000 of them are no limit."""
+    import random
+    from spanmask.operators.review import manual_term_spans
+    rnd = random.Random(9)
+    texts = ["".join(rnd.choice("ab cé") for _ in range(n)) for n in (0, 3, 700)] + ["a" * 300, "x" * 63 + "needle" + "y" * 200]
+    terms = ["a", "aa", "ab", "aab ", "a" * 70, "é", "needle" + "y" * 100, "x" * 60 + "nee", "absent", "aXa"] + [f"none{i}" for i in range(200_000)]
+    want = []
+    for d, t in enumerate(texts):
+        for term in {x.strip() for x in terms}:
+            at = t.find(term)
+            while at >= 0:
+                want.append((d, at, at + len(term), term))
+                at = t.find(term, at + len(term))
+    df = spark.createDataFrame([(x, "l") for x in terms], "term string, label string")
+    got = manual_term_spans(docs_df([(d, "f", t) for d, t in enumerate(texts)]), df)
+    assert sorted((r.doc_id, r.start, r.end, r.text) for r in got.collect()) == sorted(want)
 
 
 def test_street_refinement_takes_next_letter(spark, docs_df):

@@ -52,6 +52,48 @@ def test_xlsx_and_docx_ingest(spark):
     assert got["contratto.docx"] == "Fornitore: ACME Srl\nP.IVA | 01114601006\nTel 011 1234567"
 
 
+def test_docx_breaks_sections_and_nested_tables(spark):
+    d = tempfile.mkdtemp(prefix="spanmask-docx-")
+    p = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    tc = lambda x: f"<w:tc>{x}</w:tc>"
+    inner = f"<w:tbl><w:tr>{tc(p('i1'))}{tc(p('i2'))}</w:tr></w:tbl>"
+    ref = lambda kind, n: f'<w:{kind}Reference w:type="default" r:id="{kind}{n}"/>'
+    body = (f'<w:document {W} {R}><w:body>'
+            '<w:p><w:r><w:t>Fornitore: ACME Srl</w:t><w:br/><w:t>Tel:</w:t><w:tab/><w:t>011 1234567</w:t></w:r></w:p>'
+            f"<w:tbl><w:tr>{tc(p(' a ') + p('b') + inner)}{tc('')}{tc(p('c'))}</w:tr><w:tr>{tc('')}{tc(p(' '))}</w:tr></w:tbl>"
+            f"{p('dopo')}<w:p><w:pPr><w:sectPr>{ref('header', 1)}{ref('footer', 1)}</w:sectPr></w:pPr></w:p>"
+            f"<w:sectPr>{ref('header', 2)}</w:sectPr></w:body></w:document>")
+    with zipfile.ZipFile(os.path.join(d, "s.docx"), "w") as z:
+        z.writestr("word/document.xml", body)
+        z.writestr("word/_rels/document.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
+                   + "".join(f'<Relationship Id="{k}{n}" Target="{k}{n}.xml"/>' for k, n in (("header", 1), ("footer", 1), ("header", 2)))
+                   + "</Relationships>")
+        for k, n in (("header", 1), ("footer", 1), ("header", 2)):
+            z.writestr(f"word/{k}{n}.xml", f"<w:x {W}>{p(f'{k} {n}')}</w:x>")
+    with zipfile.ZipFile(os.path.join(d, "empty.docx"), "w") as z:
+        z.writestr("word/document.xml", f"<w:document {W}><w:body/></w:document>")
+    docs, errors = read_documents(spark, d)
+    got = {r.file: r.text for r in docs.collect()}
+    assert errors.count() == 0 and got["empty.docx"] == ""
+    assert got["s.docx"] == ("Fornitore: ACME Srl\nTel:\t011 1234567\ndopo\na b i1 | i2 |  | c\n"
+                             "header 1\nfooter 1\nheader 2\nfooter 1")
+
+
+def test_every_file_is_kept(spark):
+    from spanmask.sources.files import collect_files, collect_unsupported_files
+    d = tempfile.mkdtemp(prefix="spanmask-all-")
+    for name, content in (("_fattura.txt", b"uno"), (".note.txt", b"due"), ("empty.txt", b""), ("blank.csv", b"\n\n"), ("bad.xlsx", b"no"),
+                          ("x.pdf", b"%PDF"), ("empty.rtf", b""), ("ok.txt", b"tre")):
+        with open(os.path.join(d, name), "wb") as f:
+            f.write(content)
+    os.mkdir(os.path.join(d, "folder.txt"))
+    assert {r.name for r in collect_files(spark, d).collect()} == {"_fattura.txt", ".note.txt", "empty.txt", "blank.csv", "bad.xlsx", "x.pdf", "ok.txt"}
+    assert [r.name for r in collect_unsupported_files(spark, d).collect()] == ["empty.rtf"]
+    docs, errors = read_documents(spark, d)
+    assert {r.file: r.text for r in docs.collect()} == {"_fattura.txt": "uno", ".note.txt": "due", "empty.txt": "", "blank.csv": "", "ok.txt": "tre"}
+    assert {r.file for r in errors.collect()} == {"bad.xlsx", "x.pdf"}
+
+
 def test_listing_order_and_tsv(spark):
     from spanmask.sources.files import collect_files
     d = tempfile.mkdtemp(prefix="spanmask-tsv-")

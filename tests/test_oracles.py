@@ -12,7 +12,8 @@ FAST = ["detect_email", "detect_vat", "detect_tax_code", "detect_iban", "detect_
         "detect_context_org", "regex_greedy", "detect_all", "entity_registry", "merge_intervals",
         "island_representative", "redact_text", "redact_documents", "manual_add", "rebuild_codes",
         "render_sheets", "render_csv_rows", "occurrence_index", "leak_check", "run_log", "profile_payload",
-        "review_sort", "placeholders", "unsupported_sample", "trim_bounds", "refine_address"]
+        "review_sort", "placeholders", "unsupported_sample", "trim_bounds", "refine_address", "read_text_ladder", "ingest_errors", "overlap_pairs",
+        "row_context", "format_cells", "assemble_docx_parts", "manual_terms"]
 
 
 def _norm(v):
