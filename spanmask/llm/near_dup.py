@@ -2,17 +2,28 @@
 
 A document's set is its distinct five-word shingles.  One pass makes a sketch
 of ``BUCKETS`` registers (leading-zero count and mantissa of the least hash in
-each bucket) and its band keys.  Documents with equal sets become one node.
-Within the nodes that share a band key, each is first compared with the key's
-hub, the node that shares bands with the most others; nodes left in different
-components of the graph found so far are then compared with each other, so
-large families cost one comparison per member and no link is lost.  A compared
-pair must pass the collision-corrected Jaccard estimate (a six-sigma margin)
-and then the exact test on the full sets.
-
-Sets of up to ``SMALL`` shingles, for which few registers are filled, also get
-prefix keys: the least hashes of a set, so many that two sets of the needed
-similarity must share one.
+each bucket) and its band keys; empty registers take the next filled one for
+banding, so a key always rests on ``ROWS`` registers.  Documents with equal
+sets become one node.  Sets of up to ``SMALL`` shingles, for which few
+registers are filled, also get prefix keys: their rarest shingles, so many that
+two sets of the needed similarity must share one.
+
+Nodes that share a key are not paired with each other.  They are compared with
+the key's hub, the node that shares keys with the most others; those not
+linked to it meet a new hub, ``ROUNDS`` times.  What is left are pairs whose
+members both differ from a hub:
+
+* If a member has most of its shingles from the hub (``FAMILY`` or more), two
+  members can only be similar enough if they share a shingle that the hub lacks
+  (found by an equi-join on prefixes of these remainders), or if both are so
+  nearly contained in the hub that sizes alone allow it (found by hub and size).
+* If it has fewer, most of its keys hold shingles that the hub lacks, and a
+  similar document is met under one of those: with J >= 0.75 and a share c of
+  common shingles all 32 bands fail with probability
+  (1 - 0.42 * (1 - c ** 3)) ** 32, under 3e-6 for c <= 0.6.
+
+A compared pair must pass the collision-corrected Jaccard estimate (a six-sigma
+margin) and then the exact test on the full sets.
 
 Cases: null and empty texts have no shingles and are linked with nothing; texts
 of fewer than five words have one shingle, the whole sequence; null doc_ids are
@@ -34,7 +45,7 @@ from .common import materialize
 from .hashing import U, mix, shingle_sets, text_parts
 
 BUCKETS, ROWS, MANTISSA = 96, 3, 10
-SMALL = 32
+SMALL, ROUNDS, FAMILY = 43, 3, 0.6          # two sets of over 32 shingles, or both of at most 43
 EMPTY = 0
 
 
@@ -53,20 +64,18 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return np.where(least == ~U(0), EMPTY, reg).reshape(n, BUCKETS).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
-    """Band keys of each set, and prefix keys of small ones."""
-    g = regs.reshape(len(regs), -1, ROWS).astype(U)
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Band keys of each row of registers; an empty register takes the next filled one (and how far it is)."""
+    n, width = regs.shape
+    twice = np.concatenate([regs, regs], axis=1).astype(np.int64)
+    at = np.where(twice != EMPTY, np.arange(2 * width), 2 * width)
+    at = np.minimum.accumulate(at[:, ::-1], axis=1)[:, ::-1][:, :width]
+    filled = np.take_along_axis(twice, np.minimum(at, 2 * width - 1), axis=1) * 256 + at - np.arange(width)
+    g = filled.reshape(n, -1, ROWS).astype(U)
     key = np.zeros(g.shape[:2], U) + np.arange(g.shape[1], dtype=U)
     for r in range(ROWS):
         key = mix(key * U(0x100000001B3) + g[:, :, r] + U(1))
-    filled = (g != EMPTY).any(axis=2)
-    out = []
-    for k, f, s in zip(key, filled, sets):
-        keys = k[f]
-        if 0 < len(s) <= SMALL * 4 // 3 + 1:
-            keys = np.concatenate([keys, mix(s[:len(s) - -(-3 * len(s) // 4) + 1] + U(0xABCDEF))])
-        out.append(keys)
-    return out
+    return key
 
 
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +97,7 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts).view(np.int64)))
 
 
-SKETCH = "doc_id long, n long, node binary, regs binary, keys array<long>"
+SKETCH = "doc_id long, n long, node binary, regs binary, keys array<long>, small array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,8 +107,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             regs = registers(sets)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _ids(sets),
-                 pa.array([r.tobytes() for r in regs], pa.binary()), _longs(band_keys(regs, sets))],
-                ["doc_id", "n", "node", "regs", "keys"])
+                 pa.array([r.tobytes() for r in regs], pa.binary()), _longs([k[:len(s)] if len(s) == 0 else k for k, s in zip(band_keys(regs), sets)]),
+                 _longs([s if len(s) <= SMALL else s[:0] for s in sets])],
+                ["doc_id", "n", "node", "regs", "keys", "small"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,23 +120,40 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(least: float):
+    """Pairs that may be linked, or in which b may hold ``FAMILY`` of a's shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             regs = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)  # noqa: B023, E731
-            est, used = estimate(regs("ra"), regs("rb"), b.column("na").to_numpy(), b.column("nb").to_numpy())
-            yield b.select(["a", "b"]).filter(pa.array(est + 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1)) >= least))
+            na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
+            est, used = estimate(regs("ra"), regs("rb"), na, nb)
+            high = est + 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
+            held = np.minimum(1, est + 3 * np.sqrt(np.maximum(est, 0.02) / np.maximum(used, 1)))
+            inside = held / (1 + held) * (na + nb) >= FAMILY * na
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array((high >= least) | inside))
     return run
 
 
-def _verified(percent: int):
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sizes of the pairs' intersections."""
+    for b in batches:
+        both = [len(np.intersect1d(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), assume_unique=True)) for x, y in zip(b.column("x"), b.column("y"))]
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("a", "b", "na", "nb")), pa.array(both, pa.int64())], ["a", "b", "na", "nb", "common"])
+
+
+PAIR = "a binary, b binary, na long, nb long, common long"
+
+
+def _remainder(percent: int):
+    """What a member has beyond its hub: the least hashes, so many that two similar members share one."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
+            out = []
             for x, y in zip(b.column("x"), b.column("y")):
-                p, q = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                own, hub = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
+                rest = np.setdiff1d(own, hub, assume_unique=True)
+                need = -(-percent * len(own) // 100) - (len(own) - len(rest))
+                out.append(np.sort(rest)[:len(rest) - max(need, 1) + 1])
+            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("node"), b.column("root"), _longs(out)], ["hub", "node", "root", "rest"])
     return run
 
 
@@ -157,47 +184,79 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         state = materialize(s.join(hooks, s.root == hooks["from"], "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
 
 
+def prefix_keys(nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, key) of small sets: the n - ceil(percent n) + 1 rarest shingles."""
+    parts = materialize(nodes.select("node", F.explode("small").alias("s")), "small")
+    rare = materialize(parts.groupBy("s").agg(F.count("*").alias("c")).where("c > 1"), "small_counts")
+    ranked = parts.join(rare, "s", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "s"))).alias("l"))       # at most SMALL
+    size = F.size("l") - F.ceil(F.size("l") * percent / 100).cast("int") + 1
+    return ranked.select("node", F.explode(F.slice("l", F.lit(1), size)).alias("x")).select("node", F.xxhash64(F.lit("prefix"), "x.s").alias("key"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (whether doc_id names its component)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketches = materialize(rows.mapInArrow(_sketch, SKETCH), "sketches")
-    classes = sketches.where("n > 0").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
-    nodes = materialize(classes, "nodes")
-    bands = nodes.select("node", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    shared = materialize(shared, "shared_keys")
-    bands = materialize(bands.join(shared, "key").select("key", "node", "c"), "bands")
+    nodes = materialize(sketches.where("n > 0").groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "regs", "keys", "small")]), "nodes")
+    bands = nodes.select("node", F.explode("keys").alias("key")).unionByName(prefix_keys(nodes, percent))
+    bands = materialize(bands, "bands")
+    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared_keys")
+    bands = materialize(bands.join(shared, "key").select("key", "node", "c"), "shared_bands")
     degree = bands.groupBy("node").agg(F.sum("c").alias("degree"))
     members = materialize(bands.join(degree, "node").select("key", "node", "degree"), "members")
     inside = materialize(degree.select("node"), "inside")
-    wanted = nodes.join(inside, "node", "left_semi").select("doc_id").distinct()
-    r, w = rows.alias("r"), materialize(wanted, "wanted").alias("w")
+    r, w = rows.alias("r"), materialize(nodes.join(inside, "node", "left_semi").select("doc_id").distinct(), "wanted").alias("w")
     sets = materialize(r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").mapInArrow(_full_sets, "node binary, items binary")
                        .join(inside, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
     heads = nodes.select("node", "n", "regs")
+    full = lambda s, x: sets.select(F.col("node").alias(s), F.col("items").alias(x))
 
-    def linked(pairs: DataFrame, name: str) -> DataFrame:
+    def compared(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that pass the estimate, with the sizes of their sets and intersection."""
         side = lambda s: heads.select(F.col("node").alias(s), F.col("n").alias("n" + s), F.col("regs").alias("r" + s))
-        likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent / 100), "a binary, b binary"), name + "_likely")
-        full = lambda s, x: sets.select(F.col("node").alias(s), F.col("items").alias(x))
-        return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "x", "y")
-                           .mapInArrow(_verified(percent), "a binary, b binary"), name)
-
-    hubs = materialize(members.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("b")), "hubs")
-    star = members.join(hubs, "key").where("node != b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = linked(star, "star")
+        likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b")
+                             .mapInArrow(_likely(percent / 100), "a binary, b binary, na long, nb long"), "likely")
+        return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_common, PAIR), "compared")
+
+    linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
+    left, tested = members, None
+    for _ in range(ROUNDS):
+        hubs = materialize(left.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+                           .select("key", F.col("hub.node").alias("b")), "hubs")
+        met = materialize(left.withColumnRenamed("node", "a").join(hubs, "key").where("a != b"), "met")
+        new = met.select("a", "b").distinct()
+        done = compared(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
+        tested = done if tested is None else tested.unionByName(done)
+        left = materialize(met.join(tested.where(linked).select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("a").alias("node"), "degree"), "left")
+
+    tested = materialize(tested, "tested")
+    links = tested.where(linked).select("a", "b")
     found = components(nodes.select("node", "doc_id"), links)
-    placed = materialize(members.join(found.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
-    open_ = materialize(placed.join(materialize(mixed, "mixed"), "key"), "open")
-    p, q = open_.alias("p"), open_.alias("q")
-    rest = (p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root")))
-            .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
-            .join(star, ["a", "b"], "left_anti"))
-    more = linked(rest, "rest")
-    found = components(nodes.select("node", "doc_id"), links.unionByName(more))
-    named = materialize(nodes.join(found.select("node", "component"), "node", "left")
+    family = tested.where(linked | (F.col("common") >= FAMILY * F.col("na"))).select(F.col("b").alias("hub"), F.col("a").alias("node"), "na", "common", linked.alias("linked"))
+    family = materialize(family.join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "family")
+    mixed = materialize(family.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub"), "mixed")
+    family = materialize(family.join(mixed, "hub"), "mixed_family")
+    rests = family.join(full("node", "x"), "node").join(full("hub", "y"), "hub").select("hub", "node", "root", "x", "y") \
+        .mapInArrow(_remainder(percent), "hub binary, node binary, root binary, rest array<long>")
+    rests = materialize(rests.select("hub", "node", "root", F.explode("rest").alias("s")), "rests")
+    meet = materialize(rests.groupBy("hub", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub", "s"), "meet")
+    rests = materialize(rests.join(meet, ["hub", "s"]), "meeting")
+    p, q = rests.alias("p"), rests.alias("q")
+    both = [F.col("p.node").alias("a"), F.col("q.node").alias("b")]
+    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))
+    by_rest = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.s") == F.col("q.s")) & apart).select(*both)
+    # both nearly inside the hub: as much in common as sizes allow, so sizes are alike
+    near = family.where(100 * F.col("common") >= percent * F.col("na")).withColumn("size", F.floor(F.log("na") / 0.05).cast("int"))
+    wide = near.where("not linked").withColumn("size", F.explode(F.sequence(F.col("size") - 6, F.col("size") + 6))).alias("p")
+    q = near.alias("q")
+    room = 100 * F.least("p.common", "q.common") * (100 + percent) >= 100 * percent * (F.col("p.na") + F.col("q.na"))
+    by_size = wide.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.size") == F.col("q.size")) & room & (F.col("p.root") != F.col("q.root"))) \
+        .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+    more = compared(by_rest.unionByName(by_size).distinct())
+    found = components(nodes.select("node", "doc_id"), links.unionByName(more.where(linked).select("a", "b")))
+    named = materialize(nodes.select("node", "doc_id").join(found.select("node", "component"), "node", "left")
                         .select("node", F.coalesce("component", "doc_id").alias("component")), "named")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return (sketches.select("doc_id", "n", "node").join(named, "node", "left")
