@@ -153,7 +153,8 @@ def _remainder(percent: int):
                 rest = np.setdiff1d(own, hub, assume_unique=True)
                 need = -(-percent * len(own) // 100) - (len(own) - len(rest))
                 out.append(np.sort(rest)[:len(rest) - max(need, 1) + 1])
-            yield pa.RecordBatch.from_arrays([b.column("hub"), b.column("node"), b.column("root"), _longs(out)], ["hub", "node", "root", "rest"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("hub", "node", "root", "main", "na", "common")), _longs(out)],
+                                             ["hub", "node", "root", "main", "na", "common", "rest"])
     return run
 
 
@@ -221,7 +222,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_common, PAIR), "compared")
 
     linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
-    left, tested = members, None
+    left, tested, first = members, None, None
     for _ in range(ROUNDS):
         hubs = materialize(left.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
                            .select("key", F.col("hub.node").alias("b")), "hubs")
@@ -231,28 +232,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tested = done if tested is None else tested.unionByName(done)
         left = materialize(met.join(tested.where(linked).select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("a").alias("node"), "degree"), "left")
 
-    tested = materialize(tested, "tested")
-    links = tested.where(linked).select("a", "b")
+        first = done if first is None else first          # a key's members all meet its first hub
+
+    links = materialize(tested.where(linked).select("a", "b"), "links")
     found = components(nodes.select("node", "doc_id"), links)
-    family = tested.where(linked | (F.col("common") >= FAMILY * F.col("na"))).select(F.col("b").alias("hub"), F.col("a").alias("node"), "na", "common", linked.alias("linked"))
-    family = materialize(family.join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "family")
+    family = first.where(linked | (F.col("common") >= FAMILY * F.col("na"))).select(F.col("b").alias("hub"), F.col("a").alias("node"), "na", "common", linked.alias("linked"))
+    # two members that share their main hub are paired there and not at their other hubs
+    main = materialize(family.join(materialize(degree, "degrees").withColumnRenamed("node", "hub"), "hub")
+                       .groupBy("node").agg(F.max(F.struct("degree", "hub"))["hub"].alias("main")), "main")
+    family = materialize(family.join(main, "node").join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "family")
     mixed = materialize(family.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub"), "mixed")
     family = materialize(family.join(mixed, "hub"), "mixed_family")
-    rests = family.join(full("node", "x"), "node").join(full("hub", "y"), "hub").select("hub", "node", "root", "x", "y") \
-        .mapInArrow(_remainder(percent), "hub binary, node binary, root binary, rest array<long>")
-    rests = materialize(rests.select("hub", "node", "root", F.explode("rest").alias("s")), "rests")
+    rests = family.join(full("node", "x"), "node").join(full("hub", "y"), "hub").select("hub", "node", "root", "main", "na", "common", "x", "y") \
+        .mapInArrow(_remainder(percent), "hub binary, node binary, root binary, main binary, na long, common long, rest array<long>")
+    rests = materialize(rests.select("*", F.explode("rest").alias("s")).drop("rest"), "rests")
     meet = materialize(rests.groupBy("hub", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub", "s"), "meet")
     rests = materialize(rests.join(meet, ["hub", "s"]), "meeting")
     p, q = rests.alias("p"), rests.alias("q")
     both = [F.col("p.node").alias("a"), F.col("q.node").alias("b")]
-    apart = (F.col("p.node") < F.col("q.node")) & (F.col("p.root") != F.col("q.root"))
-    by_rest = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.s") == F.col("q.s")) & apart).select(*both)
+    here = (F.col("p.main") != F.col("q.main")) | (F.col("p.main") == F.col("p.hub"))
+    most = F.least("p.common", "q.common") + F.least(F.col("p.na") - F.col("p.common"), F.col("q.na") - F.col("q.common"))
+    enough = lambda n: (100 + percent) * n >= percent * (F.col("p.na") + F.col("q.na"))
+    apart = (F.col("p.root") != F.col("q.root")) & here
+    by_rest = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.node") < F.col("q.node")) & apart & enough(most)).select(*both)
     # both nearly inside the hub: as much in common as sizes allow, so sizes are alike
     near = family.where(100 * F.col("common") >= percent * F.col("na")).withColumn("size", F.floor(F.log("na") / 0.05).cast("int"))
     wide = near.where("not linked").withColumn("size", F.explode(F.sequence(F.col("size") - 6, F.col("size") + 6))).alias("p")
     q = near.alias("q")
-    room = 100 * F.least("p.common", "q.common") * (100 + percent) >= 100 * percent * (F.col("p.na") + F.col("q.na"))
-    by_size = wide.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.size") == F.col("q.size")) & room & (F.col("p.root") != F.col("q.root"))) \
+    by_size = wide.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.size") == F.col("q.size")) & apart & enough(F.least("p.common", "q.common"))) \
         .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
     more = compared(by_rest.unionByName(by_size).distinct())
     found = components(nodes.select("node", "doc_id"), links.unionByName(more.where(linked).select("a", "b")))
