@@ -6,18 +6,23 @@ inside them.  The windows of a text that name one place form a record; an array
 holds, sorted by the hash at the named place, one entry for each distinct
 record with its first place in the corpus.
 
-Documents arrive in batches in ascending doc_id.  A batch gets its own sorted
-array, is merge-scanned against the arrays of all existing levels (records that
-stand there are long matches and go whole), and its new entries become a level;
-two levels of equal rank merge into one of the next rank, so there are at most
-log2(batches) levels and an entry is rewritten that often.  Entries that share
-the hash at the named place but differ as records overlap in part: only their
-first places are opened into windows, which are compared by 128-bit
-fingerprints.  Every other place follows from these.
-
-Equality of windows rests on 128 bits of hash.  Groups of equal records or
-windows are only ever reduced to their first place and joined back, so a
-passage that a third of all documents share is split like any skewed join.
+Documents arrive in batches in ascending doc_id.  A batch's records are sorted
+and merge-scanned against the arrays of all existing levels in one pass over
+rows in order: the first row of equal records is their first place, every later
+one is a long match and goes whole, and first rows from the batch are new
+entries.  Levels of equal rank are taken up by that same pass, so their merge
+costs no other one; there are at most log2(batches) levels, and an entry is
+rewritten that often.  Equal records of one task are reduced to the first
+before anything is shuffled.
+
+Entries that share the hash at the named place but differ as records overlap in
+part.  Only these are opened: equal windows always name equal places, so the
+windows of a few entries with one key are compared side by side, and those of a
+key with more than ``GROUP`` entries are dealt out by their fingerprints, which
+splits a passage that a third of all documents share.  Every other place
+follows from first places.
+
+Equality of records rests on 128 bits of hash, that of windows too.
 
 Cases: null and empty texts have no bytes and nothing is removed; texts shorter
 than ``length`` stay whole; of rows that repeat a doc_id the least text counts,
@@ -37,8 +42,8 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 from .hashing import U, mix, prefix_sums, span_hash, text_parts
 
-SEED = 32
-RECORD = "doc long, pos long, n int, key long, rec long"
+SEED, GROUP = 32, 64
+ENTRY = "key long, rec long, doc long, pos long, n int"
 
 
 def _least(g: np.ndarray, width: int) -> np.ndarray:
@@ -74,32 +79,119 @@ def records(buf: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def _records(length: int):
+    """Records of a batch of texts; ``again`` marks those that an earlier row of the batch equals."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            parts = []
             for i, buf, off in text_parts(b.column("text")):
                 first, n, key, rec = records(buf, off, length)
                 d = np.searchsorted(off, first, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("doc").take(pa.array(d + i)), pa.array(first - off[d]), pa.array(n.astype(np.int32)),
-                     pa.array(key.view(np.int64)), pa.array(rec.view(np.int64))], ["doc", "pos", "n", "key", "rec"])
+                parts.append((d + i, first - off[d], n, key, rec))
+            row, pos, n, key, rec = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 5
+            doc = b.column("doc").take(pa.array(row))
+            rank = np.argsort(np.argsort(np.asarray(b.column("doc").fill_null(-(1 << 63))), kind="stable"), kind="stable")[row]
+            order = np.lexsort((pos, rank, rec, key))
+            same = (key[order][1:] == key[order][:-1]) & (rec[order][1:] == rec[order][:-1])
+            # rows that repeat a place are one place
+            moved = (rank[order][1:] != rank[order][:-1]) | (pos[order][1:] != pos[order][:-1])
+            again = np.zeros(len(row), bool)
+            again[order[1:]] = same & moved
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(rec.view(np.int64)), doc, pa.array(pos), pa.array(n.astype(np.int32)), pa.array(again)],
+                ["key", "rec", "doc", "pos", "n", "again"])
     return run
 
 
-def _windows(length: int):
-    """Fingerprints of the windows of opened records: (doc, pos, h1, h2)."""
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge scan of rows in the order (key, rec, doc, pos): first places and later ones.
+
+    ``old`` rows come from levels: 0 from a level that stays, 1 from one that is
+    taken up, 2 from the batch.  Out: entries of the new level and, as
+    ``match``, places of the batch that an earlier one equals.
+    """
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, rec, old = (b.column(c).to_numpy() for c in ("key", "rec", "old"))
+        head = np.ones(len(key), bool)
+        head[1:] = (key[1:] != key[:-1]) | (rec[1:] != rec[:-1])
+        if last == (key[0], rec[0]):
+            head[0] = False
+        last = (key[-1], rec[-1])
+        keep = np.where(head, old > 0, old == 2)
+        out = b.append_column("match", pa.array(~head)).filter(pa.array(keep))
+        yield out.select(["key", "rec", "doc", "pos", "n", "match"])
+
+
+def _segments(length: int):
+    """Bytes under the opened records: (key, doc, pos, n, bytes)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, buf, off in text_parts(b.column("text")):
-                k = len(off) - 1
-                runs = b.column("runs").slice(i, k)
-                row = np.repeat(np.arange(k), np.asarray(pa.compute.list_value_length(runs)))
-                flat = runs.flatten()
-                pos, n = np.asarray(flat.field("pos")), np.asarray(flat.field("n")).astype(np.int64)
-                row, base = np.repeat(row, n), np.repeat(pos, n)
-                at = base + np.arange(len(base)) - np.repeat(np.cumsum(n) - n, n)
-                start = off[row] + at
-                h = [pa.array(span_hash(prefix_sums(buf, s), start, start + length).view(np.int64)) for s in (7, 9)]
-                yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row + i)), pa.array(at), *h], ["doc", "pos", "h1", "h2"])
+            keys, docs, places, counts, parts = [], [], [], [], []
+            for k, (text, runs) in enumerate(zip(b.column("text").to_pylist(), b.column("runs"))):
+                raw = text.encode()
+                f = runs.values
+                for key, pos, n, many in zip(*(f.field(c).to_pylist() for c in ("key", "pos", "n", "many"))):
+                    keys.append((key, many))
+                    docs.append(k)
+                    places.append(pos)
+                    counts.append(n)
+                    parts.append(raw[pos:pos + n - 1 + length])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _ in keys], pa.int64()), pa.array([m for _, m in keys], pa.bool_()), b.column("doc").take(pa.array(docs, pa.int64())),
+                 pa.array(places, pa.int64()), pa.array(counts, pa.int32()), pa.array(parts, pa.binary())], ["key", "many", "doc", "pos", "n", "bytes"])
+    return run
+
+
+def _window_hashes(b: pa.RecordBatch, length: int) -> tuple[np.ndarray, ...]:
+    """Row, place and both fingerprints of every window of the batch's segments."""
+    n = b.column("n").to_numpy().astype(np.int64)
+    size = n + length - 1
+    buf = np.frombuffer(b"".join(b.column("bytes").to_pylist()), np.uint8)
+    row = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    start = np.repeat(np.cumsum(size) - size, n) + step
+    h = [span_hash(prefix_sums(buf, s), start, start + length) for s in (7, 9)]
+    return row, b.column("pos").to_numpy()[row] + step, *h
+
+
+def _side_by_side(length: int):
+    """Spans of windows that stand in an earlier segment with the same key; rows come in the order (key, doc, pos)."""
+    def solve(b: pa.RecordBatch) -> pa.RecordBatch:
+        row, pos, h1, h2 = _window_hashes(b, length)
+        order = np.lexsort((pos, row, h2, h1))          # rows of one key ascend by document and place
+        again = np.zeros(len(row), bool)
+        x = order
+        again[x[1:]] = (h1[x][1:] == h1[x][:-1]) & (h2[x][1:] == h2[x][:-1])
+        row, pos = row[again], pos[again]
+        return pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(row)), pa.array(pos), pa.array(pos + length)], ["doc", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None               # the last key may go on in the next batch
+        for b in batches:
+            if held is not None:
+                b = pa.concat_batches([held, b])
+            if not b.num_rows:
+                continue
+            key = b.column("key").to_numpy()
+            cut = int(np.flatnonzero(key != key[-1])[-1]) + 1 if (key != key[-1]).any() else 0
+            held = b.slice(cut)
+            if cut:
+                yield solve(b.slice(0, cut))
+        if held is not None:
+            yield solve(held)
+    return run
+
+
+def _dealt_windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 5000):
+                part = b.slice(i, 5000)
+                row, pos, h1, h2 = _window_hashes(part, length)
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(pos), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                                                 ["doc", "pos", "h1", "h2"])
     return run
 
 
@@ -135,43 +227,37 @@ class SuffixIndex:
 
     def __init__(self, length: int = 100):
         self.length = length
-        self.levels: list[tuple[int, DataFrame]] = []       # (rank, entries: key, rec, doc, pos, n)
+        self.levels: list[tuple[int, DataFrame]] = []       # (rank, entries in the order key, rec)
 
     def add(self, docs: DataFrame) -> DataFrame:
         """Take in a batch (doc, text) of documents after all earlier ones; its spans (doc, a, b) that match as whole records."""
-        recs = materialize(docs.mapInArrow(_records(self.length), RECORD), "records")
-        first = F.min(F.struct("doc", "pos", "n")).alias("first")
-        own = materialize(recs.groupBy("key", "rec").agg(first, F.count("*").alias("c")).sortWithinPartitions("key", "rec"), "own")
-        known = None
-        for _, level in self.levels:                         # merge scans
-            hit = own.join(level.select("key", "rec"), ["key", "rec"], "left_semi").select("key", "rec")
-            known = hit if known is None else known.unionByName(hit)
-        known = materialize(known, "known") if known is not None else own.limit(0).select("key", "rec")
-        again = materialize(own.where("c > 1").select("key", "rec", "first").join(known, ["key", "rec"], "left_anti")
-                            .unionByName(known.select("key", "rec", F.lit(None).cast(own.schema["first"].dataType).alias("first"))), "again")
-        spans = materialize(recs.join(again, ["key", "rec"])
-                            .where(F.col("first").isNull() | (F.col("first.pos") != F.col("pos")) | ~F.col("first.doc").eqNullSafe(F.col("doc")))
-                            .select("doc", F.col("pos").alias("a"), (F.col("pos") + F.col("n") - 1 + self.length).alias("b")), "spans")
-        fresh = materialize(own.join(known, ["key", "rec"], "left_anti").select("key", "rec", "first.doc", "first.pos", "first.n")
-                            .sortWithinPartitions("key", "rec"), "level")
-        for t in (recs, own, again):
+        recs = materialize(docs.mapInArrow(_records(self.length), ENTRY + ", again boolean"), "records")
+        rank, taken = 0, []
+        while self.levels and self.levels[-1][0] == rank:
+            taken.append(self.levels.pop()[1])
+            rank += 1
+        rows = recs.where("not again").drop("again").withColumn("old", F.lit(2))
+        for old, tables in ((0, [t for _, t in self.levels]), (1, taken)):
+            for t in tables:
+                rows = rows.unionByName(t.withColumn("old", F.lit(old)))
+        ordered = rows.repartition("key", "rec").sortWithinPartitions("key", "rec", "doc", "pos")
+        scanned = materialize(ordered.mapInArrow(_scan, ENTRY + ", match boolean"), "level")
+        self.levels.append((rank, scanned.where("not match").drop("match")))
+        end = (F.col("pos") + F.col("n") - 1 + self.length).alias("b")
+        spans = materialize(recs.where("again").unionByName(scanned.where("match").withColumnRenamed("match", "again"))
+                            .select("doc", F.col("pos").alias("a"), end), "spans")
+        for t in (recs, *taken):
             drop_table(t)
-        self.levels.append((0, fresh))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, x), (_, y) = self.levels.pop(), self.levels.pop()
-            self.levels.append((rank + 1, materialize(y.unionByName(x).sortWithinPartitions("key", "rec"), "level")))
-            drop_table(x)
-            drop_table(y)
         docs.sparkSession.sparkContext._jvm.System.gc()      # shuffle files of the batch go with their plans
         return spans
 
     def opened(self) -> DataFrame:
-        """Entries (doc, pos, n) that share a key with another entry."""
+        """Entries that share a key with another one: (key, doc, pos, n, many)."""
         entries = self.levels[0][1]
         for _, x in self.levels[1:]:
             entries = entries.unionByName(x)
-        mixed = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "mixed")
-        return materialize(entries.join(mixed, "key").select("doc", "pos", "n"), "opened")
+        mixed = materialize(entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key", (F.col("c") > GROUP).alias("many")), "mixed")
+        return entries.join(mixed, "key").select("key", "doc", "pos", "n", "many")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batches: int = 4) -> DataFrame:
@@ -180,7 +266,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``batches`` is the number of arrivals into which the table is dealt by doc_id.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    if not rows.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+    repeated = not rows.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    if repeated:
         rows = rows.groupBy("doc").agg(F.min("text").alias("text"))
     cuts = sorted(set(rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001)))
     bounds = [None, *cuts, None]
@@ -192,13 +279,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if hi is not None:
             part = part.where((F.col("doc") <= int(hi)) | (F.col("doc").isNull() if lo is None else F.lit(False)))
         found.append(index.add(part))
-    todo = index.opened().groupBy("doc").agg(F.collect_list(F.struct("pos", "n")).alias("runs"))
-    todo = materialize(todo, "todo")
+    todo = index.opened().groupBy("doc").agg(F.collect_list(F.struct("key", "pos", "n", "many")).alias("runs"))
+    todo = materialize(todo, "todo").withColumnRenamed("doc", "d")
     for _, level in index.levels:
         drop_table(level)
-    t, r = todo.select(F.col("doc").alias("d"), "runs"), rows
-    windows = materialize(r.join(t, F.col("doc").eqNullSafe(F.col("d"))).select("doc", "text", "runs")
-                          .mapInArrow(_windows(length), "doc long, pos long, h1 long, h2 long"), "windows")
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    same = F.col("doc").eqNullSafe(F.col("d"))
+    segments = materialize(rows.join(todo, same).select("doc", "text", "runs")
+                           .mapInArrow(_segments(length), "key long, many boolean, doc long, pos long, n int, bytes binary"), "segments")
+    rows.sparkSession.sparkContext._jvm.System.gc()
+    found.append(segments.where("not many").repartition("key").sortWithinPartitions("key", "doc", "pos")
+                 .mapInArrow(_side_by_side(length), "doc long, a long, b long"))
+    windows = materialize(segments.where("many").mapInArrow(_dealt_windows(length), "doc long, pos long, h1 long, h2 long"), "windows")
     twice = materialize(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c"))
                         .where("c > 1").select("h1", "h2", "first"), "twice")
     found.append(windows.join(twice, ["h1", "h2"]).where((F.col("first.pos") != F.col("pos")) | ~F.col("first.doc").eqNullSafe(F.col("doc")))
@@ -207,7 +299,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for x in found[1:]:
         spans = spans.unionByName(x)
     spans = materialize(spans.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "b")).alias("spans")), "found")
-    same = F.col("doc").eqNullSafe(F.col("d"))
     result = rows.join(spans, same, "left").select(F.col("doc").alias("doc_id"), "text", "spans").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
+    if repeated:
+        ids = docs.select(F.col(id_col).cast("long").alias("d"))
+        result = ids.join(result, F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
     return result
