@@ -44,6 +44,13 @@ def prefix_sums(buf: np.ndarray, seed: int = 1) -> np.ndarray:
     return s
 
 
+def value_sums(values: np.ndarray) -> np.ndarray:
+    """The same sums over given values instead of bytes."""
+    s = np.zeros(len(values) + 1, U)
+    np.cumsum(values * powers(BASE, len(values) + 1)[:-1], out=s[1:])
+    return s
+
+
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes start..end; equal bytes give equal hashes wherever they stand."""
     return mix((sums[end] - sums[start]) * powers(INVERSE, len(sums))[start])

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .hashing import mix, span_hash, text_parts, value_sums
 
 SPACE_MARK = "▁"
 MAX_PIECES, HEAD, SAMPLE_DOCS, LONG = 1_000_000, 400_000, 20_000, 64
@@ -46,6 +48,42 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+@dataclass
+class Cut:
+    """Segments of a run of texts; ``rep`` are the places of distinct ones and ``which`` each segment's."""
+    chars: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray           # each text's first segment, one more at the end
+    h1: np.ndarray
+    h2: np.ndarray
+    rep: np.ndarray
+    which: np.ndarray
+
+    def text(self, i: int) -> str:
+        return self.chars[self.start[i]:self.end[i]].tobytes().decode("utf-32-le")
+
+
+@dataclass
+class Head:
+    """Ids of frequent segments, found by both hashes."""
+    h1: np.ndarray
+    h2: np.ndarray
+    base: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+
+    def find(self, k: Cut) -> np.ndarray:
+        """Entry of each distinct segment, -1 for those not at hand."""
+        if not len(self.h1):
+            return np.full(len(k.rep), -1)
+        at = np.minimum(np.searchsorted(self.h1, k.h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == k.h1) & (self.h2[at] == k.h2), at, -1)
+
+
+NO_HEAD = Head(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int32)))
+
+
 class Vocabulary:
     """Pieces with ids and scores, byte ids, and the pairs of characters that some piece holds."""
 
@@ -84,22 +122,33 @@ class Vocabulary:
             out[wide] = self.pairs[at] == key
         return out
 
+    def cut(self, buf: np.ndarray, off: np.ndarray) -> Cut:
+        """The independent segments of UTF-8 texts, as places in their characters with the space mark put in."""
+        chars = np.frombuffer(buf.tobytes().decode().encode("utf-32-le"), np.uint32)
+        place = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])[off]
+        full = np.diff(place) > 0
+        c = np.insert(np.where(chars == 32, np.uint32(ord(SPACE_MARK)), chars), place[:-1][full], np.uint32(ord(SPACE_MARK)))
+        ends = place + np.concatenate([[0], np.cumsum(full)])
+        here = np.zeros(len(c) + 1, bool)
+        here[ends] = True
+        if len(c) > 1:
+            here[1:-1] |= ~self.joined(c)
+        at = np.flatnonzero(here)
+        start, end = at[:-1], at[1:]
+        h1, h2 = (span_hash(value_sums(mix(c.astype(np.uint64) + np.uint64(k))), start, end) for k in (1 << 32, 1 << 40))
+        _, rep, which = np.unique(h1, return_index=True, return_inverse=True)
+        if (h2 != h2[rep[which]]).any():
+            rep = which = np.arange(len(start))
+        return Cut(c, start, end, np.searchsorted(at, ends), h1[rep], h2[rep], rep, which)
+
     def segments(self, texts: list[str | None]) -> list[list[str]]:
-        """The independent segments of each text, in order."""
-        marked = [SPACE_MARK + t.replace(" ", SPACE_MARK) if t else "" for t in texts]
-        full = "".join(marked)
-        if not full:
-            return [[] for _ in texts]
-        c = np.frombuffer(full.encode("utf-32-le", "surrogatepass"), np.uint32)
-        cut = np.ones(len(c) + 1, bool)
-        cut[1:-1] = ~self.joined(c)
-        ends = np.cumsum([len(m) for m in marked])
-        cut[ends] = True
-        at = np.flatnonzero(cut)
-        last = np.searchsorted(at, ends)
-        at = at.tolist()
-        words = [full[x:y] for x, y in zip(at[:-1], at[1:])]
-        return [words[a:b] for a, b in zip([0, *last[:-1].tolist()], last.tolist())]
+        """The same segments as strings, for tests and small inputs."""
+        out = []
+        for _, buf, off in text_parts(pa.array(texts, pa.string())):
+            k = self.cut(buf, off)
+            words = [k.text(i) for i in range(len(k.start))]
+            out += [words[a:b] for a, b in zip(k.first[:-1], k.first[1:])]
+        return out
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "replace")]
@@ -121,6 +170,10 @@ class Vocabulary:
             e = -back
         return [i for part in reversed(out) for i in part]
 
+    def spelled(self, segment: str, ids: list[int]) -> list[int]:
+        """Ids of a lattice path with its byte fallbacks written out."""
+        return [x for i in ids for x in ([i] if i >= 0 else self.bytes_of(segment[-1 - i]))]
+
     def own(self, segment: str) -> list[int] | None:
         """Ids of segments that need no lattice row: a lone character, or an overlong segment."""
         if len(segment) == 1:
@@ -158,80 +211,83 @@ def lattice(segments: DataFrame, path: str) -> DataFrame:
     return grouped.select("segment", F.element_at(best, -1).path.alias("ids"))
 
 
-def _parts(texts: list[str | None], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
-    i = 0
-    while i < len(texts):
-        j, held = i, 0
-        while j < len(texts) and (j == i or held < limit):
-            held += len(texts[j] or "") + 1
-            j += 1
-        yield i, j
-        i = j
-
-
 def _rest(path: str, head):
-    """Segments of each document that are neither at hand nor solved in place."""
+    """Distinct segments of each document that are neither at hand nor solved in place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, known = vocabulary(path), head.value if head else {}
+        v, known = vocabulary(path), head.value if head else NO_HEAD
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in _parts(texts):
-                docs, words = [], []
-                for k, segs in enumerate(v.segments(texts[i:j])):
-                    new = [s for s in set(segs) if s not in known and 1 < len(s) <= LONG]
-                    docs += [i + k] * len(new)
-                    words += new
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(docs, pa.int64())), pa.array(words, pa.string())], ["doc_id", "segment"])
+            for i, buf, off in text_parts(b.column("text"), 1 << 20):
+                k = v.cut(buf, off)
+                size = (k.end - k.start)[k.rep]
+                new = (known.find(k) < 0) & (size > 1) & (size <= LONG)
+                doc = np.repeat(np.arange(len(off) - 1), np.diff(k.first))
+                mine = new[k.which]
+                pairs = np.unique(doc[mine] * len(k.rep) + k.which[mine])
+                words = {j: k.text(k.rep[j]) for j in np.flatnonzero(new).tolist()}
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(pairs // max(1, len(k.rep)) + i)),
+                                                  pa.array([words[j] for j in (pairs % max(1, len(k.rep))).tolist()], pa.string())], ["doc_id", "segment"])
     return run
 
 
 def _encoder(path: str, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(path), head.value
-        lone: dict[str, bytes] = {}
         for b in batches:
-            texts = b.column("text").to_pylist()
-            own_words, own_ids = b.column("words"), b.column("ids")
-            for i, j in _parts(texts):
-                flat, off = [], [0]
-                for k, segs in enumerate(v.segments(texts[i:j])):
-                    own = {w: pack(v, w, x) for w, x in zip(own_words[i + k].as_py() or [], own_ids[i + k].as_py() or [])}
-                    out = []
-                    for s in segs:
-                        x = known.get(s) or own.get(s) or lone.get(s)
-                        if x is None:
-                            x = np.array(v.own(s), np.int32).tobytes()
-                            if len(s) == 1 and len(lone) < 100_000:
-                                lone[s] = x
-                        out.append(x)
-                    flat.append(b"".join(out))
-                    off.append(off[-1] + len(flat[-1]) // 4)
-                ids = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), ids], ["doc_id", "ids"])
+            for i, buf, off in text_parts(b.column("text"), 1 << 20):
+                n = len(off) - 1
+                k = v.cut(buf, off)
+                own, lists = b.column("words").slice(i, n).flatten().to_pylist(), b.column("ids").slice(i, n).flatten()
+                own_off, own_ids = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)
+                place = dict(zip(own, range(len(own))))
+                entry = known.find(k)
+                base, size = np.zeros(len(entry), np.int64), np.zeros(len(entry), np.int64)
+                base[entry >= 0], size[entry >= 0] = known.base[entry[entry >= 0]], known.size[entry[entry >= 0]]
+                extra: list[int] = []
+                for j in np.flatnonzero(entry < 0).tolist():
+                    word = k.text(k.rep[j])
+                    at = place.get(word)
+                    ids = v.own(word) if at is None else own_ids[own_off[at]:own_off[at + 1]]
+                    if at is None or (ids < 0).any():
+                        ids = ids if at is None else v.spelled(word, ids.tolist())
+                        base[j] = len(known.ids) + len(own_ids) + len(extra)
+                        extra += ids
+                    else:
+                        base[j] = len(known.ids) + own_off[at]
+                    size[j] = len(ids)
+                flat = np.concatenate([known.ids, own_ids.astype(np.int32), np.array(extra, np.int32)])
+                size, base = size[k.which], base[k.which]
+                upto = np.concatenate([[0], np.cumsum(size)])
+                out = flat[np.repeat(base - upto[:-1], size) + np.arange(upto[-1])]
+                ids = pa.ListArray.from_arrays(pa.array(upto[k.first].astype(np.int32)), pa.array(out))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, n), ids], ["doc_id", "ids"])
     return run
 
 
-def pack(v: Vocabulary, segment: str, ids: list[int]) -> bytes:
-    out: list[int] = []
-    for i in ids:
-        out += [i] if i >= 0 else v.bytes_of(segment[-1 - i])
-    return np.array(out, np.int32).tobytes()
-
-
-def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SAMPLE_DOCS) -> dict[str, bytes]:
+def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SAMPLE_DOCS) -> Head:
     """Frequent segments of a bounded sample with their ids: at most ``most`` entries of at most LONG characters."""
     share = min(1.0, sample / max(1, rows.count()))
     some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
     counts = materialize(some.mapInArrow(_rest(path, None), "doc_id long, segment string").groupBy("segment").agg(F.count("*").alias("c")), "counts")
     left, least = most, None
     for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():   # one row per distinct count of the sample
-        if r.n > left:
+        if r.n > left or r.c < 2:
             break
         left, least = left - r.n, r.c
     if least is None:
-        return {}
+        return NO_HEAD
     v = vocabulary(path)
-    return {r.segment: pack(v, r.segment, r.ids) for r in lattice(counts.where(F.col("c") >= least).select("segment"), path).toLocalIterator()}
+    solved = materialize(lattice(counts.where(F.col("c") >= least).select("segment"), path), "head").toArrow()     # at most ``most`` rows
+    words, lists = solved.column("segment").to_pylist(), solved.column("ids").combine_chunks()
+    sizes, ids = np.diff(np.asarray(lists.offsets)), np.asarray(lists.values).copy()
+    start = np.cumsum(sizes) - sizes
+    plain = np.ones(len(words), bool)
+    plain[np.repeat(np.arange(len(words)), sizes)[ids < 0]] = False                # with byte fallback: left to the tail
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    end = np.cumsum([len(w) for w in words])
+    h1, h2 = (span_hash(value_sums(mix(c + np.uint64(k))), end - [len(w) for w in words], end) for k in (1 << 32, 1 << 40))
+    order = np.argsort(h1)
+    order = order[plain[order]]
+    return Head(h1[order], h2[order], start[order].astype(np.int64), sizes[order].astype(np.int64), ids.astype(np.int32))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
