@@ -223,7 +223,7 @@ def test_lattice_equals_the_recurrence(spark):
     v, random_ = sentencepieces.vocabulary(sentencepieces.vocabulary_path()), random.Random(2)
     words = {"".join(random_.choice("▁theraionsé漢ق") for _ in range(random_.randint(2, 30))) for _ in range(300)} | {"▁▁▁▁the", "\n\n"}
     got = sentencepieces.lattice(spark.createDataFrame([(w,) for w in words], "segment string"), sentencepieces.vocabulary_path()).collect()
-    assert {r.segment: np.frombuffer(sentencepieces.pack(v, r.segment, r.ids), np.int32).tolist() for r in got} == {w: v.path_ids(w) for w in words}
+    assert {r.segment: v.spelled(r.segment, r.ids) for r in got} == {w: v.path_ids(w) for w in words}
 
 
 def test_scores_of_odd_rows(docs, labels):
