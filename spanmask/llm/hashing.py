@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(BASE, -1, 1 << 64)
+OTHER_BASE = 0xD6E8FEB86659FD93
 U = np.uint64
 
 
@@ -22,7 +22,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _powers(base: int, n: int) -> np.ndarray:
     p = np.full(n, base, U)
     p[0] = 1
@@ -44,16 +44,16 @@ def prefix_sums(buf: np.ndarray, seed: int = 1) -> np.ndarray:
     return s
 
 
-def value_sums(values: np.ndarray) -> np.ndarray:
+def value_sums(values: np.ndarray, base: int = BASE) -> np.ndarray:
     """The same sums over given values instead of bytes."""
     s = np.zeros(len(values) + 1, U)
-    np.cumsum(values * powers(BASE, len(values) + 1)[:-1], out=s[1:])
+    np.cumsum(values * powers(base, len(values) + 1)[:-1], out=s[1:])
     return s
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE) -> np.ndarray:
     """Hash of the bytes start..end; equal bytes give equal hashes wherever they stand."""
-    return mix((sums[end] - sums[start]) * powers(INVERSE, len(sums))[start])
+    return mix((sums[end] - sums[start]) * powers(pow(base, -1, 1 << 64), len(sums))[start])
 
 
 def text_parts(texts: pa.Array, max_bytes: int = 2 << 20, max_rows: int = 1 << 15) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

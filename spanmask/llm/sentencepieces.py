@@ -32,12 +32,13 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
-from .hashing import mix, span_hash, text_parts, value_sums
+from .hashing import BASE, OTHER_BASE, span_hash, text_parts, value_sums
 
 SPACE_MARK = "▁"
 MAX_PIECES, HEAD, SAMPLE_DOCS, LONG = 1_000_000, 400_000, 20_000, 64
@@ -81,6 +82,12 @@ class Head:
         return np.where((self.h1[at] == k.h1) & (self.h2[at] == k.h2), at, -1)
 
 
+def hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of character spans."""
+    values = c.astype(np.uint64) + np.uint64(1)
+    return span_hash(value_sums(values, BASE), start, end, BASE), span_hash(value_sums(values, OTHER_BASE), start, end, OTHER_BASE)
+
+
 NO_HEAD = Head(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int32)))
 
 
@@ -105,19 +112,24 @@ class Vocabulary:
             self.raw[i] = bytes([b])
         pairs = sorted({ord(a) << 21 | ord(b) for p in self.pieces for a, b in zip(p, p[1:])})
         self.pairs = np.array(pairs, np.uint64)
-        self.near = np.zeros((NARROW, NARROW), bool)
-        for p in pairs:
-            if p >> 21 < NARROW and (p & 0x1FFFFF) < NARROW:
-                self.near[p >> 21, p & 0x1FFFFF] = True
+        # a table for low characters, the space mark (NARROW) and all others (NARROW + 1, looked up in ``pairs``)
+        self.near = np.zeros((NARROW + 2, NARROW + 2), bool)
+        self.near[self._low(self.pairs >> np.uint64(21)), self._low(self.pairs & np.uint64(0x1FFFFF))] = True
+
+    @staticmethod
+    def _low(c: np.ndarray) -> np.ndarray:
+        t = np.minimum(c, NARROW + 1).astype(np.int32)
+        t[c == ord(SPACE_MARK)] = NARROW
+        return t
 
     def joined(self, c: np.ndarray) -> np.ndarray:
         """Whether characters i and i + 1 may stand in one piece."""
-        a, b = c[:-1], c[1:]
-        narrow = (a < NARROW) & (b < NARROW)
-        out = self.near[np.where(narrow, a, 0), np.where(narrow, b, 0)]
-        wide = np.flatnonzero(~narrow)
-        if len(wide):
-            key = a[wide].astype(np.uint64) << np.uint64(21) | b[wide]
+        t = self._low(c)
+        out = self.near.ravel()[t[:-1] * (NARROW + 2) + t[1:]]
+        other = t == NARROW + 1
+        if other.any():
+            wide = np.flatnonzero(other[:-1] | other[1:])
+            key = c[:-1][wide].astype(np.uint64) << np.uint64(21) | c[1:][wide]
             at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
             out[wide] = self.pairs[at] == key
         return out
@@ -135,8 +147,10 @@ class Vocabulary:
             here[1:-1] |= ~self.joined(c)
         at = np.flatnonzero(here)
         start, end = at[:-1], at[1:]
-        h1, h2 = (span_hash(value_sums(mix(c.astype(np.uint64) + np.uint64(k))), start, end) for k in (1 << 32, 1 << 40))
-        _, rep, which = np.unique(h1, return_index=True, return_inverse=True)
+        h1, h2 = hashes(c, start, end)
+        which, distinct = pd.factorize(h1)
+        rep = np.zeros(len(distinct), np.int64)
+        rep[which[::-1]] = np.arange(len(start))[::-1]
         if (h2 != h2[rep[which]]).any():
             rep = which = np.arange(len(start))
         return Cut(c, start, end, np.searchsorted(at, ends), h1[rep], h2[rep], rep, which)
@@ -284,7 +298,7 @@ def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SA
     plain[np.repeat(np.arange(len(words)), sizes)[ids < 0]] = False                # with byte fallback: left to the tail
     c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
     end = np.cumsum([len(w) for w in words])
-    h1, h2 = (span_hash(value_sums(mix(c + np.uint64(k))), end - [len(w) for w in words], end) for k in (1 << 32, 1 << 40))
+    h1, h2 = hashes(c, end - [len(w) for w in words], end)
     order = np.argsort(h1)
     order = order[plain[order]]
     return Head(h1[order], h2[order], start[order].astype(np.int64), sizes[order].astype(np.int64), ids.astype(np.int32))

@@ -18,7 +18,8 @@ before anything is shuffled.
 Entries that share the hash at the named place but differ as records overlap in
 part.  Only these are opened: equal windows always name equal places, so the
 windows of a few entries with one key are compared side by side, and those of a
-key with more than ``GROUP`` entries are dealt out by their fingerprints, which
+key with more than ``GROUP`` entries are dealt out by their fingerprints, first
+in blocks of ``BLOCK`` windows and then, for the blocks left, one by one, which
 splits a passage that a third of all documents share.  Every other place
 follows from first places.
 
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import drop_table, materialize
 from .hashing import U, mix, prefix_sums, span_hash, text_parts
 
-SEED, GROUP = 32, 64
+SEED, GROUP, BLOCK = 32, 64, 8
 ENTRY = "key long, rec long, doc long, pos long, n int"
 
 
@@ -103,7 +104,7 @@ def _records(length: int):
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge scan of rows in the order (key, rec, doc, pos): first places and later ones.
+    """Merge scan of rows in the order (key, rec, old, doc, pos): first places and later ones.
 
     ``old`` rows come from levels: 0 from a level that stays, 1 from one that is
     taken up, 2 from the batch.  Out: entries of the new level and, as
@@ -184,17 +185,39 @@ def _side_by_side(length: int):
     return run
 
 
-def _dealt_windows(length: int):
+PIECE = "doc long, pos long, n int, bytes binary, h1 long, h2 long"
+
+
+def _dealt(length: int, most: int):
+    """Segments cut into pieces of at most ``most`` windows, with two fingerprints of each piece."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 5000):
                 part = b.slice(i, 5000)
-                row, pos, h1, h2 = _window_hashes(part, length)
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(pos), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                                                 ["doc", "pos", "h1", "h2"])
+                row, pos, n, raw = [], [], [], []
+                for k, (p, many, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("pos", "n", "bytes")))):
+                    for at in range(0, many, most):
+                        row.append(k)
+                        pos.append(p + at)
+                        n.append(min(most, many - at))
+                        raw.append(text[at:at + n[-1] + length - 1])
+                end = np.cumsum([len(x) for x in raw]).astype(np.int64)
+                buf = np.frombuffer(b"".join(raw), np.uint8)
+                h = [pa.array(span_hash(prefix_sums(buf, s), end - [len(x) for x in raw], end).view(np.int64)) for s in (7, 9)] if raw else [pa.array([], pa.int64())] * 2
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row, pa.int64())), pa.array(pos, pa.int64()), pa.array(n, pa.int32()),
+                                                  pa.array(raw, pa.binary()), *h], ["doc", "pos", "n", "bytes", "h1", "h2"])
     return run
 
 
+def _later_and_first(pieces: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Spans (doc, a, b) of pieces that an earlier piece equals, and the pieces that are first of their kind."""
+    twice = materialize(pieces.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c"))
+                        .where("c > 1").select("h1", "h2", "first"), "twice")
+    is_first = (F.col("first.pos") == F.col("pos")) & F.col("first.doc").eqNullSafe(F.col("doc"))
+    spans = pieces.join(twice, ["h1", "h2"]).where(~is_first).select("doc", F.col("pos").alias("a"), (F.col("pos") + F.col("n") - 1 + length).alias("b"))
+    return spans, pieces.join(twice, ["h1", "h2"], "left").where(F.col("first").isNull() | is_first).select(*pieces.columns)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sizes and digests of what is left, with the removed runs."""
     for b in batches:
@@ -237,10 +260,12 @@ class SuffixIndex:
             taken.append(self.levels.pop()[1])
             rank += 1
         rows = recs.where("not again").drop("again").withColumn("old", F.lit(2))
-        for old, tables in ((0, [t for _, t in self.levels]), (1, taken)):
-            for t in tables:
-                rows = rows.unionByName(t.withColumn("old", F.lit(old)))
-        ordered = rows.repartition("key", "rec").sortWithinPartitions("key", "rec", "doc", "pos")
+        for t in taken:
+            rows = rows.unionByName(t.withColumn("old", F.lit(1)))
+        for _, t in self.levels:                             # only their records are looked at
+            rows = rows.unionByName(t.select("key", "rec", *[F.lit(None).cast(k).alias(c) for c, k in (("doc", "long"), ("pos", "long"), ("n", "int"))],
+                                             F.lit(0).alias("old")))
+        ordered = rows.repartition("key", "rec").sortWithinPartitions("key", "rec", "old", "doc", "pos")
         scanned = materialize(ordered.mapInArrow(_scan, ENTRY + ", match boolean"), "level")
         self.levels.append((rank, scanned.where("not match").drop("match")))
         end = (F.col("pos") + F.col("n") - 1 + self.length).alias("b")
@@ -260,7 +285,7 @@ class SuffixIndex:
         return entries.join(mixed, "key").select("key", "doc", "pos", "n", "many")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batches: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batches: int = 3) -> DataFrame:
     """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (runs of bytes).
 
     ``batches`` is the number of arrivals into which the table is dealt by doc_id.
@@ -269,7 +294,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     repeated = not rows.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
     if repeated:
         rows = rows.groupBy("doc").agg(F.min("text").alias("text"))
-    cuts = sorted(set(rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001)))
+    cuts = sorted(set(rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001))) if batches > 1 else []
     bounds = [None, *cuts, None]
     index, found = SuffixIndex(length), []
     for lo, hi in zip(bounds[:-1], bounds[1:]):
@@ -290,11 +315,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows.sparkSession.sparkContext._jvm.System.gc()
     found.append(segments.where("not many").repartition("key").sortWithinPartitions("key", "doc", "pos")
                  .mapInArrow(_side_by_side(length), "doc long, a long, b long"))
-    windows = materialize(segments.where("many").mapInArrow(_dealt_windows(length), "doc long, pos long, h1 long, h2 long"), "windows")
-    twice = materialize(windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("c"))
-                        .where("c > 1").select("h1", "h2", "first"), "twice")
-    found.append(windows.join(twice, ["h1", "h2"]).where((F.col("first.pos") != F.col("pos")) | ~F.col("first.doc").eqNullSafe(F.col("doc")))
-                 .select("doc", F.col("pos").alias("a"), (F.col("pos") + length).alias("b")))
+    blocks = materialize(segments.where("many").mapInArrow(_dealt(length, BLOCK), PIECE), "blocks")
+    later, first = _later_and_first(blocks, length)
+    windows = materialize(first.mapInArrow(_dealt(length, 1), PIECE).drop("bytes"), "windows")
+    found += [later, _later_and_first(windows, length)[0]]
     spans = found[0]
     for x in found[1:]:
         spans = spans.unionByName(x)
