@@ -45,7 +45,7 @@ from .common import materialize
 from .hashing import U, mix, shingle_sets, text_parts
 
 BUCKETS, ROWS, MANTISSA = 96, 3, 10
-SMALL, ROUNDS, FAMILY = 43, 3, 0.6          # two sets of over 32 shingles, or both of at most 43
+SMALL, ROUNDS, FAMILY = 43, 2, 0.6          # two sets of over 32 shingles, or both of at most 43
 EMPTY = 0
 
 
@@ -208,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = bands.groupBy("node").agg(F.sum("c").alias("degree"))
     members = materialize(bands.join(degree, "node").select("key", "node", "degree"), "members")
     inside = materialize(degree.select("node"), "inside")
-    r, w = rows.alias("r"), materialize(nodes.join(inside, "node", "left_semi").select("doc_id").distinct(), "wanted").alias("w")
+    r, w = rows.alias("r"), nodes.join(inside, "node", "left_semi").select("doc_id").distinct().alias("w")
     sets = materialize(r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").mapInArrow(_full_sets, "node binary, items binary")
                        .join(inside, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
     heads = nodes.select("node", "n", "regs")
@@ -217,22 +217,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def compared(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass the estimate, with the sizes of their sets and intersection."""
         side = lambda s: heads.select(F.col("node").alias(s), F.col("n").alias("n" + s), F.col("regs").alias("r" + s))
-        likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b")
-                             .mapInArrow(_likely(percent / 100), "a binary, b binary, na long, nb long"), "likely")
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent / 100), "a binary, b binary, na long, nb long")
         return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_common, PAIR), "compared")
 
     linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
     left, tested, first = members, None, None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         hubs = materialize(left.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
                            .select("key", F.col("hub.node").alias("b")), "hubs")
         met = materialize(left.withColumnRenamed("node", "a").join(hubs, "key").where("a != b"), "met")
         new = met.select("a", "b").distinct()
         done = compared(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
         tested = done if tested is None else tested.unionByName(done)
-        left = materialize(met.join(tested.where(linked).select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("a").alias("node"), "degree"), "left")
-
         first = done if first is None else first          # a key's members all meet its first hub
+        if turn + 1 < ROUNDS:
+            left = materialize(met.join(tested.where(linked).select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("a").alias("node"), "degree"), "left")
 
     links = materialize(tested.where(linked).select("a", "b"), "links")
     found = components(nodes.select("node", "doc_id"), links)
