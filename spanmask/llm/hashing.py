@@ -58,16 +58,17 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int =
 
 def text_parts(texts: pa.Array, max_bytes: int = 2 << 20, max_rows: int = 1 << 15) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, UTF-8 bytes, offsets) of runs of rows of about ``max_bytes``; null is empty, no text is cut."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    off = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-    data = texts.buffers()[2]
-    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
-    i = 0
-    while i < len(texts):
-        j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, "right")) - 1)
-        j = min(j, i + max_rows)
-        yield i, buf[off[i]:off[j]], off[i:j + 1] - off[i]
-        i = j
+    for a in range(0, len(texts), 1024):                 # a batch is not copied as a whole
+        some = pc.fill_null(texts.slice(a, 1024).cast(pa.large_string()), "")
+        off = np.frombuffer(some.buffers()[1], np.int64, len(some) + 1, some.offset * 8)
+        data = some.buffers()[2]
+        buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+        i = 0
+        while i < len(some):
+            j = max(i + 1, int(np.searchsorted(off, off[i] + max_bytes, "right")) - 1)
+            j = min(j, i + max_rows)
+            yield a + i, buf[off[i]:off[j]], off[i:j + 1] - off[i]
+            i = j
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
