@@ -12,7 +12,7 @@ from spanmask.llm.decontam import drop_contaminated
 from spanmask.llm.exact_dedup import drop_copies
 from spanmask.llm.near_dup import keep_one
 from spanmask.llm.quality import keep_good
-from spanmask.llm.sentencepieces import digests, encode, vocabulary_path
+from spanmask.llm.sentencepieces import encode_digests, vocabulary_path
 from spanmask.session import ship_package
 
 
@@ -41,8 +41,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, as counts and digests (operator 7)."""
     ship_package(spark)
-    path = vocabulary_path()
-    return digests(encode(docs, path), path)
+    return encode_digests(docs, vocabulary_path())
 
 
 STAGES = [("quality", quality), ("exact", exact), ("near", near), ("decontaminate", decontaminate), ("pieces", pieces)]

@@ -137,6 +137,5 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentencepieces import digests, encode, vocabulary_path
-    path = vocabulary_path()
-    return digests(encode(table(spark, sf_dir, "documents"), path), path)
+    from .sentencepieces import encode_digests, vocabulary_path
+    return encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())

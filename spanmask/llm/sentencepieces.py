@@ -304,8 +304,8 @@ def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SA
     return Head(h1[order], h2[order], start[order].astype(np.int64), sizes[order].astype(np.int64), ids.astype(np.int32))
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids of every row."""
+def _solved(docs: DataFrame, path: str, id_col: str, text_col: str):
+    """Rows with the paths of their own segments, and the frequent ones for all."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sc = docs.sparkSession.sparkContext
     head = sc.broadcast(head_segments(rows, path))
@@ -315,8 +315,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                       .agg(F.collect_list(F.struct("segment", "ids")).alias("own"))
                       .select("d", "own.segment", "own.ids").toDF("d", "words", "ids"), "own")
     sc._jvm.System.gc()                     # shuffle files of the lattices go with their plans
-    return (rows.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "words", "ids")
-            .mapInArrow(_encoder(path, head), "doc_id long, ids array<int>"))
+    return rows.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "words", "ids"), head
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids of every row."""
+    rows, head = _solved(docs, path, id_col, text_col)
+    return rows.mapInArrow(_encoder(path, head), "doc_id long, ids array<int>")
+
+
+def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``digests(encode(docs))`` in one Python worker a task instead of two."""
+    rows, head = _solved(docs, path, id_col, text_col)
+    encoder, digest = _encoder(path, head), _digest(path)
+    return rows.mapInArrow(lambda batches: digest(encoder(batches)), DIGESTS)
 
 
 def _decoder(path: str):
@@ -336,6 +348,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(_decoder(path), "doc_id long, text string")
 
 
+DIGESTS = "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string"
+
+
 def _digest(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -356,4 +371,4 @@ def _digest(path: str):
 
 def digests(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids_crc32 (little-endian unsigned 32-bit ids) and the SHA-256 of the decoded text."""
-    return encoded.mapInArrow(_digest(path), "doc_id long, n_pieces long, ids_crc32 long, decoded_sha256 string")
+    return encoded.mapInArrow(_digest(path), DIGESTS)
