@@ -230,7 +230,7 @@ def _rest(path: str, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(path), head.value if head else NO_HEAD
         for b in batches:
-            for i, buf, off in text_parts(b.column("text"), 1 << 19):
+            for i, buf, off in text_parts(b.column("text"), 1 << 18):
                 k = v.cut(buf, off)
                 size = (k.end - k.start)[k.rep]
                 new = (known.find(k) < 0) & (size > 1) & (size <= LONG)
@@ -247,7 +247,7 @@ def _encoder(path: str, head):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(path), head.value
         for b in batches:
-            for i, buf, off in text_parts(b.column("text"), 1 << 19):
+            for i, buf, off in text_parts(b.column("text"), 1 << 18):
                 n = len(off) - 1
                 k = v.cut(buf, off)
                 own, lists = b.column("words").slice(i, n).flatten().to_pylist(), b.column("ids").slice(i, n).flatten()
