@@ -17,10 +17,13 @@ members both differ from a hub:
   members can only be similar enough if they share a shingle that the hub lacks
   (found by an equi-join on prefixes of these remainders), or if both are so
   nearly contained in the hub that sizes alone allow it (found by hub and size).
-* If it has fewer, most of its keys hold shingles that the hub lacks, and a
-  similar document is met under one of those: with J >= 0.75 and a share c of
-  common shingles all 32 bands fail with probability
-  (1 - 0.42 * (1 - c ** 3)) ** 32, under 3e-6 for c <= 0.6.
+* Otherwise the two may meet at no common hub (documents made of several shared
+  passages can have another hub at each key).  All members of a key that are not
+  yet one component therefore go through an exact join: they meet by the rarest
+  of their shingles, so many that two similar members share one.
+
+So a similar pair is lost only if it shares no key at all: with J >= 0.75 all 32
+bands fail with probability (1 - 0.42) ** 32, under 3e-8.
 
 A compared pair must pass the collision-corrected Jaccard estimate (a six-sigma
 margin) and then the exact test on the full sets.
@@ -158,6 +161,40 @@ def _remainder(percent: int):
     return run
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("node"), b.column("mark"), _longs([np.frombuffer(x.as_py(), U) for x in b.column("items")])], ["node", "mark", "s"])
+
+
+def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots that may be similar; ``nodes``: (node, n, root, main), ``sets``: (node, items).
+
+    Shingles of one root only stand first in the common order, the others follow
+    from rare to frequent; two similar sets share one of their first
+    n - ceil(percent n) + 1, and what follows the first one that they share must
+    be enough.  Members of one main hub are left to that hub.
+    """
+    nodes = materialize(nodes.withColumn("mark", F.xxhash64("root")), "open")
+    parts = nodes.select("node", "mark").join(sets, "node").select("node", "mark", "items") \
+        .mapInArrow(_shingles, "node binary, mark long, s array<long>").select("node", "mark", F.explode("s").alias("s"))
+    counts = materialize(parts.groupBy("s").agg(F.count("*").alias("c"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+                         .where("lo != hi").select("s", "c"), "open_counts")
+    ranked = parts.select("node", "s").join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))
+    alone = F.col("n") - F.size("l")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = materialize(
+        ranked.join(nodes, "node").withColumn("alone", alone).withColumn("l", F.slice("l", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")))
+        .select("node", "n", "mark", "main", "alone", F.posexplode("l").alias("i", "x"))
+        .select("node", "n", "mark", "main", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.s").alias("s")), "first_shingles")
+    meet = materialize(first.groupBy("s").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("s"), "first_meet")
+    first = materialize(first.join(meet, "s"), "first_meeting")
+    p, q = first.alias("p"), first.alias("q")
+    apart = (F.col("p.mark") != F.col("q.mark")) & ~F.coalesce(F.col("p.main") == F.col("q.main"), F.lit(False))
+    enough = (100 + percent) * F.least("p.rest", "q.rest") >= percent * (F.col("p.n") + F.col("q.n"))
+    return p.join(q, (F.col("p.s") == F.col("q.s")) & (F.col("p.node") < F.col("q.node")) & apart & enough) \
+        .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, root): the least (doc_id, node) reachable; ``nodes``: (node, doc_id), ``links``: (a, b).
 
@@ -261,7 +298,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     by_size = wide.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.size") == F.col("q.size")) & apart & enough(F.least("p.common", "q.common"))) \
         .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
     more = compared(by_rest.unionByName(by_size).distinct())
-    found = components(nodes.select("node", "doc_id"), links.unionByName(more.where(linked).select("a", "b")))
+    links = materialize(links.unionByName(more.where(linked).select("a", "b")), "links")
+    found = components(nodes.select("node", "doc_id"), links)
+    # whoever shares a key with a member of another component has perhaps not met that member
+    rooted = members.select("key", "node").join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
+    apart_still = rooted.join(several, "key").select("node", "root").distinct()
+    late = compared(rare_pairs(apart_still.join(nodes.select("node", "n"), "node").join(main, "node", "left"), sets, percent))
+    found = components(nodes.select("node", "doc_id"), links.unionByName(late.where(linked).select("a", "b")))
     named = materialize(nodes.select("node", "doc_id").join(found.select("node", "component"), "node", "left")
                         .select("node", F.coalesce("component", "doc_id").alias("component")), "named")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_queries import brute_components, brute_repeats
+from test_queries import brute_components, brute_repeats, shingles
 
 from spanmask.llm import common, decontam, exact_dedup, near_dup, quality, sentencepieces, suffix_dedup, tokens, toxicity, url_filter, warc
 from spanmask.session import ship_package
@@ -242,3 +242,17 @@ def test_label_model_weighs_families():
     p, rate, weight = toxicity.label_model(np.hstack([v, y[:, None]]), y)
     assert weight[5:15].sum() < 1.2 and weight[:5].min() > 0.8
     assert ((p > 0.5) == (y > 0.5)).mean() > 0.97
+
+
+def test_near_duplicates_among_mosaics(spark):
+    """Documents of 7 of 18 passages: keys have many members and different hubs, and a similar pair can be no hub's."""
+    ship_package(spark)
+    rnd, rows = random.Random(1), []
+    passages = [[f"p{i}_{j}" for j in range(12)] for i in range(18)]
+    for d in range(1500):
+        w = [x for i in rnd.sample(range(18), 7) for x in passages[i]]
+        rows += [(2 * d, " ".join(w + [f"o{d}_{j}" for j in range(7)])), (2 * d + 1, " ".join(w + [f"f{d}_{j}" for j in range(7)]))]
+    sets = [shingles(t) for _, t in rows]
+    assert all(100 * len(a & b) >= 75 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [d for d in range(0, 3000, 2) if got[d] != got[d + 1]] == []
