@@ -102,7 +102,11 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
 
 
 def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
-    """(header fields, content block) of each record in a stream of pieces."""
+    """(header fields, content block) of each record in a stream of pieces.
+
+    The pieces may come from several files: a payload that ends in CRLF leaves a
+    piece of CRLFs at its file's end, so CRLFs before a record are left out.
+    """
     end = CRLF2.encode()
     parts, size, need = [], 0, 0
     for piece in pieces:
@@ -110,10 +114,13 @@ def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
         size += len(piece) + 4
         while size >= max(need, 5):
             buf = b"".join(parts)
+            if buf.startswith(b"\r\n"):
+                buf = buf.lstrip(b"\r\n")
+                parts, size, need = [buf], len(buf), 0
+                continue
+            if not buf.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record begins with {buf[:40]!r}")
             head = buf.find(end)
-            if head < 0 or not buf.startswith(b"WARC/"):
-                parts, need = [buf], size + 1
-                break
             fields = dict(x.split(": ", 1) for x in buf[:head].decode().split("\r\n")[1:])
             need = head + 4 + int(fields["Content-Length"]) + 4
             if size < need:
@@ -121,6 +128,8 @@ def _records(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes]]:
                 break
             yield fields, buf[head + 4:need - 4]
             parts, size, need = [buf[need:]], size - need, 0
+    if b"".join(parts).strip(b"\r\n"):
+        raise ValueError(f"the last WARC record is cut off after {size} bytes")
 
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

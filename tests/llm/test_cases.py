@@ -184,6 +184,24 @@ def test_warc_cases(spark, tmp_path):
     assert {r.record_type for r in warc.read_archives(spark, f"{tmp_path}/v").where("payload_bytes < 5").collect()} == {"response"}
 
 
+def test_warc_payloads_that_end_in_crlf(spark, tmp_path):
+    """One record a file, all files read by one task."""
+    pages = [(i, f"u{i}", f"page {i}" + end) for i, end in enumerate(["\r\n", "", "\r\n\r\n", "\r\n\r\n\r\n", "\n", "\r", "\r\n", "x"])]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    warc.write_archives(df, f"{tmp_path}/w", records_per_file=1)
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    try:
+        read = warc.read_archives(spark, f"{tmp_path}/w")
+        assert read.rdd.getNumPartitions() == 1
+        assert {(r.page_id, bytes(r.payload).decode()) for r in read.collect()} == {(i, html) for i, _, html in pages}
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+    with pytest.raises(ValueError):
+        list(warc._records([b"junk", b"WARC/1.1"]))
+    with pytest.raises(ValueError):
+        list(warc._records([b"WARC/1.1\r\nContent-Length: 50", b"short"]))
+
+
 def test_tokens_cases(spark, docs, tmp_path):
     for encoding in ("dictionary", "delta"):
         path = f"{tmp_path}/{encoding}"
