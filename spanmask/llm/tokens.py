@@ -7,13 +7,15 @@ of a file in doc_id order, so that the page index lets a reader skip to a range
 of documents, and lengths in a column of their own, so that offsets are read
 without touching a token.
 
-Cases: null and empty texts have the end id alone; repeated doc_ids keep all
+Cases: null and empty texts have the end id alone; an added token of the
+tokenizer (``<|endoftext|>``) that a text holds is its own id, as the library has it; repeated doc_ids keep all
 their rows, side by side; null doc_ids come first; an empty table gives an
 empty file set; other columns are ignored.
 """
 from __future__ import annotations
 
 import importlib
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -41,7 +43,7 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
+    t.encode_special_tokens = True              # for pieces of text; added tokens are cut out before
     return t
 
 
@@ -110,8 +112,37 @@ def cuts(buf: np.ndarray) -> np.ndarray:
     return cut
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[bytes, bytes]]:
+    """Pattern of the tokenizer's added tokens (the longest at a place) and their packed ids."""
+    added = _tokenizer(path).get_added_tokens_decoder()
+    if any(t.lstrip or t.rstrip or t.single_word for t in added.values()) or _tokenizer(path).normalizer is not None:
+        raise ValueError("only added tokens that stand for their literal text are handled")
+    ids = {t.content.encode(): array("i", [i]).tobytes() for i, t in added.items()}
+    return (re.compile(b"|".join(map(re.escape, sorted(ids, key=len, reverse=True)))) if ids else None), ids
+
+
+def encode_texts(buf: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
+    """Packed ids of each whole text; an added token in a text is its own id."""
+    pattern, ids = _added(path)
+    raw = buf.tobytes()
+    if pattern is None or not pattern.search(raw):
+        return encode_parts(buf, off, path)
+    ends, kind, first = [], [], [0]                 # ends and added ids of the parts, each text's first part
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        for m in pattern.finditer(raw, a, b):
+            ends += m.span()
+            kind += (None, ids[m[0]])
+        ends.append(b)
+        kind.append(None)
+        first.append(len(ends))
+    parts = encode_parts(buf, np.array([0, *ends]), path)
+    parts = [p if k is None else k for p, k in zip(parts, kind)]
+    return [b"".join(parts[a:b]) for a, b in zip(first[:-1], first[1:])]
+
+
 def encode_parts(buf: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
-    """Packed ids of each whole text."""
+    """Packed ids of each whole text, an added token's characters taken as any others (see :func:`encode_texts`)."""
     here = np.zeros(len(buf) + 1, bool)
     here[off] = True
     if len(buf) > 1:
@@ -146,7 +177,7 @@ def _encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, buf, off in text_parts(b.column("text"), 4 << 20):
-                packed = [x + end for x in encode_parts(buf, off, path)]
+                packed = [x + end for x in encode_texts(buf, off, path)]
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)),
                                                 pa.array(np.frombuffer(b"".join(packed), np.int32)))

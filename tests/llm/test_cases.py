@@ -229,6 +229,16 @@ def test_tokens_of_mixed_scripts():
     assert [np.frombuffer(x, np.int32).tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_tokens_added_to_the_vocabulary(spark, tmp_path):
+    from tokenizers import Tokenizer
+    ship_package(spark)
+    t = Tokenizer.from_file(tokens.tokenizer_path())
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", " <|endoftext|> x\n", "", "<|endof", "text|>", "<|<|endoftext|>|>", "no end", "é <|endoftext|>漢"]
+    tokens.write_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), f"{tmp_path}/t", tokens.tokenizer_path())
+    got = {r.doc_id: list(r.ids) for r in tokens.read_tokens(spark, f"{tmp_path}/t").collect()}
+    assert got == {d: t.encode(x, add_special_tokens=False).ids + [tokens.END_ID] for d, x in enumerate(texts)}
+
+
 def test_sentencepiece_round_trip(spark, docs):
     path = sentencepieces.vocabulary_path()
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(20, "x" * 5000), (21, "a    b\n\n\tc   "), (22, " lead"), (23, "\x00é\u0301")], "doc_id long, text string"))
