@@ -89,7 +89,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             .select("doc_id", "item_id", "m.n_shingles", "m.n_shared", "m.containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that contain no item, with all their columns."""
-    gone = materialize(contaminated(docs, items, id_col, text_col).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
+    """The rows of ``docs`` whose text contains no item, with all their columns; rows without an id are judged with ``null_ids`` only."""
+    digest = F.sha2(F.col(text_col), 256)                # a row is judged by its own text, whatever ids repeat
+    texts = docs.select(digest.alias("doc_id"), F.col(text_col).alias("text"))
+    gone = materialize(contaminated(texts, items).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    judged = F.lit(True) if null_ids else F.col(id_col).isNotNull()
+    return docs.join(gone, (digest == F.col("__gone")) & judged, "left_anti")

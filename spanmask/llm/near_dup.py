@@ -41,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -100,7 +100,7 @@ def _longs(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(parts).view(np.int64)))
 
 
-SKETCH = "doc_id long, n long, node binary, regs binary, keys array<long>, small array<long>"
+SKETCH = "doc_id long, digest binary, n long, node binary, regs binary, keys array<long>, small array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +109,10 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = shingle_sets(buf, off)
             regs = registers(sets)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _ids(sets),
+                [b.column("doc_id").slice(i, len(sets)), b.column("digest").slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()), _ids(sets),
                  pa.array([r.tobytes() for r in regs], pa.binary()), _longs([k[:len(s)] if len(s) == 0 else k for k, s in zip(band_keys(regs), sets)]),
                  _longs([s if len(s) <= SMALL else s[:0] for s in sets])],
-                ["doc_id", "n", "node", "regs", "keys", "small"])
+                ["doc_id", "digest", "n", "node", "regs", "keys", "small"])
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,9 +232,19 @@ def prefix_keys(nodes: DataFrame, percent: int) -> DataFrame:
     return ranked.select("node", F.explode(F.slice("l", F.lit(1), size)).alias("x")).select("node", F.xxhash64(F.lit("prefix"), "x.s").alias("key"))
 
 
+def text_digest(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept (whether doc_id names its component)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return (judged_rows(docs, id_col, text_col, percent)
+            .select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+
+
+def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> DataFrame:
+    """One row per input row: doc_id, digest (of the text), n, component_id, root (node of the component, null without shingles)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("digest", text_digest(F.col("text")))
     sketches = materialize(rows.mapInArrow(_sketch, SKETCH), "sketches")
     nodes = materialize(sketches.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "regs", "keys", "small")]), "nodes")
@@ -306,15 +316,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart_still = rooted.join(several, "key").select("node", "root").distinct()
     late = compared(rare_pairs(apart_still.join(nodes.select("node", "n"), "node").join(main, "node", "left"), sets, percent))
     found = components(nodes.select("node", "doc_id"), links.unionByName(late.where(linked).select("a", "b")))
-    named = materialize(nodes.select("node", "doc_id").join(found.select("node", "component"), "node", "left")
-                        .select("node", F.coalesce("component", "doc_id").alias("component")), "named")
+    named = materialize(nodes.select("node", "doc_id").join(found, "node", "left")
+                        .select("node", F.coalesce("component", "doc_id").alias("component"), F.coalesce("root", "node").alias("root")), "named")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
-    return (sketches.select("doc_id", "n", "node").join(named, "node", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                    F.col("doc_id").eqNullSafe(component).alias("kept")))
+    return sketches.select("doc_id", "digest", "n", "node").join(named, "node", "left").select("doc_id", "digest", "n", component.alias("component_id"), "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, with all their columns."""
-    gone = materialize(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near_copies")
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: one per component, and all without shingles.
+
+    Rows are told apart by id and text, so a repeated or null id takes no other text along.
+    """
+    rows = materialize(judged_rows(docs, id_col, text_col).where("n > 0").select("root", "doc_id", "digest"), "judged")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("first"))
+    rows = rows.join(first, "root").groupBy(F.col("doc_id").alias("__gone"), F.col("digest").alias("__copy")).agg(
+        F.first(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))).alias("stays"), F.count("*").alias("c"))
+    gone = materialize(rows.where("not stays or c > 1"), "near_copies")
+    keyed = docs.withColumn("__digest", text_digest(F.col(text_col)))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.col("__digest") == F.col("__copy"))
+    once = keyed.join(gone.where("stays"), same, "left_semi").dropDuplicates([id_col, "__digest"])
+    return keyed.join(gone, same, "left_anti").unionByName(once).drop("__digest")

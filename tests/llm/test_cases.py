@@ -272,6 +272,19 @@ def test_label_model_weighs_families():
     assert ((p > 0.5) == (y > 0.5)).mean() > 0.97
 
 
+def test_stages_tell_rows_with_one_id_apart(spark):
+    ship_package(spark)
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    rows = [(None, one), (None, two), (None, one), (1, three), (2, three), (2, four), (2, four)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([one, two, three, four])
+    assert sorted(r.text for r in exact_dedup.drop_copies(df).collect()) == want
+    assert sorted(r.text for r in near_dup.keep_one(df).collect()) == want
+    items = spark.createDataFrame([(1, two), (2, three)], "item_id long, text string")
+    clean = decontam.drop_contaminated(df, items, null_ids=True).collect()
+    assert sorted(r.text for r in clean) == sorted([one, one, four, four])
+
+
 def test_near_duplicates_among_mosaics(spark):
     """Documents of 7 of 18 passages: keys have many members and different hubs, and a similar pair can be no hub's."""
     ship_package(spark)
