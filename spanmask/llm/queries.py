@@ -139,3 +139,40 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sentencepieces import encode_digests, vocabulary_path
     return encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+@query("op11_word_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .word_bpe import decode, digests, encode
+    return digests(decode(encode(table(spark, sf_dir, "documents"))))
+
+
+RANKED_SQL = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+p as (select doc_id, term, count(*) as tf from t group by all),
+d as (select doc_id, cast(sum(tf) as bigint) as n from p group by all),
+c as (select count(*) as cn, cast(sum(n) as bigint) as cl from d),
+m as (select doc_id, 75 + ((25 * n * cn) // cl) as m from d, c),
+q as (select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+qt as (select item_id, term, count(*) as qf from q group by all),
+w as (select term, cast(floor(1000 * ln((2 * cn + 2)::double / (2 * df + 1)::double)) as bigint) as w
+      from (select term, count(*) as df from p where term in (select term from qt) group by all), c),
+s as (select item_id, doc_id, cast(sum(qf * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) as bigint) as score
+      from qt join w using (term) join p using (term) join m using (doc_id) group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0)
+select item_id, cast(rank as int) as rank, doc_id, score from r where rank <= 20
+"""
+
+
+@query("op12_ranked_search", RANKED_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked_search import ranked_search
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import spelling_forms
+    return spelling_forms(table(spark, sf_dir, "documents"))
