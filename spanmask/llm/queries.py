@@ -172,7 +172,27 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op13_spelling_variants")
+SPELLING_SQL = r"""
+with recursive k as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as tab),
+r as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) as run from documents),
+u as (select doc_id, run, count(*) as n from r group by all),
+x as (select run, n, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || run)) as hx from u),
+y as (select run, n, xor(4294967295, list_reduce(list_transform(range(0, length(hx) // 2), lambda i: ('0x' || substr(hx, 1 + 2 * i::int, 2))::bigint),
+             lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]), 4294967295)) as h from x, k),
+z as (select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n from y),
+w as (select word, cast(sum(n) as bigint) as n from z where length(word) >= 6 group by word having sum(n) >= 5),
+g as (select word, n, i, substr(word, 1, i::int) || substr(word, i::int + 2) as rest from w, lateral (select unnest(range(length(word))) as i)),
+p as (select distinct a.word, b.word as other, b.n as m from g a join g b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+      union select distinct g.word, w.word, w.n from g join w on g.rest = w.word
+      union select distinct w.word, g.word, g.n from g join w on g.rest = w.word),
+b as (select word, count(*) as n_near, first(other order by m desc, other) as best, max(m) as m from p group by word),
+f as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 5 * n then best end as form, case when m >= 5 * n then m end as form_n from w left join b using (word)),
+t(word, root) as (select word, word from f where form is null union all select f.word, t.root from f join t on f.form = t.word)
+select word, form, root, n, cast(n_near as bigint) as n_near, cast(form_n as bigint) as form_n from f join t using (word)
+"""
+
+
+@query("op13_spelling_variants", SPELLING_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spelling import spelling_forms
     return spelling_forms(table(spark, sf_dir, "documents"))

@@ -36,10 +36,13 @@ from .tokens import tokenizer_path
 from .words import lists, slices, strings, texts_of
 
 END = "\0"                      # stands for the word-end mark; byte-level words hold no such character
-CACHE = 200_000
+CACHE, LONG = 400_000, 256      # chunks and pieces kept at hand; longer ones are not
+PAIRS = 2_000_000
 BLOCK = 1 << 15
 SLICE_IDS = 1 << 18
-_ASCII = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")      # of printable ASCII
+#: Chunks of these characters are their own normal form; the pieces are the pre-tokenizer's, for lower-cased text of them.
+_LATIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -71,7 +74,7 @@ class Merges:
             if i not in usable and self.left[i] in usable and self.right[i] in usable and self._apart(self.left[i], self.right[i], self.born[i]):
                 usable.add(i)
             if i in usable:
-                self.automaton.add_word(text, i)
+                self.automaton.add_word(text, (i, len(text)))
                 self.longest = max(self.longest, len(text))
         self.automaton.make_automaton()
 
@@ -94,52 +97,52 @@ class Merges:
         return True
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        found = self.table.get(key)
-        if found is None:
-            if len(self.table) > 2_000_000:
-                self.table.clear()
-            found = self.table[key] = self._apart(a, b, 1 << 62)
+        """Whether ``b`` can stand behind ``a``; the answer goes into the pair table."""
+        if len(self.table) > PAIRS:
+            self.table.clear()
+        found = self.table[a << 32 | b] = self._apart(a, b, 1 << 62)
         return found
 
     def _begins(self, text: str, first: int, last: int) -> list[list[int]]:
         """For each place of ``first .. last`` the tokens that begin there, shortest first."""
-        out: list[list[int]] = [[] for _ in range(last - first)]
-        size = self.size
-        for end, t in self.automaton.iter(text, first, min(len(text), last + self.longest)):
-            at = end + 1 - size[t] - first
-            if at < last - first:
+        out: list[list[int]] = [[] for _ in range(first, last)]
+        shift, width = 1 - first, last - first
+        for end, (t, size) in self.automaton.iter(text, first, min(len(text), last + self.longest)):
+            at = end - size + shift
+            if at < width:
                 out[at].append(t)
         return out
 
     def encode(self, word: str) -> list[int]:
         """Ids of one byte-level word."""
         text = word + END
-        n, size, compatible = len(text), self.size, self.compatible
-        blocks: dict[int, list[list[int]]] = {}
+        n, size, table = len(text), self.size, self.table
         out: list[int] = []
         picks: list[int] = []
         dead: set[int] = set()
-        at, pick, before = 0, None, -1
+        base = width = 0                                # the block of places whose tokens are at hand
+        at, pick, before = 0, -2, -1
         while at < n:
-            block = blocks.get(at // BLOCK)
-            if block is None:
-                if len(blocks) > 2:                     # a step back crosses one border at most in practice; older ones are made again
-                    blocks.clear()
-                a = at // BLOCK * BLOCK
-                block = blocks[at // BLOCK] = self._begins(text, a, min(n, a + BLOCK))
-            here = block[at % BLOCK]
-            if pick is None:
+            if not base <= at < base + width:
+                base = at // BLOCK * BLOCK
+                width = min(n - base, BLOCK)
+                block = self._begins(text, base, base + width)
+            here = block[at - base]
+            if pick == -2:
                 pick = len(here) - 1
             while pick >= 0:
                 t = here[pick]
-                if at + size[t] not in dead and (before < 0 or compatible(before, t)):
-                    break
+                if at + size[t] not in dead:
+                    if before < 0:
+                        break
+                    good = table.get(before << 32 | t)
+                    if good or good is None and self.compatible(before, t):
+                        break
                 pick -= 1
             if pick >= 0:
                 out.append(t)
                 picks.append(pick)
-                at, pick, before = at + size[t], None, t
+                at, pick, before = at + size[t], -2, t
             else:
                 if not out:
                     raise ValueError("a character is not in the vocabulary")
@@ -166,48 +169,48 @@ class Encoder:
         self.normalise, self.cut = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.pattern = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + b")") if self.added else None
-        self.plain = all(self.cut(chr(i))[0][0] == chr(i) for i in range(0x21, 0x7F))
-        self.words: dict[str, bytes] = {}
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        if any(self.cut(chr(i))[0][0] != chr(i) for i in range(0x21, 0x7F)):
+            raise ValueError("a byte-level pre-tokenizer is expected")
+        self.pieces, self.new, self.old = {}, {}, {}
 
-    def _word(self, w: str) -> bytes:
-        ids = self.words.get(w)
+    def _piece(self, w: str) -> bytes:
+        """Ids of a piece of plain text; its byte-level form is the pre-tokenizer's."""
+        ids = self.pieces.get(w)
         if ids is None:
-            ids = array("i", self.merges.encode(w)).tobytes()
-            if len(w) < 256:
-                if len(self.words) > CACHE:
-                    self.words.clear()
-                self.words[w] = ids
+            ids = array("i", self.merges.encode(w if w.isascii() else self.cut(w)[0][0])).tobytes()
+            if len(w) < LONG:
+                if len(self.pieces) > CACHE:
+                    self.pieces.clear()
+                self.pieces[w] = ids
         return ids
 
+    def _plain(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if _LATIN.fullmatch(text):
+            return b"".join(map(self._piece, _PIECES.findall(text.lower())))
+        return b"".join(array("i", self.merges.encode(w)).tobytes() for w, _ in self.cut(self.normalise(text)))
+
     def _chunk(self, chunk: bytes) -> bytes:
         if self.pattern and self.pattern.search(chunk):
             return b"".join(array("i", [self.added[p]]).tobytes() if p in self.added else self._plain(p) for p in self.pattern.split(chunk) if p)
         return self._plain(chunk)
 
-    def _plain(self, chunk: bytes) -> bytes:
-        if self.plain and chunk.isascii() and chunk.decode().isprintable():
-            return b"".join(self._word(w.decode()) for w in _ASCII.findall(chunk.lower()))
-        return b"".join(self._word(w) for w, _ in self.cut(self.normalise(chunk.decode())))
-
     def encode(self, text: bytes) -> bytes:
         """Packed 32-bit ids of a whole text."""
         out = []
         for part in slices(text):
             chunks = part.split()
-            new = self.new
-            if len(new) > CACHE:
-                self.old, self.new = new, {}
-                new = self.new
+            if len(self.new) > CACHE:
+                self.old, self.new = self.new, {}
+            new, old, long = self.new, self.old, []
             for c in set(chunks).difference(new):
-                ids = self.old.get(c)
+                ids = old.get(c)
                 new[c] = self._chunk(c) if ids is None else ids
+                if len(c) > LONG:
+                    long.append(c)
             out += map(new.__getitem__, chunks)
-            if max(map(len, chunks), default=0) > 4096:           # long chunks are not kept
-                for c in set(chunks):
-                    if len(c) > 4096:
-                        del new[c]
+            for c in long:
+                del new[c]
         return b"".join(out)
 
 
