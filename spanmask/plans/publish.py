@@ -10,11 +10,13 @@ from __future__ import annotations
 from typing import Optional
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.redact import redact_documents
 from ..operators.registry import assign_codes, entity_registry
 from ..session import checkpoint
-from ..sinks.writers import run_log_rows, write_outputs
+from ..sinks.text_files import unique_names, write_text_files
+from ..sinks.writers import output_name, run_log_rows, safe_dir, write_outputs, write_reserved
 
 
 def publish(docs: DataFrame, spans: DataFrame, method: str = "two_pass") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -32,3 +34,20 @@ def save_outputs(out_dir: str, docs: DataFrame, spans: DataFrame, errors: Option
     texts, registry, coded = publish(docs, spans)
     errs = errors if errors is not None else docs.sparkSession.createDataFrame([], "file string, message string")
     write_outputs(out_dir, texts, registry, coded, run_log_rows(docs.select("file"), coded, errs), include_kept)
+
+
+def save_files(out_dir: str, docs: DataFrame, spans: DataFrame, errors: Optional[DataFrame] = None,
+               include_kept: bool = False) -> DataFrame:
+    """N1-N4 with one ``{stem}_{ext}_anonymized.txt`` per document in the safe folder.
+
+    Files of one name are numbered by (file, doc_id) from the second on; what
+    could not be written is an error of the run log.  Returns (file, message) of all errors.
+    """
+    texts, registry, coded = publish(docs, spans)
+    named = unique_names(texts.withColumn("out_name", output_name(F.col("file"))))
+    report = write_text_files(named.select("out_name", F.col("redacted_text").alias("text")), safe_dir(out_dir))
+    errs = report.where("error is not null").select(F.col("out_name").alias("file"), F.concat_ws(": ", "out_name", "error").alias("message"))
+    if errors is not None:
+        errs = errors.select("file", "message").unionByName(errs)
+    write_reserved(out_dir, registry, coded, run_log_rows(docs.select("file"), coded, errs), include_kept)
+    return errs

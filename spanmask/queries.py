@@ -24,11 +24,12 @@ from .operators.registry import assign_codes, entity_registry
 from .operators.resolve import dedupe_rows, greedy_regex, island_representatives, islands, overlapping_pairs
 from .operators.spans import explode_array, span_rank
 from .plans.publish import publish
-from .session import checkpoint
+from .session import checkpoint, scratch
 from .plans.scan import findings_per_doc, scan
 from .sinks.writers import index_rows, leak_check, one_row_join, output_name
+from .sinks.text_files import read_text_files, unique_names, write_text_files
 from .sources import corpus
-from .sources.files import classify_names, documents_from_files
+from .sources.files import classify_names, documents_from_files, list_folder, read_documents
 from .sources.profile import mode_threshold, parse_profile, parse_terms
 
 QUERIES: dict = {}
@@ -410,6 +411,16 @@ def q_safe_output(spark, sf):
     return t.select("doc_id", output_name(F.col("file")).alias("out_name"), "redacted_text")
 
 
+@query("safe_files", O.with_(REDACT_FORMS, "select regexp_replace(file, '\\.txt$', '') || '_txt_anonymized.txt' as out_name, "
+                                           "redacted_text as text from redacted"))
+def q_safe_files(spark, sf):
+    """One file per document, written and read back."""
+    t, _, _ = published(spark, sf)
+    folder = scratch(spark, "safe")
+    write_text_files(unique_names(t.withColumn("out_name", output_name(F.col("file")))).withColumn("text", F.col("redacted_text")), folder)
+    return read_text_files(spark, folder)
+
+
 REDACT_DOCS = DOCS_RES + [spans_cte()] + O.coded_ctes("sp") + O.rewrite_ctes("docs", "coded")
 
 
@@ -705,6 +716,29 @@ def q_ingest_errors(spark, sf):
     return errors.select("file", F.col("message").startswith(F.concat("file", F.lit(": "))).alias("reported"))
 
 
+def _folder(spark, sf, names):
+    """A folder with one file for each row of ``names`` (name, text)."""
+    folder = scratch(spark, "files")
+    write_text_files(names.select(F.col("name").alias("out_name"), "text"), folder)
+    return folder
+
+
+@query("folder_listing", O.with_([f"fl as ({FILES_SQL})", f"fx as (select *, {EXT} as ext from fl)"],
+                                 f"select name, case when ext in {SUPPORTED} then 'supported' else 'unsupported' end as status, "
+                                 "cast(octet_length(encode(coalesce(text, ''))) as bigint) as length from fx"))
+def q_folder_listing(spark, sf):
+    """Files written from the documents and listed page by page."""
+    corpus.register(spark, sf, ["documents"])
+    return list_folder(spark, _folder(spark, sf, spark.sql(FILES_SQL))).select("name", "status", "length")
+
+
+@query("folder_documents", O.with_([O.FORMS], "select file, text from forms"))
+def q_folder_documents(spark, sf):
+    """Files written from the forms, listed and read by the pages of the listing."""
+    read, _ = read_documents(spark, _folder(spark, sf, forms(spark, sf).withColumnRenamed("file", "name")))
+    return read.select("file", "text")
+
+
 @query("output_names", O.with_(NAMES, r"select name, regexp_replace(name, '(\.[^.]*)$', '') || '_' || "
                                       r"case when length(ext) > 1 then substr(ext, 2) else 'file' end || "
                                       r"'_anonymized.txt' as out_name from nx"))

@@ -1,7 +1,7 @@
 """Outputs (N1-N5, N7): shareable texts apart from the reserved mapping, index and log.
 
-Everything is written as Spark tables (parquet / CSV / JSON lines), never
-funnelled through the driver.  Layout under ``out_dir``::
+Everything is written by the tasks, never funnelled through the driver: Spark
+tables here, one file per document in ``text_files``.  Layout under ``out_dir``::
 
     <SAFE_SUBDIR>/texts        parquet (doc_id, file, out_name, text)
     <RESERVED_SUBDIR>/mapping  csv + json (entity_id, placeholder, label, text)
@@ -58,6 +58,11 @@ def write_outputs(out_dir: str, texts: DataFrame, registry: DataFrame, spans: Da
     texts.select("doc_id", "file", output_name(F.col("file")).alias("out_name"),
                  F.col("redacted_text").alias("text")).write.mode("overwrite").parquet(
         os.path.join(safe_dir(out_dir), "texts"))
+    write_reserved(out_dir, registry, spans, log, include_kept)
+
+
+def write_reserved(out_dir: str, registry: DataFrame, spans: DataFrame, log: DataFrame, include_kept: bool = False) -> None:
+    """Mapping, index and log, under the reserved folder."""
     mapping = mapping_rows(registry)
     mapping.write.mode("overwrite").option("header", True).option("escape", '"').csv(
         os.path.join(reserved_dir(out_dir), "mapping_csv"))

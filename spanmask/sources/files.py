@@ -1,21 +1,22 @@
 """Folder listing and text ingest.
 
-A task lists the folder, so names that Spark's own file sources skip (hidden
-and empty files) are kept; extension routing is a Column; the files are then
-read and parsed once, spread over the cluster, into rows that are written to
-the checkpoint folder and assembled per file by DataFrame code.  Every failure
+The folder comes from a Data Source whose partitions are pages of the listing,
+with names that Spark's own file sources skip (hidden and empty files);
+extension routing is a Column; each page's files are read and parsed once, into
+rows that are written to the checkpoint folder and assembled per file by
+DataFrame code.  Every failure
 becomes an ``error`` row instead of a crash.
 """
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SUPPORTED_EXTENSIONS
 from ..functions.text import extension_with_dot, fold
 from ..session import checkpoint, ship_package
+from .listing import listing
+from .storage import open_fs
 
 MAX_FILE_BYTES = 1 << 30       # larger files become error rows: a row cannot hold their text
 
@@ -37,28 +38,9 @@ def classify_names(names: DataFrame, name_col: str = "name") -> DataFrame:
         .otherwise(F.lit("ignored"))).withColumn("sort_key", fold(n))
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.removeprefix("file:"))
-
-
-def _listed(batches):
-    import pandas as pd
-    from pyarrow import fs
-    for pdf in batches:
-        for folder in pdf["folder"]:
-            system, path = _file_system(folder)
-            found = [f for f in system.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File]
-            scheme = folder.split("://")[0] + "://" if "://" in folder else ""
-            yield pd.DataFrame([(scheme + f.path, f.base_name, f.size) for f in found], columns=["path", "name", "length"])
-
-
 def list_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, name, length, ext, status, sort_key) of the files directly in ``folder``."""
-    ship_package(spark)
-    uri = folder if ":" in folder else os.path.abspath(folder)
-    files = spark.createDataFrame([(uri,)], "folder string").mapInPandas(_listed, "path string, name string, length long")
-    return classify_names(files)
+    """(path, name, length, ext, status, sort_key) of the files directly in ``folder``, a page of the listing to a partition."""
+    return classify_names(listing(spark, folder))
 
 
 def collect_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +101,7 @@ def _parsed(batches):
                 if length > MAX_FILE_BYTES:
                     raise ValueError(f"{length} bytes; at most {MAX_FILE_BYTES} can be read")
                 if content is None:
-                    system, place = _file_system(path)
+                    system, place = open_fs(path)
                     with system.open_input_stream(place) as f:
                         content = f.read()
                 out = [(name, ext, "file", 0, "", 0, [], None, None, None)]
@@ -131,11 +113,12 @@ def _parsed(batches):
 
 
 def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """A3: supported files of ``folder`` -> (documents(doc_id, file, text), errors(file, message))."""
+    """A3: supported files of ``folder`` -> (documents(doc_id, file, text), errors(file, message)).
+
+    The files of a page of the listing are read where the page is, so tasks follow bytes.
+    """
     files = list_folder(spark, folder).where(F.col("status") == "supported")
-    tasks = spark.sparkContext.defaultParallelism
-    return documents_from_files(files.select("path", "name", "ext", "length", F.lit(None).cast("binary").alias("content"))
-                                .repartition(tasks, "path"))
+    return documents_from_files(files.select("path", "name", "ext", "length", F.lit(None).cast("binary").alias("content")))
 
 
 def documents_from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
