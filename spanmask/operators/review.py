@@ -13,17 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import (ALL_KNOWN_LABELS, DEFAULT_LABELS, FILTER_ALL, LABEL_DISPLAY, REVIEW_TEXT_CUT,
                                REVIEW_TEXT_MAX, SCORE_HIGH, SCORE_MEDIUM, SOURCE_DISPLAY)
-from ..functions.text import bind, fold, map_lookup, py_strip
+from ..functions.text import fold, map_lookup, py_strip
 from ..session import checkpoint
+from .anchors import occurrences, row_key
 from .registry import assign_codes, entity_registry
 from .resolve import dedupe_rows
 from .numbering import row_numbers
 
 LABEL_FROM_DISPLAY = {v: k for k, v in LABEL_DISPLAY.items()}
 
-#: Characters of a text piece and of the key by which terms are looked up in it.
-PIECE, KEY = 64, 4
-
 
 def display_label(label: Column) -> Column:
     return map_lookup(LABEL_DISPLAY, label)
@@ -117,38 +115,20 @@ def typed_terms(terms: DataFrame) -> DataFrame:
     return terms.select(py_strip(F.col("term")).alias("term"), "label").where(F.length("term") > 0).distinct()
 
 
-def text_pieces(docs: DataFrame) -> DataFrame:
-    """(doc_id, file, at, piece): PIECE characters from offset ``at`` on, followed by the next piece's."""
-    cut = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    wide = bind(cut, lambda c: F.transform(c, lambda x, i: F.concat(x, F.coalesce(F.get(c, i + 1), F.lit("")))))
-    return docs.select("doc_id", "file", F.posexplode(wide).alias("n", "piece")) \
-        .select("doc_id", "file", (F.col("n") * PIECE).alias("at"), "piece")
-
-
 def manual_term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """Every non-overlapping, case-sensitive occurrence of each term in every document.
 
-    Every place of a text looks up its next characters (as many as a term's
-    key has, at most KEY) in the term table by an equi-join; hits are compared
-    with the term inside their piece, and terms longer than a piece again with
-    the text.  Of one term's occurrences those are kept that repeated search
-    from the end of the last one finds: runs of overlapping occurrences are
-    cut out by a window and folded one by one.
+    Terms are found by their rarest grams (``anchors``).  Of one term's
+    occurrences those are kept that repeated search from the end of the last
+    one finds: runs of overlapping occurrences are cut out by a window and
+    folded one by one.
     """
-    t = typed_terms(terms).withColumn("key", F.substring("term", 1, KEY))
-    widths = [r.n for r in t.select(F.length("key").alias("n")).distinct().collect()]      # at most KEY rows
-    places = text_pieces(docs).select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("piece")))).alias("p"))
-    keys = F.array(*[F.expr(f"substring(piece, p, {n})") for n in sorted(widths)]).cast("array<string>")
-    looked = places.select("doc_id", "file", "at", "piece", "p", F.explode(F.array_distinct(keys)).alias("key"))
-    inside = F.expr(f"substring(piece, p, least(length(term), {PIECE})) = substring(term, 1, {PIECE})")
-    hits = looked.join(t, "key").where(inside).select("doc_id", "file", "term", "label", (F.col("at") + F.col("p") - 1).cast("int").alias("start"))
-    long_hits = hits.where(F.length("term") > PIECE).join(docs.select("doc_id", "text"), "doc_id") \
-        .where(F.expr("substring(text, start + 1, length(term)) = term")).select(*hits.columns)
-    w = Window.partitionBy("doc_id", "term", "label").orderBy("start")
+    rows = docs.select("doc_id", "file", "text", row_key("doc_id", "file", "text").alias("key"))
+    hits = occurrences(rows, typed_terms(terms))
+    w = Window.partitionBy("key", "term").orderBy("start")
     fresh = F.coalesce(F.col("start") >= F.lag("start").over(w) + F.length("term"), F.lit(True))
-    runs = hits.where(F.length("term") <= PIECE).unionByName(long_hits).distinct() \
-        .withColumn("_run", F.max(F.when(fresh, F.col("start"))).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
-        .groupBy("doc_id", "file", "term", "label", "_run").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+    runs = hits.withColumn("_run", F.max(F.when(fresh, F.col("start"))).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+        .groupBy("key", "term", "_run").agg(F.sort_array(F.collect_list("start")).alias("starts"))
 
     def step(acc, s):
         take = s >= acc["upto"]
@@ -157,8 +137,9 @@ def manual_term_spans(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
     none = F.struct(F.lit(0).alias("upto"), F.array().cast("array<int>").alias("kept"))
     kept = F.when(F.size("starts") == 1, F.col("starts")).otherwise(F.aggregate("starts", none, step, lambda a: a["kept"]))
-    return runs.select("doc_id", "file", "label", F.col("term").alias("text"), F.explode(kept).alias("start")) \
-        .withColumn("end", F.col("start") + F.length("text"))
+    return runs.select("key", "term", F.explode(kept).alias("start")).join(typed_terms(terms), "term") \
+        .join(rows.select("key", "doc_id", "file").distinct(), "key") \
+        .select("doc_id", "file", "label", F.col("term").alias("text"), "start", (F.col("start") + F.length("term")).alias("end"))
 
 
 def manual_add(spans: DataFrame, docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -11,12 +11,15 @@ tables here, one file per document in ``text_files``.  Layout under ``out_dir``:
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import OUTPUT_SUFFIX, RESERVED_SUBDIR, SAFE_SUBDIR
 from ..functions.text import extension, stem
+from ..session import ship_package
 
 
 def safe_dir(out_dir: str) -> str:
@@ -73,15 +76,32 @@ def write_reserved(out_dir: str, registry: DataFrame, spans: DataFrame, log: Dat
         .write.mode("overwrite").json(os.path.join(reserved_dir(out_dir), "log"))
 
 
+def _leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text those of its values that stand in it, by one pass of an automaton of these values."""
+    import ahocorasick
+    for b in batches:
+        for i in range(b.num_rows):
+            search = ahocorasick.Automaton()
+            for v in b.column("values")[i].as_py():
+                search.add_word(v, v)
+            search.make_automaton()
+            left = {v for _, v in search.iter(b.column("redacted_text")[i].as_py())}
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array([b.column("doc_id")[i].as_py()] * len(left), b.schema.field("doc_id").type),
+                                                  pa.array(sorted(left))], ["doc_id", "value"])
+
+
 def leak_check(texts: DataFrame, spans: DataFrame) -> DataFrame:
     """Redacted original values still present in their document's safe text (must be empty).
 
-    The distinct values of a document meet its text once.
+    The distinct values of a document meet its text once, and the text is read
+    once, however many they are.
     """
+    ship_package(texts.sparkSession)
     values = spans.where(F.col("will_redact") & (F.length("text") > 0)) \
-        .groupBy("doc_id").agg(F.collect_set("text").alias("_values"))
-    left = F.filter("_values", lambda v: F.contains(F.col("redacted_text"), v))
-    return texts.select("doc_id", "redacted_text").join(values, "doc_id").select("doc_id", F.explode(left).alias("value"))
+        .groupBy("doc_id").agg(F.collect_set("text").alias("values"))
+    both = texts.where(F.length("redacted_text") > 0).select("doc_id", "redacted_text").join(values, "doc_id")
+    return both.mapInArrow(_leaks, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, value string")
 
 
 def run_log_rows(files: DataFrame, spans: DataFrame, errors: DataFrame) -> DataFrame:
