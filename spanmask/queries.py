@@ -23,13 +23,14 @@ from .operators.redact import highlight_ranges, redact_documents
 from .operators.registry import assign_codes, entity_registry
 from .operators.resolve import dedupe_rows, greedy_regex, island_representatives, islands, overlapping_pairs
 from .operators.spans import explode_array, span_rank
-from .plans.publish import publish
+from .plans.publish import publish, scan_parts
 from .session import checkpoint, scratch
 from .plans.scan import findings_per_doc, scan
 from .sinks.writers import index_rows, leak_check, one_row_join, output_name
 from .sinks.text_files import read_text_files, unique_names, write_text_files
 from .sources import corpus
 from .sources.files import classify_names, documents_from_files, list_folder, read_documents
+from .sources.parts import read_parts
 from .sources.profile import mode_threshold, parse_profile, parse_terms
 
 QUERIES: dict = {}
@@ -739,6 +740,13 @@ def q_folder_documents(spark, sf):
     return read.select("file", "text")
 
 
+@query("part_spans", O.with_(DOCS_RES, f"select file, label, text, {_se('')} from res"))
+def q_part_spans(spark, sf):
+    """Documents written as files, read in parts of 8 KB and scanned part by part."""
+    parts, _ = read_parts(spark, _folder(spark, sf, docs(spark, sf).withColumnRenamed("file", "name")), 8 << 10)
+    return longs(scan_parts(parts).select("file", "label", "text", "start", "end"))
+
+
 @query("output_names", O.with_(NAMES, r"select name, regexp_replace(name, '(\.[^.]*)$', '') || '_' || "
                                       r"case when length(ext) > 1 then substr(ext, 2) else 'file' end || "
                                       r"'_anonymized.txt' as out_name from nx"))
