@@ -29,8 +29,13 @@ from .storage import open_fs
 
 PART_BYTES = 32 << 20
 TEXT_EXTENSION = ".txt"
-#: A separator that no rule can match, or a line that ends in a character after which no rule goes on to the next line.
-SEAM = r"""[;|]|[!?,()\[\]"»]\s*\n|(?<![Pp])\.\s*\n"""
+#: Places that no rule's match can pass: behind a separator that no rule takes in; behind a line that ends in a character
+#: after which no rule goes on; between two lines if the first has a sign, then no digit, and ends in nothing that a rule
+#: carries over (a label, its separator, IVA, IT), while the next one begins with a letter (but not IVA) or a number.
+SEAM = (r"""[;|]|[!?,()\[\]"»]\s*\n|(?<!P)\.\s*\n"""
+        r"""|[^\w\s][^\d\n]*(?<=[^\s:=\-])(?<!business)(?<!ragione)\n(?:(?![iİı])(?=[^\W\d_])|(?<![at]\n)(?=[\d+]))""")
+#: Characters of one stretch without a seam; a row cannot hold more.
+MAX_STRETCH = 1 << 29
 
 FACTS = "path string, part long, mark string, utf8 boolean, cp1252 boolean, utf16 boolean"
 SEGMENTS = "path string, part long, head string, tail string, error string"
@@ -85,7 +90,7 @@ def _facts(size: int):
 
 
 def _segments(size: int, seam: str):
-    cut = re.compile(seam)
+    cut = re.compile(seam, re.IGNORECASE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -135,13 +140,16 @@ def text_parts(spark: SparkSession, files: DataFrame, part_bytes: int = PART_BYT
     sizes = meta.select("path", F.explode(F.array(F.struct(F.col("owner").alias("part"), F.col("n_head").alias("n")),
                                                   F.struct(F.col("part"), F.col("n_tail").alias("n")))).alias("x")) \
         .where("x.part is not null and x.n is not null").groupBy("path", "x.part").agg(F.sum("x.n").alias("n"))
+    too_long = sizes.where(F.col("n") > MAX_STRETCH).groupBy("path").agg(F.max("n").alias("n"))
+    bad = bad.unionByName(too_long.select("path", F.concat(F.col("n").cast("string"), F.lit(" characters without a place to cut")).alias("error"))) \
+        .groupBy("path").agg(F.min("error").alias("error"))
     starts = sizes.withColumn("at", F.sum("n").over(by_part.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).select("path", "part", "at")
-    pieces = cut.join(meta.select("path", "part", "owner"), ["path", "part"]) \
+    pieces = cut.join(bad, "path", "left_anti").join(meta.select("path", "part", "owner"), ["path", "part"]) \
         .select("path", F.explode(F.array(F.struct(F.col("owner").alias("part"), (2 * F.col("part")).alias("k"), F.col("head").alias("text")),
                                           F.struct(F.col("part"), (2 * F.col("part") + 1).alias("k"), F.col("tail").alias("text")))).alias("x")) \
         .where("x.part is not null and x.text is not null").select("path", "x.*")
     whole = pieces.groupBy("path", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "text"))), lambda x: x["text"]), "").alias("text"))
-    parts = whole.join(starts, ["path", "part"]).join(known, "path").join(bad, "path", "left_anti") \
+    parts = whole.join(starts, ["path", "part"]).join(known, "path") \
         .select(F.xxhash64("name").alias("doc_id"), F.col("name").alias("file"), "part", "at", "text")
     errors = bad.join(known, "path").select(F.col("name").alias("file"), F.concat_ws(": ", "name", "error").alias("message"))
     return parts, errors

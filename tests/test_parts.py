@@ -10,12 +10,12 @@ from spanmask.sources.files import decode_bytes, read_documents
 from spanmask.sources.parts import read_parts
 
 BITS = ["info@example.com", "+39 333 1234567", "333\n1234567", "P.IVA\n01114601006", "P.\nIVA: 01114601006", "01114601006", "RSSMRA85T10A562S", "Supplier:\nACME Srl, Torino", "Azienda = Rossi",
-        "IT60 X054\n2811 1010 0000 0123 456", "IT60X0542811101000000123456", "è", "漢字", "😀", ";", "|", ".\n", "!\n", "\n", "\r\n", "\r", " ", " ", "\t", "a", "Z.", "9", ", ", "(", ")\n\n"]
+        "IT60 X054\n2811 1010 0000 0123 456", "IT60X0542811101000000123456", "è", "漢字", "😀", ";", "|", ".\n", "!\n", "\n", "\r\n", "\r", " ", " ", "\t", "a", "Z.", "9", "business", "ragione sociale", "name: Bianchi", "IT", "60 X", "P.", "IVA", "-", "lungo testo\n", "'", ", ", "(", ")\n\n"]
 
 
 def texts(seed):
     rng = random.Random(seed)
-    return ["".join(rng.choice(BITS) for _ in range(rng.choice([0, 1, 3, 40, 150]))) for _ in range(7)]
+    return ["".join(rng.choice(BITS) for _ in range(rng.choice([0, 3, 40, 150, 150]))) for _ in range(7)]
 
 
 @pytest.fixture
@@ -73,6 +73,14 @@ def test_one_file_from_many_parts(spark, folder, tmp_path):
     assert table("a", "index_csv") == table("b", "index_csv") and table("a", "mapping_csv") == table("b", "mapping_csv")
 
 
+def test_a_stretch_without_a_seam_is_an_error(spark, folder, monkeypatch):
+    (folder / "long.txt").write_text("1" * 100_000)
+    monkeypatch.setattr("spanmask.sources.parts.MAX_STRETCH", 90_000)
+    parts, errors = read_parts(spark, str(folder), 4096)
+    assert {r.file: r.message for r in errors.collect()}["long.txt"] == "long.txt: 100000 characters without a place to cut"
+    assert parts.where("file = 'long.txt'").count() == 0 and parts.where("file = '01_utf-8.txt'").count() > 0
+
+
 def test_sizes_are_checked(spark, folder):
     with pytest.raises(ValueError):
         read_parts(spark, str(folder), 5)
