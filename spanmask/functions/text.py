@@ -1,7 +1,9 @@
 """Scalar text helpers as Spark Columns (all JVM-side, no Python UDF)."""
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,13 +20,25 @@ def bind(col: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(col), lambda x: then(x)), F.lit(0))
 
 
+@lru_cache(maxsize=1)
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Unicode case folding: characters that fold to one character, what they fold to, and those that fold to more."""
+    pairs = [(chr(c), chr(c).casefold()) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    changed = [(c, f) for c, f in pairs if c != f]
+    one = [(c, f) for c, f in changed if len(f) == 1]
+    return "".join(c for c, _ in one), "".join(f for _, f in one), {c: f for c, f in changed if len(f) > 1}
+
+
 def fold(c: Column) -> Column:
-    """Case folding close to ``str.casefold``.
+    """``str.casefold()``: one translation, and a look-up of the few characters that fold to several.
 
-    ``upper`` first so that e.g. ``ß`` folds to ``ss``; the empty concat stops
-    Catalyst from simplifying ``lower(upper(x))`` to ``lower(x)``.
+    Texts of one byte a character need ``lower`` only.
     """
-    return F.lower(F.concat(F.upper(c), F.lit("")))
+    single, folded, several = _fold_tables()
+    cut = F.regexp_extract_all(c, F.lit(f"[{''.join(several)}]|[^{''.join(several)}]+"), F.lit(0))
+    spelt = F.array_join(F.transform(cut, lambda x: F.coalesce(_map_lit(several)[x], x)), "")
+    spelt = F.when(c.rlike(f"[{''.join(several)}]"), spelt).otherwise(c)
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(spelt, single, folded))
 
 
 def py_strip(c: Column) -> Column:

@@ -7,7 +7,7 @@ only the optional findings table is joined (on ``doc_id``).
 """
 from __future__ import annotations
 
-from typing import Iterable, Optional
+from typing import Iterable, Optional, Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,23 +22,26 @@ from ..operators.resolve import islands, resolve_df
 from ..operators.spans import empty_spans, explode_array
 
 
-def normalize_terms(terms: Iterable[str]) -> list[Column]:
-    """Exclusion terms, normalised by the same Columns as the texts they are compared with."""
-    return [normalize_free_text(F.lit(t)) for t in sorted({t for t in terms or [] if t and t.strip()})]
+def redact_flag(spans: DataFrame, labels: Iterable[str], exclusions: Union[Iterable[str], DataFrame] = ()) -> DataFrame:
+    """C2 + C3: ``will_redact`` of spans: the label is selected and the text is not an exception.
 
-
-def redact_flag(label: Column, text: Column, labels: Iterable[str], exclusions: Iterable[str] = ()) -> Column:
-    """C2 + C3: redact iff the label is selected and the text is not an exception.
-
-    Exceptions are a user-typed list (bounded), held as a literal array.
+    Exceptions are strings or a table whose first column holds them, of any
+    length.  They meet the spans by two equi-joins, on the folded text and on
+    the entity's normal form: Spark sends a small table to the tasks and
+    splits a hot entity otherwise.  Blank and null exceptions except nothing.
     """
-    flag = label.isin(list(labels))
-    terms = normalize_terms(exclusions)
-    if terms:
-        arr = F.array(*terms)
-        excluded = F.array_contains(arr, normalize_free_text(text)) | F.array_contains(arr, normalize_entity(label, text))
-        flag = flag & ~excluded
-    return flag
+    flag = F.col("label").isin(list(labels))
+    if not isinstance(exclusions, DataFrame):
+        terms = sorted({t for t in exclusions or [] if t and t.strip()})
+        if not terms:
+            return spans.withColumn("will_redact", flag)
+        exclusions = spans.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    key = normalize_free_text(F.col(exclusions.columns[0]))
+    keys = exclusions.select(key.alias("_key")).where(F.length("_key") > 0).distinct()
+    keyed = spans.withColumns({"_free": normalize_free_text(F.col("text")), "_entity": normalize_entity(F.col("label"), F.col("text"))})
+    for form, found in (("_free", "_x1"), ("_entity", "_x2")):
+        keyed = keyed.join(keys.select(F.col("_key").alias(form), F.lit(True).alias(found)), form, "left")
+    return keyed.withColumn("will_redact", flag & F.col("_x1").isNull() & F.col("_x2").isNull()).select(*spans.columns, "will_redact")
 
 
 def findings_per_doc(findings: DataFrame) -> DataFrame:
@@ -110,12 +113,10 @@ def resolve_rows(rows: DataFrame) -> DataFrame:
     return explode_array(res, F.col("spans"), ["doc_id", "file"])
 
 
-def scan(docs: DataFrame, labels: Iterable[str] = DEFAULT_LABELS, exclusions: Iterable[str] = (),
+def scan(docs: DataFrame, labels: Iterable[str] = DEFAULT_LABELS, exclusions: Union[Iterable[str], DataFrame] = (),
          findings: Optional[DataFrame] = None, min_score: Optional[float] = None,
          rules: list[RegexRule] = DEFAULT_RULES, use_context: bool = True) -> DataFrame:
     """Span rows: doc_id, file, label, text, start, end, score, will_redact, code, source."""
     s = resolved_rows(docs, findings, min_score, rules, use_context).select("doc_id", "file", "s.*")
-    return s.select(
-        "doc_id", "file", "label", "text", "start", "end", "score",
-        redact_flag(F.col("label"), F.col("text"), labels, exclusions).alias("will_redact"),
-        F.lit("").alias("code"), "source")
+    return redact_flag(s, labels, exclusions).select(
+        "doc_id", "file", "label", "text", "start", "end", "score", "will_redact", F.lit("").alias("code"), "source")

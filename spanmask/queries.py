@@ -475,6 +475,25 @@ def q_exclude_terms(spark, sf):
                                                                                    "will_redact"))
 
 
+ACCENTED = "replace(text, 'Supplier#', 'Straße  É#')"
+EXCLUDED_SQL = "select replace(s_name, 'Supplier#', 'STRASSE é#') as term from supplier where s_suppkey % 2 = 0"
+
+
+def _folded(c):
+    return f"replace(lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))), 'ß', 'ss')"
+
+
+@query("exclusion_table", O.with_([O.FORMS, f"accented as (select doc_id, file, {ACCENTED} as text from forms)"]
+                                  + O.resolved("accented", with_model=False) + [spans_cte(), f"ex as ({EXCLUDED_SQL})"],
+                                  "select doc_id, label, text, will_redact and not exists (select 1 from ex where "
+                                  f"{_folded('ex.term')} = {_folded('sp.text')}) as will_redact from sp"))
+def q_exclusion_table(spark, sf):
+    """A table of exceptions that fold like the texts: spelling, case and white space differ."""
+    corpus.register(spark, sf, ["supplier"])
+    s = scan(forms(spark, sf).withColumn("text", F.expr(ACCENTED)), exclusions=spark.sql(EXCLUDED_SQL))
+    return s.select("doc_id", "label", "text", "will_redact")
+
+
 @query("kept_vs_redacted", O.with_(FORMS_RES + [spans_cte(LABELS_SQL, EXCEPTIONS)],
                                    "select will_redact, count(*) as n from sp group by will_redact"))
 def q_kept_vs_redacted(spark, sf):
