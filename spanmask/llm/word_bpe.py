@@ -36,7 +36,7 @@ from .tokens import tokenizer_path
 from .words import lists, slices, strings, texts_of
 
 END = "\0"                      # stands for the word-end mark; byte-level words hold no such character
-CACHE, LONG = 400_000, 256      # chunks and pieces kept at hand; longer ones are not
+CACHE, LONG = 250_000, 256      # chunks and pieces kept at hand; longer ones are not
 PAIRS = 2_000_000
 BLOCK = 1 << 15
 SLICE_IDS = 1 << 18
