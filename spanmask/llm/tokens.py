@@ -9,7 +9,7 @@ without touching a token.
 
 Cases: null and empty texts have the end id alone; an added token of the
 tokenizer (``<|endoftext|>``) that a text holds is its own id, as the library has it; repeated doc_ids keep all
-their rows, side by side; null doc_ids come first; an empty table gives an
+their rows, side by side, in the order of the input; null doc_ids come first; an empty table gives an
 empty file set; other columns are ignored.
 """
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -152,7 +153,9 @@ def encode_parts(buf: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
     if len(at) < 2:
         return [b""] * (len(off) - 1)
     start, end = at[:-1], at[1:]
-    _, rep, which = np.unique(span_hash(prefix_sums(buf), start, end), return_index=True, return_inverse=True)
+    which, uniques = pd.factorize(span_hash(prefix_sums(buf), start, end))
+    rep = np.empty(len(uniques), np.int64)
+    rep[which[::-1]] = np.arange(len(which) - 1, -1, -1)          # the first place of each
     if len(rep) < len(start):
         # equal hashes must be equal bytes; else every piece stands for itself
         size = end - start
@@ -181,38 +184,42 @@ def _encoder(path: str, end_id: int):
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)),
                                                 pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column("part").slice(i, len(n)), b.column("doc_id").slice(i, len(n)), pa.array(n), flat],
-                                                 ["part", "doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, len(n)) for c in ("part", "pos", "doc_id")), pa.array(n), flat],
+                                                 ["part", "pos", "doc_id", "n_tokens", "ids"])
     return run
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  end_id: int = END_ID, encoding: str = "dictionary") -> None:
-    """Write (part, doc_id, n_tokens, ids) in ascending doc_id order; parts are ranges of doc_id in order."""
+    """Write (part, pos, doc_id, n_tokens, ids) in ascending doc_id order; parts are ranges of doc_id in order, pos is the place in a part."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tie = F.xxhash64("text")                    # many rows with one doc_id can still be split
-    dealt = (rows.repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
-             .select(F.spark_partition_id().alias("part"), "doc_id", "text"))
-    (dealt.mapInArrow(_encoder(tokenizer, end_id), "part int, doc_id long, n_tokens long, ids array<int>")
+    tie = F.col("row")                          # many rows with one doc_id can still be split
+    dealt = (rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", tie).sortWithinPartitions("doc_id", tie)
+             .select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("pos"), "doc_id", "text"))
+    (dealt.mapInArrow(_encoder(tokenizer, end_id), "part int, pos long, doc_id long, n_tokens long, ids array<int>")
      .write.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
      .option("parquet.enable.dictionary", str(encoding == "dictionary").lower())
      .option("parquet.writer.version", "v1" if encoding == "dictionary" else "v2").parquet(path))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """part, doc_id, n_tokens, start from the length columns alone (no token is read)."""
-    rows = spark.read.parquet(path).select("part", "doc_id", "n_tokens")
-    # one row per part, not per document
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("s"))
+def _started(rows: DataFrame, lengths: DataFrame) -> DataFrame:
+    """``rows`` (part, pos, n_tokens, ...) with ``start``, the ids before each in the files; ``lengths`` are read for the parts' sums."""
+    sums = lengths.groupBy("part").agg(F.sum("n_tokens").alias("s"))                       # one row per part, not per document
     before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-    w = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (rows.withColumn("upto", F.sum("n_tokens").over(w)).join(before, "part")
-            .select("part", "doc_id", "n_tokens", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start")))
+            .withColumn("start", F.col("before") + F.col("upto") - F.col("n_tokens")).drop("upto", "before"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """part, pos, doc_id, n_tokens, start from the length columns alone (no token is read)."""
+    rows = spark.read.parquet(path).select("part", "pos", "doc_id", "n_tokens")
+    return _started(rows, rows)
 
 
 def read_tokens(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """part, doc_id, n_tokens, ids of the documents with first <= doc_id <= last (pushed down to pages)."""
+    """part, pos, doc_id, n_tokens, ids of the documents with first <= doc_id <= last (pushed down to pages)."""
     rows = spark.read.parquet(path)
     if first is not None:
         rows = rows.where(F.col("doc_id") >= first)
@@ -222,17 +229,14 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ids = b.column("ids")
-        off, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4")
-        crc = pa.array([zlib.crc32(flat[x:y].tobytes()) for x, y in zip(off[:-1], off[1:])], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("doc_id"), pa.array(np.diff(off).astype(np.int64)), crc],
-                                         ["part", "doc_id", "n_tokens", "ids_crc32"])
+        off, flat = np.asarray(ids.offsets), np.asarray(ids.values).astype("<u4", copy=False)
+        crc = pa.array([zlib.crc32(flat[x:y]) for x, y in zip(off[:-1], off[1:])], pa.int64())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "pos", "doc_id")), pa.array(np.diff(off).astype(np.int64)), crc],
+                                         ["part", "pos", "doc_id", "n_tokens", "ids_crc32"])
 
 
 def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, all from the files."""
-    rows = spark.read.parquet(path).mapInArrow(_digest, "part int, doc_id long, n_tokens long, ids_crc32 long")
-    sums = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("s"))
-    before = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-    w = Window.partitionBy("part").orderBy("doc_id", "ids_crc32").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (rows.withColumn("upto", F.sum("n_tokens").over(w)).join(before, "part")
-            .select("doc_id", (F.col("before") + F.col("upto") - F.col("n_tokens")).alias("start"), "n_tokens", "ids_crc32"))
+    files = spark.read.parquet(path)
+    rows = files.mapInArrow(_digest, "part int, pos long, doc_id long, n_tokens long, ids_crc32 long")
+    return _started(rows, files).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -234,3 +234,19 @@ def test_misspelt_runs(make):
             want[w] += 1
     got = spelling.word_counts(make(rows), drop_every=7)
     assert {r.word: r.n for r in got.collect()} == {w: n for w, n in want.items() if len(w) >= 6 and n >= 5}
+
+
+def test_starts_are_places_in_the_files(spark, make, tmp_path):
+    """Rows of one id stand in the files as their starts say."""
+    from spanmask.llm import tokens
+    rows = [(d, f"text {i} " * (i % 7)) for i, d in enumerate([3, None, 1, 3, 3, 2] * 12)]
+    tokens.write_tokens(make(rows), f"{tmp_path}/t", tokens.tokenizer_path())
+    files = spark.read.parquet(f"{tmp_path}/t").orderBy("part", "pos").collect()
+    flat = [i for r in files for i in r.ids]
+    index = tokens.read_index(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [(r.part, r.pos) for r in index] == [(r.part, r.pos) for r in files]
+    for r, f in zip(index, files):
+        assert flat[r.start:r.start + r.n_tokens] == f.ids and f.ids[-1] == 2
+    digests = tokens.token_digests(spark, f"{tmp_path}/t").orderBy("start").collect()
+    assert [(r.start, r.ids_crc32) for r in digests] == [(r.start, zlib.crc32(np.array(f.ids, "<u4").tobytes())) for r, f in zip(index, files)]
+    assert [r.doc_id for r in files] == sorted((d for d, _ in rows), key=lambda d: (d is not None, d or 0))
