@@ -75,8 +75,22 @@ def _segment(raw: bytes, behind: bytes, part: int, encoding: str) -> bytes:
     return raw[_first(raw, encoding) if part else 0:] + behind[:_first(behind, encoding)]
 
 
+def _batches(rows: Iterator[tuple], kinds: dict[str, pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows (the last value is their size in bytes) as batches of bounded size."""
+    held: list[tuple] = []
+    size = 0
+    for r in rows:
+        held.append(r[:-1])
+        size += r[-1]
+        if size > 8 << 20 or len(held) == 1000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], list(kinds))
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds.values())], list(kinds))
+
+
 def _facts(size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for path, part in zip(b.column("path").to_pylist(), b.column("part").to_pylist()):
                 _, raw, behind = _range(path, part * size, size)
@@ -84,33 +98,35 @@ def _facts(size: int):
                 if mark == "utf-16":
                     mark = "utf-16-le" if raw[0] == 0xFF else "utf-16-be"
                 utf8, utf16 = (_valid(_segment(raw, behind, part, e), e) for e in ("utf-8", "utf-16-le"))
-                row = ((path, pa.string()), (part, pa.int64()), (mark, pa.string()), (utf8, pa.bool_()), (CP1252_UNDEFINED.isdisjoint(raw), pa.bool_()), (utf16, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], ["path", "part", "mark", "utf8", "cp1252", "utf16"])
-    return run
+                yield path, part, mark, utf8, CP1252_UNDEFINED.isdisjoint(raw), utf16, 0
+
+    kinds = {"path": pa.string(), "part": pa.int64(), "mark": pa.string(), "utf8": pa.bool_(), "cp1252": pa.bool_(), "utf16": pa.bool_()}
+    return lambda batches: _batches(facts(batches), kinds)
 
 
 def _segments(size: int, seam: str):
     cut = re.compile(seam, re.IGNORECASE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for b in batches:
             for path, part, encoding in zip(*(b.column(c).to_pylist() for c in ("path", "part", "encoding"))):
                 before, raw, behind = _range(path, part * size, size)
-                head = tail = error = None
                 try:
                     text = _segment(raw, behind, part, encoding).decode(encoding)
-                    if part == 0:
-                        text = text.removeprefix("﻿") if encoding.startswith("utf") and encoding != "utf-8" else text
-                    elif text.startswith("\n") and before.decode(encoding, "ignore").endswith("\r"):
-                        text = text[1:]
-                    text = text.replace("\r\n", "\n").replace("\r", "\n")
-                    m = cut.search(text) if part else None
-                    head, tail = ("", text) if part == 0 else (text[:m.end()], text[m.end():]) if m else (text, None)
-                except (UnicodeDecodeError, OSError) as e:
-                    error = str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([part], pa.int64()), *(pa.array([x], pa.string()) for x in (head, tail, error))],
-                                                 ["path", "part", "head", "tail", "error"])
-    return run
+                except UnicodeDecodeError as e:
+                    yield path, part, None, None, str(e), 0
+                    continue
+                if part == 0:
+                    text = text.removeprefix("\ufeff") if encoding.startswith("utf") and encoding != "utf-8" else text
+                elif text.startswith("\n") and before.decode(encoding, "ignore").endswith("\r"):
+                    text = text[1:]
+                text = text.replace("\r\n", "\n").replace("\r", "\n")
+                m = cut.search(text) if part else None
+                head, tail = ("", text) if part == 0 else (text[:m.end()], text[m.end():]) if m else (text, None)
+                yield path, part, head, tail, None, len(raw)
+
+    kinds = {"path": pa.string(), "part": pa.int64(), "head": pa.string(), "tail": pa.string(), "error": pa.string()}
+    return lambda batches: _batches(segments(batches), kinds)
 
 
 def text_parts(spark: SparkSession, files: DataFrame, part_bytes: int = PART_BYTES, seam: str = SEAM) -> tuple[DataFrame, DataFrame]:

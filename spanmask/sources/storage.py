@@ -3,16 +3,25 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 
 
 def absolute(folder: str) -> str:
     return folder if ":" in folder else os.path.abspath(folder)
 
 
+@lru_cache(maxsize=1)
+def _local():
+    from pyarrow import fs
+    return fs.LocalFileSystem()
+
+
 def open_fs(uri: str):
     """(file system, path in it) of a path or URI."""
+    if "://" not in uri:
+        return _local(), uri.removeprefix("file:")
     from pyarrow import fs
-    return fs.FileSystem.from_uri(uri if "://" in uri else uri.removeprefix("file:"))
+    return fs.FileSystem.from_uri(uri)
 
 
 def files_in(folder: str) -> Iterator[tuple[str, str, int]]:
