@@ -31,7 +31,7 @@ from .hashing import prefix_sums, span_hash, text_parts
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
-CACHE = 300_000
+CACHE = 150_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -179,7 +179,7 @@ def _encoder(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, buf, off in text_parts(b.column("text"), 4 << 20):
+            for i, buf, off in text_parts(b.column("text"), 2 << 20):
                 packed = [x + end for x in encode_texts(buf, off, path)]
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)),
