@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from .hashing import prefix_sums, span_hash, text_parts
 
 END_ID = 2
 ROW_GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
-CACHE = 150_000
+CACHE = 250_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -153,8 +152,9 @@ def encode_parts(buf: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
     if len(at) < 2:
         return [b""] * (len(off) - 1)
     start, end = at[:-1], at[1:]
-    which, uniques = pd.factorize(span_hash(prefix_sums(buf), start, end))
-    rep = np.empty(len(uniques), np.int64)
+    distinct = pa.array(span_hash(prefix_sums(buf), start, end)).dictionary_encode()
+    which = distinct.indices.to_numpy()
+    rep = np.empty(len(distinct.dictionary), np.int64)
     rep[which[::-1]] = np.arange(len(which) - 1, -1, -1)          # the first place of each
     if len(rep) < len(start):
         # equal hashes must be equal bytes; else every piece stands for itself
@@ -179,7 +179,7 @@ def _encoder(path: str, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, buf, off in text_parts(b.column("text"), 2 << 20):
+            for i, buf, off in text_parts(b.column("text"), 4 << 20):
                 packed = [x + end for x in encode_texts(buf, off, path)]
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]).astype(np.int32)),
