@@ -53,16 +53,17 @@ class Cache:
     def __init__(self, path: str):
         self.tokenizer, self.new, self.old = _tokenizer(path), {}, {}
 
-    def fill(self, pieces: set[bytes]) -> dict[bytes, bytes]:
+    def fill(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         if len(self.new) > CACHE:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
         missing = []
-        for p in pieces - new.keys():
-            if p in old:
-                new[p] = old[p]
-            else:
-                missing.append(p)
+        for p in pieces:
+            if p not in new:
+                if p in old:
+                    new[p] = old[p]
+                else:
+                    missing.append(p)
         for i in range(0, len(missing), 20_000):
             part = missing[i:i + 20_000]
             found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
@@ -164,7 +165,7 @@ def encode_parts(buf: np.ndarray, off: np.ndarray, path: str) -> list[bytes]:
             rep = which = np.arange(len(start))
     raw = buf.tobytes()
     pieces = [raw[x:y] for x, y in zip(start[rep].tolist(), end[rep].tolist())]
-    ids = list(map(_cache(path).fill(set(pieces)).__getitem__, pieces))
+    ids = list(map(_cache(path).fill(pieces).__getitem__, pieces))
     n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     flat = np.frombuffer(b"".join(ids), np.int32)
     base, n = (np.cumsum(n) - n)[which], n[which]
