@@ -19,7 +19,7 @@ from .operators import review as RV
 from .operators import tabular as TB
 from .operators.detect import (DEFAULT_RULES, context_candidates_from, model_spans, rule_candidates_from,
                                trim_bounds)
-from .operators.redact import highlight_ranges, redact_documents
+from .operators.redact import highlight_ranges, preview, redact_documents
 from .operators.registry import assign_codes, entity_registry
 from .operators.resolve import dedupe_rows, greedy_regex, island_representatives, islands, overlapping_pairs
 from .operators.spans import explode_array, span_rank
@@ -274,6 +274,14 @@ def q_min_score(spark, sf):
     return f.where(F.col("score").isNull() | (F.col("score") >= MIN_SCORE)).select("doc_id", "seq")
 
 
+@query("min_score_spans", O.with_([O.FORMS] + O.model_ctes("forms", MIN_SCORE), f"select doc_id, label, {_se('')}, text, score from md"))
+def q_min_score_spans(spark, sf):
+    """C1 as the scan applies it: findings below the minimum score give no span."""
+    f = findings_per_doc(_findings(spark, sf)).join(forms(spark, sf).select("doc_id", "text"), "doc_id")
+    m = explode_array(f, model_spans(F.col("text"), F.col("findings"), MIN_SCORE), ["doc_id"])
+    return longs(m.select("doc_id", "s.label", "s.start", "s.end", "s.text", "s.score"))
+
+
 @query("canonical_label", O.with_([O.FORMS, O.FINDINGS], f"select distinct label as raw_label, case when label in "
                                                          f"({O.ALIASES}) then 'private_id' else label end as label "
                                                          "from findings"))
@@ -631,6 +639,16 @@ def q_preview_doc(spark, sf):
     return t.select("doc_id", "redacted_text")
 
 
+@query("preview_one", O.with_(DECIDED + O.coded_ctes("dec") + O.rewrite_ctes("forms", "coded"),
+                              "select doc_id, file, redacted_text, cast(n_redactions as bigint) as n_redactions from redacted "
+                              "where doc_id = (select max(doc_id) from forms)"))
+def q_preview_one(spark, sf):
+    """The preview of one document, coded among all of them."""
+    s, f = forms_spans(spark, sf), forms(spark, sf)
+    coded = RV.rebuild_codes(RV.apply_decisions(s, _decisions(s)))
+    return longs(preview(f, coded, f.agg(F.max("doc_id")).first()[0]))
+
+
 def _terms(spark, sf):
     corpus.register(spark, sf, ["nation"])
     return spark.sql("select n_name as term, 'private_location' as label from nation")
