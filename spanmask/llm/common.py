@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 SPACE = r"[\x20\x09-\x0D]"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -23,10 +24,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage, survives lost executors and gives the optimizer a true
     size, so a later join is broadcast only if the table is below Spark's
-    threshold.
+    threshold.  The shuffle files of its plan go as soon as it is committed.
     """
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
