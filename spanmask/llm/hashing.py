@@ -1,6 +1,7 @@
 """Vectorised text hashing inside tasks: spans of UTF-8 bytes, words and word shingles of an Arrow batch."""
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -56,6 +57,27 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int =
     return mix((sums[end] - sums[start]) * powers(pow(base, -1, 1 << 64), len(sums))[start])
 
 
+LONG_SPAN = 4096
+_LOW = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+
+
+def span_digest(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 1) -> np.ndarray:
+    """Hash of the bytes start..end, mixed eight bytes at a time; unlike :func:`span_hash` it has no linear structure."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, strides=(1,))
+    size = end - start
+    h = mix(size.astype(U) * U(BASE) + U(seed))
+    for i in np.flatnonzero(size > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i]:end[i]].tobytes(), digest_size=8, key=bytes([seed])).digest(), "little")
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    pos, left = start[live], size[live]
+    while len(live):
+        h[live] = mix((h[live] ^ (eight[pos] & _LOW[np.minimum(left, 8)])) * U(OTHER_BASE) + U(BASE))
+        more = left > 8
+        live, pos, left = live[more], pos[more] + 8, left[more] - 8
+    return h
+
+
 def text_parts(texts: pa.Array, max_bytes: int = 2 << 20, max_rows: int = 1 << 15) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, UTF-8 bytes, offsets) of runs of rows of about ``max_bytes``; null is empty, no text is cut."""
     for a in range(0, len(texts), 1024):                 # a batch is not copied as a whole
@@ -96,7 +118,8 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, seed: int = 1) -> tuple[np.nda
 
 def shingle_sets(buf: np.ndarray, off: np.ndarray, k: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's ``k``-word shingles (all words as one if they are fewer)."""
-    w, first = word_hashes(buf, off)
+    starts, ends, first = word_spans(buf, off)
+    w = span_digest(_LOWER[buf], starts, ends)
     n = max(0, len(w) - k + 1)
     sums = np.zeros(n, U)
     for j in range(k):
