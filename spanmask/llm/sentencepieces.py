@@ -8,13 +8,17 @@ into substrings of at most the longest piece's length, equi-joined to the piece
 table, grouped again by segment, and a higher-order ``aggregate`` folds the
 edges into the path with the largest sum of scores (the earliest start on
 ties).  A character without a piece of its own falls back to its UTF-8 bytes.
+The fold takes the edges in order of their ends; its state is one score and one
+back pointer per end, and a second fold walks back from the last one.
 
 The lattice runs once for frequent segments, counted over a bounded sample of
 documents (``SAMPLE_DOCS``; it only decides what is kept at hand, at most
 ``HEAD`` segments, whose size is bounded), and once for all distinct segments
-outside them; these reach their documents by a join on doc_id.  Segments longer than
-``LONG`` characters are solved by the same recurrence inside the task, so that
-a fold never carries a text-sized array.
+outside them; these reach their documents by a join on a hash of id and text
+that only says which rows may want a segment: a row takes its segments' paths
+by the segments themselves.  Segments longer than ``LONG`` characters are
+solved by the same recurrence inside the task, so that a fold never carries a
+text-sized array.  Tables go as soon as nothing reads them.
 
 The vocabulary file is a parameter and bounded (``MAX_PIECES``), so the piece
 table may be broadcast.
@@ -37,12 +41,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .hashing import BASE, OTHER_BASE, span_hash, text_parts, value_sums
+from .common import drop_table, materialize
+from .hashing import span_digest, text_parts
 
 SPACE_MARK = "▁"
 MAX_PIECES, HEAD, SAMPLE_DOCS, LONG = 1_000_000, 400_000, 20_000, 64
 NARROW = 0x250
+TASK_SEGMENTS = 25_000
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -84,8 +89,17 @@ class Head:
 
 def hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two independent hashes of character spans."""
-    values = c.astype(np.uint64) + np.uint64(1)
-    return span_hash(value_sums(values, BASE), start, end, BASE), span_hash(value_sums(values, OTHER_BASE), start, end, OTHER_BASE)
+    raw = np.ascontiguousarray(c).view(np.uint8)
+    return span_digest(raw, 4 * start, 4 * end, 1), span_digest(raw, 4 * start, 4 * end, 2)
+
+
+def same_spans(c: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span equals, character by character, the span at ``other`` of the same arrays."""
+    size = end - start
+    if (size != size[other]).any():
+        return False
+    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    return bool((c[np.repeat(start, size) + step] == c[np.repeat(start[other], size) + step]).all())
 
 
 NO_HEAD = Head(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int32)))
@@ -147,13 +161,12 @@ class Vocabulary:
             here[1:-1] |= ~self.joined(c)
         at = np.flatnonzero(here)
         start, end = at[:-1], at[1:]
-        h1, h2 = hashes(c, start, end)
-        which, distinct = pd.factorize(h1)
+        which, distinct = pd.factorize(span_digest(c.view(np.uint8), 4 * start, 4 * end, 1))
         rep = np.zeros(len(distinct), np.int64)
         rep[which[::-1]] = np.arange(len(start))[::-1]
-        if (h2 != h2[rep[which]]).any():
+        if not same_spans(c, start, end, rep[which]):
             rep = which = np.arange(len(start))
-        return Cut(c, start, end, np.searchsorted(at, ends), h1[rep], h2[rep], rep, which)
+        return Cut(c, start, end, np.searchsorted(at, ends), *hashes(c, start[rep], end[rep]), rep, which)
 
     def segments(self, texts: list[str | None]) -> list[list[str]]:
         """The same segments as strings, for tests and small inputs."""
@@ -196,33 +209,42 @@ class Vocabulary:
         return self.path_ids(segment) if len(segment) > LONG else None
 
 
+PAIR = "row long, segment string"
+
+
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
 def lattice(segments: DataFrame, path: str) -> DataFrame:
-    """(segment) -> (segment, ids): best paths; id -1 - p stands for the bytes of the character at p."""
+    """Distinct (segment) -> (segment, ids): best paths; id -1 - p stands for the bytes of the character at p."""
     v = vocabulary(path)
     spark = segments.sparkSession
     pieces = F.broadcast(spark.createDataFrame([(p, i, s) for p, (i, s) in v.pieces.items()], "piece string, id int, score long"))
-    edges = (segments.select("segment", F.explode(F.sequence(F.lit(1), F.length("segment"))).alias("s"))
-             .select("segment", "s", F.explode(F.sequence("s", F.least(F.col("s") + (v.longest - 1), F.length("segment")))).alias("e"))
+    size = F.length("segment")
+    dealt = segments.select("segment").repartition(1 + segments.count() // TASK_SEGMENTS, "segment")    # the grouping below needs no other exchange
+    edges = (dealt.select("segment", F.explode(F.sequence(F.lit(1), size)).alias("s"))
+             .select("segment", "s", F.explode(F.sequence("s", F.least(F.col("s") + (v.longest - 1), size))).alias("e"))
              .select("segment", "s", "e", F.expr("substring(segment, s, e - s + 1)").alias("piece"))
              .join(pieces, "piece", "left").where("id is not null or s = e")
              .select("segment", F.struct("e", "s", F.coalesce("id", -F.col("s")).alias("id"),
                                          F.coalesce("score", F.lit(v.unknown).cast("long")).alias("score")).alias("edge")))
-    grouped = edges.groupBy("segment").agg(F.collect_list("edge").alias("edges"))     # at most LONG * longest edges each
-    start = F.array(F.struct(F.lit(0).cast("long").alias("score"), F.array().cast("array<int>").alias("path")))
+    grouped = edges.groupBy("segment").agg(F.sort_array(F.collect_list("edge")).alias("edges"))     # at most LONG * longest edges each
+
+    def step(best, x):
+        """``best`` holds one entry for each end so far; every end has an edge, so that it grows by one at a time."""
+        score = F.when(x.s > 1, F.get(best, x.s - 2).score).otherwise(F.lit(0).cast("long")) + x.score
+        entry = F.array(F.struct(score.alias("score"), x.s.alias("s"), x.e.alias("e"), x.id.alias("id")))
+        return (F.when(F.size(best) < x.e, F.concat(best, entry))
+                .when(score > F.get(best, x.e - 1).score, F.concat(F.slice(best, F.lit(1), x.e - 1), entry)).otherwise(best))
 
-    def step(acc, e):
-        into = F.filter("edges", lambda x: x.e == e)
-        options = F.transform(into, lambda x: F.struct((F.get(acc, x.s - 1).score + x.score).alias("score"), (-x.s).alias("back"), x.id.alias("id")))
-        return F.concat(acc, F.transform(F.array(F.array_max(options)), lambda b: F.struct(
-            b.score.alias("score"), F.concat(F.get(acc, -b.back - 1).path, F.array(b.id)).alias("path"))))
+    def back(state, b):
+        return F.when(state.at == b.e, F.struct((b.s - 1).alias("at"), F.concat(F.array(b.id), state.ids).alias("ids"))).otherwise(state)
 
-    best = F.aggregate(F.sequence(F.lit(1), F.length("segment")), start, step)
-    return grouped.select("segment", F.element_at(best, -1).path.alias("ids"))
+    best = F.aggregate("edges", F.array().cast("array<struct<score:long,s:int,e:int,id:int>>"), step)
+    walked = F.aggregate(F.reverse("best"), F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids")), back)
+    return grouped.select("segment", best.alias("best")).select("segment", walked.ids.alias("ids"))
 
 
 def _rest(path: str, head):
@@ -238,8 +260,8 @@ def _rest(path: str, head):
                 mine = new[k.which]
                 pairs = np.unique(doc[mine] * len(k.rep) + k.which[mine])
                 words = {j: k.text(k.rep[j]) for j in np.flatnonzero(new).tolist()}
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(pairs // max(1, len(k.rep)) + i)),
-                                                  pa.array([words[j] for j in (pairs % max(1, len(k.rep))).tolist()], pa.string())], ["doc_id", "segment"])
+                yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(pairs // max(1, len(k.rep)) + i)),
+                                                  pa.array([words[j] for j in (pairs % max(1, len(k.rep))).tolist()], pa.string())], ["row", "segment"])
     return run
 
 
@@ -280,23 +302,26 @@ def _encoder(path: str, head):
 def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SAMPLE_DOCS) -> Head:
     """Frequent segments of a bounded sample with their ids: at most ``most`` entries of at most LONG characters."""
     share = min(1.0, sample / max(1, rows.count()))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    counts = materialize(some.mapInArrow(_rest(path, None), "doc_id long, segment string").groupBy("segment").agg(F.count("*").alias("c")), "counts")
+    some = rows.select("row", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    counts = materialize(some.mapInArrow(_rest(path, None), PAIR).groupBy("segment").agg(F.count("*").alias("c")), "counts")
     left, least = most, None
     for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():   # one row per distinct count of the sample
         if r.n > left or r.c < 2:
             break
         left, least = left - r.n, r.c
     if least is None:
+        drop_table(counts)
         return NO_HEAD
-    v = vocabulary(path)
-    solved = materialize(lattice(counts.where(F.col("c") >= least).select("segment"), path), "head").toArrow()     # at most ``most`` rows
+    paths = materialize(lattice(counts.where(F.col("c") >= least).select("segment"), path), "head")
+    solved = paths.toArrow()                                                       # at most ``most`` rows
+    for t in (counts, paths):
+        drop_table(t)
     words, lists = solved.column("segment").to_pylist(), solved.column("ids").combine_chunks()
     sizes, ids = np.diff(np.asarray(lists.offsets)), np.asarray(lists.values).copy()
     start = np.cumsum(sizes) - sizes
     plain = np.ones(len(words), bool)
     plain[np.repeat(np.arange(len(words)), sizes)[ids < 0]] = False                # with byte fallback: left to the tail
-    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
     end = np.cumsum([len(w) for w in words])
     h1, h2 = hashes(c, end - [len(w) for w in words], end)
     order = np.argsort(h1)
@@ -306,16 +331,17 @@ def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SA
 
 def _solved(docs: DataFrame, path: str, id_col: str, text_col: str):
     """Rows with the paths of their own segments, and the frequent ones for all."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sc = docs.sparkSession.sparkContext
-    head = sc.broadcast(head_segments(rows, path))
-    rest = materialize(rows.mapInArrow(_rest(path, head), "doc_id long, segment string"), "rest")
-    solved = materialize(lattice(rest.select("segment").distinct(), path), "solved")
-    own = materialize(rest.join(solved, "segment").groupBy(F.col("doc_id").alias("d"))
-                      .agg(F.collect_list(F.struct("segment", "ids")).alias("own"))
-                      .select("d", "own.segment", "own.ids").toDF("d", "words", "ids"), "own")
-    sc._jvm.System.gc()                     # shuffle files of the lattices go with their plans
-    return rows.join(own, F.col("doc_id").eqNullSafe(F.col("d")), "left").select("doc_id", "text", "words", "ids"), head
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    head = docs.sparkSession.sparkContext.broadcast(head_segments(rows, path))
+    rest = materialize(rows.select("row", "text").mapInArrow(_rest(path, head), PAIR), "rest")
+    words = materialize(rest.select("segment").distinct(), "words")
+    solved = materialize(lattice(words, path), "solved")
+    # a set, so that repeated rows do not add up
+    own = materialize(rest.join(solved, "segment").groupBy(F.col("row").alias("r")).agg(F.collect_set(F.struct("segment", "ids")).alias("own"))
+                      .select("r", "own.segment", "own.ids").toDF("r", "words", "ids"), "own")
+    for t in (rest, words, solved):
+        drop_table(t)
+    return rows.join(own, F.col("row") == F.col("r"), "left").select("doc_id", "text", "words", "ids"), head
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -254,6 +254,59 @@ def test_lattice_equals_the_recurrence(spark):
     assert {r.segment: v.spelled(r.segment, r.ids) for r in got} == {w: v.path_ids(w) for w in words}
 
 
+def thue_morse(n, swap=False):
+    """Words that polynomial hashes modulo a power of two cannot tell from their complements."""
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def plain_pieces(text, names, score, byte, longest):
+    """Viterbi over a whole text, without cutting it; the earliest start on ties."""
+    t = "▁" + text.replace(" ", "▁") if text else ""
+    best = [(0, 0, [])]
+    for e in range(1, len(t) + 1):
+        options = []
+        for s in range(max(0, e - longest), e):
+            i = names.get(t[s:e])
+            if i is not None:
+                options.append((best[s][0] + score[i], -s, [i]))
+            elif e - s == 1:
+                options.append((best[s][0] + min(score.values()) - 10, -s, [byte[b] for b in t[s:e].encode()]))
+        best.append(max(options, key=lambda o: o[:2]))
+    out, e = [], len(t)
+    while e:
+        out.append(best[e][2])
+        e = -best[e][1]
+    return [i for part in reversed(out) for i in part]
+
+
+def test_pieces_equal_a_plain_viterbi(spark, docs):
+    import sentencepiece
+    path = sentencepieces.vocabulary_path()
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    plain = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    names, score = {sp.id_to_piece(i): i for i in plain}, {i: int(sp.get_score(i)) for i in plain}
+    byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+    texts = [r.text for r in docs.collect() if r.text and len(r.text) < 3000][:40] + [thue_morse(1024), thue_morse(1024, True), "漢字とقلم and 𝄞 " * 9, None, ""]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(None, "two null ids"), (None, "other text")]
+    got = sentencepieces.encode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    want = [(d, plain_pieces(t or "", names, score, byte, max(map(len, names)))) for d, t in rows]
+    assert sorted(map(repr, [(r.doc_id, list(r.ids)) for r in got])) == sorted(map(repr, want))
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    rows = [(d, " ".join([thue_morse(n, d % 2), "and", "five", "words", "alike", "here"])) for d, n in enumerate([1024, 1024, 4096, 4096, 8192, 8192])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in near_dup.near_duplicates(df).collect()} == {(d, d) for d, _ in rows}
+    path = sentencepieces.vocabulary_path()
+    assert sorted(tuple(r) for r in sentencepieces.decode(sentencepieces.encode(df, path), path).collect()) == rows
+
+
+def test_written_tables_restore_the_session(spark):
+    before = spark.conf.get(common.CLEANUP)
+    t = common.materialize(spark.range(1000).groupBy("id").count(), "counts")
+    assert t.count() == 1000 and spark.conf.get(common.CLEANUP) == before
+
+
 def test_scores_of_odd_rows(docs, labels):
     for scores in (quality.quality_scores(docs, labels), toxicity.toxicity_scores(docs, labels)):
         rows = scores.collect()
