@@ -14,9 +14,9 @@ back pointer per end, and a second fold walks back from the last one.
 The lattice runs once for frequent segments, counted over a bounded sample of
 documents (``SAMPLE_DOCS``; it only decides what is kept at hand, at most
 ``HEAD`` segments, whose size is bounded), and once for all distinct segments
-outside them; these reach their documents by a join on a hash of id and text
-that only says which rows may want a segment: a row takes its segments' paths
-by the segments themselves.  Segments longer than ``LONG`` characters are
+outside them; these reach their texts by a join on a digest of the text (16
+bytes of its SHA-256), as ids in order of the segments' first places, which the
+text alone decides.  Segments longer than ``LONG`` characters are
 solved by the same recurrence inside the task, so that a fold never carries a
 text-sized array.  Tables go as soon as nothing reads them.
 
@@ -209,7 +209,7 @@ class Vocabulary:
         return self.path_ids(segment) if len(segment) > LONG else None
 
 
-PAIR = "row long, segment string"
+PAIR = "row binary, k int, segment string"
 
 
 @lru_cache(maxsize=2)
@@ -247,21 +247,27 @@ def lattice(segments: DataFrame, path: str) -> DataFrame:
     return grouped.select("segment", best.alias("best")).select("segment", walked.ids.alias("ids"))
 
 
+def _own(k: Cut, entry: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Segments that a lattice row solves: (text, distinct segment) in order of text and first place, and each such place's pair."""
+    size = (k.end - k.start)[k.rep]
+    at = np.flatnonzero(((entry < 0) & (size > 1) & (size <= LONG))[k.which])
+    text = np.repeat(np.arange(len(k.first) - 1), np.diff(k.first))
+    pair, keys = pd.factorize(text[at] * len(k.rep) + k.which[at])
+    return keys // max(1, len(k.rep)), keys % max(1, len(k.rep)), at, pair
+
+
 def _rest(path: str, head):
-    """Distinct segments of each document that are neither at hand nor solved in place."""
+    """Distinct segments of each text that are neither at hand nor solved in place, numbered by first place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, known = vocabulary(path), head.value if head else NO_HEAD
         for b in batches:
             for i, buf, off in text_parts(b.column("text"), 1 << 18):
                 k = v.cut(buf, off)
-                size = (k.end - k.start)[k.rep]
-                new = (known.find(k) < 0) & (size > 1) & (size <= LONG)
-                doc = np.repeat(np.arange(len(off) - 1), np.diff(k.first))
-                mine = new[k.which]
-                pairs = np.unique(doc[mine] * len(k.rep) + k.which[mine])
-                words = {j: k.text(k.rep[j]) for j in np.flatnonzero(new).tolist()}
-                yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(pairs // max(1, len(k.rep)) + i)),
-                                                  pa.array([words[j] for j in (pairs % max(1, len(k.rep))).tolist()], pa.string())], ["row", "segment"])
+                text, which, _, _ = _own(k, known.find(k))
+                words = {j: k.text(k.rep[j]) for j in np.unique(which).tolist()}
+                number = np.arange(len(text)) - np.searchsorted(text, text)
+                yield pa.RecordBatch.from_arrays([b.column("row").take(pa.array(text + i)), pa.array(number.astype(np.int32)),
+                                                  pa.array([words[j] for j in which.tolist()], pa.string())], ["row", "k", "segment"])
     return run
 
 
@@ -272,30 +278,35 @@ def _encoder(path: str, head):
             for i, buf, off in text_parts(b.column("text"), 1 << 18):
                 n = len(off) - 1
                 k = v.cut(buf, off)
-                own, lists = b.column("words").slice(i, n).flatten().to_pylist(), b.column("ids").slice(i, n).flatten()
-                own_off, own_ids = np.asarray(lists.offsets).astype(np.int64), np.asarray(lists.values)
-                place = dict(zip(own, range(len(own))))
                 entry = known.find(k)
+                _, which, at, pair = _own(k, entry)
+                sizes, ids = (np.asarray(b.column(c).slice(i, n).flatten()) for c in ("sizes", "ids"))
+                if len(sizes) != len(which):
+                    raise ValueError("paths and segments of a text do not agree")
                 base, size = np.zeros(len(entry), np.int64), np.zeros(len(entry), np.int64)
                 base[entry >= 0], size[entry >= 0] = known.base[entry[entry >= 0]], known.size[entry[entry >= 0]]
                 extra: list[int] = []
-                for j in np.flatnonzero(entry < 0).tolist():
-                    word = k.text(k.rep[j])
-                    at = place.get(word)
-                    ids = v.own(word) if at is None else own_ids[own_off[at]:own_off[at + 1]]
-                    if at is None or (ids < 0).any():
-                        ids = ids if at is None else v.spelled(word, ids.tolist())
-                        base[j] = len(known.ids) + len(own_ids) + len(extra)
-                        extra += ids
-                    else:
-                        base[j] = len(known.ids) + own_off[at]
-                    size[j] = len(ids)
-                flat = np.concatenate([known.ids, own_ids.astype(np.int32), np.array(extra, np.int32)])
-                size, base = size[k.which], base[k.which]
+
+                def put(found: list[int]) -> tuple[int, int]:
+                    extra.extend(found)
+                    return len(known.ids) + len(ids) + len(extra) - len(found), len(found)  # noqa: B023
+
+                solved = np.zeros(len(entry), bool)
+                solved[which] = True
+                for j in np.flatnonzero((entry < 0) & ~solved).tolist():
+                    base[j], size[j] = put(v.own(k.text(k.rep[j])))
+                base, size = base[k.which], size[k.which]
+                many = sizes.astype(np.int64)
+                start = np.cumsum(many) - many
+                own_base = start + len(known.ids)
+                for p in np.unique(np.repeat(np.arange(len(many)), many)[ids < 0]).tolist():
+                    own_base[p], many[p] = put(v.spelled(k.text(k.rep[which[p]]), ids[start[p]:start[p] + sizes[p]].tolist()))
+                base[at], size[at] = own_base[pair], many[pair]
+                flat = np.concatenate([known.ids, ids.astype(np.int32), np.array(extra, np.int32)])
                 upto = np.concatenate([[0], np.cumsum(size)])
                 out = flat[np.repeat(base - upto[:-1], size) + np.arange(upto[-1])]
-                ids = pa.ListArray.from_arrays(pa.array(upto[k.first].astype(np.int32)), pa.array(out))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, n), ids], ["doc_id", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(upto[k.first].astype(np.int32)), pa.array(out))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, n), lists], ["doc_id", "ids"])
     return run
 
 
@@ -331,17 +342,19 @@ def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SA
 
 def _solved(docs: DataFrame, path: str, id_col: str, text_col: str):
     """Rows with the paths of their own segments, and the frequent ones for all."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("row", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
     head = docs.sparkSession.sparkContext.broadcast(head_segments(rows, path))
     rest = materialize(rows.select("row", "text").mapInArrow(_rest(path, head), PAIR), "rest")
     words = materialize(rest.select("segment").distinct(), "words")
     solved = materialize(lattice(words, path), "solved")
-    # a set, so that repeated rows do not add up
-    own = materialize(rest.join(solved, "segment").groupBy(F.col("row").alias("r")).agg(F.collect_set(F.struct("segment", "ids")).alias("own"))
-                      .select("r", "own.segment", "own.ids").toDF("r", "words", "ids"), "own")
+    # a set, so that repeated texts do not add up
+    own = (rest.join(solved, "segment").groupBy(F.col("row").alias("r")).agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("own"))
+           .select("r", F.transform("own", lambda x: F.size(x.ids)).alias("sizes"), F.flatten("own.ids").alias("ids")))
+    own = materialize(own, "own")
     for t in (rest, words, solved):
         drop_table(t)
-    return rows.join(own, F.col("row") == F.col("r"), "left").select("doc_id", "text", "words", "ids"), head
+    return rows.join(own, F.col("row") == F.col("r"), "left").select("doc_id", "text", "sizes", "ids"), head
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
