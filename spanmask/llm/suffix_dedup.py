@@ -26,8 +26,9 @@ follows from first places.
 Equality of records rests on 128 bits of hash, that of windows too.
 
 Cases: null and empty texts have no bytes and nothing is removed; texts shorter
-than ``length`` stay whole; of rows that repeat a doc_id the least text counts,
-and each row gets its result; a null doc_id stands before all others; an empty
+than ``length`` stay whole; rows that repeat a doc_id are documents of their own
+in the order of their texts' SHA-256, those that repeat id and text are one
+document, whose result each gets; a null doc_id stands before all others; an empty
 table gives no rows; other columns are ignored whatever their names.
 """
 from __future__ import annotations
@@ -40,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import row_numbers
 from .common import drop_table, materialize
 from .hashing import U, mix, prefix_sums, span_hash, text_parts
 
@@ -291,9 +293,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``batches`` is the number of arrivals into which the table is dealt by doc_id.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    repeated = not rows.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-    if repeated:
-        rows = rows.groupBy("doc").agg(F.min("text").alias("text"))
+    if rows.groupBy("doc").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return _removed(rows, length, batches)
+    keyed = rows.withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    order = [(F.col("doc").isNotNull(), True), (F.col("doc"), True), (F.col("digest"), True)]
+    numbers = materialize(row_numbers(keyed.select("doc", "digest").distinct(), order, "no"), "numbers").toDF("d", "g", "no")
+    numbered = materialize(keyed.join(numbers, F.col("doc").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).select("doc", "no", "text"), "numbered")
+    result = _removed(materialize(numbered.groupBy("no").agg(F.min("text").alias("text")), "texts").toDF("doc", "text"), length, batches)
+    names = [F.col("doc").alias("doc_id"), *result.columns[1:]]
+    return numbered.select("doc", "no").join(result.withColumnRenamed("doc_id", "d"), F.col("no") == F.col("d")).select(*names)
+
+
+def _removed(rows: DataFrame, length: int, batches: int) -> DataFrame:
+    """The same for (doc, text) of distinct ids."""
     cuts = sorted(set(rows.approxQuantile("doc", [i / batches for i in range(1, batches)], 0.001))) if batches > 1 else []
     bounds = [None, *cuts, None]
     index, found = SuffixIndex(length), []
@@ -323,9 +335,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for x in found[1:]:
         spans = spans.unionByName(x)
     spans = materialize(spans.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "b")).alias("spans")), "found")
-    result = rows.join(spans, same, "left").select(F.col("doc").alias("doc_id"), "text", "spans").mapInArrow(
+    return rows.join(spans, same, "left").select(F.col("doc").alias("doc_id"), "text", "spans").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start:long,end:long>>")
-    if repeated:
-        ids = docs.select(F.col(id_col).cast("long").alias("d"))
-        result = ids.join(result, F.col("d").eqNullSafe(F.col("doc_id"))).drop("d")
-    return result

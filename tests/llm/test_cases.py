@@ -1,4 +1,5 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns, and each operator's own turns."""
+import hashlib
 import random
 
 import numpy as np
@@ -119,6 +120,18 @@ def test_suffix_dedup_cases(spark, docs):
     assert got[2] == (0, 0, 0) and got[7] == (1, 0, 0) and got[6][1] == 0 and got[10] == (len(LONG) + 5, len(LONG), 1)
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    ship_package(spark)
+    random.seed(5)
+    passage = "".join(random.choice("abcdefgh ") for _ in range(301))
+    rows = [(1, "aaa short"), (1, passage), (2, "x" + passage), (None, passage[:150]), (None, "other"), (3, "tail " + passage[50:]), (3, "tail " + passage[50:]), (1, None)]
+    order = sorted(set((d is not None, d or 0, hashlib.sha256((t or "").encode()).hexdigest(), (t or "").encode()) for d, t in rows))
+    by_row = dict(zip([x[1:3] for x in order], brute_repeats([x[3] for x in order])))
+    want = [(d, *by_row[d or 0, hashlib.sha256((t or "").encode()).hexdigest()]) for d, t in rows]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).drop("removed").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 @pytest.mark.parametrize("batches", [1, 3, 7])
 def test_suffix_dedup_on_mixtures(spark, batches):
     random.seed(batches)
