@@ -10,17 +10,11 @@ two sets of the needed similarity must share one.
 
 Nodes that share a key are not paired with each other.  They are compared with
 the key's hub, the node that shares keys with the most others; those not
-linked to it meet a new hub, ``ROUNDS`` times.  What is left are pairs whose
-members both differ from a hub:
-
-* If a member has most of its shingles from the hub (``FAMILY`` or more), two
-  members can only be similar enough if they share a shingle that the hub lacks
-  (found by an equi-join on prefixes of these remainders), or if both are so
-  nearly contained in the hub that sizes alone allow it (found by hub and size).
-* Otherwise the two may meet at no common hub (documents made of several shared
-  passages can have another hub at each key).  All members of a key that are not
-  yet one component therefore go through an exact join: they meet by the rarest
-  of their shingles, so many that two similar members share one.
+linked to it meet a new hub, ``ROUNDS`` times.  All members of a key that are
+not yet one component then go through an exact join: they meet by the rarest of
+their shingles, so many that two similar members share one.  Shingles that only
+one component has are the rarest of all, and what follows the first common one
+must suffice, so members of a hot key that differ enough seldom meet.
 
 So a similar pair is lost only if it shares no key at all: with J >= 0.75 all 32
 bands fail with probability (1 - 0.42) ** 32, under 3e-8.
@@ -44,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop_table, materialize
 from .hashing import U, mix, shingle_sets, text_parts
 
 BUCKETS, ROWS, MANTISSA = 96, 3, 10
-SMALL, ROUNDS, FAMILY = 43, 2, 0.6          # two sets of over 32 shingles, or both of at most 43
+SMALL, ROUNDS = 43, 2          # two sets of over 32 shingles, or both of at most 43
 EMPTY = 0
 
 
@@ -123,16 +117,14 @@ def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _likely(least: float):
-    """Pairs that may be linked, or in which b may hold ``FAMILY`` of a's shingles."""
+    """Pairs that may be linked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             regs = lambda c: np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, BUCKETS)  # noqa: B023, E731
             na, nb = b.column("na").to_numpy(), b.column("nb").to_numpy()
             est, used = estimate(regs("ra"), regs("rb"), na, nb)
             high = est + 6 * np.sqrt(least * (1 - least) / np.maximum(used, 1))
-            held = np.minimum(1, est + 3 * np.sqrt(np.maximum(est, 0.02) / np.maximum(used, 1)))
-            inside = held / (1 + held) * (na + nb) >= FAMILY * na
-            yield b.select(["a", "b", "na", "nb"]).filter(pa.array((high >= least) | inside))
+            yield b.select(["a", "b", "na", "nb"]).filter(pa.array(high >= least))
     return run
 
 
@@ -146,33 +138,18 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 PAIR = "a binary, b binary, na long, nb long, common long"
 
 
-def _remainder(percent: int):
-    """What a member has beyond its hub: the least hashes, so many that two similar members share one."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                own, hub = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
-                rest = np.setdiff1d(own, hub, assume_unique=True)
-                need = -(-percent * len(own) // 100) - (len(own) - len(rest))
-                out.append(np.sort(rest)[:len(rest) - max(need, 1) + 1])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("hub", "node", "root", "main", "na", "common")), _longs(out)],
-                                             ["hub", "node", "root", "main", "na", "common", "rest"])
-    return run
-
-
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         yield pa.RecordBatch.from_arrays([b.column("node"), b.column("mark"), _longs([np.frombuffer(x.as_py(), U) for x in b.column("items")])], ["node", "mark", "s"])
 
 
 def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots that may be similar; ``nodes``: (node, n, root, main), ``sets``: (node, items).
+    """Pairs (a, b) of different roots that may be similar; ``nodes``: (node, n, root), ``sets``: (node, items).
 
     Shingles of one root only stand first in the common order, the others follow
     from rare to frequent; two similar sets share one of their first
     n - ceil(percent n) + 1, and what follows the first one that they share must
-    be enough.  Members of one main hub are left to that hub.
+    be enough.
     """
     nodes = materialize(nodes.withColumn("mark", F.xxhash64("root")), "open")
     parts = nodes.select("node", "mark").join(sets, "node").select("node", "mark", "items") \
@@ -184,12 +161,12 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = materialize(
         ranked.join(nodes, "node").withColumn("alone", alone).withColumn("l", F.slice("l", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")))
-        .select("node", "n", "mark", "main", "alone", F.posexplode("l").alias("i", "x"))
-        .select("node", "n", "mark", "main", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.s").alias("s")), "first_shingles")
+        .select("node", "n", "mark", "alone", F.posexplode("l").alias("i", "x"))
+        .select("node", "n", "mark", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.s").alias("s")), "first_shingles")
     meet = materialize(first.groupBy("s").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("s"), "first_meet")
     first = materialize(first.join(meet, "s"), "first_meeting")
     p, q = first.alias("p"), first.alias("q")
-    apart = (F.col("p.mark") != F.col("q.mark")) & ~F.coalesce(F.col("p.main") == F.col("q.main"), F.lit(False))
+    apart = F.col("p.mark") != F.col("q.mark")
     enough = (100 + percent) * F.least("p.rest", "q.rest") >= percent * (F.col("p.n") + F.col("q.n"))
     return p.join(q, (F.col("p.s") == F.col("q.s")) & (F.col("p.node") < F.col("q.node")) & apart & enough) \
         .select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
@@ -249,9 +226,10 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
     nodes = materialize(sketches.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "regs", "keys", "small")]), "nodes")
     bands = nodes.select("node", F.explode("keys").alias("key")).unionByName(prefix_keys(nodes, percent))
-    bands = materialize(bands, "bands")
-    shared = materialize(bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared_keys")
-    bands = materialize(bands.join(shared, "key").select("key", "node", "c"), "shared_bands")
+    every = materialize(bands, "bands")
+    shared = materialize(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "shared_keys")
+    bands = materialize(every.join(shared, "key").select("key", "node", "c"), "shared_bands")
+    drop_table(every)
     degree = bands.groupBy("node").agg(F.sum("c").alias("degree"))
     members = materialize(bands.join(degree, "node").select("key", "node", "degree"), "members")
     inside = materialize(degree.select("node"), "inside")
@@ -268,7 +246,7 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
         return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_common, PAIR), "compared")
 
     linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
-    left, tested, first = members, None, None
+    left, tested = members, None
     for turn in range(ROUNDS):
         hubs = materialize(left.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"), F.count("*").alias("c")).where("c > 1")
                            .select("key", F.col("hub.node").alias("b")), "hubs")
@@ -276,45 +254,16 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
         new = met.select("a", "b").distinct()
         done = compared(new if tested is None else new.join(tested, ["a", "b"], "left_anti"))
         tested = done if tested is None else tested.unionByName(done)
-        first = done if first is None else first          # a key's members all meet its first hub
         if turn + 1 < ROUNDS:
             left = materialize(met.join(tested.where(linked).select("a", "b"), ["a", "b"], "left_anti").select("key", F.col("a").alias("node"), "degree"), "left")
 
     links = materialize(tested.where(linked).select("a", "b"), "links")
     found = components(nodes.select("node", "doc_id"), links)
-    family = first.where(linked | (F.col("common") >= FAMILY * F.col("na"))).select(F.col("b").alias("hub"), F.col("a").alias("node"), "na", "common", linked.alias("linked"))
-    # two members that share their main hub are paired there and not at their other hubs
-    main = materialize(family.join(materialize(degree, "degrees").withColumnRenamed("node", "hub"), "hub")
-                       .groupBy("node").agg(F.max(F.struct("degree", "hub"))["hub"].alias("main")), "main")
-    family = materialize(family.join(main, "node").join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node")), "family")
-    mixed = materialize(family.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub"), "mixed")
-    family = materialize(family.join(mixed, "hub"), "mixed_family")
-    rests = family.join(full("node", "x"), "node").join(full("hub", "y"), "hub").select("hub", "node", "root", "main", "na", "common", "x", "y") \
-        .mapInArrow(_remainder(percent), "hub binary, node binary, root binary, main binary, na long, common long, rest array<long>")
-    rests = materialize(rests.select("*", F.explode("rest").alias("s")).drop("rest"), "rests")
-    meet = materialize(rests.groupBy("hub", "s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("hub", "s"), "meet")
-    rests = materialize(rests.join(meet, ["hub", "s"]), "meeting")
-    p, q = rests.alias("p"), rests.alias("q")
-    both = [F.col("p.node").alias("a"), F.col("q.node").alias("b")]
-    here = (F.col("p.main") != F.col("q.main")) | (F.col("p.main") == F.col("p.hub"))
-    most = F.least("p.common", "q.common") + F.least(F.col("p.na") - F.col("p.common"), F.col("q.na") - F.col("q.common"))
-    enough = lambda n: (100 + percent) * n >= percent * (F.col("p.na") + F.col("q.na"))
-    apart = (F.col("p.root") != F.col("q.root")) & here
-    by_rest = p.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.s") == F.col("q.s")) & (F.col("p.node") < F.col("q.node")) & apart & enough(most)).select(*both)
-    # both nearly inside the hub: as much in common as sizes allow, so sizes are alike
-    near = family.where(100 * F.col("common") >= percent * F.col("na")).withColumn("size", F.floor(F.log("na") / 0.05).cast("int"))
-    wide = near.where("not linked").withColumn("size", F.explode(F.sequence(F.col("size") - 6, F.col("size") + 6))).alias("p")
-    q = near.alias("q")
-    by_size = wide.join(q, (F.col("p.hub") == F.col("q.hub")) & (F.col("p.size") == F.col("q.size")) & apart & enough(F.least("p.common", "q.common"))) \
-        .select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
-    more = compared(by_rest.unionByName(by_size).distinct())
-    links = materialize(links.unionByName(more.where(linked).select("a", "b")), "links")
-    found = components(nodes.select("node", "doc_id"), links)
     # whoever shares a key with a member of another component has perhaps not met that member
     rooted = members.select("key", "node").join(found.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     several = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     apart_still = rooted.join(several, "key").select("node", "root").distinct()
-    late = compared(rare_pairs(apart_still.join(nodes.select("node", "n"), "node").join(main, "node", "left"), sets, percent))
+    late = compared(rare_pairs(apart_still.join(nodes.select("node", "n"), "node"), sets, percent))
     found = components(nodes.select("node", "doc_id"), links.unionByName(late.where(linked).select("a", "b")))
     named = materialize(nodes.select("node", "doc_id").join(found, "node", "left")
                         .select("node", F.coalesce("component", "doc_id").alias("component"), F.coalesce("root", "node").alias("root")), "named")
