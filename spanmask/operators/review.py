@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import Iterable, Optional
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.fixed import (ALL_KNOWN_LABELS, DEFAULT_LABELS, FILTER_ALL, LABEL_DISPLAY, REVIEW_TEXT_CUT,
@@ -83,6 +83,23 @@ def review_sort(spans: DataFrame, column: str, descending: bool = False, index_c
     return row_numbers(spans, [(key, not descending), (F.col(index_col), True)], "pos")
 
 
+def review_page(spans: DataFrame, column: str, size: int, after: Optional[Row] = None, descending: bool = False,
+                index_col: str = "idx") -> DataFrame:
+    """The next ``size`` rows of :func:`review_sort` behind the row ``after`` (null: the first page), in that order.
+
+    Adds the sort key ``page_key``; any row of a page can stand as ``after``.
+    Each task keeps its ``size`` first rows behind that place, so a page takes
+    no sort and no shuffle of the table, however far it lies.
+    """
+    keyed = spans.withColumn("page_key", SORT_KEYS[column]())
+    if after is not None:
+        here, there = F.struct("page_key"), F.struct(F.lit(after["page_key"]).cast(keyed.schema["page_key"].dataType).alias("page_key"))
+        further = here < there if descending else here > there          # null keys are the least, as in the sort
+        keyed = keyed.where(further | ((here == there) & (F.col(index_col) > F.lit(after[index_col]))))
+    key = F.col("page_key")
+    return keyed.orderBy(key.desc() if descending else key.asc(), F.col(index_col)).limit(size)
+
+
 def labels_found(spans: DataFrame) -> DataFrame:
     """Distinct display labels present."""
     return spans.select(display_label(F.col("label")).alias("type")).distinct()

@@ -6,6 +6,8 @@ their whole extent.  ``QUERIES[name] = (callable(spark, sf_dir), sql or None)``.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from .functions.text import canonical_label, label_prefix, normalize_entity, py_
 from .functions.validators import valid_iban, valid_phone, valid_tax_code, valid_vat
 from .operators import review as RV
 from .operators import tabular as TB
-from .operators.detect import (DEFAULT_RULES, context_candidates_from, model_spans, rule_candidates_from,
+from .operators.detect import (DEFAULT_RULES, RegexRule, context_candidates_from, model_spans, regex_candidates, rule_candidates_from,
                                trim_bounds)
 from .operators.redact import highlight_ranges, preview, redact_documents
 from .operators.registry import assign_codes, entity_registry
@@ -29,6 +31,7 @@ from .plans.scan import findings_per_doc, scan
 from .sinks.writers import index_rows, leak_check, one_row_join, output_name
 from .sinks.text_files import read_text_files, unique_names, write_text_files
 from .sources import corpus
+from .sources.model import attach_model_findings
 from .sources.files import classify_names, documents_from_files, list_folder, read_documents
 from .sources.parts import read_parts
 from .sources.profile import mode_threshold, parse_profile, parse_terms
@@ -592,6 +595,65 @@ def q_review_sort(spark, sf):
     return longs(out)
 
 
+PAGE, PAGES = 40, 3
+
+
+@query("review_pages", O.with_(FORMS_RES + [spans_cte()] + O.coded_ctes("sp") + [
+    "ix as (select *, row_number() over (order by file, st, en, label) as idx from coded)"],
+    " union all ".join(f"select * from (select '{c}' as sorted_by, doc_id, cast(st as bigint) as \"start\", label, "
+                       f"cast((row_number() over (order by {k} {'desc' if i % 2 else 'asc'}, idx) - 1) // {PAGE} + 1 as bigint) as page from ix) "
+                       f"where page <= {PAGES}" for i, (c, k) in enumerate(SORTED_BY.items()))))
+def q_review_pages(spark, sf):
+    """The first pages of each sort, each found from the last row of the page before."""
+    from .operators.numbering import row_numbers
+    _, _, coded = published(spark, sf)
+    s = checkpoint(row_numbers(coded, [(F.col(c), True) for c in ("file", "start", "end", "label")], "idx"))
+    out = None
+    for i, c in enumerate(SORTED_BY):
+        last = None
+        for n in range(1, PAGES + 1):
+            page = RV.review_page(s, c, PAGE, last, descending=bool(i % 2))
+            t = page.select(F.lit(c).alias("sorted_by"), "doc_id", "start", "label", F.lit(n).alias("page"))
+            out = t if out is None else out.unionByName(t)
+            rows = page.select("page_key", "idx").collect()              # one page
+            if len(rows) < PAGE:
+                break
+            last = rows[-1]
+    return longs(out)
+
+
+# ---------------------------------------------------------------------------
+# A user's rule and a user's detector
+# ---------------------------------------------------------------------------
+
+DIGIT_RUNS = "runs as (select doc_id, unnest(regexp_extract_all(text, '[0-9]{2,}')) as text from forms)"
+
+
+@query("user_rule", O.with_([O.FORMS, DIGIT_RUNS], "select doc_id, text, count(*) as n from runs "
+                            "where cast(right(text, 2) as int) % 4 = 0 group by doc_id, text"))
+def q_user_rule(spark, sf):
+    """A rule that is not among the fixed ones, with a validator of its own."""
+    rule = RegexRule("private_number", "[0-9]{2,}", validator=lambda v: F.substring(v, -2, 2).cast("int") % 4 == 0)
+    found = forms(spark, sf).select("doc_id", regex_candidates(F.col("text"), [rule]).alias("spans"))
+    return explode_array(found, "spans", ["doc_id"]).groupBy("doc_id", F.col("s.text").alias("text")).agg(F.count("*").alias("n"))
+
+
+def digit_runs():
+    """A detector as a user writes it: every run of digits, scored by its length."""
+    runs = re.compile("[0-9]{2,}")
+    return lambda texts: [[("private_number", m.start(), m.end(), 1 / (m.end() - m.start())) for m in runs.finditer(t)] for t in texts]
+
+
+@query("user_detector", O.with_([O.FORMS, DIGIT_RUNS], "select doc_id, text, count(*) as n, 1.0 / length(text) as score from runs group by doc_id, text"))
+def q_user_detector(spark, sf):
+    """A user's detector attached to the documents."""
+    found = attach_model_findings(forms(spark, sf), digit_runs, "digit runs 1")
+    f = explode_array(found, "findings", ["doc_id", "text"])
+    text = F.substr("text", F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
+    return f.select("doc_id", text.alias("text"), F.col("s.score").alias("score")).groupBy("doc_id", "text") \
+        .agg(F.count("*").alias("n"), F.first("score").alias("score"))
+
+
 # ---------------------------------------------------------------------------
 # Decisions and manual terms
 # ---------------------------------------------------------------------------

@@ -13,7 +13,7 @@ FAST = ["detect_email", "detect_vat", "detect_tax_code", "detect_iban", "detect_
         "island_representative", "redact_text", "redact_documents", "manual_add", "rebuild_codes",
         "render_sheets", "render_csv_rows", "occurrence_index", "leak_check", "run_log", "profile_payload",
         "review_sort", "placeholders", "unsupported_sample", "trim_bounds", "refine_address", "read_text_ladder", "ingest_errors", "overlap_pairs",
-        "row_context", "format_cells", "assemble_docx_parts", "manual_terms"]
+        "row_context", "format_cells", "assemble_docx_parts", "manual_terms", "review_pages", "user_rule", "user_detector"]
 
 
 def _norm(v):
