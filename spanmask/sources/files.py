@@ -9,12 +9,15 @@ becomes an ``error`` row instead of a crash.
 """
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import SUPPORTED_EXTENSIONS
 from ..functions.text import extension_with_dot, fold
-from ..session import checkpoint, ship_package
+from ..session import ship_package, written
 from .listing import listing
 from .storage import open_fs
 
@@ -88,28 +91,47 @@ def decode_bytes(raw: bytes) -> str:
 
 ROWS = ("file string, ext string, kind string, sheet_idx int, sheet string, seq int, cells array<string>, text string, "
         "part struct<section:int,depth:int,tbl:int,row:int,cell:int,up_tbl:int,up_row:int,up_cell:int>, error string")
+ROW_TYPES = {"file": pa.string(), "ext": pa.string(), "kind": pa.string(), "sheet_idx": pa.int32(), "sheet": pa.string(), "seq": pa.int32(),
+             "cells": pa.list_(pa.string()), "text": pa.string(),
+             "part": pa.struct([(c, pa.int32()) for c in ("section", "depth", "tbl", "row", "cell", "up_tbl", "up_row", "up_cell")]), "error": pa.string()}
+BATCH_ROWS, BATCH_CHARS = 10_000, 8 << 20
 
 
-def _parsed(batches):
-    import pandas as pd
+def _file_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     from spanmask.sources.formats import read_rows
-    names = [c.split(" ")[0] for c in ROWS.replace("part struct<section:int,depth:int,tbl:int,row:int,cell:int,up_tbl:int,up_row:int,up_cell:int>",
-                                                   "part x").split(", ")]
-    for pdf in batches:
-        for path, name, ext, length, content in zip(pdf["path"], pdf["name"], pdf["ext"], pdf["length"], pdf["content"]):
+    for b in batches:
+        for path, name, ext, length, content in zip(*(b.column(c) for c in ("path", "name", "ext", "length", "content"))):
+            path, name, ext, length, content = path.as_py(), name.as_py(), ext.as_py(), length.as_py(), content.as_py()
             try:
-                if length > MAX_FILE_BYTES:
+                if length is not None and length > MAX_FILE_BYTES:
                     raise ValueError(f"{length} bytes; at most {MAX_FILE_BYTES} can be read")
                 if content is None:
                     system, place = open_fs(path)
                     with system.open_input_stream(place) as f:
                         content = f.read()
                 out = [(name, ext, "file", 0, "", 0, [], None, None, None)]
-                out += [(name, ext, *row, None) for row in read_rows(bytes(content), ext)]
+                out += [(name, ext, *row, None) for row in read_rows(content, ext)]
             except Exception as exc:  # noqa: BLE001 - per-file error capture
                 out = [(name, ext, "error", 0, "", 0, [], None, None, f"{name}: {exc}")]
-            for i in range(0, len(out), 10_000):
-                yield pd.DataFrame(out[i:i + 10_000], columns=names)
+            yield from out
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the files; small files share a batch, and a batch is closed at a number of rows or characters."""
+    held: list[tuple] = []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), ROW_TYPES.values())], list(ROW_TYPES))
+
+    for row in _file_rows(batches):
+        held.append(row)
+        size += len(row[7] or "") + sum(map(len, row[6]))
+        if len(held) == BATCH_ROWS or size > BATCH_CHARS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
 
 
 def read_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -133,7 +155,7 @@ def documents_from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ship_package(files.sparkSession)
     if "length" not in files.columns:
         files = files.withColumn("length", F.octet_length("content").cast("long"))
-    rows = checkpoint(files.select("path", "name", "ext", "length", "content").mapInPandas(_parsed, ROWS))
+    rows = written(files.select("path", "name", "ext", "length", "content").mapInArrow(_parsed, ROWS), "file_rows")
     texts = rows.where(F.col("kind") == "text").select("file", "text")
     cells = rows.where(F.col("kind") == "cells").select("file", "ext", "sheet_idx", "sheet",
                                                           F.col("seq").alias("row_number"), "cells")
