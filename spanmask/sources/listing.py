@@ -20,7 +20,7 @@ from ..session import ensure_checkpoint_dir, ship_package
 from .storage import absolute, files_in, open_fs
 
 PAGE_FILES, PAGE_BYTES = 10_000, 128 << 20
-OPEN_BYTES = 4 << 20            # what opening a file counts, as in Spark's own packing
+OPEN_BYTES = 16 << 10           # what opening a file counts; much more, and a page of small files is a task of a few names
 SCHEMA = "path string, name string, length long"
 
 

@@ -1,7 +1,26 @@
 """Folders of many small files: pages, batches and walks follow the work, not the number of files."""
+import os
+
 import pyarrow as pa
 
 from spanmask.sources.files import BATCH_ROWS, _parsed
+from spanmask.sources.listing import listing
+
+
+def _folder(tmp_path, n):
+    d = tmp_path / "many"
+    d.mkdir()
+    for i in range(n):
+        (d / f"{i:04d}.txt").write_text(f"info{i}@example.com; " * 5)
+    return d
+
+
+def test_small_files_share_a_page(spark, tmp_path):
+    d = _folder(tmp_path, 300)
+    names = listing(spark, str(d))
+    assert names.rdd.getNumPartitions() == 1
+    assert sorted(r.name for r in names.collect()) == sorted(os.listdir(d))
+    assert listing(spark, str(d), size=1 << 20).rdd.getNumPartitions() > 1      # bytes still close a page
 
 
 def _files(texts):
