@@ -37,6 +37,9 @@ SEAM = (r"""[;|]|[!?,()\[\]"»]\s*\n|(?<!P)\.\s*\n"""
 #: Characters of one stretch without a seam; a row cannot hold more.
 MAX_STRETCH = 1 << 29
 
+#: Bytes and files that make up a task's work, unless a part is larger.
+TASK_BYTES, TASK_FILES = 4 << 20, 4000
+
 FACTS = "path string, part long, mark string, utf8 boolean, cp1252 boolean, utf16 boolean"
 SEGMENTS = "path string, part long, head string, tail string, error string"
 
@@ -139,7 +142,7 @@ def text_parts(spark: SparkSession, files: DataFrame, part_bytes: int = PART_BYT
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("part"))
     # a range's row is small, its work is not: tasks follow the bytes of the files, and small files go together
     work = files.agg(F.sum("length").alias("size"), F.count(F.lit(1)).alias("n")).first()
-    tasks = 1 + (work.size or 0) // max(part_bytes, 1 << 20) + work.n // 1000
+    tasks = 1 + (work.size or 0) // max(part_bytes, TASK_BYTES) + work.n // TASK_FILES
     ranges = ranges.repartition(tasks)
     facts = ranges.mapInArrow(_facts(part_bytes), FACTS).groupBy("path").agg(
         F.max("mark").alias("mark"), F.every("utf8").alias("utf8"), F.every("cp1252").alias("cp1252"), F.every("utf16").alias("utf16"))
@@ -173,7 +176,7 @@ def text_parts(spark: SparkSession, files: DataFrame, part_bytes: int = PART_BYT
 
 def read_parts(spark: SparkSession, folder: str, part_bytes: int = PART_BYTES, seam: str = SEAM) -> tuple[DataFrame, DataFrame]:
     """All supported files of ``folder`` -> (parts(doc_id, file, part, at, text), errors(file, message))."""
-    files = list_folder(spark, folder).where(F.col("status") == "supported")
+    files = written(list_folder(spark, folder).where(F.col("status") == "supported"), "listed")     # walked once, read twice
     plain = F.col("ext") == TEXT_EXTENSION
     parts, errors = text_parts(spark, files.where(plain), part_bytes, seam)
     docs, failed = documents_from_files(files.where(~plain).select("path", "name", "ext", "length", F.lit(None).cast("binary").alias("content")))

@@ -3,8 +3,10 @@ import os
 
 import pyarrow as pa
 
+from spanmask.session import ensure_checkpoint_dir
 from spanmask.sources.files import BATCH_ROWS, _parsed
 from spanmask.sources.listing import listing
+from spanmask.sources.parts import read_parts
 
 
 def _folder(tmp_path, n):
@@ -47,3 +49,13 @@ def test_a_file_without_length_or_content_is_an_error_row():
     rows = next(_parsed(iter([b]))).to_pylist()
     assert [r["kind"] for r in rows] == ["error", "error"]
     assert rows[0]["error"].startswith("such.txt: ") and rows[1]["error"].startswith("None: 1099511627776 bytes")
+
+
+def test_parts_walk_the_folder_once(spark, tmp_path):
+    d = _folder(tmp_path, 20)
+    (d / "rows.csv").write_text("Email\ninfo@example.com\n")
+    pages = ensure_checkpoint_dir(spark).removeprefix("file:") + "/listing"
+    before = len(os.listdir(pages)) if os.path.isdir(pages) else 0
+    parts, errors = read_parts(spark, str(d), 64)
+    assert parts.select("file").distinct().count() == 21 and errors.count() == 0
+    assert len(os.listdir(pages)) - before == 1
