@@ -91,7 +91,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", null_ids: bool = False) -> DataFrame:
     """The rows of ``docs`` whose text contains no item, with all their columns; rows without an id are judged with ``null_ids`` only."""
-    digest = F.sha2(F.col(text_col), 256)                # a row is judged by its own text, whatever ids repeat
+    # a row is judged by its own text, whatever ids repeat; 16 bytes of SHA-256, as the tables of digests travel and the texts need not
+    digest = F.substring(F.unhex(F.sha2(F.col(text_col), 256)), 1, 16)
     texts = docs.select(digest.alias("doc_id"), F.col(text_col).alias("text"))
     gone = materialize(contaminated(texts, items).select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
     judged = F.lit(True) if null_ids else F.col(id_col).isNotNull()

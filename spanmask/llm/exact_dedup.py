@@ -84,8 +84,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: all their columns, one row per group of equal texts, also where ids repeat or are null."""
     gone = materialize(exact_dedup(docs, id_col, text_col).where("not kept")
-                       .select(F.col("doc_id").alias("__gone"), F.col("text_sha256").alias("__copy")).distinct(), "copies")
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    left = rows.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (F.col("__sha") == F.col("__copy")), "left_anti")
+                       .select(F.struct("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct(), "copies")
+    # the rows left of a group share one id, so the texts are dealt once, by the same keys for the join and the grouping
+    rows = docs.withColumns({"__id": F.struct(F.col(id_col).alias("doc_id")), "__sha": F.sha2(normalised(F.col(text_col)), 256)})
+    left = rows.join(gone, ["__id", "__sha"], "left_anti")
     longest = F.struct(F.length(text_col), F.xxhash64(text_col))
-    return left.groupBy("__sha").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), longest).alias("row")).select("row.*")
+    return left.groupBy("__id", "__sha").agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), longest).alias("row")).select("row.*")
