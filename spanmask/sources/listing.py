@@ -20,7 +20,8 @@ from ..session import ensure_checkpoint_dir, ship_package
 from .storage import absolute, files_in, open_fs
 
 PAGE_FILES, PAGE_BYTES = 10_000, 128 << 20
-OPEN_BYTES = 16 << 10           # what opening a file counts; much more, and a page of small files is a task of a few names
+OPEN_BYTES = 4 << 20            # what opening a file counts, as in Spark's own packing
+LISTED_OPEN_BYTES = 16 << 10    # the same in :func:`listing`: folders of small files have thousands to a page
 SCHEMA = "path string, name string, length long"
 
 
@@ -34,12 +35,13 @@ class ListingReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.folder, self.pages = options["path"], options["pages"].rstrip("/")
         self.most_files, self.most_bytes = int(options.get("files", PAGE_FILES)), int(options.get("bytes", PAGE_BYTES))
+        self.open_bytes = int(options.get("open", OPEN_BYTES))
 
     def _cut(self) -> Iterator[list[tuple[str, str, int]]]:
         page: list[tuple[str, str, int]] = []
         held = 0
         for f in files_in(self.folder):
-            cost = OPEN_BYTES + f[2]
+            cost = self.open_bytes + f[2]
             if page and (len(page) >= self.most_files or held + cost > self.most_bytes):
                 yield page
                 page, held = [], 0
@@ -67,7 +69,7 @@ class ListingReader(DataSourceReader):
 
 
 class FolderListing(DataSource):
-    """``path``: the folder; ``pages``: a shared folder for the pages; ``files``, ``bytes``: where a page is closed."""
+    """``path``: the folder; ``pages``: a shared folder for the pages; ``files``, ``bytes``: where a page is closed; ``open``: bytes that opening a file counts."""
 
     @classmethod
     def name(cls) -> str:
@@ -85,4 +87,5 @@ def listing(spark: SparkSession, folder: str, files: int = PAGE_FILES, size: int
     ship_package(spark)
     spark.dataSource.register(FolderListing)
     return (spark.read.format(FolderListing.name()).option("path", absolute(folder))
-            .option("pages", f"{ensure_checkpoint_dir(spark)}/listing").option("files", files).option("bytes", size).load())
+            .option("pages", f"{ensure_checkpoint_dir(spark)}/listing").option("files", files).option("bytes", size)
+            .option("open", LISTED_OPEN_BYTES).load())
