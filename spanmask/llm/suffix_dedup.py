@@ -18,10 +18,12 @@ before anything is shuffled.
 Entries that share the hash at the named place but differ as records overlap in
 part.  Only these are opened: equal windows always name equal places, so the
 windows of a few entries with one key are compared side by side, and those of a
-key with more than ``GROUP`` entries are dealt out by their fingerprints, first
-in blocks of ``BLOCK`` windows and then, for the blocks left, one by one, which
-splits a passage that a third of all documents share.  Every other place
-follows from first places.
+key with more than ``GROUP`` entries are dealt out by their fingerprints, which
+splits a passage that a third of all documents share: first in blocks of
+``BLOCK`` windows, cut at the same places relative to the named one.  Equal
+windows lie in blocks of equal cores, the bytes that all windows of a block
+hold, so only blocks whose core stands in different blocks too are taken window
+by window.  Every other place follows from first places.
 
 Equality of records rests on 128 bits of hash, that of windows too.
 
@@ -187,27 +189,61 @@ def _side_by_side(length: int):
     return run
 
 
-PIECE = "doc long, pos long, n int, bytes binary, h1 long, h2 long"
+PIECE, WINDOW = "doc long, pos long, n int, bytes binary, h1 long, h2 long", "doc long, pos long, n int, h1 long, h2 long"
 
 
-def _dealt(length: int, most: int):
-    """Segments cut into pieces of at most ``most`` windows, with two fingerprints of each piece."""
+def _hashes(raw: list[bytes]) -> list[pa.Array]:
+    """Both fingerprints of each byte string."""
+    end = np.cumsum([len(x) for x in raw]).astype(np.int64)
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    return [pa.array(span_hash(prefix_sums(buf, s), end - [len(x) for x in raw], end).view(np.int64)) for s in (7, 9)] if raw else [pa.array([], pa.int64())] * 2
+
+
+def _places(raw: list[bytes], key: np.ndarray, length: int) -> list[int]:
+    """The place that each segment's windows name: the first with its key's hash."""
+    buf = np.frombuffer(b"".join(raw), np.uint8)
+    size = np.array([len(x) for x in raw], np.int64)
+    at = (np.cumsum(size) - size)[:, None] + np.arange(length - SEED + 1)
+    return (span_hash(prefix_sums(buf, 3), at, at + SEED) == key.view(U)[:, None]).argmax(axis=1).tolist()
+
+
+def _blocks(length: int):
+    """Segments cut into blocks of at most ``BLOCK`` windows at places that depend on the named one alone, with two fingerprints of each block and one of its core."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, 5000):
                 part = b.slice(i, 5000)
-                row, pos, n, raw = [], [], [], []
-                for k, (p, many, text) in enumerate(zip(*(part.column(c).to_pylist() for c in ("pos", "n", "bytes")))):
-                    for at in range(0, many, most):
+                row, pos, n, raw, core, turn = [], [], [], [], [], []
+                texts = part.column("bytes").to_pylist()
+                for k, (p, many, text, place) in enumerate(zip(part.column("pos").to_pylist(), part.column("n").to_pylist(), texts,
+                                                               _places(texts, part.column("key").to_numpy(), length))):
+                    at = 0
+                    while at < many:
+                        t = (place - at) // BLOCK                # windows from place - t * BLOCK - BLOCK + 1 to place - t * BLOCK
+                        last = place - t * BLOCK
+                        stop = min(many, last + 1)
                         row.append(k)
                         pos.append(p + at)
-                        n.append(min(most, many - at))
-                        raw.append(text[at:at + n[-1] + length - 1])
-                end = np.cumsum([len(x) for x in raw]).astype(np.int64)
-                buf = np.frombuffer(b"".join(raw), np.uint8)
-                h = [pa.array(span_hash(prefix_sums(buf, s), end - [len(x) for x in raw], end).view(np.int64)) for s in (7, 9)] if raw else [pa.array([], pa.int64())] * 2
+                        n.append(stop - at)
+                        raw.append(text[at:stop - 1 + length])
+                        core.append(text[last:last - BLOCK + 1 + length])
+                        turn.append(t)
+                        at = stop
+                cores = mix(_hashes(core)[0].to_numpy().view(U) + np.array(turn, U)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row, pa.int64())), pa.array(pos, pa.int64()), pa.array(n, pa.int32()),
-                                                  pa.array(raw, pa.binary()), *h], ["doc", "pos", "n", "bytes", "h1", "h2"])
+                                                  pa.array(raw, pa.binary()), *_hashes(raw), pa.array(cores)], ["doc", "pos", "n", "bytes", "h1", "h2", "core"])
+    return run
+
+
+def _windows(length: int):
+    """The blocks' windows with two fingerprints of each."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 5000):
+                part = b.slice(i, 5000)
+                row, pos, h1, h2 = _window_hashes(part, length)
+                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(row)), pa.array(pos), pa.array(np.ones(len(row), np.int32)),
+                                                  pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["doc", "pos", "n", "h1", "h2"])
     return run
 
 
@@ -327,9 +363,11 @@ def _removed(rows: DataFrame, length: int, batches: int) -> DataFrame:
     rows.sparkSession.sparkContext._jvm.System.gc()
     found.append(segments.where("not many").repartition("key").sortWithinPartitions("key", "doc", "pos")
                  .mapInArrow(_side_by_side(length), "doc long, a long, b long"))
-    blocks = materialize(segments.where("many").mapInArrow(_dealt(length, BLOCK), PIECE), "blocks")
+    blocks = materialize(segments.where("many").mapInArrow(_blocks(length), PIECE + ", core long"), "blocks")
     later, first = _later_and_first(blocks, length)
-    windows = materialize(first.mapInArrow(_dealt(length, 1), PIECE).drop("bytes"), "windows")
+    ends = [f(h).alias(f"{k}{h}") for h in ("h1", "h2") for f, k in ((F.min, "lo"), (F.max, "hi"))]
+    shared = materialize(blocks.groupBy("core").agg(*ends).where("loh1 != hih1 or loh2 != hih2").select("core"), "cores")
+    windows = materialize(first.join(shared, "core", "left_semi").mapInArrow(_windows(length), WINDOW), "windows")
     found += [later, _later_and_first(windows, length)[0]]
     spans = found[0]
     for x in found[1:]:
