@@ -3,7 +3,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +22,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-@lru_cache(maxsize=8)
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, U)
-    p[0] = 1
-    return np.multiply.accumulate(p)
+_powers: dict[int, np.ndarray] = {}          # of each base, the longest that was asked for
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, max(1 << 20, 1 << (n - 1).bit_length()))[:n]
+    if base not in _powers or len(_powers[base]) < n:
+        p = np.full(max(1 << 20, 1 << (n - 1).bit_length()), base, U)
+        p[0] = 1
+        _powers[base] = np.multiply.accumulate(p)
+    return _powers[base][:n]
 
 
 def byte_table(seed: int) -> np.ndarray:

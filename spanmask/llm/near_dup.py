@@ -44,6 +44,8 @@ from .hashing import U, mix, shingle_sets, text_parts
 BUCKETS, ROWS, MANTISSA = 96, 3, 10
 SMALL, ROUNDS = 43, 2          # two sets of over 32 shingles, or both of at most 43
 EMPTY = 0
+BATCH = 4 << 20                # bytes of an Arrow batch of texts, sets or pairs of sets
+PART, PART_ROWS = 1 << 19, 1 << 12      # texts that are hashed at a time
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -99,7 +101,7 @@ SKETCH = "doc_id long, digest binary, n long, node binary, regs binary, keys arr
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, buf, off in text_parts(b.column("text")):
+        for i, buf, off in text_parts(b.column("text"), PART, PART_ROWS):
             sets = shingle_sets(buf, off)
             regs = registers(sets)
             yield pa.RecordBatch.from_arrays(
@@ -111,7 +113,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for _, buf, off in text_parts(b.column("text")):
+        for _, buf, off in text_parts(b.column("text"), PART, PART_ROWS):
             sets = shingle_sets(buf, off)
             yield pa.RecordBatch.from_arrays([_ids(sets), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
 
@@ -155,14 +157,14 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = nodes.select("node", "mark").join(sets, "node").select("node", "mark", "items") \
         .mapInArrow(_shingles, "node binary, mark long, s array<long>").select("node", "mark", F.explode("s").alias("s"))
     counts = materialize(parts.groupBy("s").agg(F.count("*").alias("c"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
-                         .where("lo != hi").select("s", "c"), "open_counts")
+                         .where("lo != hi").select("s", "c"), "open_counts", BATCH)
     ranked = parts.select("node", "s").join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))
     alone = F.col("n") - F.size("l")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     first = materialize(
         ranked.join(nodes, "node").withColumn("alone", alone).withColumn("l", F.slice("l", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int")))
         .select("node", "n", "mark", "alone", F.posexplode("l").alias("i", "x"))
-        .select("node", "n", "mark", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.s").alias("s")), "first_shingles")
+        .select("node", "n", "mark", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("x.s").alias("s")), "first_shingles", BATCH)
     meet = materialize(first.groupBy("s").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo != hi").select("s"), "first_meet")
     first = materialize(first.join(meet, "s"), "first_meeting")
     p, q = first.alias("p"), first.alias("q")
@@ -222,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, digest (of the text), n, component_id, root (node of the component, null without shingles)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("digest", text_digest(F.col("text")))
-    sketches = materialize(rows.mapInArrow(_sketch, SKETCH), "sketches")
+    sketches = materialize(rows.mapInArrow(_sketch, SKETCH), "sketches", BATCH)
     nodes = materialize(sketches.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "regs", "keys", "small")]), "nodes")
     bands = nodes.select("node", F.explode("keys").alias("key")).unionByName(prefix_keys(nodes, percent))
@@ -235,7 +237,7 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
     inside = materialize(degree.select("node"), "inside")
     r, w = rows.alias("r"), nodes.join(inside, "node", "left_semi").select("doc_id").distinct().alias("w")
     sets = materialize(r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").mapInArrow(_full_sets, "node binary, items binary")
-                       .join(inside, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets")
+                       .join(inside, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets", BATCH)
     heads = nodes.select("node", "n", "regs")
     full = lambda s, x: sets.select(F.col("node").alias(s), F.col("items").alias(x))
 
@@ -243,7 +245,7 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
         """Pairs (a, b) that pass the estimate, with the sizes of their sets and intersection."""
         side = lambda s: heads.select(F.col("node").alias(s), F.col("n").alias("n" + s), F.col("regs").alias("r" + s))
         likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent / 100), "a binary, b binary, na long, nb long")
-        return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_common, PAIR), "compared")
+        return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_common, PAIR), "compared", BATCH)
 
     linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
     left, tested = members, None

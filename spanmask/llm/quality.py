@@ -29,6 +29,7 @@ from .features import DIM, term_matrix
 from .hashing import text_parts
 
 MAX_LABELLED, RANK, NEIGHBOURS, BLOCK = 6000, 64, 15, 512
+PART = 1 << 19          # bytes of the texts whose features the pipeline's stage holds at a time
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,6 +110,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = [vote(model.value, term_matrix(buf, off)) for _, buf, off in text_parts(b.column("text"), max_rows=2048)]
+            score = [vote(model.value, term_matrix(buf, off)) for _, buf, off in text_parts(b.column("text"), PART, max_rows=2048)]
             yield b.filter(pa.array(np.concatenate([np.zeros(0), *score]) >= threshold))
     return docs.mapInArrow(run, docs.schema)
