@@ -5,11 +5,11 @@ that stand side by side in no piece, so before every run of spaces among
 others.  Such a segment's best
 segmentation does not depend on its neighbours.  Distinct segments are exploded
 into substrings of at most the longest piece's length, equi-joined to the piece
-table, grouped again by segment, and a higher-order ``aggregate`` folds the
-edges into the path with the largest sum of scores (the earliest start on
-ties).  A character without a piece of its own falls back to its UTF-8 bytes.
-The fold takes the edges in order of their ends; its state is one score and one
-back pointer per end, and a second fold walks back from the last one.
+table, grouped again by segment, and the edges are folded into the path with
+the largest sum of scores (the earliest start on ties).  A character without a
+piece of its own falls back to its UTF-8 bytes.  The fold takes the edges of an
+Arrow batch of segments in order of their ends; its state is one score and one
+back pointer per segment and end, and a walk back from the last ones gives the ids.
 
 The lattice runs once for frequent segments, counted over a bounded sample of
 documents (``SAMPLE_DOCS``; it only decides what is kept at hand, at most
@@ -48,6 +48,8 @@ SPACE_MARK = "▁"
 MAX_PIECES, HEAD, SAMPLE_DOCS, LONG = 1_000_000, 400_000, 20_000, 64
 NARROW = 0x250
 TASK_SEGMENTS = 25_000
+#: An edge is one number: its end, its start and its piece's id, or NO_PIECE for a character without one.
+START, END, PLACE, NO_PIECE = 20, 30, (1 << 10) - 1, (1 << 20) - 1
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -87,19 +89,35 @@ class Head:
         return np.where((self.h1[at] == k.h1) & (self.h2[at] == k.h2), at, -1)
 
 
-def hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of character spans."""
-    raw = np.ascontiguousarray(c).view(np.uint8)
-    return span_digest(raw, 4 * start, 4 * end, 1), span_digest(raw, 4 * start, 4 * end, 2)
+def spelling(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Characters as bytes, the space mark as one blank and others in UTF-8, and the place of each (one more at the end)."""
+    c = np.where(c == ord(SPACE_MARK), np.uint32(32), c)
+    if not len(c) or c.max() < 128:
+        return c.astype(np.uint8), np.arange(len(c) + 1)
+    size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+    return np.frombuffer(c.tobytes().decode("utf-32-le").encode(), np.uint8), np.concatenate([[0], np.cumsum(size)])
 
 
-def same_spans(c: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
-    """Whether each span equals, character by character, the span at ``other`` of the same arrays."""
+def hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of spans of a spelling."""
+    return span_digest(raw, start, end, 1), span_digest(raw, start, end, 2)
+
+
+def same_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span equals, byte by byte, the span at ``other`` of the same arrays."""
     size = end - start
     if (size != size[other]).any():
         return False
-    step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return bool((c[np.repeat(start, size) + step] == c[np.repeat(start[other], size) + step]).all())
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+    unlike = np.flatnonzero(start != start[other])
+    a, b, left = start[unlike], start[other][unlike], size[unlike]
+    while len(a):
+        if ((eight[a] ^ eight[b]) << (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64))).any():
+            return False
+        more = left > 8
+        a, b, left = a[more] + 8, b[more] + 8, left[more] - 8
+    return True
 
 
 NO_HEAD = Head(*(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int32)))
@@ -161,12 +179,15 @@ class Vocabulary:
             here[1:-1] |= ~self.joined(c)
         at = np.flatnonzero(here)
         start, end = at[:-1], at[1:]
-        which, distinct = pd.factorize(span_digest(c.view(np.uint8), 4 * start, 4 * end, 1))
+        raw, byte = spelling(c)
+        low, high = byte[start], byte[end]
+        h1 = span_digest(raw, low, high, 1)
+        which, distinct = pd.factorize(h1)
         rep = np.zeros(len(distinct), np.int64)
         rep[which[::-1]] = np.arange(len(start))[::-1]
-        if not same_spans(c, start, end, rep[which]):
+        if not same_spans(raw, low, high, rep[which]):
             rep = which = np.arange(len(start))
-        return Cut(c, start, end, np.searchsorted(at, ends), *hashes(c, start[rep], end[rep]), rep, which)
+        return Cut(c, start, end, np.searchsorted(at, ends), h1[rep], span_digest(raw, low[rep], high[rep], 2), rep, which)
 
     def segments(self, texts: list[str | None]) -> list[list[str]]:
         """The same segments as strings, for tests and small inputs."""
@@ -217,34 +238,66 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def best_paths(size: np.ndarray, first: np.ndarray, edges: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and their number for each segment of ``size`` characters, whose edges (end, start, id) are first[i]..first[i + 1].
+
+    The recurrence runs by ends, for all segments at once; of equal sums the earliest start stays.
+    """
+    n, longest = len(size), int(size.max(initial=0))
+    owner = np.repeat(np.arange(n), np.diff(first))
+    order = np.lexsort((edges, owner, edges >> END))                # by end, segment, start
+    owner, edges = owner[order], edges[order]
+    end, start, code = edges >> END, (edges >> START) & PLACE, edges & NO_PIECE
+    sums = np.zeros((n, longest + 1), np.int64)
+    taken = np.zeros((n, longest + 1), np.int64)                    # the edge that ends the best path to each place
+    upto = np.searchsorted(end, np.arange(longest + 2))
+    for e in range(1, longest + 1):
+        some = slice(upto[e], upto[e + 1])
+        who, total = owner[some], sums[owner[some], start[some] - 1] + score[code[some]]
+        group = np.flatnonzero(np.diff(who, prepend=-1))
+        most = np.maximum.reduceat(total, group)
+        at = np.where(total == np.repeat(most, np.diff(group, append=len(who))), np.arange(len(who)), len(who))
+        sums[who[group], e] = most
+        taken[who[group], e] = upto[e] + np.minimum.reduceat(at, group)
+    rows, ids, live, place = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], np.arange(n), size.astype(np.int64)
+    while len(live):
+        edge = taken[live, place]
+        rows.append(live)
+        ids.append(np.where(code[edge] == NO_PIECE, -start[edge], code[edge]))
+        place = start[edge] - 1
+        live, place = live[place > 0], place[place > 0]
+    row, flat = np.concatenate(rows[::-1]), np.concatenate(ids[::-1])
+    return flat[np.argsort(row, kind="stable")].astype(np.int32), np.bincount(row, minlength=n)
+
+
+def _folded(score):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            size, edges = np.asarray(b.column("size")), b.column("edges")
+            ids, many = best_paths(size, np.concatenate([[0], np.cumsum(np.asarray(edges.value_lengths()))]), np.asarray(edges.flatten()), score.value)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([b.column("segment"), lists], ["segment", "ids"])
+    return run
+
+
 def lattice(segments: DataFrame, path: str) -> DataFrame:
     """Distinct (segment) -> (segment, ids): best paths; id -1 - p stands for the bytes of the character at p."""
     v = vocabulary(path)
     spark = segments.sparkSession
-    pieces = F.broadcast(spark.createDataFrame([(p, i, s) for p, (i, s) in v.pieces.items()], "piece string, id int, score long"))
+    pieces = F.broadcast(spark.createDataFrame([(p, i) for p, (i, _) in v.pieces.items()], "piece string, id long"))
+    score = np.full(NO_PIECE + 1, v.unknown, np.int64)
+    for i, s in v.pieces.values():
+        score[i] = s
     size = F.length("segment")
     dealt = segments.select("segment").repartition(1 + segments.count() // TASK_SEGMENTS, "segment")    # the grouping below needs no other exchange
     edges = (dealt.select("segment", F.explode(F.sequence(F.lit(1), size)).alias("s"))
              .select("segment", "s", F.explode(F.sequence("s", F.least(F.col("s") + (v.longest - 1), size))).alias("e"))
              .select("segment", "s", "e", F.expr("substring(segment, s, e - s + 1)").alias("piece"))
              .join(pieces, "piece", "left").where("id is not null or s = e")
-             .select("segment", F.struct("e", "s", F.coalesce("id", -F.col("s")).alias("id"),
-                                         F.coalesce("score", F.lit(v.unknown).cast("long")).alias("score")).alias("edge")))
-    grouped = edges.groupBy("segment").agg(F.sort_array(F.collect_list("edge")).alias("edges"))     # at most LONG * longest edges each
-
-    def step(best, x):
-        """``best`` holds one entry for each end so far; every end has an edge, so that it grows by one at a time."""
-        score = F.when(x.s > 1, F.get(best, x.s - 2).score).otherwise(F.lit(0).cast("long")) + x.score
-        entry = F.array(F.struct(score.alias("score"), x.s.alias("s"), x.e.alias("e"), x.id.alias("id")))
-        return (F.when(F.size(best) < x.e, F.concat(best, entry))
-                .when(score > F.get(best, x.e - 1).score, F.concat(F.slice(best, F.lit(1), x.e - 1), entry)).otherwise(best))
-
-    def back(state, b):
-        return F.when(state.at == b.e, F.struct((b.s - 1).alias("at"), F.concat(F.array(b.id), state.ids).alias("ids"))).otherwise(state)
-
-    best = F.aggregate("edges", F.array().cast("array<struct<score:long,s:int,e:int,id:int>>"), step)
-    walked = F.aggregate(F.reverse("best"), F.struct(size.alias("at"), F.array().cast("array<int>").alias("ids")), back)
-    return grouped.select("segment", best.alias("best")).select("segment", walked.ids.alias("ids"))
+             .select("segment", F.expr(f"e * {1 << END}L + s * {1 << START}L + coalesce(id, {NO_PIECE}L)").alias("edge")))
+    grouped = edges.groupBy("segment").agg(F.collect_list("edge").alias("edges"))                   # at most LONG * longest edges each
+    return (grouped.select("segment", size.alias("size"), "edges")
+            .mapInArrow(_folded(spark.sparkContext.broadcast(score)), "segment string, ids array<int>"))
 
 
 def _own(k: Cut, entry: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -332,9 +385,10 @@ def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SA
     start = np.cumsum(sizes) - sizes
     plain = np.ones(len(words), bool)
     plain[np.repeat(np.arange(len(words)), sizes)[ids < 0]] = False                # with byte fallback: left to the tail
-    c = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
-    end = np.cumsum([len(w) for w in words])
-    h1, h2 = hashes(c, end - [len(w) for w in words], end)
+    raw, byte = spelling(np.frombuffer("".join(words).encode("utf-32-le"), np.uint32))
+    size = np.array([len(w) for w in words])
+    end = np.cumsum(size)
+    h1, h2 = hashes(raw, byte[end - size], byte[end])
     order = np.argsort(h1)
     order = order[plain[order]]
     return Head(h1[order], h2[order], start[order].astype(np.int64), sizes[order].astype(np.int64), ids.astype(np.int32))
