@@ -2,12 +2,15 @@
 
 Rejected or copied documents go, the rest stay whole: quality, exact copies,
 near copies, benchmark passages, and last the encoding into piece ids.
+
+The stages bound the session's Arrow batches (``BATCH``): what a stage returns
+is computed when its caller writes it, so the bound has to outlast the stage.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmask.llm.common import materialize, table
+from spanmask.llm.common import BATCH_BYTES, materialize, table
 from spanmask.llm.decontam import drop_contaminated
 from spanmask.llm.exact_dedup import drop_copies
 from spanmask.llm.near_dup import keep_one
@@ -15,10 +18,18 @@ from spanmask.llm.quality import keep_good
 from spanmask.llm.sentencepieces import encode_digests, vocabulary_path
 from spanmask.session import ship_package
 
+BATCH = 4 << 20          # bytes of the Arrow batches that the session's Python steps are sent; no row is cut
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package for the workers, and the bound of the batches."""
+    ship_package(spark)
+    spark.conf.set(BATCH_BYTES, str(BATCH))
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored as good by nearest-neighbour voting (operator 4)."""
-    ship_package(spark)
+    prepare(spark)
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -29,7 +40,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (operator 8)."""
-    ship_package(spark)
+    prepare(spark)
     return keep_one(docs)
 
 
@@ -40,7 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, as counts and digests (operator 7)."""
-    ship_package(spark)
+    prepare(spark)
     return encode_digests(docs, vocabulary_path())
 
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, handing_back, materialize
 from .hashing import U, mix, shingle_sets, text_parts
 
 BUCKETS, ROWS, MANTISSA = 96, 3, 10
@@ -155,7 +155,7 @@ def rare_pairs(nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """
     nodes = materialize(nodes.withColumn("mark", F.xxhash64("root")), "open")
     parts = nodes.select("node", "mark").join(sets, "node").select("node", "mark", "items") \
-        .mapInArrow(_shingles, "node binary, mark long, s array<long>").select("node", "mark", F.explode("s").alias("s"))
+        .mapInArrow(handing_back(_shingles), "node binary, mark long, s array<long>").select("node", "mark", F.explode("s").alias("s"))
     counts = materialize(parts.groupBy("s").agg(F.count("*").alias("c"), F.min("mark").alias("lo"), F.max("mark").alias("hi"))
                          .where("lo != hi").select("s", "c"), "open_counts", BATCH)
     ranked = parts.select("node", "s").join(counts, "s").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("l"))
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75) -> DataFrame:
     """One row per input row: doc_id, digest (of the text), n, component_id, root (node of the component, null without shingles)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("digest", text_digest(F.col("text")))
-    sketches = materialize(rows.mapInArrow(_sketch, SKETCH), "sketches", BATCH)
+    sketches = materialize(rows.mapInArrow(handing_back(_sketch), SKETCH), "sketches", BATCH)
     nodes = materialize(sketches.where("n > 0").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "regs", "keys", "small")]), "nodes")
     bands = nodes.select("node", F.explode("keys").alias("key")).unionByName(prefix_keys(nodes, percent))
@@ -236,7 +236,7 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
     members = materialize(bands.join(degree, "node").select("key", "node", "degree"), "members")
     inside = materialize(degree.select("node"), "inside")
     r, w = rows.alias("r"), nodes.join(inside, "node", "left_semi").select("doc_id").distinct().alias("w")
-    sets = materialize(r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").mapInArrow(_full_sets, "node binary, items binary")
+    sets = materialize(r.join(w, F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").mapInArrow(handing_back(_full_sets), "node binary, items binary")
                        .join(inside, "node", "left_semi").groupBy("node").agg(F.first("items").alias("items")), "sets", BATCH)
     heads = nodes.select("node", "n", "regs")
     full = lambda s, x: sets.select(F.col("node").alias(s), F.col("items").alias(x))
@@ -244,8 +244,8 @@ def judged_rows(docs: DataFrame, id_col: str, text_col: str, percent: int = 75)
     def compared(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that pass the estimate, with the sizes of their sets and intersection."""
         side = lambda s: heads.select(F.col("node").alias(s), F.col("n").alias("n" + s), F.col("regs").alias("r" + s))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely(percent / 100), "a binary, b binary, na long, nb long")
-        return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(_common, PAIR), "compared", BATCH)
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(handing_back(_likely(percent / 100)), "a binary, b binary, na long, nb long")
+        return materialize(likely.join(full("a", "x"), "a").join(full("b", "y"), "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(handing_back(_common), PAIR), "compared", BATCH)
 
     linked = F.expr(f"100 * common >= {percent} * (na + nb - common)")
     left, tested = members, None

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, handing_back
 from .features import DIM, term_matrix
 from .hashing import text_parts
 
@@ -55,7 +55,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MAX_LABELLED) -> dict:
     """Latent map and labelled vectors from the bounded sample."""
     sample = labelled_sample(docs, labels, label, held_out(F.col("doc_id")), most)
-    rows = sample.mapInArrow(_vectors, "doc_id long, label int, v binary").collect()     # at most ``most`` rows of DIM numbers
+    rows = sample.mapInArrow(handing_back(_vectors), "doc_id long, label int, v binary").collect()     # at most ``most`` rows of DIM numbers
     rows.sort(key=lambda r: (r.doc_id, r.label, r.v))
     m = np.array([np.frombuffer(r.v, np.float16) for r in rows], np.float32).reshape(-1, DIM)
     y = np.array([r.label for r in rows], np.float32)
@@ -110,6 +110,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            score = [vote(model.value, term_matrix(buf, off)) for _, buf, off in text_parts(b.column("text"), PART, max_rows=2048)]
-            yield b.filter(pa.array(np.concatenate([np.zeros(0), *score]) >= threshold))
-    return docs.mapInArrow(run, docs.schema)
+            for i, buf, off in text_parts(b.column("text"), PART, max_rows=2048):
+                score = vote(model.value, term_matrix(buf, off))
+                yield b.slice(i, len(score)).filter(pa.array(score >= threshold))       # never a second copy of the batch
+    return docs.mapInArrow(handing_back(run), docs.schema)

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_table, materialize
+from .common import drop_table, handing_back, materialize
 from .hashing import span_digest, text_parts
 
 SPACE_MARK = "▁"
@@ -297,7 +297,7 @@ def lattice(segments: DataFrame, path: str) -> DataFrame:
              .select("segment", F.expr(f"e * {1 << END}L + s * {1 << START}L + coalesce(id, {NO_PIECE}L)").alias("edge")))
     grouped = edges.groupBy("segment").agg(F.collect_list("edge").alias("edges"))                   # at most LONG * longest edges each
     return (grouped.select("segment", size.alias("size"), "edges")
-            .mapInArrow(_folded(spark.sparkContext.broadcast(score)), "segment string, ids array<int>"))
+            .mapInArrow(handing_back(_folded(spark.sparkContext.broadcast(score))), "segment string, ids array<int>"))
 
 
 def _own(k: Cut, entry: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -367,7 +367,7 @@ def head_segments(rows: DataFrame, path: str, most: int = HEAD, sample: int = SA
     """Frequent segments of a bounded sample with their ids: at most ``most`` entries of at most LONG characters."""
     share = min(1.0, sample / max(1, rows.count()))
     some = rows.select("row", "text").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    counts = materialize(some.mapInArrow(_rest(path, None), PAIR).groupBy("segment").agg(F.count("*").alias("c")), "counts")
+    counts = materialize(some.mapInArrow(handing_back(_rest(path, None)), PAIR).groupBy("segment").agg(F.count("*").alias("c")), "counts")
     left, least = most, None
     for r in counts.groupBy("c").agg(F.count("*").alias("n")).orderBy(F.desc("c")).toLocalIterator():   # one row per distinct count of the sample
         if r.n > left or r.c < 2:
@@ -399,7 +399,7 @@ def _solved(docs: DataFrame, path: str, id_col: str, text_col: str):
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("row", F.substring(F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)), 1, 16))
     head = docs.sparkSession.sparkContext.broadcast(head_segments(rows, path))
-    rest = materialize(rows.select("row", "text").mapInArrow(_rest(path, head), PAIR), "rest")
+    rest = materialize(rows.select("row", "text").mapInArrow(handing_back(_rest(path, head)), PAIR), "rest")
     words = materialize(rest.select("segment").distinct(), "words")
     solved = materialize(lattice(words, path), "solved")
     # a set, so that repeated texts do not add up
@@ -414,14 +414,14 @@ def _solved(docs: DataFrame, path: str, id_col: str, text_col: str):
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids of every row."""
     rows, head = _solved(docs, path, id_col, text_col)
-    return rows.mapInArrow(_encoder(path, head), "doc_id long, ids array<int>")
+    return rows.mapInArrow(handing_back(_encoder(path, head)), "doc_id long, ids array<int>")
 
 
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``digests(encode(docs))`` in one Python worker a task instead of two."""
     rows, head = _solved(docs, path, id_col, text_col)
     encoder, digest = _encoder(path, head), _digest(path)
-    return rows.mapInArrow(lambda batches: digest(encoder(batches)), DIGESTS)
+    return rows.mapInArrow(handing_back(lambda batches: digest(encoder(batches))), DIGESTS)
 
 
 def _decoder(path: str):
